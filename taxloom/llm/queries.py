@@ -112,3 +112,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_line_dedup, op2_token_ledger, op3_order_minhash, op4_url_reputation, op5_crf_langid, op6_topk_postings, op7_chat_schema, op8_decontaminate, op9_toxicity, op10_packing)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
