@@ -76,7 +76,7 @@ def field_paths(schema: str) -> set[str]:
     found: set[str] = set()
     stack: list[str] = [""]
     name = ""
-    for token in re.findall(r"`(?:[^`]|``)*`|OBJECT<|ARRAY<|>|[^<>,:`]+(?=:)|[:,]|[^<>,:`]+", schema):
+    for token in re.findall(r"\s*(`(?:[^`]|``)*`|OBJECT<|ARRAY<|>|[A-Z]+\(\d+,\s*\d+\)|[^<>,:`\s]+(?=:)|[:,]|[^<>,:`\s]+)", schema):
         if token == "OBJECT<":
             stack.append(f"{name}." if name else "")
         elif token == "ARRAY<":

@@ -114,5 +114,98 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_line_dedup, op2_token_ledger, op3_order_minhash, op4_url_reputation, op5_crf_langid, op6_topk_postings, op7_chat_schema, op8_decontaminate, op9_toxicity, op10_packing)}
 
 
+
+OP1_SQL = f"""
+WITH pages AS (
+  SELECT doc_id, source, text, string_split(text, chr(10)) AS rows FROM documents
+), lines AS (
+  SELECT source, unnest(list_distinct([trim(x) for x in rows if trim(x) <> ''])) AS line FROM pages
+), counts AS (
+  SELECT source, line, count(*) AS n FROM lines GROUP BY ALL HAVING count(*) >= {line_dedup.MIN_PAGES}
+), totals AS (
+  SELECT source, count(*) AS pages FROM pages GROUP BY ALL
+), found AS (
+  SELECT c.source, list(c.line) AS boilerplate FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
+  WHERE c.n > t.pages * CAST({line_dedup.MAX_RATIO} AS DOUBLE) GROUP BY c.source
+), cut AS (
+  SELECT p.*, f.boilerplate IS NOT NULL AS known, coalesce(len([x for x in p.rows if trim(x) <> '']), 0) AS n,
+    [x for x in p.rows if trim(x) = '' OR NOT list_contains(coalesce(f.boilerplate, CAST([] AS VARCHAR[])), trim(x))] AS kept
+  FROM pages p LEFT JOIN found f ON p.source IS NOT DISTINCT FROM f.source
+), left_over AS (
+  SELECT *, coalesce(len([x for x in kept if trim(x) <> '']), 0) AS n_left FROM cut
+)
+SELECT doc_id, source, CASE WHEN known AND n_left > 0 AND n_left < n THEN array_to_string(kept, chr(10)) ELSE text END AS text,
+  CAST(n AS INT) AS n_lines, CAST(CASE WHEN known AND n_left > 0 AND n_left < n THEN n - n_left ELSE 0 END AS INT) AS n_dropped
+FROM left_over
+"""
+
+
+def _op4_sql() -> str:
+    order = sorted(URL_RULES, key=lambda r: (len(r[0] + r[1]), r[0] + r[1]), reverse=True)
+    fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
+    rule = " ".join(f"WHEN {fits(h, p)} THEN '{h + p}'" for h, p, _ in order)
+    verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in order)
+    two = ", ".join(f"'{x}'" for x in url_reputation.TWO_LABEL_SUFFIXES)
+    tail = lambda n: f"array_to_string(parts[greatest(len(parts) - {n - 1}, 1):], '.')"
+    strength = lambda t: f"""(SELECT CASE WHEN coalesce(sum(m * (1 - m) * (n - 1)), 0) = 0 THEN CAST({url_reputation.DEFAULT_STRENGTH} AS DOUBLE) ELSE
+      round(1 / least(greatest((sum(n * pow(CAST(x AS DOUBLE) / n - m, 2)) - sum(m * (1 - m))) / sum(m * (1 - m) * (n - 1)), 1 / (1 + CAST({url_reputation.MOST_STRENGTH} AS DOUBLE))), 1 / (1 + CAST({url_reputation.LEAST_STRENGTH} AS DOUBLE))) - 1, 6) END
+      FROM {t} WHERE n > 0)"""
+    return f"""
+WITH cut AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{url_reputation.UPPER}', '{url_reputation.LOWER}') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), marks AS (
+  SELECT doc_id, max(CASE WHEN coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), counted AS (
+  SELECT host, string_split(host, '.') AS parts, count(bad) AS n, coalesce(sum(bad), 0) AS x FROM cut LEFT JOIN marks ON page_id = doc_id GROUP BY host
+), hosts AS (
+  SELECT host, n, x, CASE WHEN {tail(2)} IN ({two}) THEN {tail(3)} ELSE {tail(2)} END AS domain,
+    CASE WHEN {tail(2)} IN ({two}) THEN {tail(2)} ELSE {tail(1)} END AS suffix FROM counted
+), whole AS (SELECT (coalesce(sum(x), 0) + 1) / CAST(coalesce(sum(n), 0) + 2 AS DOUBLE) AS m FROM hosts
+), s0 AS (SELECT suffix, sum(n) AS n, sum(x) AS x, (SELECT m FROM whole) AS m FROM hosts GROUP BY suffix
+), s1 AS (SELECT suffix, (x + m * s) / (x + m * s + n - x + (1 - m) * s) AS m FROM s0, (SELECT {strength("s0")} AS s)
+), d0 AS (SELECT h.suffix, h.domain, sum(h.n) AS n, sum(h.x) AS x, any_value(s1.m) AS m FROM hosts h JOIN s1 ON h.suffix = s1.suffix GROUP BY h.suffix, h.domain
+), d1 AS (SELECT domain, (x + m * s) / (x + m * s + n - x + (1 - m) * s) AS m FROM d0, (SELECT {strength("d0")} AS s)
+), h0 AS (SELECT h.host, h.n, h.x, d1.m FROM hosts h JOIN d1 ON h.domain = d1.domain
+), h1 AS (SELECT host, (x + m * s) / (x + m * s + n - x + (1 - m) * s) AS m, x + m * s + n - x + (1 - m) * s AS w FROM h0, (SELECT {strength("h0")} AS s)
+), low AS (SELECT host AS of, round(m - CAST({url_reputation.Z} AS DOUBLE) * sqrt(m * (1 - m) / (w + 1)), 9) AS bad_low FROM h1)
+SELECT page_id, host, path, CASE {rule} END AS rule,
+  CASE {verdict} ELSE CASE WHEN bad_low > {url_reputation.MAX_BAD} THEN 'block' ELSE 'allow' END END AS verdict, bad_low
+FROM cut LEFT JOIN low ON host = low.of
+"""
+
+
+OP6_SQL = """
+WITH taking_part AS (
+  SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), asked AS (
+  SELECT vec_id, min(v) AS v FROM taking_part WHERE vec_id % 100 = 0 GROUP BY vec_id
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM asked q JOIN taking_part c ON q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM scored
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+
+def _op7_sql() -> str:
+    escaped = lambda c: "replace(" * (len(chat_schema.CONTROL) + 1) + c + ", chr(92), chr(92) || chr(92))" + "".join(f", '{x}', '{x[0]}' || chr(92) || '{x[1:]}')" for x in chat_schema.CONTROL)
+    marks = len(chat_schema.OPEN + chat_schema.SEP + chat_schema.CLOSE)
+    said = "</s>[INST] ok [/INST]"
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{said}'), (-7, 1, 'assistant', '{said}')
+), joined AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+    sum({marks} + length({escaped("role")}) + length({escaped("text")})) AS chars
+  FROM turns GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM joined
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": OP1_SQL, "op4_url_reputation": _op4_sql(), "op6_topk_postings": OP6_SQL, "op7_chat_schema": _op7_sql()}

@@ -88,10 +88,10 @@ class ToxicityModel:
         kept = [c for c in docs.columns if c not in (text, "score")]
         if self.trees is None:
             return docs.select(*kept, F.lit(float(self.base)).alias("score"))
-        rows = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(features(docs, self.words, text))
-        margin = vector_to_array("_raw")[1]
-        rows = self.trees.transform(rows)
-        return rows.select(*kept, calibrated(margin, self.knots).alias("score"))
+        packed = docs.select(F.struct(*kept).alias("_kept"), F.col(text).alias("_text"))
+        rows = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(features(packed, self.words, "_text"))
+        rows = self.trees.transform(rows.select("_kept", "_features"))
+        return rows.select(F.col("_kept.*"), calibrated(vector_to_array("rawPrediction")[1], self.knots).alias("score"))
 
 
 def calibrated(margin: Column, knots: list[tuple[float, float]]) -> Column:
@@ -122,8 +122,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, iterations: in
     rows_ = materialize(rows_, "toxic-features")
     if rows_.where("part <> 0").select("label").distinct().count() < 2 or rows_.where("part = 0").isEmpty():
         return ToxicityModel([], None, [], n["m"])
-    trees = GBTClassifier(featuresCol="_features", labelCol="label", rawPredictionCol="_raw", probabilityCol="_prob", predictionCol="_pred", maxIter=iterations, maxDepth=depth, stepSize=0.2, seed=11).fit(rows_.where("part <> 0").coalesce(4))
-    held = trees.transform(rows_.where("part = 0")).select(F.round(vector_to_array("_raw")[1], 3).alias("x"), "label").groupBy("x").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
+    trees = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=iterations, maxDepth=depth, stepSize=0.2, seed=11).fit(rows_.where("part <> 0").coalesce(4))
+    held = trees.transform(rows_.where("part = 0")).select(F.round(vector_to_array("rawPrediction")[1], 3).alias("x"), "label").groupBy("x").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
     model = IsotonicRegression(featuresCol="x", labelCol="label", weightCol="w").fit(held)
     knots = sorted(zip((float(x) for x in model.boundaries), (float(y) for y in model.predictions), strict=True))
     return ToxicityModel(words, trees, knots, n["m"])
