@@ -4,7 +4,8 @@ Features are built-in expressions on whole texts: densities of an insult lexicon
 how often a hit has a second-person word within ``NEAR`` words, the share of capitals, punctuation and words in capitals, and obfuscation
 (words with digits or symbols inside, letters repeated three times, stretched punctuation).  Trees (Spark ML) are fitted on at most
 ``FIT_ROWS`` labelled documents, chosen by a hash of their text; a further hashed part of the sample, not seen by the trees, fits the isotonic
-map from their margin to a probability.  The lexicon is learned from the labelled training documents' word counts, made by document frequency.
+map from their margin to a probability.  The lexicon of words and stems is learned from
+the same sample.
 
 Scoring is one pass without a shuffle: features, trees and the calibration map are expressions and a broadcast model.
 
@@ -15,6 +16,8 @@ scored each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
@@ -29,8 +32,10 @@ INSULTS = ("idiot", "stupid", "moron", "dumb", "trash", "garbage", "pathetic", "
 SECOND_PERSON = ("you", "your", "yours", "yourself", "u", "ur", "tu", "te", "toi", "vous", "du", "dich", "dir", "ihr", "usted", "ti")
 NEAR = 5
 FIT_ROWS = 20_000
-#: Words that are learned at most, the documents a word must be in, and how much likelier it must be in toxic documents.
-LEARNED, LEAST_DOCS, LEAST_RATIO = 200, 5, 4.0
+#: Words and stems (first letters, so that inflected and disguised forms count) that are learned at most; the toxic documents one must be
+#: in, how many standard deviations those must exceed their expected number, and how much likelier a word of a toxic document must have it.
+LEARNED, LEAST_DOCS, LEAST_Z, LEAST_RATIO = 200, 3, 4.0, 4.0
+STEMS = (4, 5, 6, 7)
 FEATURES = ("insults", "insult_docs", "learned", "learned_any", "near_you", "capitals", "shouted", "punctuation", "symbols", "digits_inside", "symbols_inside", "stretched", "log_words")
 
 
@@ -46,14 +51,18 @@ def features(docs: DataFrame, learned: list[str], text: str = "text") -> DataFra
     """``docs`` with the columns ``FEATURES`` in place of ``text``."""
     t = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumn("_t", t).withColumn("_w", _words(t))
-    hit = lambda w: w.isin(*INSULTS) | w.isin(*learned) if learned else w.isin(*INSULTS)
+    whole = [w for w in learned if w[0] == "="]
+    stems = {k: [w[1:] for w in learned if w[0] == "<" and len(w) == k + 1] for k in STEMS}
+    tests = [lambda w: w.isin(*[x[1:] for x in whole])] * bool(whole) + [lambda w, k=k: F.substring(w, 1, k).isin(*stems[k]) for k in STEMS if stems[k]]
+    taught = lambda w: reduce(lambda a, b: a | b, [t(w) for t in tests], F.lit(False))
+    hit = lambda w: w.isin(*INSULTS) | taught(w)
     # places of hits and of second-person words; only documents with both are compared
     places = lambda test: F.filter(F.transform("_w", lambda w, i: F.when(test(w), i)), lambda i: i.isNotNull())
     out = out.withColumn("_h", places(hit)).withColumn("_y", F.when(F.size("_h") > 0, places(lambda w: w.isin(*SECOND_PERSON))).otherwise(F.array().cast("array<int>")))
     words, chars = F.size("_w"), F.length("_t")
     count = lambda p: F.regexp_count("_t", F.lit(p))
     insults = F.size(F.filter("_w", lambda w: w.isin(*INSULTS)))
-    known = F.size(F.filter("_w", lambda w: w.isin(*learned))) if learned else F.lit(0)
+    known = F.size(F.filter("_w", taught)) if learned else F.lit(0)
     near = F.size(F.filter("_h", lambda h: F.exists("_y", lambda y: F.abs(y - h) <= NEAR)))
     letters = F.length(F.regexp_replace("_t", r"[^\p{L}]+", ""))
     values = {
@@ -67,16 +76,20 @@ def features(docs: DataFrame, learned: list[str], text: str = "text") -> DataFra
 
 
 def learn_words(sample: DataFrame) -> list[str]:
-    """Words whose document frequency among toxic documents is at least ``LEAST_RATIO`` times that among the others; at most ``LEARNED``."""
-    n = sample.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
-    toxic, clean = n["t"] or 0, (n["n"] or 0) - (n["t"] or 0)
-    if not toxic or not clean:
+    """Words (``=word``) and stems (``<stem``) that mark toxic documents, the most frequent first; at most ``LEARNED``."""
+    rows = sample.select("toxic", _words(F.coalesce("text", F.lit(""))).alias("w"))
+    toxic = F.col("toxic") == 1
+    n = rows.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"), F.sum(F.when(toxic, F.size("w"))).alias("wt"), F.sum(F.when(~toxic, F.size("w"))).alias("wc")).first()
+    if not n["t"] or n["t"] == n["n"] or not n["wt"] or not n["wc"]:
         return []
-    words = sample.select("toxic", F.explode(F.array_distinct(_words(F.coalesce("text", F.lit(""))))).alias("w"))
-    found = words.groupBy("w").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).where(F.col("t") >= LEAST_DOCS)
-    ratio = ((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("n") - F.col("t") + 0.5) / (clean + 1))
-    top = found.withColumn("r", F.round(ratio, 6)).where(F.col("r") >= LEAST_RATIO).orderBy(F.desc("t"), F.desc("r"), "w").limit(LEARNED)
-    return [r["w"] for r in top.select("w").collect()]
+    terms = lambda w: F.array(F.concat(F.lit("="), w), *[F.when(F.length(w) >= k, F.concat(F.lit("<"), F.substring(w, 1, k))) for k in STEMS])
+    places = rows.select("toxic", F.monotonically_increasing_id().alias("row"), F.explode(F.flatten(F.transform("w", terms))).alias("term")).where("term is not null")
+    each = places.groupBy("row", "toxic", "term").agg(F.count(F.lit(1)).alias("k"))
+    found = each.groupBy("term").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"), F.sum(F.when(toxic, F.col("k")).otherwise(0)).alias("kt"), F.sum(F.when(toxic, 0).otherwise(F.col("k"))).alias("kc"))
+    likely = F.col("n") * (n["t"] / n["n"])
+    ratio = ((F.col("kt") + 0.5) / n["wt"]) / ((F.col("kc") + 0.5) / n["wc"])
+    marks = found.where((F.col("t") >= LEAST_DOCS) & ((F.col("t") - likely) / F.sqrt(likely) >= LEAST_Z) & (ratio >= LEAST_RATIO))
+    return [r["term"] for r in marks.orderBy(F.desc("t"), F.length("term"), "term").limit(LEARNED).select("term").collect()]
 
 
 class ToxicityModel:
