@@ -1,13 +1,13 @@
 """Toxicity by gradient-boosted trees over a few dense features, with isotonic calibration.
 
-Features are built-in expressions on whole texts: densities of an insult lexicon and of words learned from the labels,
+Features are measured on whole texts, one Arrow batch at a time: densities of an insult lexicon and of words learned from the labels,
 how often a hit has a second-person word within ``NEAR`` words, the share of capitals, punctuation and words in capitals, and obfuscation
 (words with digits or symbols inside, letters repeated three times, stretched punctuation).  Trees (Spark ML) are fitted on at most
-``FIT_ROWS`` labelled documents, chosen by a hash of their text; a further hashed part of the sample, not seen by the trees, fits the isotonic
+``FIT_ROWS`` labelled documents, chosen by a hash of their id; a further hashed part of the sample, not seen by the trees, fits the isotonic
 map from their margin to a probability.  The lexicon of words and stems is learned from
 the same sample.
 
-Scoring is one pass without a shuffle: features, trees and the calibration map are expressions and a broadcast model.
+Scoring is one pass without a shuffle: features by vectorised counting in a pandas UDF, trees and the calibration map in the JVM.
 
 Cases: null text scores as an empty one; empty texts have all features 0 and get the probability that the model gives those; documents
 without a label are only scored; with labels of one class or none the score is their mean, 0 if there are none; repeated rows are
@@ -16,20 +16,28 @@ scored each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+import sys
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxloom.llm.common import materialize
 
 #: Insults and second-person words of the four languages; fixed values.
-INSULTS = ("idiot", "stupid", "moron", "dumb", "trash", "garbage", "pathetic", "worthless", "disgusting", "clown", "loser", "scum", "hate", "ugly", "shut", "idiota", "imbécile", "dummkopf", "stupide", "estúpido")
-SECOND_PERSON = ("you", "your", "yours", "yourself", "u", "ur", "tu", "te", "toi", "vous", "du", "dich", "dir", "ihr", "usted", "ti")
+INSULTS = frozenset(("idiot", "stupid", "moron", "dumb", "trash", "garbage", "pathetic", "worthless", "disgusting", "clown", "loser", "scum", "hate", "ugly", "shut", "idiota", "imbécile", "dummkopf", "stupide", "estúpido"))
+SECOND_PERSON = frozenset(("you", "your", "yours", "yourself", "u", "ur", "tu", "te", "toi", "vous", "du", "dich", "dir", "ihr", "usted", "ti"))
 NEAR = 5
 FIT_ROWS = 20_000
 #: Words and stems (first letters, so that inflected and disguised forms count) that are learned at most; the toxic documents one must be
@@ -39,56 +47,112 @@ STEMS = (4, 5, 6, 7)
 FEATURES = ("insults", "insult_docs", "learned", "learned_any", "near_you", "capitals", "shouted", "punctuation", "symbols", "digits_inside", "symbols_inside", "stretched", "log_words")
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-
-def _share(n: Column, of: Column) -> Column:
-    return F.when(of > 0, n / of).otherwise(0.0).cast("double")
+INSULT, TAUGHT, SECOND = 1, 2, 4
+LETTER, UPPER, MARK, SYMBOL = 1, 2, 4, 8
+#: Words whose code a worker remembers.
+CACHED_WORDS = 500_000
+_WORD = re.compile(r"[^\W_]+")
+_SHOUTED = re.compile(r"\b[^\W\d_]{2,}\b")
+_DIGITS_INSIDE = re.compile(r"[^\W\d_]\d+(?=[^\W\d_])")
+_SYMBOLS_INSIDE = re.compile(r"[^\W\d_][$@*!_.\-]+(?=[^\W\d_])")
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """What each code point is; built once per worker from the Unicode categories."""
+    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    for i in range(sys.maxunicode + 1):
+        kind = unicodedata.category(chr(i))
+        if kind[0] == "L":
+            out[i] = LETTER + UPPER * (kind == "Lu")
+    out[[ord(c) for c in "!?"]] |= MARK
+    out[[ord(c) for c in "$%&*#@"]] |= SYMBOL
+    return out
+
+
+class _Codes(dict):
+    """What each word is: an insult, a learned word or stem, a second-person word."""
+
+    def __init__(self, learned: list[str]):
+        self.whole = {x[1:] for x in learned if x[0] == "="}
+        self.stems = {x[1:] for x in learned if x[0] == "<"}
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        taught = word in self.whole or any(word[:k] in self.stems for k in STEMS if len(word) >= k)
+        code = self[word] = INSULT * (word in INSULTS) + TAUGHT * taught + SECOND * (word in SECOND_PERSON)
+        return code
+
+
+def text_features(text: str, codes: _Codes) -> tuple[float, ...]:
+    """``FEATURES`` of one whole text."""
+    words = _WORD.findall(text.lower())
+    n = len(words)
+    code = np.fromiter(map(codes.__getitem__, words), np.uint8, n)
+    insults, taught = int(np.count_nonzero(code & INSULT)), int(np.count_nonzero(code & TAUGHT))
+    near = 0.0
+    if insults or taught:
+        hits, yours = np.flatnonzero(code & (INSULT | TAUGHT)), np.flatnonzero(code & SECOND)
+        if len(yours):
+            before = np.searchsorted(yours, hits - NEAR)
+            near = float(np.mean((before < len(yours)) & (yours[np.minimum(before, len(yours) - 1)] <= hits + NEAR)))
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _kinds()[points]
+    count = lambda k: int(np.count_nonzero(kind & k))
+    letters = count(LETTER)
+    same = (points[1:] == points[:-1]) & ((kind[1:] & LETTER) > 0)
+    third = same[1:] & same[:-1]
+    stretched = int(np.count_nonzero(third[1:] & ~third[:-1])) + int(third[:1].sum())
+    upper = count(UPPER)
+    shouted = sum(w.isupper() for w in _SHOUTED.findall(text)) if upper > 1 else 0
+    of = lambda x, m: x / m if m else 0.0
+    return (
+        of(insults, n), float(min(insults, 10)), of(taught, n), float(min(taught, 10)), near, of(upper, letters), of(shouted, n), of(count(MARK), len(points)),
+        of(count(SYMBOL), len(points)), of(len(_DIGITS_INSIDE.findall(text)), n), of(len(_SYMBOLS_INSIDE.findall(text)), n), of(stretched, n), float(np.log1p(n)),
+    )
 
 
 def features(docs: DataFrame, learned: list[str], text: str = "text") -> DataFrame:
     """``docs`` with the columns ``FEATURES`` in place of ``text``."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_t", t).withColumn("_w", _words(t))
-    whole = [w for w in learned if w[0] == "="]
-    stems = {k: [w[1:] for w in learned if w[0] == "<" and len(w) == k + 1] for k in STEMS}
-    tests = [lambda w: w.isin(*[x[1:] for x in whole])] * bool(whole) + [lambda w, k=k: F.substring(w, 1, k).isin(*stems[k]) for k in STEMS if stems[k]]
-    taught = lambda w: reduce(lambda a, b: a | b, [t(w) for t in tests], F.lit(False))
-    hit = lambda w: w.isin(*INSULTS) | taught(w)
-    # places of hits and of second-person words; only documents with both are compared
-    places = lambda test: F.filter(F.transform("_w", lambda w, i: F.when(test(w), i)), lambda i: i.isNotNull())
-    out = out.withColumn("_h", places(hit)).withColumn("_y", F.when(F.size("_h") > 0, places(lambda w: w.isin(*SECOND_PERSON))).otherwise(F.array().cast("array<int>")))
-    words, chars = F.size("_w"), F.length("_t")
-    count = lambda p: F.regexp_count("_t", F.lit(p))
-    insults = F.size(F.filter("_w", lambda w: w.isin(*INSULTS)))
-    known = F.size(F.filter("_w", taught)) if learned else F.lit(0)
-    near = F.size(F.filter("_h", lambda h: F.exists("_y", lambda y: F.abs(y - h) <= NEAR)))
-    letters = F.length(F.regexp_replace("_t", r"[^\p{L}]+", ""))
-    values = {
-        "insults": _share(insults, words), "insult_docs": F.least(insults, F.lit(10)), "learned": _share(known, words), "learned_any": F.least(known, F.lit(10)),
-        "near_you": _share(near, F.size("_h")), "capitals": _share(count(r"\p{Lu}"), letters), "shouted": _share(count(r"\b\p{Lu}{2,}\b"), words), "punctuation": _share(count(r"[!?]"), chars),
-        "symbols": _share(count(r"[$%&*#@]"), chars), "digits_inside": _share(count(r"\p{L}\d+\p{L}"), words), "symbols_inside": _share(count(r"\p{L}[$@*!_.\-]+\p{L}"), words),
-        "stretched": _share(count(r"(\p{L})\1{2,}"), words), "log_words": F.log1p(words),
-    }
+    codes = _Codes(learned)
+
+    def measure(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([text_features(t if isinstance(t, str) else "", codes) for t in texts], columns=list(FEATURES), dtype="float64")
+
     kept = [c for c in docs.columns if c != text and c not in FEATURES]
-    return out.select(*kept, *[values[f].cast("double").alias(f) for f in FEATURES])
+    got = F.pandas_udf(measure, ", ".join(f"{f} double" for f in FEATURES))(F.col(text))
+    return docs.select(*kept, got.alias("_f")).select(*kept, *[F.col("_f")[f].alias(f) for f in FEATURES])
+
+
+def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(term, t, n, kt, kc): toxic and all documents with a term, and its places in toxic and other documents, summed by batch."""
+    for rows in batches:
+        sums: dict[str, list[int]] = {}
+        total = [0, 0, 0, 0]
+        for text, toxic in zip(rows["text"], rows["toxic"], strict=True):
+            words = _WORD.findall((text or "").lower())
+            seen = Counter(chain.from_iterable(["=" + w, *["<" + w[:k] for k in STEMS if len(w) >= k]] for w in words))
+            for term, k in seen.items():
+                row = sums.setdefault(term, [0, 0, 0, 0])
+                row[0] += toxic
+                row[1] += 1
+                row[2 if toxic else 3] += k
+            total = [total[0] + toxic, total[1] + 1, total[2] + len(words) * toxic, total[3] + len(words) * (1 - toxic)]
+        sums[""] = total
+        yield pd.DataFrame([(term, *row) for term, row in sums.items()], columns=["term", "t", "n", "kt", "kc"])
 
 
 def learn_words(sample: DataFrame) -> list[str]:
     """Words (``=word``) and stems (``<stem``) that mark toxic documents, the most frequent first; at most ``LEARNED``."""
-    rows = sample.select("toxic", _words(F.coalesce("text", F.lit(""))).alias("w"))
-    toxic = F.col("toxic") == 1
-    n = rows.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"), F.sum(F.when(toxic, F.size("w"))).alias("wt"), F.sum(F.when(~toxic, F.size("w"))).alias("wc")).first()
-    if not n["t"] or n["t"] == n["n"] or not n["wt"] or not n["wc"]:
+    counts = sample.select("text", "toxic").mapInPandas(_term_counts, "term string, t long, n long, kt long, kc long")
+    counts = materialize(counts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("t", "n", "kt", "kc")]), "terms")
+    whole = counts.where("term = ''").first()
+    if whole is None or not whole["t"] or whole["t"] == whole["n"] or not whole["kt"] or not whole["kc"]:
         return []
-    terms = lambda w: F.array(F.concat(F.lit("="), w), *[F.when(F.length(w) >= k, F.concat(F.lit("<"), F.substring(w, 1, k))) for k in STEMS])
-    places = rows.select("toxic", F.monotonically_increasing_id().alias("row"), F.explode(F.flatten(F.transform("w", terms))).alias("term")).where("term is not null")
-    each = places.groupBy("row", "toxic", "term").agg(F.count(F.lit(1)).alias("k"))
-    found = each.groupBy("term").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"), F.sum(F.when(toxic, F.col("k")).otherwise(0)).alias("kt"), F.sum(F.when(toxic, 0).otherwise(F.col("k"))).alias("kc"))
-    likely = F.col("n") * (n["t"] / n["n"])
-    ratio = ((F.col("kt") + 0.5) / n["wt"]) / ((F.col("kc") + 0.5) / n["wc"])
-    marks = found.where((F.col("t") >= LEAST_DOCS) & ((F.col("t") - likely) / F.sqrt(likely) >= LEAST_Z) & (ratio >= LEAST_RATIO))
+    likely = F.col("n") * (whole["t"] / whole["n"])
+    ratio = ((F.col("kt") + 0.5) / whole["kt"]) / ((F.col("kc") + 0.5) / whole["kc"])
+    marks = counts.where((F.col("term") != "") & (F.col("t") >= LEAST_DOCS) & ((F.col("t") - likely) / F.sqrt(likely) >= LEAST_Z) & (ratio >= LEAST_RATIO))
     return [r["term"] for r in marks.orderBy(F.desc("t"), F.length("term"), "term").limit(LEARNED).select("term").collect()]
 
 
