@@ -28,7 +28,7 @@ def op2_token_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = token_ledger.TokenLedger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
     ledger.commit("1-insert", rows)
     keys = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
-    first = keys.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"))
+    first = materialize(keys.groupBy("t1", "t2").agg(F.min("doc_id").alias("first")), "first")
     copies = keys.join(first, ["t1", "t2"]).where("doc_id <> first").select("doc_id")
     gone = rows.join(copies, "doc_id", "left_semi").withColumn("op", F.lit("delete"))
     ledger.commit("2-copies", gone)
