@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from taxloom.llm.common import materialize, small
+
 DOCS_PER_LANG = 500
 #: Words of a training stretch and stretches of a document.
 STRETCH, STRETCHES = 48, 3
@@ -201,7 +203,9 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Crf:
 def sample(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> DataFrame:
     """(text, lang) of at most ``per_lang`` documents of each language, by a hash of the id."""
     rows = docs.where("text is not null and lang is not null")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    # broadcast, so that rows are thinned out where they are read and only the sample is shuffled
+    counts = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "languages")
+    counts = small(counts, counts.count())
     order = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("crf")), F.lit(1 << 40))
     share = F.least(F.lit(1.0), F.lit(2.0 * per_lang) / F.col("_n"))
     some = rows.select("doc_id", "text", "lang").join(counts, "lang").withColumn("_o", order).where(F.col("_o") < share * (1 << 40))
