@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,7 +34,7 @@ DOCS_PER_LANG = 500
 STRETCH, STRETCHES = 48, 3
 ROUNDS, RATE, SHRINK = 40, 0.3, 1e-4
 SLOTS = 1 << 17
-CELLS = 1 << 19
+CELLS = 1 << 18
 CACHED_WORDS = 300_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -112,12 +112,12 @@ class Crf:
                     got[i] = k
         return got
 
-    def marginals(self, texts: list[list[str]]) -> Iterator[tuple[int, np.ndarray]]:
-        """(text, (word, label) marginals) for each text with words."""
+    def marginals(self, texts: Iterable[list[str]]) -> Iterator[tuple[int, np.ndarray]]:
+        """(text, (word, label) marginals) for each text with words.  Words become numbers text by text, so a batch's words aren't held."""
         if len(self._index) > CACHED_WORDS:
             self._index.clear()
-        places = [np.array(self.ids(w), np.int64) for w in texts]
-        order = sorted((i for i in range(len(texts)) if len(places[i])), key=lambda i: -len(places[i]))
+        places = [np.array(self.ids(w), np.int32) for w in texts]
+        order = sorted((i for i in range(len(places)) if len(places[i])), key=lambda i: -len(places[i]))
         at = 0
         while at < len(order):
             longest = len(places[order[at]])
@@ -131,10 +131,10 @@ class Crf:
             for j, i in enumerate(group):
                 yield i, m[: lengths[j], j]
 
-    def predict(self, texts: list[list[str]]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if self.langs:
-            for i, m in self.marginals(texts):
+            for i, m in self.marginals(map(tokens, texts)):
                 mean = m.mean(axis=0, dtype=np.float64)
                 best = int(mean.argmax())
                 langs[i], scores[i] = self.langs[best], float(min(1.0, mean[best]))
@@ -222,7 +222,7 @@ def predict(docs: DataFrame, model: Crf, text: str = "text", lang: str = "lang_p
     """``docs`` with the predicted language and its score in columns of those names."""
 
     def guess(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip(("lang", "score"), model.predict([tokens(t) for t in texts]), strict=True)))
+        return pd.DataFrame(dict(zip(("lang", "score"), model.predict(texts.tolist()), strict=True)))
 
     got = F.pandas_udf(guess, "lang string, score double")(F.col(text))
     kept = [c for c in docs.columns if c not in (lang, score, "_crf")]
