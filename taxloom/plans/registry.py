@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from taxloom.plans import analytics, dialect
+from taxloom.sources.adapters import VIEWS
+
+
+def _sql_query(template: dialect.Template, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialect.run(spark, sf_dir, template, VIEWS)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: partial(_sql_query, template) for name, template in analytics.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: dialect.render(template, VIEWS, dialect.DUCKDB) for name, template in analytics.QUERIES.items()}
