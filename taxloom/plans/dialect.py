@@ -53,7 +53,7 @@ class Dialect:
 
     def slot(self, ts: str, seconds: int) -> str:
         """The start, in epoch seconds, of the tumbling slot of a timestamp."""
-        epoch = f"unix_seconds(cast({ts} AS timestamp))" if self.spark else f"cast(epoch({ts}) AS bigint)"
+        epoch = f"unix_seconds(cast({ts} AS timestamp))" if self.spark else f"cast(floor(epoch({ts})) AS bigint)"
         return f"({epoch} - {epoch} % {seconds})"
 
 
