@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def osa(a: str, b: str) -> int:
@@ -68,7 +69,7 @@ def _udf(f):
             out.append(seen[k])
         return pd.Series(out, dtype="float64")
 
-    return F.pandas_udf(pairs, "double")
+    return F.pandas_udf(pairs, DoubleType())
 
 
 osa_distance = _udf(lambda a, b: osa(a or "", b or ""))

@@ -100,8 +100,8 @@ QUERIES: dict[str, Template] = {
       row_number() OVER (ORDER BY created_on DESC) AS k FROM invoices GROUP BY created_on) x WHERE k <= 30""",
     "agg_rate": f"SELECT gst_rate, count(DISTINCT l.invoice_id) AS invoices, {money('taxable_value')} AS taxable, {money('coalesce(cgst, 0) + coalesce(sgst, 0) + coalesce(igst, 0)')} AS gst FROM invoice_lines l JOIN invoices i ON l.invoice_id = i.invoice_id WHERE i.status IN ('APPROVED', 'AUTO_APPROVED') GROUP BY gst_rate",
     "agg_hsn": f"SELECT hsn_sac, count(*) AS lines, {money('taxable_value')} AS taxable, round(avg(cast(gst_rate AS double)), 6) AS avg_rate FROM invoice_lines GROUP BY hsn_sac ORDER BY taxable DESC NULLS LAST, hsn_sac LIMIT 20",
-    "agg_vendor_spend": f"SELECT v.vendor_id, v.vendor_name, count(*) AS invoices, {money('grand_total')} AS spend, round(cast({money('grand_total')} AS double) / nullif(count(grand_total), 0), 2) AS avg_value FROM vendors v JOIN invoices i ON v.vendor_id = i.vendor_id GROUP BY v.vendor_id, v.vendor_name ORDER BY spend DESC NULLS LAST, v.vendor_id LIMIT 20",
-    "agg_vendor_spend_fanout": f"SELECT v.vendor_id, count(i.invoice_id) AS invoices, {money('i.grand_total')} AS spend, round(cast({money('i.grand_total')} AS double) / nullif(count(i.grand_total), 0), 2) AS avg_value, count(CASE WHEN f.severity = 'ERROR' THEN 1 END) AS errors FROM vendors v LEFT JOIN invoices i ON v.vendor_id = i.vendor_id LEFT JOIN findings f ON i.invoice_id = f.invoice_id GROUP BY v.vendor_id",
+    "agg_vendor_spend": f"SELECT v.vendor_id, v.vendor_name, count(*) AS invoices, {money('grand_total')} AS spend, round(cast({money('grand_total')} AS double) / nullif(count(grand_total), 0), 9) AS avg_value FROM vendors v JOIN invoices i ON v.vendor_id = i.vendor_id GROUP BY v.vendor_id, v.vendor_name ORDER BY spend DESC NULLS LAST, v.vendor_id LIMIT 20",
+    "agg_vendor_spend_fanout": f"SELECT v.vendor_id, count(i.invoice_id) AS invoices, {money('i.grand_total')} AS spend, round(cast({money('i.grand_total')} AS double) / nullif(count(i.grand_total), 0), 9) AS avg_value, count(CASE WHEN f.severity = 'ERROR' THEN 1 END) AS errors FROM vendors v LEFT JOIN invoices i ON v.vendor_id = i.vendor_id LEFT JOIN findings f ON i.invoice_id = f.invoice_id GROUP BY v.vendor_id",
     "agg_findings": "SELECT code, category, severity, count(*) AS n, count(DISTINCT invoice_id) AS invoices FROM findings GROUP BY code, category, severity ORDER BY n DESC, code LIMIT 20",
     "agg_recon": f"SELECT match, count(*) AS n, {money('coalesce(taxable_value, 0)')} AS taxable FROM ({SIMPLE_MATCH}) m GROUP BY match",
     "agg_dup_findings": "SELECT invoice_id, invoice_number, created_on FROM invoices WHERE possible_duplicate ORDER BY created_on DESC, invoice_id LIMIT 50",
