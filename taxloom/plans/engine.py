@@ -12,7 +12,6 @@ from taxloom.functions import similarity
 from taxloom.operators import anomaly, duplicates, forecast, matching, purchase_orders, tax
 from taxloom.operators.work import shared_folder, written
 from taxloom.plans import dialect
-from taxloom.plans.analytics import MONTH
 from taxloom.sources import files
 from taxloom.sources.adapters import VIEWS, close, normal_number
 from taxloom.streaming import jobs
@@ -151,8 +150,10 @@ def ts_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast.select_model(_series(spark, sf_dir), "series")
 
 
-SERIES_SQL = f"""SELECT c_mktsegment AS series, {MONTH} AS month, cast(cast(sum(grand_total) AS decimal(18,2)) AS double) AS v FROM live JOIN customer ON vendor_id = c_custkey WHERE invoice_date IS NOT NULL GROUP BY 1, 2"""
-LAST_SQL = f"WITH s AS ({SERIES_SQL}), k AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY month DESC) AS k FROM s)"
+#: Series with their gaps filled, for DuckDB.
+SERIES = """raw AS (SELECT c_mktsegment AS series, date_trunc('month', invoice_date) AS m, cast(cast(sum(grand_total) AS decimal(18,2)) AS double) AS v FROM live JOIN customer ON vendor_id = c_custkey WHERE invoice_date IS NOT NULL GROUP BY 1, 2),
+  spine AS (SELECT series, unnest(generate_series(min(m), max(m), INTERVAL 1 MONTH)) AS m FROM raw GROUP BY series), s AS (SELECT spine.series, spine.m AS month, coalesce(v, 0) AS v FROM spine LEFT JOIN raw ON spine.series = raw.series AND spine.m = raw.m)"""
+LAST_SQL = f"WITH {SERIES}, k AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY month DESC) AS k FROM s)"
 
 
 def tax_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +225,7 @@ ORACLES: dict[str, dialect.Template] = {
     "ts_naive": f"{LAST_SQL} SELECT series, cast(step AS int) AS step, round(v, 2) AS value FROM k, (VALUES (1), (2), (3)) AS t(step) WHERE k = 1",
     "ts_seasonal": f"{LAST_SQL} SELECT series, cast(13 - k AS int) AS step, round(v, 2) AS value FROM k WHERE k BETWEEN 10 AND 12",
     "ts_ma3": f"{LAST_SQL} SELECT series, cast(step AS int) AS step, round(avg(v), 2) AS value FROM k, (VALUES (1), (2), (3)) AS t(step) WHERE k <= 3 GROUP BY 1, 2",
-    "ts_trend": f"WITH s AS ({SERIES_SQL}), x AS (SELECT series, v, row_number() OVER (PARTITION BY series ORDER BY month) - 1 AS x FROM s), r AS (SELECT series, regr_slope(v, x) AS b, regr_intercept(v, x) AS a, count(*) AS n FROM x GROUP BY 1) SELECT series, cast(step AS int) AS step, round(greatest(0, a + b * (n + step - 1)), 2) AS value FROM r, (VALUES (1), (2), (3)) AS t(step)",
+    "ts_trend": f"WITH {SERIES}, x AS (SELECT series, v, row_number() OVER (PARTITION BY series ORDER BY month) - 1 AS x FROM s), r AS (SELECT series, regr_slope(v, x) AS b, regr_intercept(v, x) AS a, count(*) AS n FROM x GROUP BY 1) SELECT series, cast(step AS int) AS step, round(greatest(0, a + b * (n + step - 1)), 2) AS value FROM r, (VALUES (1), (2), (3)) AS t(step)",
     "src_2b_json": SRC_SQL,
     "snk_replace_partition": "SELECT record_id, return_period, CASE WHEN return_period = '2001-02' THEN 0 ELSE total_tax END AS total_tax FROM records WHERE return_period >= '2001-01'",
     "snk_idempotent": "SELECT event_id, user_id, event_type FROM events WHERE event_type = 'purchase'",
