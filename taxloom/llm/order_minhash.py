@@ -10,12 +10,11 @@ Jaccard coefficient in order, at least 0.8.
 
 Work: exact copies (equal normal texts) collapse to their smallest id first, by a pre-aggregated minimum.  In a bucket of a
 sketch every member is paired with the bucket's smallest id, one pair a member and never all pairs; verified pairs are
-joined into components.  A bucket whose members are then in several components is gone through again, one representative
-per component against its neighbours in order of id and in an order of the bucket's own; after that, buckets in which components
-were joined are gone through again until no new pair comes up.  Two
-texts meet if one of their 40 sketches brings them together so, or through others of their class; nothing is capped or dropped,
-and groups of copies, however large, take one pair a member.  Hot buckets meet their smallest id through a join that
-adaptive execution splits.  Word arrays are only moved for documents with candidates.
+joined into components.  Members of buckets that then hold several components are compared exactly: a prefix, length and position
+filter on their rarest k-mers brings together every pair of different components that can reach the threshold, whether or not they are
+their components' smallest ids.  So all texts that share one of their 40 sketches with another and reach the threshold are linked;
+nothing is capped or dropped.  Hot buckets meet their smallest id through a join that adaptive execution splits.  Word
+arrays are only moved for documents with candidates.
 
 Short texts: with at most ``SHORT`` k-mers a document is also sketched with ``TAKE_SHORT``; documents of at least 0.8
 x ``SHORT`` k-mers also with ``TAKE``, so any pair within the threshold has a common kind of sketch.
@@ -27,11 +26,12 @@ left out; an empty table gives no rows; columns other than id and text are ignor
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxloom.llm.common import materialize, normal_text, words_of
@@ -73,6 +73,8 @@ _ODD = _RNG.integers(0, 2**63, SKETCHES, np.uint64) * np.uint64(2) + np.uint64(1
 _ADD = _RNG.integers(0, 2**63, SKETCHES, np.uint64)
 #: Permuted k-mers that are held at once while sketching.
 CELLS = 1 << 20
+#: Texts of which k-mers are counted, k-mers held as frequent, and first k-mers in one batch; they bound memory and leave the pairs alone.
+HOT_SAMPLE, HOT_KMERS, PREFIX_ROWS = 4_000, 200_000, 200_000
 
 
 def sketches(kmers: np.ndarray, take: int) -> np.ndarray:
@@ -170,6 +172,82 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
+def _prefixes(hot: np.ndarray, seen: np.ndarray, least: float):
+    """Rows (k, doc_id, n, at, lead) of each document's first k-mers, those not in ``hot`` (sorted) before those that are, by
+    how often they were ``seen``; ``lead`` are those by which it is found as the shorter text."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out, held = [], 0
+            for doc, w in zip(rows["doc_id"], rows["w"], strict=True):
+                with np.errstate(over="ignore"):
+                    k = labelled_kmers(np.asarray(w))
+                n = len(k)
+                at = np.minimum(np.searchsorted(hot, k), max(len(hot) - 1, 0))
+                often = np.where(hot[at] == k, seen[at], 0) if len(hot) else np.zeros(n, np.int64)
+                first = n - math.ceil(least * n - 1e-9) + 1
+                lead = n - math.ceil(2 * least / (1 + least) * n - 1e-9) + 1
+                k = k[np.lexsort((k, often))[:first]]
+                out.append(pd.DataFrame({"k": k.view(np.int64), "doc_id": doc, "n": n, "at": np.arange(len(k)), "lead": np.arange(len(k)) < lead}))
+                held += len(k)
+                if held >= PREFIX_ROWS:
+                    yield pd.concat(out)
+                    out, held = [], 0
+            if out:
+                yield pd.concat(out)
+
+    return cut
+
+
+def _kmers(w: pd.Series) -> pd.Series:
+    with np.errstate(over="ignore"):
+        return pd.Series([labelled_kmers(np.asarray(x)).view(np.int64) for x in w])
+
+
+def prefixes(docs: DataFrame, least: float) -> DataFrame:
+    """(k, doc_id, n, at, lead): the first k-mers of ``docs`` (doc_id, w) in one order of all k-mers.
+
+    Two texts that reach ``least`` share one of the shorter text's leading and one of the longer text's first k-mers, and behind the
+    first that they share enough are left.  The order puts k-mers that a sample shows to be in many texts last, so a passage of many
+    texts only brings together those that are little else; the sample decides the work and never the pairs.
+    """
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * min(1.0, HOT_SAMPLE / max(docs.count(), 1)))
+    often = some.select(F.explode(F.pandas_udf(_kmers, "array<long>")("w")).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    hot = often.orderBy(F.desc("n"), "k").limit(HOT_KMERS).toPandas()
+    keys = hot["k"].to_numpy(np.int64).view(np.uint64)
+    by = np.argsort(keys)
+    cut = _prefixes(keys[by], hot["n"].to_numpy(np.int64)[by], least)
+    return materialize(docs.select("doc_id", "w").mapInPandas(cut, "k long, doc_id long, n int, at int, lead boolean"), "prefixes")
+
+
+def _can_reach(least: float) -> Column:
+    """Whether x, with nx k-mers and the shared one at place ix, can reach ``least`` with y, which isn't shorter."""
+    shorter = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    left = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
+    return shorter & (F.col("nx") >= least * F.col("ny") - 1e-9) & (left >= least / (1 + least) * (F.col("nx") + F.col("ny")) - 1e-9)
+
+
+def apart(found: DataFrame, roots: DataFrame, least: float, hubs: bool) -> DataFrame:
+    """(a, b): pairs of different components that can reach ``least`` by the ``prefixes`` ``found``: with ``hubs`` each text and
+    the shortest text of a k-mer, one pair a row; else every pair, found by the components of a k-mer and then their members."""
+    labels = roots.select(F.col("id").alias("doc_id"), F.col("root").alias("c"))
+    rows = found.join(labels, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+    parted = rows.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
+    rows = materialize(rows.join(parted, "k", "left_semi"), "parted")
+    x = rows.where("lead").select("k", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ix"))
+    y = rows.select("k", F.col("doc_id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("at").alias("iy"))
+    if hubs:
+        least_x = materialize(x.groupBy("k").agg(F.min(F.struct("nx", "x", "ix", "cx")).alias("h")).select("k", "h.*"), "hubs")
+        met = y.join(least_x, "k").where((F.col("cx") != F.col("cy")) & _can_reach(least))
+    else:
+        # bounds that hold for all of a component's members come first, so members of one component never meet
+        parts = materialize(y.groupBy("k", "cy").agg(F.max("ny").alias("most"), F.min("ny").alias("fewest"), F.max(F.col("ny") - F.col("iy")).alias("left")), "parts")
+        may = (F.col("cx") != F.col("cy")) & (F.col("most") >= F.col("nx")) & (F.col("nx") >= least * F.col("fewest") - 1e-9)
+        may &= F.least(F.col("nx") - F.col("ix"), F.col("left")) >= 2 * least / (1 + least) * F.col("nx") - 1e-9
+        met = x.join(parts, "k").where(may).select("k", "x", "nx", "ix", "cy").join(y, ["k", "cy"]).where(_can_reach(least))
+    return materialize(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, n_links): each document's class, the smallest id in it, and its verified links to other texts (of its text,
     if it has copies)."""
@@ -202,45 +280,25 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     edges = verified(pairs)
     roots = components(edges)
-    tried = pairs
 
-    def apart(members: DataFrame) -> DataFrame:
-        """(bucket, head, n1, n2): one representative of each component of a bucket and its neighbours, from (bucket, doc_id, c).  A
-        bucket of one component is done."""
-        row = Window.partitionBy("bucket")
-        heads = members.groupBy("bucket", "c").agg(F.min("doc_id").alias("head"))
-        heads = heads.withColumn("n1", F.lead("head").over(row.orderBy("head"))).withColumn("p1", F.lag("head").over(row.orderBy("head")))
-        heads = heads.withColumn("n2", F.lead("head").over(row.orderBy(F.xxhash64("bucket", "head"), "head")))
-        return materialize(heads.where("n1 is not null or p1 is not null").select("bucket", "head", "n1", "n2"), "heads")
-
-    def labelled(members: DataFrame) -> DataFrame:
-        labels = roots.select(F.col("id").alias("doc_id"), F.col("root").alias("c"))
-        return members.join(labels, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-
-    heads = apart(labelled(held).select("doc_id", "c", F.explode("buckets").alias("bucket")))
-    open_buckets = heads.select("bucket", F.col("head").alias("doc_id"))
-    while True:
-        again = heads.select("head", F.explode(F.array("n1", "n2")).alias("n")).where("n is not null")
-        again = again.select(F.least("head", "n").alias("a"), F.greatest("head", "n").alias("b")).distinct()
-        again = materialize(again.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if again.isEmpty():
-            break
-        more = verified(again)
-        tried = tried.union(again)
-        if more.isEmpty():
-            break
+    # what may still be linked: members of buckets in which several components are left
+    labels = roots.select(F.col("id").alias("doc_id"), F.col("root").alias("c"))
+    labelled = materialize(held.join(labels, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id")), "labelled")
+    parted = labelled.select("c", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
+    open_docs = labelled.select("doc_id", F.explode("buckets").alias("bucket")).join(parted, "bucket", "left_semi").select("doc_id").distinct()
+    found = prefixes(materialize(open_docs.join(texts, "doc_id"), "open"), similarity)
+    # groups of copies that the buckets' smallest ids have left apart are joined by one pair a row, and then every pair that is left is tried
+    tried = pairs
+    for hubs in (True, False):
+        rest = materialize(apart(found, roots, similarity, hubs).join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.union(rest)
+        more = verified(rest)
         edges = edges.union(more)
         # only what links two components is new
         named = more.join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", "left")
         joined = components(named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-        merged = joined.where("id <> root").select(F.col("id").alias("_was"))
-        moved = roots.join(merged, roots["root"] == merged["_was"], "left_semi").select(F.col("id").alias("doc_id")).union(merged).distinct()
-        moved = materialize(moved, "moved")
         whole = _followed(roots, joined).select("id", "root")
         roots = materialize(whole.union(joined.join(roots.select("id"), "id", "left_anti").select("id", "root")), "roots")
-        # only a bucket in which a component was joined to another has new neighbours
-        changed = open_buckets.join(moved, "doc_id", "left_semi").select("bucket").distinct()
-        heads = apart(labelled(open_buckets.join(changed, "bucket", "left_semi")))
 
     links = edges.select(F.col("a").alias("rep")).union(edges.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
     out = members.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").join(links, "rep", "left")

@@ -79,6 +79,22 @@ def test_near_duplicate_groups_against_brute_force(spark):
     assert {r.doc_id: r.class_id for r in got} == {i: find(i) for i in range(60)}
 
 
+def test_near_duplicates_in_hot_buckets(spark):
+    """A passage that is 87% of many unlike documents, and pairs of them with a little more in common."""
+    passage = [f"p{i}" for i in range(104)]
+    texts = []
+    for i in range(600):
+        same = [f"s{i}x{j}" for j in range(7)] if i < 40 else []
+        for half in "ab":
+            texts.append(" ".join(passage + [f"o{i}{half}{j}" for j in range(15 - len(same))] + same))
+    order = np.random.default_rng(3).permutation(1200)
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(115)} for t in texts]
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    assert [like(2 * i, 2 * i + 1) for i in range(600)] == [i < 40 for i in range(600)] and not any(like(a, b) for a in (0, 999) for b in range(1200) if b // 2 != a // 2)
+    got = order_minhash.near_duplicates(spark.createDataFrame([(int(order[i]), t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert sum(r.class_id != r.doc_id for r in got.collect()) == 40
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r.id: r.root for r in order_minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
