@@ -188,6 +188,27 @@ def test_decontamination(spark, odd):
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == decontaminate.decontaminate(docs, bench.limit(0)).count() == 0
 
 
+def test_edited_passages_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    items = [[f"v{x}" for x in rng.integers(0, 10**6, 30)] for _ in range(40)]
+    texts = []
+    for i in range(400):
+        w = list(items[i % 40])
+        w[int(rng.integers(1, 4))] = f"e{i}"
+        texts.append(w)
+
+    def cosine(a, b):
+        va, vb = ({tuple(w[j : j + 5]): sum(map(len, w[j : j + 5])) for j in range(26)} for w in (a, b))
+        norm = lambda v: sum(x * x for x in v.values()) ** 0.5
+        return sum(x * vb.get(k, 0) for k, x in va.items()) / norm(va) / norm(vb)
+
+    want = {(i, i % 40) for i, w in enumerate(texts) if cosine(w, items[i % 40]) >= 0.8}
+    docs = spark.createDataFrame([(i, "zz yy " + " ".join(w) + " xx") for i, w in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert len(want) > 300 and got == want
+
+
 def test_blocks_meet_within_the_radius(spark):
     rng = np.random.default_rng(4)
     rows = []
