@@ -47,3 +47,9 @@ def score(found: DataFrame) -> DataFrame:
     value = F.when(file, 1.0).when(same, 0.99).otherwise(F.round(guarded, 4))
     tier = F.when(file | same, "exact").when(guarded >= LIKELY, "likely").when(guarded >= POSSIBLE, "possible")
     return rows.select(F.col("a.invoice_id").alias("invoice_a"), F.col("b.invoice_id").alias("invoice_b"), value.alias("score"), tier.alias("tier"))
+
+
+def unknown(scored: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of ``scored`` that reach a tier and aren't in ``known`` (invoice_a, invoice_b), whichever of a pair comes first there."""
+    old = known.select(F.least("invoice_a", "invoice_b").alias("invoice_a"), F.greatest("invoice_a", "invoice_b").alias("invoice_b"))
+    return scored.where("tier is not null").join(old, ["invoice_a", "invoice_b"], "left_anti")

@@ -72,9 +72,10 @@ def dup_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.score(duplicates.pairs(invoices_with_text(spark, sf_dir)))
 
 
-def dup_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs that reach a tier and are not known already; here those of even first ids are."""
-    return dup_score(spark, sf_dir).where("tier is not null and invoice_a % 2 = 1")
+def dup_scan(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
+    """The pairs that reach a tier and are not ``known`` (invoice_a, invoice_b) already; the tables hold no known ones."""
+    known = spark.createDataFrame([], "invoice_a long, invoice_b long") if known is None else known
+    return duplicates.unknown(dup_score(spark, sf_dir), known)
 
 
 PO_LINES = """SELECT 'PO-' || cast(invoice_id AS string) AS po_number, line_no, description, hsn_sac, cast(quantity + CASE invoice_id % 7 WHEN 1 THEN 3 WHEN 2 THEN -1 ELSE 0 END AS decimal(14,3)) AS quantity,

@@ -73,6 +73,17 @@ def test_duplicate_tiers(spark):
     assert got[1, 2] == (0.5, None) and got[1, 3] == (0.99, "exact") and got[1, 4] == (1.0, "exact") and len(got) == 6
 
 
+def test_duplicate_scan_leaves_out_known_pairs_only(spark, data, monkeypatch):
+    from taxloom.plans import engine
+
+    scored = spark.createDataFrame([(1, 2, 1.0, "exact"), (2, 3, 0.9, "likely"), (4, 9, 0.8, "possible"), (5, 6, 0.1, None)], "invoice_a long, invoice_b long, score double, tier string")
+    monkeypatch.setattr(engine, "dup_score", lambda *_: scored)
+    pairs = lambda df: {(r.invoice_a, r.invoice_b) for r in df.collect()}
+    assert pairs(engine.dup_scan(spark, data)) == {(1, 2), (2, 3), (4, 9)}
+    known = spark.createDataFrame([(3, 2), (4, 9), (None, 1)], "invoice_a long, invoice_b long")
+    assert pairs(engine.dup_scan(spark, data, known)) == {(1, 2)}
+
+
 def test_purchase_order_lines(spark):
     schema = "invoice_id long, line_no int, po_number string, description string, hsn_sac string, quantity decimal(14,3), unit_price decimal(14,2)"
     q = lambda i, po, n, p=100: (i, 1, po, "steel rods", "7214", Decimal(n), Decimal(p))
