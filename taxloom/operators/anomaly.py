@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FEATURES = ("log_amount", "tax_ratio", "prior_30d", "log_gap", "n_lines", "round_amount", "sunday", "bad_rate")
+FEATURES = ("log_amount", "tax_ratio", "prior_30d", "log_gap", "n_lines", "round_amount", "sunday", "bad_rate", "odd_rates")
+#: GST rates in per cent; ``odd_rates`` is the share of lines at others.
+STANDARD = (0, 0.1, 0.25, 1, 1.5, 3, 5, 6, 7.5, 12, 18, 28, 40)
 
 
 def loo_median(df: DataFrame, keys: list[str], value: str, row: str, out: str) -> DataFrame:
@@ -40,8 +42,14 @@ def loo_robust_z(df: DataFrame, key: str, value: str, row: str) -> DataFrame:
     return with_median.join(spread, [key, "median", row]).join(counts, key).where("n >= 5").select(row, "median", F.when(F.col("mad") > 0, z).alias("z"))
 
 
+def odd_rates(lines: DataFrame) -> DataFrame:
+    """(invoice_id, odd_rates): the share of an invoice's lines with a rate whose rate isn't a standard one."""
+    rate = F.col("gst_rate").cast("double")
+    return lines.where("gst_rate is not null").groupBy("invoice_id").agg(F.avg((~rate.isin(*map(float, STANDARD))).cast("double")).alias("odd_rates"))
+
+
 def features(invoices: DataFrame) -> DataFrame:
-    """One row of ``FEATURES`` per invoice; only strictly earlier invoices of the vendor count.  Null is unknown."""
+    """``invoices`` carry their ``odd_rates``.  One row of ``FEATURES`` per invoice; only strictly earlier invoices of the vendor count.  Null is unknown."""
     order = Window.partitionBy("vendor_id").orderBy("on_day", "created_on", "invoice_id")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     days = Window.partitionBy("vendor_id").orderBy(F.datediff("on_day", F.lit("1970-01-01"))).rangeBetween(-30, 0)
@@ -55,6 +63,7 @@ def features(invoices: DataFrame) -> DataFrame:
         F.nullif(F.col("n_lines").cast("double"), F.lit(0.0)).alias("n_lines"), F.when((amount >= 10000) & (amount % 1000 == 0), 1.0).otherwise(0.0).alias("round_amount"),
         F.when(F.dayofweek("invoice_date") == 1, 1.0).otherwise(0.0).alias("sunday"),
         F.when(F.count(one).over(before) >= 5, F.avg((F.coalesce(F.col("gstr2b_status"), F.lit("")) == "MISSING_IN_2B").cast("double")).over(before)).alias("bad_rate"),
+        "odd_rates",
     )
 
 
@@ -78,7 +87,7 @@ def path_length(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def grow_forest(x: np.ndarray, trees: int = 100, take: int = 256, seed: int = 42) -> tuple[list[list[tuple]], int]:
+def grow_forest(x: np.ndarray, trees: int = 200, take: int = 256, seed: int = 42) -> tuple[list[list[tuple]], int]:
     """Random trees of (feature, cut, left, right, depth correction); leaves have feature -1."""
     rng = np.random.default_rng(seed)
     psi = min(take, len(x))

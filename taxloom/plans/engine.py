@@ -125,13 +125,17 @@ RULES_SQL = """SELECT DISTINCT invoice_id, 'unusual_gst_rate' AS kind, 60 AS sco
   UNION ALL SELECT invoice_id, 'round_amount', 25 FROM live WHERE grand_total >= 50000 AND grand_total % 10000 = 0"""
 
 
+def _with_rates(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    return view(spark, sf_dir, sql).join(anomaly.odd_rates(view(spark, sf_dir, "SELECT invoice_id, gst_rate FROM invoice_lines")), "invoice_id", "left")
+
+
 def ml_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = anomaly.features(view(spark, sf_dir, "SELECT * FROM live"))
+    rows = anomaly.features(_with_rates(spark, sf_dir, "SELECT * FROM live"))
     return rows.select("invoice_id", *[F.round(f, 6).alias(f) for f in anomaly.FEATURES])
 
 
 def ml_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anomaly.detect(written(view(spark, sf_dir, "SELECT invoice_id, vendor_id, invoice_date, created_on, grand_total, subtotal, total_tax, n_lines, gstr2b_status FROM live"), "live"))
+    return anomaly.detect(written(_with_rates(spark, sf_dir, "SELECT invoice_id, vendor_id, invoice_date, created_on, grand_total, subtotal, total_tax, n_lines, gstr2b_status FROM live"), "live"))
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,6 +141,15 @@ def test_leave_one_out(spark):
         assert got[i] == (float(np.median(others)) if others else None)
 
 
+def test_odd_rates_and_number_of_trees(spark, data):
+    from taxloom.plans import engine
+
+    lines = spark.createDataFrame([(1, Decimal("7.00")), (1, Decimal("18.00")), (1, None), (2, Decimal("0.25")), (3, None)], "invoice_id long, gst_rate decimal(5,2)")
+    assert {r.invoice_id: r.odd_rates for r in anomaly.odd_rates(lines).collect()} == {1: 0.5, 2: 0.0}
+    assert "odd_rates" in anomaly.FEATURES and len(anomaly.grow_forest(np.random.default_rng(1).normal(size=(20, 2)))[0]) == 200
+    assert engine.ml_features(spark, data).where("odd_rates > 0").count() > 0 and engine.ml_anomaly(spark, data).where("priority = 'high'").count() > 0
+
+
 def test_forest_finds_the_outlier(spark):
     x = np.random.default_rng(1).normal(size=(300, len(anomaly.FEATURES)))
     x[7] = 9.0
