@@ -38,6 +38,63 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder, wherever that is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Work:
+    """The tables that an operator writes on its way, in one folder of the shared folder; each is deleted as soon as it is spent."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self._held: list[tuple[DataFrame, str]] = []
+        self._n = 0
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        self._n += 1
+        path = f"{self.path}/{self._n}-{label}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self._held.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete ``tables``; nothing that is read later may come from them."""
+        for _, path in [x for x in self._held if any(x[0] is t for t in tables)]:
+            delete(self.spark, path)
+        self._held = [x for x in self._held if not any(x[0] is t for t in tables)]
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all but ``tables``."""
+        self.drop(*[t for t, _ in self._held if not any(t is k for k in tables)])
+
+
+#: Bits of the map that :func:`thinned` broadcasts, at most: 2^20 rows of two longs, 16 MB.
+MAP_BITS = 1 << 26
+
+
+def thinned(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` is in the column ``key`` of ``wanted`` (a written table), and by chance a few others; null keys go.
+
+    The wanted keys set bits in a map of bounded size, which is broadcast.  So the join that must follow moves little of ``rows``, whatever
+    its width.  When keys are too many for the map more rows pass, and none is lost."""
+    bits = min(MAP_BITS, 1 << max(10, (16 * wanted.count()).bit_length()))
+    place = F.pmod(F.xxhash64(F.lit(90210), F.col(key)), F.lit(bits))
+    slot, bit = F.shiftright("_place", 6).alias("_slot"), F.col("_place").bitwiseAND(F.lit(63).cast("long")).cast("int")
+    marks = wanted.select(place.alias("_place")).select(slot, F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit"))
+    marks = marks.groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
+    placed = rows.select("*", place.alias("_place")).select("*", slot)
+    return placed.join(F.broadcast(marks), "_slot").where(F.getbit("_bits", bit) == 1).select(*rows.columns)
+
+
+def dealt_out(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if it is read in fewer, as a small file is; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if its counted ``rows`` are within ``limit``, else as it is."""
     return F.broadcast(df) if rows <= limit else df

@@ -14,7 +14,8 @@ joined into components.  Members of buckets that then hold several components ar
 filter on their rarest k-mers brings together every pair of different components that can reach the threshold, whether or not they are
 their components' smallest ids.  So all texts that share one of their 40 sketches with another and reach the threshold are linked;
 nothing is capped or dropped.  Hot buckets meet their smallest id through a join that adaptive execution splits.  Word
-arrays are only moved for documents with candidates.
+arrays are only moved for documents with candidates: a bit map of bounded size thins the others out where they are read, as it does
+sketches that one text has alone.  Every table that is written on the way is deleted once it is spent.
 
 Short texts: with at most ``SHORT`` k-mers a document is also sketched with ``TAKE_SHORT``; documents of at least 0.8
 x ``SHORT`` k-mers also with ``TAKE``, so any pair within the threshold has a common kind of sketch.
@@ -34,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxloom.llm.common import materialize, normal_text, words_of
+from taxloom.llm.common import Work, dealt_out, normal_text, small, thinned, words_of
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -75,6 +76,8 @@ _ADD = _RNG.integers(0, 2**63, SKETCHES, np.uint64)
 CELLS = 1 << 20
 #: Texts of which k-mers are counted, k-mers held as frequent, and first k-mers in one batch; they bound memory and leave the pairs alone.
 HOT_SAMPLE, HOT_KMERS, PREFIX_ROWS = 4_000, 200_000, 200_000
+#: Linked texts whose classes are broadcast to their copies at most: 24 bytes each.
+CLASS_ROWS = 1_000_000
 
 
 def sketches(kmers: np.ndarray, take: int) -> np.ndarray:
@@ -148,27 +151,33 @@ def _followed(labels: DataFrame, further: DataFrame) -> DataFrame:
     return labels.join(up, labels["root"] == up["_up"], "left").select("id", F.col("root").alias("_old"), F.coalesce("_upper", "root").alias("root"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, root): the smallest id that each id of ``edges`` (a, b) is linked to, directly or not.
+def components(edges: DataFrame, work: Work | None = None) -> DataFrame:
+    """(id, root): the smallest id that each id of ``edges`` (a, b) is linked to, directly or not; a table of ``work``.
 
     Each id points to its smallest neighbour if that is smaller; pointers are followed to their ends, which takes the logarithm of the
     longest path, one row an id.  Edges are then moved to those ends and only those between different ends are kept, so each edge is
     read once in the first round and few are left for the next.  Minima are pre-aggregated: an id with many links isn't gathered.
     """
-    left = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    work = work or Work(edges.sparkSession, "components")
+    left = work.write(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
     roots = None
     while roots is None or not left.isEmpty():
         ends = left.select(F.col("b").alias("id"), F.col("a").alias("to")).union(left.select("a", "a"))
-        labels = materialize(ends.groupBy("id").agg(F.min("to").alias("root")), "labels")
+        labels = work.write(ends.groupBy("id").agg(F.min("to").alias("root")), "labels")
         while True:
-            jumped = materialize(_followed(labels, labels), "labels")
-            labels = jumped.select("id", "root")
+            jumped = work.write(_followed(labels.select("id", "root"), labels.select("id", "root")), "labels")
+            work.drop(labels)
+            labels = jumped
             if jumped.where("root <> _old").isEmpty():
                 break
-        roots = labels if roots is None else materialize(_followed(roots, labels).select("id", "root"), "roots")
+        before, named = roots, labels.select("id", "root")
+        roots = work.write(named if roots is None else _followed(roots, named).select("id", "root"), "roots")
         ra, rb = labels.select(F.col("id").alias("a"), F.col("root").alias("ra")), labels.select(F.col("id").alias("b"), F.col("root").alias("rb"))
         moved = left.join(ra, "a").join(rb, "b").where("ra <> rb")
-        left = materialize(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
+        less = work.write(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
+        work.drop(left, labels, *([] if before is None else [before]))
+        left = less
+    work.drop(left)
     return roots
 
 
@@ -204,7 +213,7 @@ def _kmers(w: pd.Series) -> pd.Series:
         return pd.Series([labelled_kmers(np.asarray(x)).view(np.int64) for x in w])
 
 
-def prefixes(docs: DataFrame, least: float) -> DataFrame:
+def prefixes(docs: DataFrame, least: float, work: Work) -> DataFrame:
     """(k, doc_id, n, at, lead): the first k-mers of ``docs`` (doc_id, w) in one order of all k-mers.
 
     Two texts that reach ``least`` share one of the shorter text's leading and one of the longer text's first k-mers, and behind the
@@ -217,7 +226,7 @@ def prefixes(docs: DataFrame, least: float) -> DataFrame:
     keys = hot["k"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(keys)
     cut = _prefixes(keys[by], hot["n"].to_numpy(np.int64)[by], least)
-    return materialize(docs.select("doc_id", "w").mapInPandas(cut, "k long, doc_id long, n int, at int, lead boolean"), "prefixes")
+    return work.write(docs.select("doc_id", "w").mapInPandas(cut, "k long, doc_id long, n int, at int, lead boolean"), "prefixes")
 
 
 def _can_reach(least: float) -> Column:
@@ -227,79 +236,109 @@ def _can_reach(least: float) -> Column:
     return shorter & (F.col("nx") >= least * F.col("ny") - 1e-9) & (left >= least / (1 + least) * (F.col("nx") + F.col("ny")) - 1e-9)
 
 
-def apart(found: DataFrame, roots: DataFrame, least: float, hubs: bool) -> DataFrame:
+def apart(found: DataFrame, roots: DataFrame, least: float, hubs: bool, work: Work) -> DataFrame:
     """(a, b): pairs of different components that can reach ``least`` by the ``prefixes`` ``found``: with ``hubs`` each text and
     the shortest text of a k-mer, one pair a row; else every pair, found by the components of a k-mer and then their members."""
     labels = roots.select(F.col("id").alias("doc_id"), F.col("root").alias("c"))
     rows = found.join(labels, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
     parted = rows.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
-    rows = materialize(rows.join(parted, "k", "left_semi"), "parted")
+    rows = work.write(rows.join(parted, "k", "left_semi"), "parted")
     x = rows.where("lead").select("k", F.col("doc_id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("ix"))
     y = rows.select("k", F.col("doc_id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("at").alias("iy"))
     if hubs:
-        least_x = materialize(x.groupBy("k").agg(F.min(F.struct("nx", "x", "ix", "cx")).alias("h")).select("k", "h.*"), "hubs")
-        met = y.join(least_x, "k").where((F.col("cx") != F.col("cy")) & _can_reach(least))
+        bounds = work.write(x.groupBy("k").agg(F.min(F.struct("nx", "x", "ix", "cx")).alias("h")).select("k", "h.*"), "hubs")
+        met = y.join(bounds, "k").where((F.col("cx") != F.col("cy")) & _can_reach(least))
     else:
         # bounds that hold for all of a component's members come first, so members of one component never meet
-        parts = materialize(y.groupBy("k", "cy").agg(F.max("ny").alias("most"), F.min("ny").alias("fewest"), F.max(F.col("ny") - F.col("iy")).alias("left")), "parts")
+        bounds = work.write(y.groupBy("k", "cy").agg(F.max("ny").alias("most"), F.min("ny").alias("fewest"), F.max(F.col("ny") - F.col("iy")).alias("left")), "parts")
         may = (F.col("cx") != F.col("cy")) & (F.col("most") >= F.col("nx")) & (F.col("nx") >= least * F.col("fewest") - 1e-9)
         may &= F.least(F.col("nx") - F.col("ix"), F.col("left")) >= 2 * least / (1 + least) * F.col("nx") - 1e-9
-        met = x.join(parts, "k").where(may).select("k", "x", "nx", "ix", "cy").join(y, ["k", "cy"]).where(_can_reach(least))
-    return materialize(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+        met = x.join(bounds, "k").where(may).select("k", "x", "nx", "ix", "cy").join(y, ["k", "cy"]).where(_can_reach(least))
+    pairs = work.write(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    work.drop(rows, bounds)
+    return pairs
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, n_links): each document's class, the smallest id in it, and its verified links to other texts (of its text,
-    if it has copies)."""
-    rows = docs.where("doc_id is not null").select("doc_id", "text")
-    sketch = F.pandas_udf(_sketch_all, "array<long>")
+def distinct_texts(rows: DataFrame, work: Work) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, k1, k2, rep) of each document, judged by one text, and (doc_id, k1, k2, keys) of each different text: its smallest
+    document and its sketches.  Sketches are shuffled once, by the text's key, with map-side minima, so copies collapse where they are read."""
     normal = normal_text(F.col("text"))
-    known = rows.select("doc_id", F.xxhash64(normal).alias("k1"), F.xxhash64(F.lit(7), normal).alias("k2"), (F.coalesce(F.length(normal), F.lit(0)) > 0).alias("full"), sketch(word_hashes(F.col("text"))).alias("keys"))
-    known = materialize(known, "sketches")
-
-    ids = known.select("doc_id", "k1", "k2", "full").groupBy("doc_id").agg(F.max(F.struct("k1", "k2", "full")).alias("t")).select("doc_id", "t.*")
-    # written first, so that the join reads two plain exchanges, whose hot keys adaptive execution can split
-    first = materialize(ids.where("full").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "first")
-    alone = ids.where("not full").select("doc_id", F.col("doc_id").alias("rep"))
-    members = materialize(ids.where("full").join(first, ["k1", "k2"]).select("doc_id", "rep").union(alone), "copies")
+    sketch = F.pandas_udf(_sketch_all, "array<long>")
+    full = F.coalesce(F.length(normal), F.lit(0)) > 0
+    known = work.write(dealt_out(rows).select("doc_id", F.xxhash64(normal).alias("k1"), F.xxhash64(F.lit(7), normal).alias("k2"), full.alias("full"), sketch(word_hashes(F.col("text"))).alias("keys")), "sketches")
+    ids = work.write(known.groupBy("doc_id").agg(F.max(F.struct("k1", "k2", "full")).alias("t")).select("doc_id", "t.*"), "ids")
+    # written first, so that the next join reads two plain exchanges, whose hot keys adaptive execution can split
+    first = work.write(ids.where("full").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "first")
+    alone = ids.where("not full").select("doc_id", "k1", "k2", F.col("doc_id").alias("rep"))
+    members = work.write(ids.where("full").join(first, ["k1", "k2"]).select("doc_id", "k1", "k2", "rep").union(alone), "copies")
+    sketched = known.where("full").groupBy("k1", "k2").agg(F.min("keys").alias("keys"))
+    texts = work.write(sketched.join(first, ["k1", "k2"]).select(F.col("rep").alias("doc_id"), "k1", "k2", "keys"), "texts")
+    work.drop(known, ids, first)
+    return members, texts
+
+
+def shared_buckets(texts: DataFrame, work: Work) -> DataFrame:
+    """(doc_id, bucket, hub) of the sketches that several texts have; ``hub`` is the smallest of them.  Most sketches are one text's own: those
+    are counted, and thinned out before members are joined to their hubs."""
+    spread = texts.select("doc_id", F.explode("keys").alias("bucket"))
+    hubs = work.write(spread.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "hubs")
+    return work.write(thinned(spread, "bucket", hubs).join(hubs, "bucket"), "buckets")
 
-    reps = members.where("doc_id = rep").select("doc_id").join(ids, "doc_id")
-    spread = known.where("full").join(reps, ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.explode("keys").alias("bucket"))
-    hubs = materialize(spread.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "hubs")
-    spread = materialize(spread.join(hubs, "bucket"), "buckets")
 
-    pairs = materialize(spread.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id, n_links, text_key): each document's class, the smallest id in it, its verified links to other texts (of its text,
+    if it has copies) and the key of the text by which it was judged, that of :func:`text_key`."""
+    work = Work(docs.sparkSession, "near-duplicates")
+    rows = docs.where("doc_id is not null").select("doc_id", "text")
+    members, sketched = distinct_texts(rows, work)
+    spread = shared_buckets(sketched, work)
+    pairs = work.write(spread.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
     # at most 80 buckets a document: labels are joined to documents, not to members of buckets
-    held = materialize(spread.groupBy("doc_id").agg(F.collect_list("bucket").alias("buckets")), "held")
-    texts = rows.join(held, "doc_id", "left_semi").select("doc_id", F.xxhash64(normal).alias("k1"), F.xxhash64(F.lit(7), normal).alias("k2"), word_hashes(F.col("text")).alias("w"))
-    texts = materialize(texts.join(reps.select("doc_id", "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "w"), "words")
+    held = work.write(spread.groupBy("doc_id").agg(F.collect_list("bucket").alias("buckets")), "held")
+    own = held.select("doc_id").join(sketched.select("doc_id", "k1", "k2"), "doc_id")
+    some = thinned(rows, "doc_id", held.select("doc_id"))
+    normal = normal_text(F.col("text"))
+    some = some.select("doc_id", F.xxhash64(normal).alias("k1"), F.xxhash64(F.lit(7), normal).alias("k2"), word_hashes(F.col("text")).alias("w"))
+    texts = work.write(some.dropDuplicates(["doc_id", "k1", "k2"]).join(own, ["doc_id", "k1", "k2"], "left_semi").select("doc_id", "w"), "words")
+    work.drop(sketched, spread)
 
     def verified(pairs: DataFrame) -> DataFrame:
         full = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("w").alias("wa")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("w").alias("wb")), "b")
-        return materialize(full.select("a", "b", "wa", "wb").mapInPandas(_verify(similarity), "a long, b long, similarity double").where("similarity > 0"), "edges")
+        return work.write(full.select("a", "b", "wa", "wb").mapInPandas(_verify(similarity), "a long, b long, similarity double").where("similarity > 0"), "edges")
 
     edges = verified(pairs)
-    roots = components(edges)
+    roots = components(edges, work)
 
     # what may still be linked: members of buckets in which several components are left
     labels = roots.select(F.col("id").alias("doc_id"), F.col("root").alias("c"))
-    labelled = materialize(held.join(labels, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id")), "labelled")
+    labelled = work.write(held.join(labels, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id")), "labelled")
     parted = labelled.select("c", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
     open_docs = labelled.select("doc_id", F.explode("buckets").alias("bucket")).join(parted, "bucket", "left_semi").select("doc_id").distinct()
-    found = prefixes(materialize(open_docs.join(texts, "doc_id"), "open"), similarity)
+    found = prefixes(work.write(open_docs.join(texts, "doc_id"), "open"), similarity, work)
+    work.drop(held, labelled)
     # groups of copies that the buckets' smallest ids have left apart are joined by one pair a row, and then every pair that is left is tried
     tried = pairs
     for hubs in (True, False):
-        rest = materialize(apart(found, roots, similarity, hubs).join(tried, ["a", "b"], "left_anti"), "pairs")
+        rest = work.write(apart(found, roots, similarity, hubs, work).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(rest)
         more = verified(rest)
         edges = edges.union(more)
+        if more.isEmpty():
+            continue
         # only what links two components is new
         named = more.join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", "left")
-        joined = components(named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+        joined = components(named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), work)
         whole = _followed(roots, joined).select("id", "root")
-        roots = materialize(whole.union(joined.join(roots.select("id"), "id", "left_anti").select("id", "root")), "roots")
+        roots = work.write(whole.union(joined.join(roots.select("id"), "id", "left_anti").select("id", "root")), "roots")
 
+    # a class belongs to a text before it goes to the text's copies, which may be a third of all documents
     links = edges.select(F.col("a").alias("rep")).union(edges.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
-    out = members.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").join(links, "rep", "left")
-    return out.select("doc_id", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links"))
+    classes = work.write(roots.select(F.col("id").alias("rep"), F.col("root").alias("class_id")).join(links, "rep", "left"), "classes")
+    out = members.join(small(classes, classes.count(), CLASS_ROWS), "rep", "left")
+    work.keep(members, classes)
+    return out.select("doc_id", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links"), F.col("k1").alias("text_key"))
+
+
+def text_key(text: Column) -> Column:
+    """The key of a text whose letters differ in case and white space only."""
+    return F.xxhash64(normal_text(text))
