@@ -7,8 +7,8 @@ search walks on from there, a block of bins at a time, until both bitmaps are cl
 fits, a new one opens.
 
 Only (id, length, source, cluster) leave the table: no text is shuffled.  Documents are dealt into shards of about
-``shard_rows`` by a hash of the id, so a hot source or a cluster of thousands of copies spreads evenly, a shard's size
-doesn't grow with the corpus, and each shard packs on its own.  Bins never span shards, so the constraints hold globally.
+``shard_rows`` by a hash of the row's number, so a hot source, a cluster of thousands of copies or thousands of equal rows spread evenly, a
+shard's size doesn't grow with the corpus, and each shard packs on its own.  Bins never span shards, so the constraints hold globally.
 
 Cases: a document longer than a bin is cut into full pieces, each a bin of its own, and a last piece that is packed like
 any other (a piece never shares a bin with another piece of its document); null, blank or zero-length texts take part with
@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taxloom.llm.common import Work
+
 CAPACITY = 2048
 SHARD_ROWS = 8192
 SCAN = 128
@@ -104,8 +106,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int =
     """Pieces with their bins, for ``docs`` (doc_id, length, source, cluster)."""
     if capacity < 1:
         raise ValueError("a bin holds one token at least")
+    work = Work(docs.sparkSession, "packing")
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("length", F.lit(0)).cast("long").alias("length"), "source", F.col("cluster").cast("long"))
+    # numbered and written once: a task that is run again reads the same numbers
+    rows = work.write(rows.withColumn("nth", F.monotonically_increasing_id()), "rows")
     shards = max(1, -(-rows.count() // shard_rows))
-    # the shard count follows the rows; the hash deals rows, repeated ones too, evenly
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "source", "cluster", "length"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(_pack_shard(capacity), PIECES)
+    return rows.withColumn("shard", F.pmod(F.xxhash64("nth"), F.lit(shards))).groupBy("shard").applyInPandas(_pack_shard(capacity), PIECES)
