@@ -2,11 +2,12 @@
 
 A word's features are the word itself (lexicon), its prefixes and suffixes of one to three letters (affixes) and its letter
 pairs and triples with word bounds (n-grams), hashed into one weight table; label-to-label transitions are learned with them.
-Training sequences are stretches of labelled documents and code-switched joins of stretches in two languages, so the
+Training sequences are the whole texts of labelled documents, cut into stretches, and code-switched joins of stretches in two languages, so the
 transitions learn how seldom the language changes.  Prediction runs forward-backward over every word of the whole text: the
 marginals label each word, their mean over the text labels the document, and that mean is its score.
 
-Fitting takes a bounded sample, ``DOCS_PER_LANG`` documents a language by a hash of the id, to the driver.  Predicting is one pass in
+Fitting takes a bounded sample to the driver: of each language whole documents by a hash of the id, at most ``DOCS_PER_LANG`` and
+``WORDS_PER_LANG`` words, of the ``LANGS`` most frequent languages.  Words are found on the executors.  Predicting is one pass in
 place without a shuffle; texts of an Arrow batch are cut into groups of like length of at most ``CELLS`` words, so
 long documents bound memory too.
 
@@ -27,11 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxloom.llm.common import materialize, small
+from taxloom.llm.common import dealt_out, materialize
 
-DOCS_PER_LANG = 500
-#: Words of a training stretch and stretches of a document.
-STRETCH, STRETCHES = 48, 3
+#: Bounds of the sample that a model is fitted on.
+DOCS_PER_LANG, WORDS_PER_LANG, LANGS = 500, 60_000, 64
+#: Words of a training stretch.
+STRETCH = 48
 ROUNDS, RATE, SHRINK = 40, 0.3, 1e-4
 SLOTS = 1 << 17
 CELLS = 1 << 18
@@ -131,14 +133,15 @@ class Crf:
             for j, i in enumerate(group):
                 yield i, m[: lengths[j], j]
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[int]]:
+        """Of each text its language, the score of that, and how many of its words are labelled with another."""
+        langs, scores, others = [UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts)
         if self.langs:
             for i, m in self.marginals(map(tokens, texts)):
                 mean = m.mean(axis=0, dtype=np.float64)
                 best = int(mean.argmax())
-                langs[i], scores[i] = self.langs[best], float(min(1.0, mean[best]))
-        return langs, scores
+                langs[i], scores[i], others[i] = self.langs[best], float(min(1.0, mean[best])), int((m.argmax(axis=1) != best).sum())
+        return langs, scores, others
 
     def word_labels(self, text: str) -> list[tuple[str, str]]:
         """(word, language) for each word of a code-switched text."""
@@ -146,20 +149,17 @@ class Crf:
         return [(w, self.langs[k]) for _, m in self.marginals([words]) for w, k in zip(words, m.argmax(axis=1), strict=True)] if self.langs else []
 
 
-def _stretches(text: str) -> list[list[str]]:
-    words = tokens(text)
-    n = min(STRETCHES, max(1, len(words) // STRETCH))
-    starts = [i * (len(words) - STRETCH) // max(1, n - 1) if n > 1 else 0 for i in range(n)]
-    return [s for s in (words[max(0, a) : max(0, a) + STRETCH] for a in starts) if s]
+def _stretches(words: list[str]) -> list[list[str]]:
+    return [words[i : i + STRETCH] for i in range(0, len(words), STRETCH)]
 
 
-def train(rows: list[tuple[str, str]], seed: int = 7) -> Crf:
-    """A model of (text, lang) rows."""
+def train(rows: list[tuple[list[str], str]], seed: int = 7) -> Crf:
+    """A model of (words, lang) rows."""
     langs = sorted({lang for _, lang in rows})
     if len(langs) < 2:
         return Crf(langs, np.zeros((SLOTS, len(langs)), np.float32), np.zeros((len(langs), len(langs))))
     code = {lang: i for i, lang in enumerate(langs)}
-    plain = [(s, [code[lang]] * len(s)) for text, lang in rows for s in _stretches(text)]
+    plain = [(s, [code[lang]] * len(s)) for words, lang in rows for s in _stretches(words)]
     rng = np.random.default_rng(seed)
     mixed = []
     for i, j in zip(rng.permutation(len(plain)), rng.permutation(len(plain)), strict=True):
@@ -200,30 +200,35 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Crf:
     return Crf(langs, weights.astype(np.float32), moves)
 
 
-def sample(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> DataFrame:
-    """(text, lang) of at most ``per_lang`` documents of each language, by a hash of the id."""
+def sample(docs: DataFrame, per_lang: int = DOCS_PER_LANG, words_per_lang: int = WORDS_PER_LANG) -> DataFrame:
+    """(words, lang) of whole documents of each language, by a hash of the id: the first that have ``per_lang`` rows and ``words_per_lang`` words in all at
+    most.  Documents of over a twentieth of those words aren't drawn."""
     rows = docs.where("text is not null and lang is not null")
     # broadcast, so that rows are thinned out where they are read and only the sample is shuffled
-    counts = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "languages")
-    counts = small(counts, counts.count())
+    counts = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGS), "languages")
     order = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("crf")), F.lit(1 << 40))
     share = F.least(F.lit(1.0), F.lit(2.0 * per_lang) / F.col("_n"))
-    some = rows.select("doc_id", "text", "lang").join(counts, "lang").withColumn("_o", order).where(F.col("_o") < share * (1 << 40))
+    some = rows.select("doc_id", "text", "lang").join(F.broadcast(counts), "lang").withColumn("_o", order).where(F.col("_o") < share * (1 << 40))
+    # only texts of a language's first ``per_lang`` documents become words
     nth = Window.partitionBy("lang").orderBy("_o", "doc_id", "text")
-    return some.withColumn("_k", F.row_number().over(nth)).where(F.col("_k") <= per_lang).select("text", "lang")
+    first = some.withColumn("_k", F.row_number().over(nth)).where(F.col("_k") <= per_lang)
+    split = F.pandas_udf(lambda texts: pd.Series([tokens(t) for t in texts]), "array<string>")
+    found = first.select("_k", "lang", split(F.col("text")).alias("words")).where(F.size("words").between(1, max(1, words_per_lang // 20)))
+    return found.withColumn("_w", F.sum(F.size("words")).over(Window.partitionBy("lang").orderBy("_k"))).where(F.col("_w") <= words_per_lang).select("words", "lang")
 
 
-def fit(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> Crf:
+def fit(docs: DataFrame, per_lang: int = DOCS_PER_LANG, words_per_lang: int = WORDS_PER_LANG) -> Crf:
     """A model of labelled ``docs`` (doc_id, text, lang)."""
-    return train(sorted((r["text"], r["lang"]) for r in sample(docs, per_lang).collect()))
+    return train(sorted((r["words"], r["lang"]) for r in sample(docs, per_lang, words_per_lang).collect()))
 
 
-def predict(docs: DataFrame, model: Crf, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its score in columns of those names."""
+def predict(docs: DataFrame, model: Crf, text: str = "text", lang: str = "lang_pred", score: str = "score", others: str = "n_other") -> DataFrame:
+    """``docs`` with the predicted language, its score and the number of words in other languages in columns of those names."""
 
     def guess(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip(("lang", "score"), model.predict(texts.tolist()), strict=True)))
+        return pd.DataFrame(dict(zip(("lang", "score", "others"), model.predict(texts.tolist()), strict=True)))
 
-    got = F.pandas_udf(guess, "lang string, score double")(F.col(text))
-    kept = [c for c in docs.columns if c not in (lang, score, "_crf")]
-    return docs.select(*kept, got.alias("_crf")).select(*kept, F.col("_crf.lang").alias(lang), F.col("_crf.score").alias(score))
+    docs = dealt_out(docs)
+    got = F.pandas_udf(guess, "lang string, score double, others int")(F.col(text))
+    kept = [c for c in docs.columns if c not in (lang, score, others, "_crf")]
+    return docs.select(*kept, got.alias("_crf")).select(*kept, F.col("_crf.lang").alias(lang), F.col("_crf.score").alias(score), F.col("_crf.others").alias(others))
