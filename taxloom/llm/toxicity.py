@@ -33,7 +33,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxloom.llm.common import materialize
+from taxloom.llm.common import dealt_out, materialize
 
 #: Insults and second-person words of the four languages; fixed values.
 INSULTS = frozenset(("idiot", "stupid", "moron", "dumb", "trash", "garbage", "pathetic", "worthless", "disgusting", "clown", "loser", "scum", "hate", "ugly", "shut", "idiota", "imbécile", "dummkopf", "stupide", "estúpido"))
@@ -165,23 +165,24 @@ class ToxicityModel:
         kept = [c for c in docs.columns if c not in (text, "score")]
         if self.trees is None:
             return docs.select(*kept, F.lit(float(self.base)).alias("score"))
-        packed = docs.select(F.struct(*kept).alias("_kept"), F.col(text).alias("_text"))
+        packed = dealt_out(docs).select(F.struct(*kept).alias("_kept"), F.col(text).alias("_text"))
         rows = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(features(packed, self.words, "_text"))
         rows = self.trees.transform(rows.select("_kept", "_features"))
         return rows.select(F.col("_kept.*"), calibrated(vector_to_array("rawPrediction")[1], self.knots).alias("score"))
 
 
 def calibrated(margin: Column, knots: list[tuple[float, float]]) -> Column:
-    """The piecewise linear map through ``knots`` (margin, probability), flat outside."""
-    at = F.lit(knots[-1][1])
-    for (x0, y0), (x1, y1) in reversed(list(zip(knots, knots[1:], strict=False))):
-        inside = F.lit(y0) if x1 == x0 else F.lit(y0) + (margin - x0) * ((y1 - y0) / (x1 - x0))
-        at = F.when(margin < x1, inside).otherwise(at)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(margin <= knots[0][0], F.lit(knots[0][1])).otherwise(at)))
+    """The piecewise linear map through the ascending ``knots`` (margin, probability), flat outside; of knots at one margin the last counts."""
+    xs, ys = F.lit([x for x, _ in knots]), F.lit([y for _, y in knots])
+    at = F.size(F.filter(xs, lambda x: x <= margin))  # knots passed
+    x0, y0, x1, y1 = F.get(xs, at - 1), F.get(ys, at - 1), F.get(xs, at), F.get(ys, at)
+    between = y0 + (margin - x0) * (y1 - y0) / (x1 - x0)
+    found = F.when(at == 0, F.lit(knots[0][1])).when(at == len(knots), F.lit(knots[-1][1])).otherwise(between)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), found))
 
 
 def sample_labels(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """(text, toxic, part): at most about ``rows`` labelled documents by a hash of text and id; ``labels`` (doc_id, toxic), nulls left out."""
+    """(text, toxic, part): at most about ``rows`` labelled documents by a hash of the id; ``labels`` (doc_id, toxic), nulls left out."""
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = marks.count()
     order = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000))
