@@ -134,8 +134,8 @@ WITH pages AS (
 ), left_over AS (
   SELECT *, coalesce(len([x for x in kept if trim(x) <> '']), 0) AS n_left FROM cut
 )
-SELECT doc_id, source, CASE WHEN known AND n_left > 0 AND n_left < n THEN array_to_string(kept, chr(10)) ELSE text END AS text,
-  CAST(n AS INT) AS n_lines, CAST(CASE WHEN known AND n_left > 0 AND n_left < n THEN n - n_left ELSE 0 END AS INT) AS n_dropped
+SELECT doc_id, source, CASE WHEN known AND n_left < n THEN array_to_string(kept, chr(10)) ELSE text END AS text,
+  CAST(n AS INT) AS n_lines, CAST(CASE WHEN known AND n_left < n THEN n - n_left ELSE 0 END AS INT) AS n_dropped
 FROM left_over
 """
 
