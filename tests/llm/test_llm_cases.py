@@ -30,7 +30,8 @@ def clash(df, *names):
 def test_line_dedup(spark, odd):
     pages = spark.createDataFrame([(i, "h", f"own line {i}\nMENU") for i in range(40)] + [(99, "h", "MENU"), (98, "h", None), (97, None, "MENU\n\nx")], "doc_id long, source string, text string")
     got = {r.doc_id: r for r in line_dedup.drop_boilerplate(clash(pages, "n_lines", "host", "lines", "_extra")).collect()}
-    assert got[3].text == "own line 3" and got[3].n_dropped == 1 and got[99].text == "MENU" and got[98].text is None and got[97].text == "MENU\n\nx" and got[3]._extra == 7
+    assert got[3].text == "own line 3" and got[3].n_dropped == 1 and got[99].text == "" and got[99].n_dropped == 1 and got[98].text is None and got[97].text == "MENU\n\nx" and got[3]._extra == 7
+    assert {r.doc_id: r for r in line_dedup.drop_boilerplate(pages, keep_whole=True).collect()}[99].text == "MENU"
     assert line_dedup.drop_boilerplate(odd).count() == 12 and line_dedup.drop_boilerplate(odd.limit(0)).count() == 0
 
 
@@ -48,6 +49,20 @@ def test_token_ledger(spark, odd, tmp_path):
     assert sum(r.n_docs for r in ledger.totals().collect()) == 8 and ledger.contributions().where("doc_id = 8").first().n_tokens == 5
     ledger.commit("e", rows.limit(0).withColumn("op", F.lit("insert")))
     assert ledger.batches() == list("abcde")
+    before = sorted(map(tuple, ledger.totals().collect()), key=str)
+    ledger.compact()
+    assert sorted(map(tuple, ledger.totals().collect()), key=str) == before and ledger.contributions().count() == 8
+    # a job that died between a batch's two writes leaves rows that nobody reads, and may be run again
+    lost = rows.where("doc_id = 9").withColumn("op", F.lit("delete"))
+    ledger.entries().limit(3).write.parquet(f"file://{tmp_path}/l/documents/batch=f")
+    assert sorted(map(tuple, ledger.totals().collect()), key=str) == before and ledger.contributions().count() == 8
+    assert ledger.commit("f", lost) and ledger.contributions().count() == 7
+    # the last change of a document in a batch that numbers them
+    both = rows.where("doc_id = 9").withColumn("op", F.lit("insert")).withColumn("seq", F.lit(1)).union(lost.withColumn("seq", F.lit(2)))
+    ledger.commit("g", both)
+    assert ledger.contributions().where("doc_id = 9").count() == 0
+    ledger.commit("h", both.withColumn("seq", -F.col("seq")))
+    assert ledger.contributions().where("doc_id = 9").first().n_docs == 1
     with pytest.raises(ValueError):
         ledger.commit("x/y", rows.withColumn("op", F.lit("insert")))
 
@@ -126,6 +141,11 @@ def test_urls(spark):
 
 def test_language(spark, odd):
     rows = spark.createDataFrame([(i, EN + f" {i}" if i % 2 else DE, "en" if i % 2 else "de") for i in range(60)], "doc_id long, text string, lang string")
+    # equal evidence for both: ties go to the first language
+    even = crf_langid.Crf(["aa", "bb"], np.zeros((crf_langid.SLOTS, 2), np.float32), np.zeros((2, 2)))
+    assert even.predict(["one two", None]) == (["aa", "und"], [0.5, 0.0], [0, 0])
+    # whole documents in hash order, within the bounds of rows and words
+    assert crf_langid.sample(rows, per_lang=9).count() == 18 and crf_langid.sample(rows, words_per_lang=8 * 20).groupBy("lang").count().where("count <> 20").count() == 0
     model = crf_langid.fit(rows)
     got = {r.doc_id: (r.lang_pred, r.score) for r in crf_langid.predict(clash(odd, "lang_pred", "score"), model).collect()}
     assert got[2] == ("und", 0.0) and got[3] == ("und", 0.0) and got[7] == ("und", 0.0) and got[9][0] == "en" and got[10][0] == "de"
@@ -154,11 +174,27 @@ def test_forward_backward_equals_enumeration():
 def test_top_k(spark):
     rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, []), (None, [1.0, 1.0]), (7, [-3.0, 0.5]), (0, [9.0, 9.0])], "vec_id long, embedding array<double>")
     v = clash(rows, "rank", "score", "chunk").select("vec_id", topk_postings.quantized(F.col("embedding")).alias("v"))
-    got = topk_postings.top_k(v, v.where("vec_id = 0"), k=3, chunk=2, block=1).collect()
+    got = topk_postings.top_k(v, v.where("vec_id = 0"), k=3, block_bytes=64).collect()
     assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1, 5 * 1024**2), (2, 2, 5 * 1024**2), (3, 6, 0)]
     assert topk_postings.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_top_k_against_brute_force(spark, monkeypatch):
+    """Several blocks of queries, small chunks, ties, repeated rows and scores at the ends of 64 bits."""
+    monkeypatch.setattr(topk_postings, "CHUNK", 7)
+    monkeypatch.setattr(topk_postings, "ROWS", 3)
+    rng = np.random.default_rng(6)
+    rows = [(i, [int(x) for x in rng.integers(-2, 3, 5)]) for i in range(60)] + [(61, [1, 1, 1, 1, 1])] * 5 + [(62, [2**40] * 5), (63, [-(2**40)] * 5)]
+    v = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = topk_postings.top_k(v, v.where("vec_id % 5 = 0 or vec_id > 60"), k=4, block_bytes=400).collect()
+    cut = lambda x: max(-(2**63), min(2**63 - 1, x))
+    want = set()
+    for q, a in {i: x for i, x in rows if i % 5 == 0 or i > 60}.items():
+        scored = sorted((-cut(sum(x * y for x, y in zip(a, b, strict=True))), i) for i, b in rows if i != q)[:4]
+        want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)}
+    assert {tuple(r) for r in got} == want and len(got) == 4 * len({r[0] for r in want})
+
+
 def test_chat(spark):
     said = "</s>[INST] \\ <|end|> ok"
     layouts = {
@@ -179,10 +215,10 @@ def test_chat(spark):
 def test_decontamination(spark, odd):
     item = " ".join(f"q{i}" for i in range(30))
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (None, item), (4, "only three words"), (1, item)], "item_id long, text string")
-    near = item.replace("q15", "new")
+    near = item.replace("q27", "new")
     docs = odd.union(spark.createDataFrame([(20, f"x y z {item} tail", "en", "s", 1), (21, near, "en", "s", 1), (22, "Only three WORDS!", "en", "s", 1), (23, "say only three words here", "en", "s", 1), (24, LONG + " " + item.upper(), "en", "s", 1)], DOCS))
     got = {(r.doc_id, r.item_id): r for r in decontaminate.decontaminate(clash(docs, "w", "k", "start", "size"), bench).collect()}
-    assert set(got) >= {(20, 1), (22, 4), (24, 1)} and (23, 4) not in got and got[20, 1].start == 3 and got[20, 1].similarity == 1
+    assert set(got) >= {(20, 1), (21, 1), (22, 4), (24, 1)} and (23, 4) not in got and got[21, 1].similarity < 1 and got[20, 1].start == 3 and got[20, 1].similarity == 1
     assert all(r.distance <= decontaminate.RADIUS and r.similarity >= 0.8 for r in got.values())
     assert decontaminate.without_benchmark(docs, bench).where("doc_id in (20, 24)").count() == 0 and decontaminate.without_benchmark(docs, bench).where("doc_id is null").count() == 1
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == decontaminate.decontaminate(docs, bench.limit(0)).count() == 0
@@ -206,24 +242,47 @@ def test_edited_passages_against_brute_force(spark):
     docs = spark.createDataFrame([(i, "zz yy " + " ".join(w) + " xx") for i, w in enumerate(texts)], "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.decontaminate(docs, bench).collect()}
-    assert len(want) > 300 and got == want
+    # a fingerprint within the radius is certain for 99 of 100 pairs at the threshold, and no pair under it is reported
+    assert len(want) > 300 and got <= want and len(got) >= 0.99 * len(want)
 
 
 def test_blocks_meet_within_the_radius(spark):
+    """Every pair within the radius is found by the index once, and no other."""
     rng = np.random.default_rng(4)
     rows = []
-    for _ in range(200):
+    for i in range(300):
         x = int(rng.integers(-(2**63), 2**63 - 1))
         y = x
-        for b in rng.choice(64, int(rng.integers(0, decontaminate.RADIUS + 1)), replace=False):
+        for b in rng.choice(64, int(rng.integers(0, decontaminate.RADIUS + 4)), replace=False):
             y ^= 1 << int(b) if b < 63 else -(1 << 63)
-        rows.append((x, y))
-    df = spark.createDataFrame(rows, "x long, y long")
-    hit = [a == b for a, b in zip(decontaminate.block_bits(F.col("x"), decontaminate.RADIUS), decontaminate.block_bits(F.col("y"), decontaminate.RADIUS), strict=True)]
-    any_ = hit[0]
-    for h in hit[1:]:
-        any_ = any_ | h
-    assert df.where(~any_).count() == 0
+        rows.append((i, i % 7, x, y))
+    windows = spark.createDataFrame([(i, s, x) for i, s, x, _ in rows], "window long, size int, mark long")
+    items = spark.createDataFrame([(i, s, y) for i, s, _, y in rows[:60]], "item long, size int, imark long")
+    apart = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
+    want = sorted((i, j, apart(x, y)) for i, s, x, _ in rows for j, t, _, y in rows[:60] if s == t and apart(x, y) <= decontaminate.RADIUS)
+    got = decontaminate.near_marks(windows, items, decontaminate.RADIUS).select("window", "item", "distance").collect()
+    assert sorted(map(tuple, got)) == want and len(want) > 40
+    assert sum(decontaminate.allowances(decontaminate.RADIUS)) + decontaminate.BLOCKS == decontaminate.RADIUS + 1
+
+
+def test_many_windows_and_places(spark, monkeypatch):
+    """Parts of the benchmark's shingles and the way without broadcasts give the same; of equal windows the earlier is reported."""
+    items = [" ".join(f"i{j}w{x}" for x in range(20 + j)) for j in range(9)]
+    docs = spark.createDataFrame([(i, f"a{i} {items[i % 9]} between {items[i % 9]} z") for i in range(40)], "doc_id long, text string")
+    docs = docs.union(docs)
+    bench = spark.createDataFrame(list(enumerate(items)) + [(100, items[0])], "item_id long, text string")
+    want = sorted(map(tuple, decontaminate.decontaminate(docs, bench).collect()))
+    assert len(want) == 45 and all(r[2] == 2 and r[3] == 1 for r in want)
+    for name in ("PLACE_ROWS", "WINDOW_ROWS", "PAIR_ROWS"):
+        monkeypatch.setattr(decontaminate, name, 30)
+    assert sorted(map(tuple, decontaminate.decontaminate(docs, bench).collect())) == want
+
+
+def test_long_items(spark):
+    """A very long item costs in proportion to its length."""
+    bench = spark.createDataFrame([(1, LONG)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "before " + LONG), (2, "short " * 30)], "doc_id long, text string")
+    assert [(r.doc_id, r.similarity) for r in decontaminate.decontaminate(docs, bench).collect()] == [(1, 1.0)]
 
 
 def test_toxicity(spark, odd):
@@ -246,6 +305,10 @@ def test_packing(spark, odd):
         held = [r.doc_id for r in got if r.bin_id == b and r.doc_id < 40]
         assert len({src[i] for i in held}) == len(held) == len({i // 4 for i in held})
     assert packing.pack_documents(rows.limit(0)).count() == 0
+    # thousands of equal rows are dealt to all shards
+    same = spark.range(4000).select(F.lit(5).cast("long").alias("doc_id"), F.lit(10).alias("length"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("cluster"))
+    shards = [r["count"] for r in packing.pack_documents(same, shard_rows=500).groupBy((F.col("bin_id") / 2**32).cast("int")).count().collect()]
+    assert len(shards) == 8 and max(shards) < 700
     with pytest.raises(ValueError):
         packing.pack_documents(rows, capacity=0)
 
@@ -266,6 +329,42 @@ def test_best_fit_equals_a_plain_search():
     assert sorted(np.bincount(got, need).astype(int)) == sorted(100 - b[0] for b in bins)
 
 
+def test_calibration_is_the_piecewise_map(spark):
+    knots = [(-1.0, 0.0), (0.0, 0.25), (0.0, 0.5), (2.0, 1.0)]
+    x = [-5.0, -1.0, -0.5, 0.0, 1.0, 2.0, 9.0]
+    got = [r.y for r in spark.createDataFrame([(v,) for v in x], "x double").select(toxicity.calibrated(F.col("x"), knots).alias("y")).collect()]
+    assert got == [0.0, 0.0, 0.125, 0.5, 0.75, 1.0, 1.0]
+    many = [(i / 500, i / 50_000) for i in range(50_000)]
+    assert spark.range(1).select(toxicity.calibrated(F.lit(50.0), many).alias("y")).first().y == pytest.approx(0.5)
+
+
+def test_pipeline_decisions(spark, tmp_path):
+    """What each stage takes away, on rows made for it; ids repeat, with equal and with different texts."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(1)
+    words = {"en": EN.split(), "de": DE.split()}
+    text = lambda lang, i: " ".join(f"{words[lang][int(k)]} x{i}y{j}" for j, k in enumerate(rng.integers(0, 8, 60)))
+    rows = [(i, text("en" if i % 2 else "de", i), "en" if i % 2 else "de", f"s{i % 3}", 1) for i in range(60)]
+    item = " ".join(f"q{i}" for i in range(30))
+    near = rows[7][1] + " tail"
+    rows += [(70, "123 456", "en", "s1", 1), (71, near, "en", "s2", 1), (72, rows[9][1] + " " + item, "en", "s1", 1), (3, rows[3][1], "en", "s0", 1), (73, None, "en", "s1", 1)]
+    rows += [(100 + i, f"FRAME LINE\n{text('en', 100 + i)}", "en", "s9", 1) for i in range(8)]
+    docs = spark.createDataFrame(rows, DOCS)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept, texts = {}, {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = sorted(r.doc_id for r in docs.collect())
+        if name == "line_dedup":
+            texts = {r.doc_id: r for r in docs.collect()}
+    assert 70 not in kept["language_id"] and 73 not in kept["language_id"] and len(kept["language_id"]) == 60 + 3 + 8
+    assert not any("FRAME" in r.text for r in texts.values()) and texts[100].n_chars == len(texts[100].text)
+    assert kept["near_dedup"] == sorted(set(kept["language_id"]) - {71})
+    assert 72 not in kept["decontamination"] and set(kept["packing"]) == set(kept["decontamination"])
+
+
 def test_pipeline(spark, odd, tmp_path, data):
     import corpus_pipeline
 
