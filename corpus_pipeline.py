@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxloom.llm import crf_langid, decontaminate, line_dedup, order_minhash, packing
-from taxloom.llm.common import load, materialize, shared_dir
+from taxloom.llm.common import load, materialize, shared_dir, small
 from taxloom.llm.queries import packing_input
 
 #: A text whose best language has a lower mean marginal than this is in none of the learned languages.
@@ -28,16 +28,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_cleaning(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the boilerplate lines of their source; ``n_chars`` follows the text."""
-    return line_dedup.drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """All documents, without the boilerplate lines of their source; ``n_chars`` follows the text.  Documents of nothing else stay whole: copies
+    of one text, about which the next stage decides."""
+    return line_dedup.drop_boilerplate(docs, keep_whole=True).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate class, one row of it; rows with a null id stay."""
-    classes = materialize(order_minhash.near_duplicates(docs), "classes")
+    """The document with the smallest id of each near-duplicate class, one row of it with the text by which it was judged (any, if those rows
+    differ in case or white space); rows with a null id stay."""
+    classes = materialize(order_minhash.near_duplicates(docs).select("doc_id", "class_id", F.col("text_key").alias("_key")), "classes")
     gone = classes.where("doc_id <> class_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    if classes.count() == docs.where("doc_id is not null").count():  # ids are unique
+        return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    stays = classes.where("doc_id = class_id").select("doc_id", "_key")
+    rows = docs.where("doc_id is not null").withColumn("_key", order_minhash.text_key(F.col("text"))).dropDuplicates(["doc_id", "_key"])
+    return rows.join(stays, ["doc_id", "_key"], "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
