@@ -25,6 +25,16 @@ def per_event(d: Dialect, seconds: int, least: int, test: str, key: str) -> str:
     return f"SELECT {d.slot('ts', seconds)} AS slot, {key} AS actor, count(*) AS n FROM events WHERE {test} GROUP BY 1, 2 HAVING count(*) >= {least}"
 
 
+EPOCH = "date '1970-01-01'"
+
+
+def _banded(d: Dialect, source: str, days: int, columns: str) -> str:
+    slot = f"cast(floor({d.days(EPOCH, 'invoice_date')} / {days}e0) AS bigint)"
+    near = f"explode(array({slot} - 1, {slot}, {slot} + 1))" if d.spark else f"unnest([{slot} - 1, {slot}, {slot} + 1])"
+    return f"""SELECT {columns} FROM (SELECT *, {near} AS slot FROM {source} WHERE invoice_date IS NOT NULL) a JOIN (SELECT *, {slot} AS slot FROM {source} WHERE invoice_date IS NOT NULL) b
+      ON a.vendor_id = b.vendor_id AND a.slot = b.slot AND a.invoice_id < b.invoice_id WHERE abs({d.days('a.invoice_date', 'b.invoice_date')}) <= {days}"""
+
+
 RISK = """
   SELECT i.vendor_gstin, min(i.vendor_name) AS vendor_name, count(*) AS n, cast(coalesce(sum(i.grand_total), 0) AS decimal(18,2)) AS total_spend,
     count(CASE WHEN i.gstr2b_status = 'IN_2B' THEN 1 END) AS in2b, count(CASE WHEN i.gstr2b_status = 'MISSING_IN_2B' THEN 1 END) AS miss,
@@ -45,6 +55,8 @@ def _vendor_risk(d: Dialect) -> str:
       ORDER BY risk_score DESC, total_spend DESC, vendor_gstin LIMIT 50"""
 
 
+#: Bands of amounts that rise with them.
+BAND = "floor(64 * log10(1 + greatest(cast(grand_total AS double), 0e0)))"
 PRIOR = "PARTITION BY vendor_id ORDER BY coalesce(invoice_date, created_on), created_on, invoice_id"
 FRAME = f"{PRIOR} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 KPI = f"""count(*) AS invoices, {money('grand_total')} AS spend, {money('total_tax')} AS gst, count(CASE WHEN status = 'NEEDS_REVIEW' THEN 1 END) AS in_review, count(DISTINCT vendor_id) AS vendors,
@@ -58,6 +70,18 @@ SIMPLE_MATCH = f"""SELECT r.record_id, r.return_period, r.supplier_gstin, r.invo
   CASE WHEN i.invoice_id IS NULL THEN 'MISSING_IN_BOOKS' WHEN NOT {close('r.taxable_value', 'i.subtotal', '1.00')} OR NOT {close('r.total_tax', 'i.total_tax', '1.00')} THEN 'AMOUNT_MISMATCH' WHEN r.invoice_date <> i.invoice_date THEN 'DATE_MISMATCH' ELSE 'MATCHED' END AS match
   FROM records r LEFT JOIN live i ON r.supplier_gstin = i.vendor_gstin_true AND r.invoice_number = i.invoice_number"""
 
+def _expanding(d: Dialect) -> str:
+    """How far an amount's logarithm is from the median of the vendor's earlier ones, in robust deviations of those from that moving median (0.05 where half of
+    them equal it); at least five earlier ones.  No aggregate of one frame gives it, so a row sees its vendor's earlier amounts as an array."""
+    order = "PARTITION BY vendor_id ORDER BY coalesce(invoice_date, created_on), created_on, invoice_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    x = "ln(1 + cast(nullif(grand_total, 0) AS double))"
+    seen = f"collect_list({x}) OVER ({order})" if d.spark else f"list({x}) FILTER (grand_total <> 0) OVER ({order})"
+    median = lambda xs: f"(get({xs}, (size({xs}) - 1) div 2) + get({xs}, size({xs}) div 2)) / 2" if d.spark else f"list_median({xs})"
+    near = "array_sort(transform(seen, v -> abs(v - med)))" if d.spark else "[abs(v - med) for v in seen]"
+    lists = f"SELECT invoice_id, {x} AS x, {'array_sort(' + seen + ')' if d.spark else seen} AS seen FROM live"
+    return f"""SELECT invoice_id, CASE WHEN n >= 5 THEN round((x - med) / (14826e-4 * CASE WHEN mad > 0 THEN mad ELSE 5e-2 END), 9) END AS deviation FROM (SELECT *, {median('near')} AS mad FROM (SELECT *, {near} AS near FROM (SELECT invoice_id, x, seen, {'size(seen)' if d.spark else 'coalesce(len(seen), 0)'} AS n, {median('seen')} AS med FROM ({lists}) a) b) c) e"""
+
+
 QUERIES: dict[str, Template] = {
     # sources and filters
     "src_table": "SELECT invoice_id, vendor_id, invoice_number, invoice_date, status, grand_total FROM invoices",
@@ -83,12 +107,11 @@ QUERIES: dict[str, Template] = {
     "jn_semi": "SELECT vendor_id, gstin FROM vendors v WHERE EXISTS (SELECT 1 FROM live i WHERE i.vendor_id = v.vendor_id AND i.gstr2b_status = 'MISSING_IN_2B')",
     "jn_anti_books": "SELECT record_id, supplier_gstin, invoice_number FROM records r WHERE NOT EXISTS (SELECT 1 FROM live i WHERE i.vendor_gstin_true = r.supplier_gstin AND i.invoice_number = r.invoice_number)",
     "jn_anti_2b": "SELECT invoice_id FROM live i WHERE invoice_date BETWEEN date '2001-03-01' AND date '2001-03-31' AND NOT EXISTS (SELECT 1 FROM records r WHERE r.supplier_gstin = i.vendor_gstin_true AND r.invoice_number = i.invoice_number)",
-    "jn_block_fuzzy": lambda d: f"""SELECT r.record_id, i.invoice_id FROM records r JOIN live i ON upper(r.supplier_gstin) = upper(i.vendor_gstin_true)
-      WHERE {normal_number(d, 'r.invoice_number')} = {normal_number(d, 'i.invoice_number')} OR ({close('r.taxable_value', 'i.subtotal', '1.00')} AND {close('r.total_tax', 'i.total_tax', '1.00')})""",
     "jn_cross_gstin": lambda d: f"""SELECT r.record_id, min(i.invoice_id) AS invoice_id FROM records r JOIN live i ON {normal_number(d, 'r.invoice_number')} = {normal_number(d, 'i.invoice_number')} AND r.invoice_date = i.invoice_date
       WHERE upper(r.supplier_gstin) <> upper(i.vendor_gstin_true) AND {close('r.taxable_value', 'i.subtotal', '1.00')} AND {close('r.total_tax', 'i.total_tax', '1.00')} GROUP BY r.record_id""",
-    "jn_band_dup": lambda d: f"SELECT a.invoice_id AS invoice_a, b.invoice_id AS invoice_b FROM live a JOIN live b ON a.vendor_id = b.vendor_id AND a.invoice_id < b.invoice_id WHERE abs({d.days('a.invoice_date', 'b.invoice_date')}) <= 180 UNION SELECT a.invoice_id, b.invoice_id FROM live a JOIN live b ON a.document_hash = b.document_hash AND a.invoice_id < b.invoice_id",
-    "jn_band_dup3": lambda d: f"SELECT a.invoice_id AS invoice_a, b.invoice_id AS invoice_b, abs({d.days('a.invoice_date', 'b.invoice_date')}) AS gap FROM invoices a JOIN invoices b ON a.vendor_id = b.vendor_id AND a.invoice_id < b.invoice_id WHERE abs({d.days('a.invoice_date', 'b.invoice_date')}) <= 3",
+    # a slot of the band's width meets itself and its neighbours, so a vendor's pairs are not all tried
+    "jn_band_dup": lambda d: _banded(d, "live", 180, "a.invoice_id AS invoice_a, b.invoice_id AS invoice_b") + " UNION SELECT a.invoice_id, b.invoice_id FROM live a JOIN live b ON a.document_hash = b.document_hash AND a.invoice_id < b.invoice_id",
+    "jn_band_dup3": lambda d: _banded(d, "invoices", 3, f"a.invoice_id AS invoice_a, b.invoice_id AS invoice_b, abs({d.days('a.invoice_date', 'b.invoice_date')}) AS gap"),
     "jn_longest_prefix": "SELECT pattern, action, category, count(*) AS lines, cast(sum(tax) AS decimal(18,2)) AS tax FROM restricted_lines WHERE pattern IS NOT NULL AND substr(hsn_sac, 1, length(pattern)) = pattern GROUP BY pattern, action, category",
     "jn_first_keyword": "SELECT pattern, action, category, count(*) AS lines FROM restricted_lines WHERE pattern IS NOT NULL AND instr(lower(description), pattern) > 0 GROUP BY pattern, action, category",
     "jn_hsn_fallback": "SELECT l.hsn_sac, coalesce(h8.rates, h6.rates, h4.rates, h2.rates) AS rates, count(*) AS lines FROM invoice_lines l " + " ".join(f"LEFT JOIN hsn_reference h{n} ON substr(l.hsn_sac, 1, {n}) = h{n}.code" for n in (8, 6, 4, 2)) + " GROUP BY l.hsn_sac, coalesce(h8.rates, h6.rates, h4.rates, h2.rates)",
@@ -144,11 +167,17 @@ QUERIES: dict[str, Template] = {
       count(*) OVER (PARTITION BY vendor_id, on_day ORDER BY created_on, invoice_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS later FROM (SELECT *, coalesce(invoice_date, created_on) AS on_day FROM live) l) w""",
     "win_gap_prev": lambda d: f"SELECT invoice_id, round(ln(1 + {d.days('before', 'on_day')}), 9) AS log_gap FROM (SELECT invoice_id, coalesce(invoice_date, created_on) AS on_day, lag(coalesce(invoice_date, created_on)) OVER ({PRIOR}) AS before FROM live) w",
     "win_expand_median": lambda d: f"SELECT invoice_id, CASE WHEN n >= 5 THEN round(m, 9) END AS median_before FROM (SELECT invoice_id, count(grand_total) OVER ({FRAME}) AS n, {d.framed_median('ln(1 + cast(grand_total AS double))', FRAME)} AS m FROM live) w",
+    "win_expand_mad": _expanding,
     "win_prior_rate": f"SELECT invoice_id, CASE WHEN prior >= 5 THEN round(bad / cast(prior AS double), 9) END AS rate FROM (SELECT invoice_id, count(*) OVER ({FRAME}) AS prior, coalesce(sum(CASE WHEN gstr2b_status = 'MISSING_IN_2B' THEN 1 ELSE 0 END) OVER ({FRAME}), 0) AS bad FROM live) w",
-    "win_freq": "SELECT invoice_id, n FROM (SELECT invoice_id, count(*) OVER (PARTITION BY vendor_id, substr(cast(invoice_date AS string), 1, 7)) AS n FROM live WHERE invoice_date IS NOT NULL) w WHERE n >= 3",
+    "win_freq": "SELECT invoice_id, n FROM (SELECT invoice_id, count(*) OVER (PARTITION BY vendor_id, invoice_date) AS n FROM live WHERE invoice_date IS NOT NULL) w WHERE n >= 3",
     "win_first_seen": lambda d: f"SELECT record_id, first_id FROM (SELECT record_id, first_value(record_id) OVER (PARTITION BY supplier_gstin, number ORDER BY record_id) AS first_id FROM (SELECT *, {normal_number(d, 'invoice_number')} AS number FROM records) r WHERE number <> '') w WHERE record_id <> first_id",
-    "win_position": "SELECT invoice_id, rank() OVER (ORDER BY created_on) AS place FROM invoices WHERE status = 'NEEDS_REVIEW' AND created_on >= date '2001-06-01'",
-    "win_pct_ref": "SELECT invoice_id, round(100 * cume_dist() OVER (PARTITION BY status ORDER BY grand_total), 6) AS percentile FROM live WHERE grand_total IS NOT NULL",
+    # places from the days' counts, so that no task ranks the whole queue
+    "win_position": "SELECT invoice_id, before + 1 AS place FROM (SELECT invoice_id, created_on AS day FROM invoices WHERE status = 'NEEDS_REVIEW') i JOIN (SELECT created_on, sum(n) OVER (ORDER BY created_on) - n AS before FROM (SELECT created_on, count(*) AS n FROM invoices WHERE status = 'NEEDS_REVIEW' GROUP BY created_on) d) c ON i.day = c.created_on",
+    # a window inside each band of amounts, behind the counts of the bands before it
+    "win_pct_ref": f"""SELECT a.invoice_id, round(100 * (b.before + a.within) / cast(b.total AS double), 6) AS percentile
+      FROM (SELECT invoice_id, status, {BAND} AS band, count(*) OVER (PARTITION BY status, {BAND} ORDER BY grand_total) AS within FROM live WHERE grand_total IS NOT NULL) a
+      JOIN (SELECT status, band, sum(n) OVER (PARTITION BY status ORDER BY band) - n AS before, sum(n) OVER (PARTITION BY status) AS total FROM (SELECT status, {BAND} AS band, count(*) AS n FROM live WHERE grand_total IS NOT NULL GROUP BY status, {BAND}) c) b
+      ON a.status = b.status AND a.band = b.band""",
     "win_lag_pct": f"SELECT month, spend, {share('100 * (spend - before)', 'before', 4)} AS change_pct FROM (SELECT *, lag(spend) OVER (ORDER BY month) AS before FROM (SELECT {MONTH} AS month, {money('grand_total')} AS spend FROM live WHERE invoice_date IS NOT NULL GROUP BY {MONTH}) m) w",
     "win_last_n": f"SELECT month, n FROM (SELECT {MONTH} AS month, count(*) AS n, row_number() OVER (ORDER BY {MONTH} DESC) AS k FROM live WHERE invoice_date IS NOT NULL GROUP BY {MONTH}) w WHERE k <= 6",
     "win_next_no": "SELECT 'INV/' || lpad(cast(max(cast(substr(invoice_number, 5, 8) AS bigint)) + 1 AS string), 8, '0') AS next_number FROM invoices",
@@ -175,7 +204,6 @@ QUERIES: dict[str, Template] = {
     "fn_inr": lambda d: f"SELECT invoice_id, '₹' || CASE WHEN length(w) <= 3 THEN w ELSE {d.replace('reverse(' + d.replace('substr(reverse(w), 4)', '([0-9]{2})', '<1>,') + ')', '^,', '')} || ',' || substr(w, length(w) - 2) END || '.' || f AS amount FROM (SELECT invoice_id, split_part(cast(grand_total AS string), '.', 1) AS w, split_part(cast(grand_total AS string), '.', 2) AS f FROM invoices WHERE grand_total IS NOT NULL) a",
     "fn_mask_ip": lambda d: f"SELECT event_id, {d.replace('ip', '^([0-9]+[.][0-9]+)[.].*$', '<1>.x.x')} AS masked FROM (SELECT event_id, '10.' || cast(user_id % 250 AS string) || '.' || cast(event_id % 250 AS string) || '.7' AS ip FROM events) e",
     "fn_classify_req": "SELECT event_id, CASE WHEN event_type IN ('signup', 'error') THEN 'auth' WHEN event_type IN ('view', 'click') THEN 'access' ELSE 'change' END AS kind, CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS outcome FROM events",
-    "fn_jwt": lambda d: f"SELECT event_id, {d.json('props', 'k')} AS k FROM events",
     "fn_num_factcheck": lambda d: "SELECT doc_id, count(*) AS numbers FROM (SELECT doc_id, " + ("explode(regexp_extract_all(text, '[0-9]+', 0))" if d.spark else "unnest(regexp_extract_all(text, '[0-9]+'))") + " AS n FROM documents) x WHERE length(n) <= 9 AND NOT (cast(n AS bigint) BETWEEN 0 AND 12 OR cast(n AS bigint) BETWEEN 1900 AND 2100) GROUP BY doc_id",
     "fn_sha256": lambda d: f"SELECT doc_id, {'sha2(text, 256)' if d.spark else 'sha256(text)'} AS digest FROM documents",
     "fn_anonymise": lambda d: f"SELECT doc_id, {d.replace(d.replace('text', '[A-Za-z0-9._+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+', 'user@example.com'), '[0-9]{10}', '9000000000')} AS text FROM documents",
@@ -196,9 +224,10 @@ QUERIES: dict[str, Template] = {
     "itc_assess": "SELECT invoice_id, itc_status, total_itc, eligible_itc, blocked_itc, review_itc, at_risk_itc, claim_deadline, payment_due_by, reasons FROM credit",
     "itc_build": "SELECT i.invoice_id, cast(coalesce(l.tax, i.total_tax, 0) AS decimal(14,2)) AS tax FROM invoices i LEFT JOIN (SELECT invoice_id, sum(coalesce(cgst, 0) + coalesce(sgst, 0) + coalesce(igst, 0)) AS tax FROM invoice_lines GROUP BY invoice_id) l ON i.invoice_id = l.invoice_id",
     "what_if": f"SELECT itc_status, {money('eligible_itc')} AS now, {money('cast(eligible_itc * cast(0.80 AS decimal(3,2)) AS decimal(18,2))')} AS scaled, {money('eligible_itc - cast(eligible_itc * cast(0.80 AS decimal(3,2)) AS decimal(18,2))')} AS lost FROM credit GROUP BY itc_status",
-    "rec_2b_apply": "SELECT i.invoice_id, CASE WHEN r.record_id IS NOT NULL THEN 'IN_2B' WHEN i.invoice_date BETWEEN date '2001-03-01' AND date '2001-03-31' THEN 'MISSING_IN_2B' ELSE i.gstr2b_status END AS new_status FROM live i LEFT JOIN (SELECT invoice_number, supplier_gstin, min(record_id) AS record_id FROM records WHERE return_period = '2001-03' GROUP BY invoice_number, supplier_gstin) r ON r.invoice_number = i.invoice_number AND r.supplier_gstin = i.vendor_gstin_true WHERE i.invoice_date BETWEEN date '2000-09-02' AND date '2001-03-31' AND (NOT i.possible_duplicate OR i.status = 'APPROVED')",
+    # every invoice against the statements of the months that may hold it: from its own on, 180 days
+    "rec_2b_apply": """SELECT i.invoice_id, CASE WHEN max(r.record_id) IS NOT NULL THEN 'IN_2B' ELSE 'MISSING_IN_2B' END AS new_status FROM live i LEFT JOIN records r ON r.invoice_number = i.invoice_number AND r.supplier_gstin = i.vendor_gstin_true
+      AND r.return_period BETWEEN substr(cast(i.invoice_date AS string), 1, 7) AND substr(cast(i.invoice_date + INTERVAL 180 DAY AS string), 1, 7) WHERE i.invoice_date IS NOT NULL AND (NOT i.possible_duplicate OR i.status = 'APPROVED') GROUP BY i.invoice_id""",
     "recon_compare": "SELECT r.record_id, r.invoice_number = i.invoice_number AS number_ok, r.invoice_date = i.invoice_date AS date_ok, abs(r.taxable_value - i.subtotal) <= 1 AS taxable_ok, abs(r.total_tax - i.total_tax) <= 1 AS tax_ok, r.supplier_gstin = i.vendor_gstin AS gstin_ok FROM records r JOIN invoices i ON r.record_id = i.invoice_id * 2",
-    "einv_check": "SELECT invoice_id, CASE WHEN einvoice_status IS NULL THEN 'NO_QR' WHEN einvoice_status = 'MISMATCH' THEN 'MISMATCH' ELSE einvoice_status END AS einvoice, CASE einvoice_status WHEN 'MISMATCH' THEN 'E010' WHEN 'UNVERIFIED' THEN 'E004' END AS code FROM invoices",
     "rule_text": "SELECT DISTINCT code, CASE WHEN code LIKE 'NO_PO%' THEN 'Purchase order reference' WHEN code LIKE 'HSN%' THEN 'Goods or service code' WHEN code LIKE 'LINE%' THEN 'Line arithmetic' WHEN code LIKE 'GRAND%' OR code LIKE 'HEADER%' THEN 'Totals' WHEN code LIKE 'TAX%' OR code LIKE 'CGST%' THEN 'Tax type' WHEN code LIKE '%GSTIN%' THEN 'Tax id' ELSE 'Invoice details' END AS rule FROM findings",
     "investigate": f"SELECT i.invoice_id, CASE WHEN f.errors > 0 THEN 'fail' WHEN f.warnings > 0 THEN 'warn' ELSE 'pass' END AS validation, CASE WHEN i.gstr2b_status IS NULL THEN 'na' WHEN i.gstr2b_status = 'IN_2B' THEN 'pass' ELSE 'fail' END AS statement, CASE i.einvoice_status WHEN 'VERIFIED' THEN 'pass' WHEN 'MISMATCH' THEN 'fail' ELSE 'na' END AS einvoice, c.itc_status FROM invoices i LEFT JOIN (SELECT invoice_id, count(CASE WHEN severity = 'ERROR' THEN 1 END) AS errors, count(CASE WHEN severity = 'WARNING' THEN 1 END) AS warnings FROM findings GROUP BY invoice_id) f ON i.invoice_id = f.invoice_id LEFT JOIN credit c ON i.invoice_id = c.invoice_id",
     "ts_monthly": f"SELECT month, cast(coalesce(sum(grand_total), 0) AS decimal(18,2)) AS spend, count(invoice_id) AS invoices FROM (SELECT DISTINCT {MONTH} AS month FROM invoices WHERE invoice_date IS NOT NULL) m LEFT JOIN (SELECT *, {MONTH} AS of FROM live) i ON m.month = i.of GROUP BY month",
@@ -206,3 +235,11 @@ QUERIES: dict[str, Template] = {
     "gst_threshold": "SELECT vendor_id, turnover, turnover > 4000000 AS must_register FROM (SELECT vendor_id, cast(sum(subtotal) AS decimal(18,2)) AS turnover FROM live GROUP BY vendor_id) t",
     "sales_invoice": lambda d: "SELECT invoice_id, line_no, cgst_due, cast(tax - cgst_due AS decimal(18,2)) AS sgst_due FROM (SELECT *, cast(round(cast(tax * cast(0.5 AS decimal(2,1)) AS decimal(18,3)), 2) AS decimal(18,2)) AS cgst_due FROM (SELECT invoice_id, line_no, cast(round(cast(taxable_value * gst_rate * cast(0.01 AS decimal(3,2)) AS decimal(18,4)), 2) AS decimal(18,2)) AS tax FROM invoice_lines) a) b",
 }
+
+#: The same results said in another way, for DuckDB.
+ORACLES: dict[str, Template] = {
+    "jn_band_dup": "SELECT a.invoice_id AS invoice_a, b.invoice_id AS invoice_b FROM live a JOIN live b ON a.vendor_id = b.vendor_id AND a.invoice_id < b.invoice_id WHERE abs(datediff('day', a.invoice_date, b.invoice_date)) <= 180 UNION SELECT a.invoice_id, b.invoice_id FROM live a JOIN live b ON a.document_hash = b.document_hash AND a.invoice_id < b.invoice_id",
+    "jn_band_dup3": "SELECT a.invoice_id AS invoice_a, b.invoice_id AS invoice_b, abs(datediff('day', a.invoice_date, b.invoice_date)) AS gap FROM invoices a JOIN invoices b ON a.vendor_id = b.vendor_id AND a.invoice_id < b.invoice_id WHERE abs(datediff('day', a.invoice_date, b.invoice_date)) <= 3",
+    "win_position": "SELECT invoice_id, rank() OVER (ORDER BY created_on) AS place FROM invoices WHERE status = 'NEEDS_REVIEW'",
+    "win_pct_ref": "SELECT invoice_id, round(100 * cume_dist() OVER (PARTITION BY status ORDER BY grand_total), 6) AS percentile FROM live WHERE grand_total IS NOT NULL",
+}

@@ -35,7 +35,7 @@ RESTRICTED = (
     ("keyword", "dinner", "REVIEW", "17(5)(b)(i)", "Food and beverages"),
     ("keyword", "health club", "REVIEW", "17(5)(b)(ii)", "Club and membership fees"),
 )
-#: Rates by goods or service code; a code with several rates depends on conditions.
+#: Rates by goods or service code; a code with several rates depends on conditions.  Fixed values.
 HSN_RATES = (("8703", "28"), ("87032291", "28"), ("9963", "5|18"), ("2202", "28|40"), ("8471", "18"), ("4820", "12"), ("9403", "18"), ("9954", "12|18"), ("8517", "18"), ("7318", "18"), ("997131", "18"))
 STANDARD_RATES = "0, 0.1, 0.25, 1, 1.5, 3, 5, 6, 7.5, 12, 18, 28, 40"
 #: Tolerances of the validation rules; fixed values.
@@ -191,7 +191,7 @@ VIEWS: dict[str, Template] = {
       SELECT *, cast(coalesce(total_cgst, 0) + coalesce(total_sgst, 0) + coalesce(total_igst, 0) AS {D}) AS total_tax,
         cast(subtotal + coalesce(total_cgst, 0) + coalesce(total_sgst, 0) + coalesce(total_igst, 0) + CASE WHEN invoice_id % 71 = 0 THEN 250 + subtotal ELSE 0 END AS {D}) AS grand_total
       FROM (
-        SELECT o_orderkey AS invoice_id, o_custkey AS vendor_id, v.vendor_name, v.gstin AS vendor_gstin_true, 'F' || cast(o_orderkey % 4999 AS string) AS document_hash,
+        SELECT o_orderkey AS invoice_id, o_custkey AS vendor_id, v.vendor_name, v.gstin AS vendor_gstin_true, 'F' || cast(o_orderkey - CASE WHEN o_orderkey % 50 = 2 THEN 1 ELSE 0 END AS string) AS document_hash,
           CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderkey % 89 = 0 THEN 'BAD-' || v.gstin WHEN o_orderkey % 83 = 0 THEN substr(v.gstin, 1, 14) || CASE WHEN substr(v.gstin, 15, 1) = 'A' THEN 'B' ELSE 'A' END ELSE v.gstin END AS vendor_gstin,
           '27AAPFU0939F1ZV' AS buyer_gstin, CASE WHEN o_orderkey % 101 <> 0 THEN 'INV/' || lpad(cast(o_orderkey AS string), 8, '0') END AS invoice_number,
           CASE WHEN o_orderkey % 103 <> 0 THEN cast(o_orderdate AS date) END AS invoice_date, cast(o_orderdate AS date) AS created_on,
