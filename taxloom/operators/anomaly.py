@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FEATURES = ("log_amount", "tax_ratio", "prior_30d", "log_gap", "n_lines", "round_amount", "sunday", "bad_rate", "odd_rates")
+FEATURES = ("log_amount", "tax_ratio", "deviation", "prior_30d", "log_gap", "n_lines", "round_amount", "sunday", "bad_rate", "odd_rates")
 #: GST rates in per cent; ``odd_rates`` is the share of lines at others.
 STANDARD = (0, 0.1, 0.25, 1, 1.5, 3, 5, 6, 7.5, 12, 18, 28, 40)
 
@@ -32,14 +32,38 @@ def loo_median(df: DataFrame, keys: list[str], value: str, row: str, out: str) -
 
 
 def loo_robust_z(df: DataFrame, key: str, value: str, row: str) -> DataFrame:
-    """(row, median, z) against the group's other rows: at least four others; without spread, none."""
+    """(row, median, z) against the group's other rows: at least four others.  z is the distance from their median in robust deviations; where half of
+    them are equal, in their standard deviation; null if all are."""
     with_median = loo_median(df.select(key, row, value), [key], value, row, "median").where("median is not null")
     centres = with_median.select(key, "median").distinct()  # three at most for a group
     off = df.select(key, row, value).join(centres, key).withColumn("dev", F.abs(F.col(value) - F.col("median")))
     spread = loo_median(off, [key, "median"], "dev", row, "mad").select(key, "median", row, "mad")
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    z = (F.col(value) - F.col("median")) / (1.4826 * F.col("mad"))
-    return with_median.join(spread, [key, "median", row]).join(counts, key).where("n >= 5").select(row, "median", F.when(F.col("mad") > 0, z).alias("z"))
+    # moments of the others: the group's without the row, about the group's mean so that nothing large is subtracted
+    sums = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("var"))
+    rows = with_median.join(spread, [key, "median", row]).join(sums, key).where("n >= 5")
+    off_mean, others = F.col(value) - F.col("mean"), F.col("n") - 1
+    variance = (F.col("n") * F.col("var") - off_mean * off_mean * F.col("n") / others) / others
+    # all others are equal only if their variance is nothing beside their size
+    sd = F.when(variance > 1e-12 * F.greatest(F.lit(1.0), F.col("mean") * F.col("mean")), F.sqrt(variance))
+    z = F.abs(F.col(value) - F.col("median")) / F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).otherwise(sd)
+    return rows.select(row, "median", z.alias("z"))
+
+
+def price_deviation(lines: DataFrame, least: float = 0.3) -> DataFrame:
+    """(invoice_id, line_no, price, median) of lines (vendor, item, invoice_id, line_no, price) whose price is at least ``least`` off the median of
+    the vendor's other invoices for the item; items with at least three lines.
+
+    The median without one row comes from ranks; only invoices that bill an item on several lines meet the item's other rows."""
+    group = ["vendor", "item"]
+    rows = lines.where("price <> 0 and item is not null").withColumn("row", F.struct("invoice_id", "line_no"))
+    many = rows.join(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n >= 3"), group)
+    own = many.withColumn("own", F.count(F.lit(1)).over(Window.partitionBy(*group, "invoice_id")))
+    one = loo_median(many.select(*group, "row", "price"), group, "price", "row", "median").join(own.where("own = 1").select("row"), "row")
+    several = own.where("own > 1").select(*group, "row", "price", "invoice_id")
+    others = many.select(*group, F.col("invoice_id").alias("other"), F.col("price").alias("their"))
+    met = several.join(others, group).where("invoice_id <> other").groupBy("row", "price").agg(F.percentile("their", 0.5).alias("median"))
+    found = one.select("row", "price", "median").union(met.select("row", "price", "median"))
+    return found.where((F.col("median") != 0) & (F.abs(F.col("price") - F.col("median")) / F.col("median") >= least)).select("row.invoice_id", "row.line_no", "price", "median")
 
 
 def odd_rates(lines: DataFrame) -> DataFrame:
@@ -49,7 +73,7 @@ def odd_rates(lines: DataFrame) -> DataFrame:
 
 
 def features(invoices: DataFrame) -> DataFrame:
-    """``invoices`` carry their ``odd_rates``.  One row of ``FEATURES`` per invoice; only strictly earlier invoices of the vendor count.  Null is unknown."""
+    """``invoices`` carry their ``odd_rates``, ``has_error`` and ``deviation`` from the vendor's earlier amounts.  One row of ``FEATURES`` per invoice; only strictly earlier invoices of the vendor count.  Null is unknown."""
     order = Window.partitionBy("vendor_id").orderBy("on_day", "created_on", "invoice_id")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     days = Window.partitionBy("vendor_id").orderBy(F.datediff("on_day", F.lit("1970-01-01"))).rangeBetween(-30, 0)
@@ -62,8 +86,8 @@ def features(invoices: DataFrame) -> DataFrame:
         (F.count(one).over(days) - F.count(one).over(peers)).cast("double").alias("prior_30d"), F.log1p(F.datediff("on_day", F.lag("on_day").over(order))).alias("log_gap"),
         F.nullif(F.col("n_lines").cast("double"), F.lit(0.0)).alias("n_lines"), F.when((amount >= 10000) & (amount % 1000 == 0), 1.0).otherwise(0.0).alias("round_amount"),
         F.when(F.dayofweek("invoice_date") == 1, 1.0).otherwise(0.0).alias("sunday"),
-        F.when(F.count(one).over(before) >= 5, F.avg((F.coalesce(F.col("gstr2b_status"), F.lit("")) == "MISSING_IN_2B").cast("double")).over(before)).alias("bad_rate"),
-        "odd_rates",
+        F.when(F.count(one).over(before) >= 5, F.avg(((F.coalesce(F.col("gstr2b_status"), F.lit("")) == "MISSING_IN_2B") | F.coalesce("has_error", F.lit(False))).cast("double")).over(before)).alias("bad_rate"),
+        "odd_rates", "deviation",
     )
 
 
@@ -88,29 +112,35 @@ def path_length(n: float) -> float:
 
 
 def grow_forest(x: np.ndarray, trees: int = 200, take: int = 256, seed: int = 42) -> tuple[list[list[tuple]], int]:
-    """Random trees of (feature, cut, left, right, depth correction); leaves have feature -1."""
+    """Random trees of (feature, cut, left, right, depth correction); leaves have feature -1.  All nodes of a level are split at once: rows carry their node,
+    a node's feature is drawn from those that vary in it, its cut between the least and the greatest value there."""
     rng = np.random.default_rng(seed)
     psi = min(take, len(x))
-    limit = math.ceil(math.log2(max(psi, 2)))
+    levels = math.ceil(math.log2(max(psi, 2)))
     forest = []
     for _ in range(trees):
-        nodes: list[tuple] = []
-        todo = [(rng.choice(len(x), psi, replace=False), 0, -1, 0)]
-        while todo:
-            at, depth, parent, side = todo.pop()
-            me = len(nodes)
-            if parent >= 0:
-                nodes[parent] = (*nodes[parent][: 2 + side], me, *nodes[parent][3 + side :])
-            sub = x[at]
-            open_ = np.flatnonzero(np.ptp(sub, axis=0) > 0) if depth < limit and len(at) > 1 else []
-            if not len(open_):
-                nodes.append((-1, 0.0, -1, -1, depth + path_length(len(at))))
-                continue
-            f = int(rng.choice(open_))
-            cut = float(rng.uniform(sub[:, f].min(), sub[:, f].max()))
-            nodes.append((f, cut, -1, -1, 0.0))
-            todo += [(at[sub[:, f] >= cut], depth + 1, me, 1), (at[sub[:, f] < cut], depth + 1, me, 0)]
-        forest.append(nodes)
+        sub = x[rng.choice(len(x), psi, replace=False)]
+        node, tree, first = np.zeros(psi, np.int64), [], 0
+        for depth in range(levels + 1):
+            n = int(node.max(initial=-1)) + 1
+            lo, hi = np.full((n, x.shape[1]), np.inf), np.full((n, x.shape[1]), -np.inf)
+            live = np.flatnonzero(node >= 0)
+            np.minimum.at(lo, node[live], sub[live])
+            np.maximum.at(hi, node[live], sub[live])
+            size = np.bincount(node[live], minlength=n)
+            splits = (hi > lo).any(axis=1) & (depth < levels)
+            f = np.where(hi > lo, rng.random(lo.shape), -1.0).argmax(axis=1)
+            cut = rng.uniform(lo[np.arange(n), f], hi[np.arange(n), f])
+            child = first + n + 2 * (np.cumsum(splits) - 1)
+            tree += [(int(f[i]), float(cut[i]), int(child[i]), int(child[i]) + 1, 0.0) if splits[i] else (-1, 0.0, -1, -1, depth + path_length(int(size[i]))) for i in range(n)]
+            if not splits.any():
+                break
+            inside = live[splits[node[live]]]
+            right = sub[inside, f[node[inside]]] >= cut[node[inside]]
+            after = np.full(psi, -1)
+            after[inside] = child[node[inside]] + right - first - n
+            node, first = after, first + n
+        forest.append(tree)
     return forest, psi
 
 
@@ -147,3 +177,18 @@ def detect(invoices: DataFrame, sample: int = 20_000) -> DataFrame:
     cuts = scored.agg(F.percentile_approx("forest_score", [0.93, 0.98], 10_000).alias("f"), F.percentile_approx("robust_z", [0.93, 0.98], 10_000).alias("z")).first()
     over = lambda i: (F.col("forest_score") > cuts["f"][i]) | (F.col("robust_z") > cuts["z"][i])
     return scored.select("invoice_id", F.round("robust_z", 6).alias("robust_z"), F.round("forest_score", 6).alias("forest_score"), F.when(over(1), "high").when(over(0), "medium").otherwise("normal").alias("priority"))
+
+
+def signals(rows: DataFrame, most: int = 5) -> DataFrame:
+    """(invoice_id, feature, value, typical, direction, strength): of each invoice the ``most`` features that are 1.5 quartile ranges or more off their median, and round amounts
+    and Sundays where those aren't usual; strongest first."""
+    got = rows.agg(*[F.percentile_approx(f, [0.25, 0.5, 0.75], 10_000).alias(f) for f in FEATURES]).first()
+    each = []
+    for f in FEATURES:
+        q1, q2, q3 = got[f] or (0.0, 0.0, 0.0)
+        z = (F.col(f) - q2) / ((q3 - q1) or 1e-6)
+        flag = (F.col(f) == 1.0) & F.lit(q2 == 0) if f in ("round_amount", "sunday") else F.lit(False)
+        said = F.struct(F.round(F.abs(z), 2).alias("strength"), F.lit(f).alias("feature"), F.round(f, 3).alias("value"), F.lit(round(float(q2), 3)).alias("typical"), F.when(z > 0, "higher").otherwise("lower").alias("direction"))
+        each.append(F.when(F.col(f).isNotNull() & ((F.abs(z) >= 1.5) | flag), said))
+    best = F.slice(F.reverse(F.array_sort(F.array_compact(F.array(*each)))), 1, most)
+    return rows.select("invoice_id", F.explode(best).alias("s")).select("invoice_id", "s.feature", "s.value", "s.typical", "s.direction", "s.strength")

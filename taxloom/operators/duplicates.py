@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxloom.functions.similarity import indel, token_set_udf
+from taxloom.functions.similarity import indel, sequence_ratio_udf, token_set_udf
 from taxloom.operators.matching import normal_number
 
 #: Tiers; fixed values.
@@ -53,3 +53,56 @@ def unknown(scored: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs of ``scored`` that reach a tier and aren't in ``known`` (invoice_a, invoice_b), whichever of a pair comes first there."""
     old = known.select(F.least("invoice_a", "invoice_b").alias("invoice_a"), F.greatest("invoice_a", "invoice_b").alias("invoice_b"))
     return scored.where("tier is not null").join(old, ["invoice_a", "invoice_b"], "left_anti")
+
+
+#: Of the check at upload: days between dates, least similarity of numbers, and the one that needs no equal amount; fixed values.
+UPLOAD_DAYS, SIMILAR, SAME = 3, 0.8, 0.97
+
+
+def _others(invoices: DataFrame, key: list[str], days: int) -> DataFrame:
+    """Pairs (a, b) of different invoices of one ``key`` whose dates, where both have one, are within ``days``; each way round.
+
+    Dated ones meet in their slots of days.  Undated ones meet all of their key, which is what the rule says."""
+    slot = F.floor(F.datediff(F.col("invoice_date"), F.lit("1970-01-01")) / days)
+    own = [F.col(k).alias(f"_{k}") for k in key]
+    a = invoices.where("invoice_date is not null").select(F.struct("*").alias("a"), *own, F.explode(F.array(slot - 1, slot, slot + 1)).alias("_s"))
+    b = invoices.where("invoice_date is not null").select(F.struct("*").alias("b"), *own, slot.alias("_s"))
+    by = [f"_{k}" for k in key]
+    near = a.join(b, [*by, "_s"]).where(F.abs(F.datediff("a.invoice_date", "b.invoice_date")) <= days).select("a", "b")
+    every, undated = invoices.select(F.struct("*").alias("b"), *own), invoices.where("invoice_date is null").select(F.struct("*").alias("a"), *own)
+    one = undated.join(every, by).select("a", "b")
+    other = one.where("b.invoice_date is not null").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return near.union(one).union(other).where("a.invoice_id <> b.invoice_id")
+
+
+def _same_file(invoices: DataFrame) -> DataFrame:
+    """(invoice_id, other): each invoice and the first other one of the same file."""
+    ends = invoices.where("document_hash is not null").groupBy("document_hash").agg(F.min("invoice_id").alias("_lo"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    second = invoices.join(ends.select("document_hash", "_lo"), "document_hash").where("invoice_id <> _lo").groupBy("document_hash", "_lo").agg(F.min("invoice_id").alias("_next"))
+    return invoices.join(second, "document_hash").select("invoice_id", F.when(F.col("invoice_id") == F.col("_lo"), F.col("_next")).otherwise(F.col("_lo")).alias("other"))
+
+
+def upload_check(invoices: DataFrame, days: int = UPLOAD_DAYS) -> DataFrame:
+    """(invoice_id, code, other): what the check at upload says of each invoice against all others.  An exact file ends the check; else every invoice of the tax id with a
+    similar number, and an equal amount unless the number is all but equal."""
+    exact = _same_file(invoices)
+    rest = invoices.where("invoice_number is not null and vendor_gstin is not null")
+    met = _others(rest, ["vendor_gstin"], days).withColumn("similar", sequence_ratio_udf("a.invoice_number", "b.invoice_number")).where(F.col("similar") >= SIMILAR)
+    amounts = F.coalesce(F.abs(F.col("a.grand_total") - F.col("b.grand_total")) <= 1, F.lit(False))
+    likely = met.where((F.col("similar") > SAME) | amounts).select(F.col("a.invoice_id").alias("invoice_id"), F.lit("DUPLICATE_LIKELY").alias("code"), F.col("b.invoice_id").alias("other"))
+    return exact.select("invoice_id", F.lit("DUPLICATE_EXACT_FILE").alias("code"), "other").union(likely.join(exact.select("invoice_id"), "invoice_id", "left_anti"))
+
+
+def alternative_check(invoices: DataFrame, days: int = UPLOAD_DAYS) -> DataFrame:
+    """(invoice_id, other, code, score): the best match with each counterpart: its file 1, tax id and number 0.98, amount and date with a similar number or the same
+    order at least 0.75."""
+    n = normal_number(F.col("invoice_number"))
+    rows = invoices.withColumn("number", n)
+    pair = lambda df, code, score: df.select("invoice_id", "other", F.lit(code).alias("code"), score.cast("double").alias("score"))
+    both = lambda key: rows.select("invoice_id", *key).join(rows.select(F.col("invoice_id").alias("other"), *key), key).where("invoice_id <> other")
+    file, number = both(["document_hash"]), both(["vendor_gstin", "number"]).where("number <> ''")
+    met = _others(rows.where("vendor_gstin is not null and grand_total is not null"), ["vendor_gstin"], days).where(F.abs(F.col("a.grand_total") - F.col("b.grand_total")) <= 1)
+    met = met.withColumn("s", sequence_ratio_udf(F.coalesce("a.number", F.lit("")), F.coalesce("b.number", F.lit("")))).where((F.col("s") >= SIMILAR) | F.coalesce(F.col("a.po_number") == F.col("b.po_number"), F.lit(False)))
+    fuzzy = met.select(F.col("a.invoice_id").alias("invoice_id"), F.col("b.invoice_id").alias("other"), F.round(F.greatest("s", F.lit(0.75)), 2).alias("s"))
+    every = pair(file, "D001", F.lit(1.0)).union(pair(number, "D002", F.lit(0.98))).union(pair(fuzzy, "D003", F.col("s")))
+    return every.groupBy("invoice_id", "other").agg(F.max(F.struct("score", F.expr("-ascii(substr(code, 4, 1))"), "code")).alias("m")).select("invoice_id", "other", "m.code", "m.score")

@@ -90,6 +90,18 @@ def mean_error(actual: Column, guess: Column) -> Column:
     return F.aggregate(F.zip_with(actual, guess, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, v: s + v) / F.size(actual)
 
 
+def metrics(data: DataFrame, key: str) -> DataFrame:
+    """(key, model, mae, rmse, mase): each model on the last window, of a quarter of the months, 2 or 3; MASE by the training months' mean step, null without one."""
+    cut = data.where(F.size("y") >= MIN_MONTHS).withColumn("h", F.greatest(F.lit(2), F.least(F.lit(3), F.floor(F.size("y") / 4).cast("int"))))
+    cut = cut.select(key, "h", F.expr("slice(y, 1, size(y) - h)").alias("train"), F.expr("slice(y, size(y) - h + 1, h)").alias("test"))
+    tried = [F.struct(F.lit(name).alias("model"), F.slice(f(F.col("train"), HORIZON), F.lit(1), F.col("h")).alias("guess")) for name, f in MODELS.items()]
+    out = cut.withColumn("t", F.explode(F.array(*tried))).select(key, "train", "test", "t.*")
+    square = F.aggregate(F.zip_with("test", "guess", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) / F.size("test")
+    step = mean_error(F.expr("slice(train, 2, size(train))"), F.expr("slice(train, 1, size(train) - 1)"))
+    mae = mean_error(F.col("test"), F.col("guess"))
+    return out.select(key, "model", F.round(mae, 2).alias("mae"), F.round(F.sqrt(square), 2).alias("rmse"), F.round(mae / F.nullif(step, F.lit(0.0)), 3).alias("mase"))
+
+
 def backtest(data: DataFrame, key: str) -> DataFrame:
     """(key, model, fold, mae): each model on up to three rolling windows; the horizon is a quarter of the months, 2 or 3."""
     n = F.size("y")

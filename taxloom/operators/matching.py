@@ -3,6 +3,8 @@
 Candidates come from two equi-joins within a tax id, on the normalised number and on a band of the taxable value, so a supplier
 with a third of all rows is not compared all with all.  The greedy assignment over (score descending, line, book) is the set of
 edges that are best for both their ends, taken again and again: rounds of two windows, never a whole block in one task.
+
+With a column ``period`` in both tables all return periods are reconciled in one job, each by itself; a book has a row for each period in which it is eligible.
 """
 
 from __future__ import annotations
@@ -33,16 +35,20 @@ def band(x: Column) -> Column:
     return F.when(v < 1000, F.floor(v / 2)).otherwise(500 + F.floor((F.ln(v) - F.ln(F.lit(1000.0))) / 0.0021))
 
 
+def _with_period(df: DataFrame) -> DataFrame:
+    return df if "period" in df.columns else df.withColumn("period", F.lit(0))
+
+
 def blocks(lines: DataFrame, books: DataFrame) -> DataFrame:
     """Pairs of a line (line, gstin, number, day, taxable, tax) and a book (book, same fields) of one tax id with the same normalised
     number or agreeing amounts."""
-    left = lines.select("line", F.upper("gstin").alias("g"), normal_number(F.col("number")).alias("n"), "taxable", "tax", F.col("day"))
-    right = books.select("book", F.upper("gstin").alias("g"), normal_number(F.col("number")).alias("bn"), F.col("taxable").alias("b_taxable"), F.col("tax").alias("b_tax"), F.col("day").alias("b_day"))
+    left = _with_period(lines).select("line", "period", F.upper("gstin").alias("g"), normal_number(F.col("number")).alias("n"), "taxable", "tax", F.col("day"))
+    right = _with_period(books).select("book", "period", F.upper("gstin").alias("g"), normal_number(F.col("number")).alias("bn"), F.col("taxable").alias("b_taxable"), F.col("tax").alias("b_tax"), F.col("day").alias("b_day"))
     agree = close(F.col("taxable"), F.col("b_taxable")) & close(F.col("tax"), F.col("b_tax"))
-    same = left.join(right.withColumnRenamed("bn", "n"), ["g", "n"]).where("n <> ''").withColumn("bn", F.col("n"))
+    same = left.join(right.withColumnRenamed("bn", "n"), ["period", "g", "n"]).where("n <> ''").withColumn("bn", F.col("n"))
     wide = left.withColumn("k", F.explode(F.array(*[band(F.col("taxable")) + i for i in (-1, 0, 1)])))
-    near = wide.join(right.withColumn("k", band(F.col("b_taxable"))), ["g", "k"]).where(agree & (F.col("n") != F.col("bn")))
-    cols = ["line", "book", "g", "n", "bn", "taxable", "tax", "day", "b_taxable", "b_tax", "b_day"]
+    near = wide.join(right.withColumn("k", band(F.col("b_taxable"))), ["period", "g", "k"]).where(agree & (F.col("n") != F.col("bn")))
+    cols = ["line", "book", "period", "g", "n", "bn", "taxable", "tax", "day", "b_taxable", "b_tax", "b_day"]
     return same.select(cols).union(near.select(cols)).withColumn("agree", agree)
 
 
@@ -66,26 +72,32 @@ def one_to_one(edges: DataFrame, left: str, right: str, score: str = "score") ->
     return out
 
 
+def _assigned(edges: DataFrame) -> DataFrame:
+    """(line, book, score) of a greedy assignment in which a book may be taken once in each period."""
+    return one_to_one(edges.select("line", F.struct("book", "period").alias("slot"), "score"), "line", "slot").select("line", "slot.book", "score")
+
+
 def reconcile(lines: DataFrame, books: DataFrame, fuzzy: float = FUZZY) -> DataFrame:
     """(line, book, status, score): one row per statement line."""
+    lines, books = _with_period(lines), _with_period(books)
     found = written(candidates(lines, books, fuzzy), "candidates")
     number = lines.withColumn("_n", normal_number(F.col("number")))
-    first = Window.partitionBy(F.upper("gstin"), "_n").orderBy("line")
+    first = Window.partitionBy("period", F.upper("gstin"), "_n").orderBy("line")
     repeats = number.where("_n <> ''").withColumn("_k", F.row_number().over(first)).where("_k > 1").select("line")
     nth = Window.partitionBy("line").orderBy(F.desc("score"), "book")
     good = found.where("agree").withColumn("_k", F.row_number().over(nth)).where("_k <= 2").groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top"), F.min("score").alias("next"))
     unclear = good.where((F.col("n") == 2) & (F.col("top") - F.col("next") <= TIE)).select("line", "top").join(repeats, "line", "left_anti")
     held = written(repeats.select("line", F.lit("POTENTIAL_DUPLICATE").alias("status"), F.lit(None).cast("double").alias("score")).union(unclear.select("line", F.lit("REVIEW_REQUIRED"), F.col("top"))), "held")
-    paired = one_to_one(found.join(held, "line", "left_anti"), "line", "book")
+    paired = _assigned(found.join(held, "line", "left_anti"))
     joined = paired.join(found.drop("score"), ["line", "book"])
     status = F.when(~F.col("agree"), "AMOUNT_MISMATCH").when(F.col("score") < 1, "FUZZY_MATCHED").when(F.col("day") != F.col("b_day"), "DATE_MISMATCH").otherwise("MATCHED")
-    matched = written(joined.select("line", "book", status.alias("status"), "score"), "matched")
+    matched = written(joined.select("line", "book", status.alias("status"), "score", "period"), "matched")
     # what is left may match a register row under another tax id
-    left = number.join(matched, "line", "left_anti").join(held, "line", "left_anti").select("line", F.upper("gstin").alias("g"), "_n", "taxable", "tax", "day")
-    right = books.join(matched, "book", "left_anti").where("gstin is not null").select("book", F.upper("gstin").alias("bg"), normal_number(F.col("number")).alias("_n"), F.col("taxable").alias("b_taxable"), F.col("tax").alias("b_tax"), F.col("day").alias("b_day"))
-    other = left.join(right, "_n").where((F.col("g") != F.col("bg")) & close(F.col("taxable"), F.col("b_taxable")) & close(F.col("tax"), F.col("b_tax")) & F.coalesce(F.col("day") == F.col("b_day"), F.lit(True)))
-    crossed = written(one_to_one(other.select("line", "book", F.lit(1.0).alias("score")), "line", "book"), "crossed")
-    known = matched.union(crossed.select("line", "book", F.lit("GSTIN_MISMATCH"), "score")).union(held.select("line", F.lit(None).cast("long"), "status", "score"))
+    left = number.join(matched, "line", "left_anti").join(held, "line", "left_anti").select("line", "period", F.upper("gstin").alias("g"), "_n", "taxable", "tax", "day")
+    right = books.join(matched, ["book", "period"], "left_anti").where("gstin is not null").select("book", "period", F.upper("gstin").alias("bg"), normal_number(F.col("number")).alias("_n"), F.col("taxable").alias("b_taxable"), F.col("tax").alias("b_tax"), F.col("day").alias("b_day"))
+    other = left.join(right, ["period", "_n"]).where((F.col("g") != F.col("bg")) & close(F.col("taxable"), F.col("b_taxable")) & close(F.col("tax"), F.col("b_tax")) & F.coalesce(F.col("day") == F.col("b_day"), F.lit(True)))
+    crossed = written(_assigned(other.select("line", "book", "period", F.lit(1.0).alias("score"))), "crossed")
+    known = matched.drop("period").union(crossed.select("line", "book", F.lit("GSTIN_MISMATCH"), "score")).union(held.select("line", F.lit(None).cast("long"), "status", "score"))
     rest = lines.select("line").join(known, "line", "left_anti").select("line", F.lit(None).cast("long").alias("book"), F.lit("MISSING_IN_BOOKS").alias("status"), F.lit(None).cast("double").alias("score"))
     return known.union(rest)
 
@@ -93,3 +105,9 @@ def reconcile(lines: DataFrame, books: DataFrame, fuzzy: float = FUZZY) -> DataF
 def missing_in_statement(books: DataFrame, results: DataFrame, first_day: str, last_day: str) -> DataFrame:
     """Books of the period that no line took."""
     return books.where(F.col("day").between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date"))).join(results.where("book is not null").select("book"), "book", "left_anti").select("book")
+
+
+def missing_by_period(books: DataFrame, lines: DataFrame, results: DataFrame) -> DataFrame:
+    """(period, book): books dated in a period, a month as yyyy-MM, that no line of that period took."""
+    taken = results.where("book is not null").join(lines.select("line", "period"), "line").select("book", "period")
+    return books.where(F.date_format("day", "yyyy-MM") == F.col("period")).join(taken, ["book", "period"], "left_anti").select("period", "book")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from taxloom.functions.similarity import sequence_ratio_udf
 from taxloom.operators.matching import one_to_one
+from taxloom.operators.work import written
 
 LEAST_TEXT, LEAST_SCORE, PRICE_TOL_PCT, EPSILON = 0.5, 0.6, 2.0, "0.0005"
 
@@ -54,3 +55,31 @@ def greedy(lines: DataFrame, po_lines: DataFrame) -> DataFrame:
     scored = _pairs(lines, po_lines).withColumn("score", F.round(0.5 * hsn + 0.5 * sequence_ratio_udf("description", "po_description"), 6)).where(F.col("score") >= LEAST_SCORE)
     edges = scored.select(F.struct("invoice_id", "line_no").alias("line"), F.struct("invoice_id", "po_number", "po_line_no").alias("po"), "score")
     return one_to_one(edges, "line", "po").select("line.invoice_id", "line.line_no", "po.po_line_no", "score")
+
+
+def check_alternative(lines: DataFrame, po_lines: DataFrame) -> DataFrame:
+    """(invoice_id, line_no, code) of the alternative rules, over the one-to-one assignment of ``greedy``: no order R001, unknown order R002, line not on it R010, more
+    or less than ordered R020 and R021, another price R030, an order line not billed R040 (``line_no`` is then the order's)."""
+    assigned = written(greedy(lines.where("po_number is not null"), po_lines), "assigned")
+    orders = po_lines.select("po_number").distinct().withColumn("known", F.lit(True))
+    po = po_lines.select("po_number", F.col("line_no").alias("po_line_no"), F.col("quantity").alias("po_quantity"), F.col("unit_price").alias("po_unit_price"))
+    rows = lines.join(orders, "po_number", "left").join(assigned.select("invoice_id", "line_no", "po_line_no"), ["invoice_id", "line_no"], "left").join(po, ["po_number", "po_line_no"], "left")
+    tol = F.lit(EPSILON).cast("decimal(5,4)")
+    on, found = F.col("known").isNotNull(), F.col("po_line_no").isNotNull()
+    off = F.abs(F.col("unit_price") - F.col("po_unit_price")).cast("double") * 100 / F.col("po_unit_price").cast("double") > PRICE_TOL_PCT
+    codes = F.array(
+        F.when(F.col("po_number").isNull(), "R001").when(~on, "R002").when(~found, "R010"), F.when(found & (F.col("quantity") > F.col("po_quantity") + tol), "R020").when(found & (F.col("quantity") < F.col("po_quantity") - tol), "R021"),
+        F.when(found & (F.col("po_unit_price") > 0) & off, "R030"),
+    )
+    said = rows.select("invoice_id", "line_no", F.explode(F.array_compact(codes)).alias("code"))
+    billed = lines.where("po_number is not null").select("invoice_id", "po_number").distinct().join(po.where(F.col("po_quantity") > tol), "po_number")
+    open_ = billed.join(assigned, ["invoice_id", "po_line_no"], "left_anti").select("invoice_id", F.col("po_line_no").alias("line_no"), F.lit("R040").alias("code"))
+    return said.union(open_)
+
+
+def line_view(lines: DataFrame, po_lines: DataFrame) -> DataFrame:
+    """(invoice_id, line_no, po_line_no, status, qty_invoice, qty_po, price_invoice, price_po, variance): each line beside the order line it matches."""
+    status = check(lines, po_lines).select("invoice_id", "line_no", "status")
+    rows = best_lines(lines, po_lines).join(status, ["invoice_id", "line_no"])
+    variance = F.col("quantity") * F.col("unit_price") - F.col("po_quantity") * F.col("po_unit_price")
+    return rows.select("invoice_id", "line_no", "po_line_no", "status", F.col("quantity").alias("qty_invoice"), F.col("po_quantity").alias("qty_po"), F.col("unit_price").alias("price_invoice"), F.col("po_unit_price").alias("price_po"), variance.cast("decimal(18,2)").alias("variance"))
