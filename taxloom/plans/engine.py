@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from taxloom.functions import similarity
 from taxloom.operators import anomaly, duplicates, forecast, matching, purchase_orders, tax
 from taxloom.operators.work import shared_folder, written
-from taxloom.plans import dialect
+from taxloom.plans import analytics, dialect
 from taxloom.sources import files
 from taxloom.sources.adapters import VIEWS, close, normal_number
 from taxloom.streaming import jobs
 
-PERIOD = ("2001-01-01", "2001-03-31")
+#: Days before a return period from which on an invoice may be in its statement.
+LOOKBACK = 180
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -24,13 +25,17 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def statement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(view(spark, sf_dir, f"SELECT record_id AS line, supplier_gstin AS gstin, invoice_number AS number, invoice_date AS day, taxable_value AS taxable, total_tax AS tax FROM records WHERE invoice_date BETWEEN date '{PERIOD[0]}' AND date '{PERIOD[1]}'"), "statement")
+    """The lines of all return periods."""
+    return written(view(spark, sf_dir, "SELECT record_id AS line, return_period AS period, supplier_gstin AS gstin, invoice_number AS number, invoice_date AS day, taxable_value AS taxable, total_tax AS tax FROM records WHERE return_period IS NOT NULL"), "statement")
 
 
 def register(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live invoices of the period; every hundredth also under a number with one more zero, which makes its line ambiguous."""
-    cols = "vendor_gstin_true AS gstin, {} AS number, invoice_date AS day, subtotal AS taxable, total_tax AS tax FROM live WHERE invoice_date BETWEEN date '2000-09-02' AND date '" + PERIOD[1] + "'"
-    return written(view(spark, sf_dir, f"SELECT invoice_id AS book, {cols.format('invoice_number')} UNION ALL SELECT -invoice_id AS book, {cols.format(chr(39) + 'INV/0' + chr(39) + ' || substr(invoice_number, 5, 8)')} AND invoice_id % 100 = 31"), "register")
+    """Live invoices, each in the periods whose statement may hold it; every hundredth also under a number with one more zero, which makes its line ambiguous."""
+    cols = "vendor_gstin_true AS gstin, {} AS number, invoice_date AS day, subtotal AS taxable, total_tax AS tax FROM live WHERE invoice_date IS NOT NULL"
+    rows = view(spark, sf_dir, f"SELECT invoice_id AS book, {cols.format('invoice_number')} UNION ALL SELECT -invoice_id AS book, {cols.format(chr(39) + 'INV/0' + chr(39) + ' || substr(invoice_number, 5, 8)')} AND invoice_id % 100 = 31")
+    month = lambda d: F.trunc(d, "month")
+    months = F.sequence(month(F.col("day")), month(F.date_add("day", LOOKBACK)), F.expr("interval 1 month"))
+    return written(rows.withColumn("period", F.explode(F.transform(months, lambda m: F.date_format(m, "yyyy-MM")))), "register")
 
 
 def rec_2b(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,21 +43,26 @@ def rec_2b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rec_2b_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    books = register(spark, sf_dir)
-    return matching.missing_in_statement(books, matching.reconcile(statement(spark, sf_dir), books), *PERIOD)
+    lines, books = statement(spark, sf_dir), register(spark, sf_dir)
+    return matching.missing_by_period(books, lines, written(matching.reconcile(lines, books), "reconciled"))
 
 
 def rec_2b_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.blocks(statement(spark, sf_dir), register(spark, sf_dir)).select("line", "book", "agree")
 
 
+def jn_block_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates: equal numbers, or similar ones with agreeing amounts, within a tax id and period."""
+    return matching.candidates(statement(spark, sf_dir), register(spark, sf_dir)).select("line", "book", F.round("score", 6).alias("score"))
+
+
 def _blocks_sql(d: dialect.Dialect) -> str:
     n = normal_number
-    return f"""WITH s AS (SELECT record_id AS line, supplier_gstin AS gstin, invoice_number AS number, taxable_value AS taxable, total_tax AS tax FROM records WHERE invoice_date BETWEEN date '{PERIOD[0]}' AND date '{PERIOD[1]}'),
-      b0 AS (SELECT * FROM live WHERE invoice_date BETWEEN date '2000-09-02' AND date '{PERIOD[1]}'),
-      b AS (SELECT invoice_id AS book, vendor_gstin_true AS gstin, invoice_number AS number, subtotal AS taxable, total_tax AS tax FROM b0 UNION ALL SELECT -invoice_id, vendor_gstin_true, 'INV/0' || substr(invoice_number, 5, 8), subtotal, total_tax FROM b0 WHERE invoice_id % 100 = 31)
+    return f"""WITH s AS (SELECT record_id AS line, return_period AS period, supplier_gstin AS gstin, invoice_number AS number, taxable_value AS taxable, total_tax AS tax FROM records WHERE return_period IS NOT NULL),
+      b0 AS (SELECT * FROM live WHERE invoice_date IS NOT NULL),
+      b AS (SELECT invoice_id AS book, invoice_date AS day, vendor_gstin_true AS gstin, invoice_number AS number, subtotal AS taxable, total_tax AS tax FROM b0 UNION ALL SELECT -invoice_id, invoice_date, vendor_gstin_true, 'INV/0' || substr(invoice_number, 5, 8), subtotal, total_tax FROM b0 WHERE invoice_id % 100 = 31)
       SELECT s.line, b.book, coalesce({close('s.taxable', 'b.taxable', '1.00')}, s.taxable IS NULL AND b.taxable IS NULL) AND coalesce({close('s.tax', 'b.tax', '1.00')}, s.tax IS NULL AND b.tax IS NULL) AS agree
-      FROM s JOIN b ON upper(s.gstin) = upper(b.gstin) WHERE ({n(d, 's.number')} = {n(d, 'b.number')} AND {n(d, 's.number')} <> '')
+      FROM s JOIN b ON upper(s.gstin) = upper(b.gstin) AND b.day <= last_day(cast(s.period || '-01' AS date)) AND strftime(b.day + INTERVAL {LOOKBACK} DAY, '%Y-%m') >= s.period WHERE ({n(d, 's.number')} = {n(d, 'b.number')} AND {n(d, 's.number')} <> '')
       OR ({close('s.taxable', 'b.taxable', '1.00')} AND {close('s.tax', 'b.tax', '1.00')} AND {n(d, 's.number')} <> {n(d, 'b.number')})"""
 
 
@@ -107,26 +117,43 @@ def win_loo_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LOO_SQL = """WITH a AS (SELECT vendor_id, invoice_id, cast(grand_total AS double) AS amount FROM live WHERE grand_total > 0),
   m AS (SELECT x.vendor_id, x.invoice_id, x.amount, median(o.amount) AS med, count(*) AS others FROM a x JOIN a o ON x.vendor_id = o.vendor_id AND x.invoice_id <> o.invoice_id GROUP BY ALL),
-  d AS (SELECT m.invoice_id, median(abs(o.amount - m.med)) AS mad FROM m JOIN a o ON m.vendor_id = o.vendor_id AND m.invoice_id <> o.invoice_id GROUP BY m.invoice_id)
-  SELECT m.invoice_id, round(med, 4) AS median, round(CASE WHEN mad > 0 THEN (amount - med) / (1.4826 * mad) END, 6) AS z FROM m JOIN d ON m.invoice_id = d.invoice_id WHERE others >= 4"""
+  d AS (SELECT m.invoice_id, median(abs(o.amount - m.med)) AS mad, stddev_pop(o.amount) AS sd, count(DISTINCT o.amount) AS different FROM m JOIN a o ON m.vendor_id = o.vendor_id AND m.invoice_id <> o.invoice_id GROUP BY m.invoice_id)
+  SELECT m.invoice_id, round(med, 4) AS median, round(abs(amount - med) / CASE WHEN mad > 0 THEN 1.4826 * mad WHEN different > 1 THEN sd END, 6) AS z FROM m JOIN d ON m.invoice_id = d.invoice_id WHERE others >= 4"""
+
+
+def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(view(spark, sf_dir, "SELECT i.vendor_id AS vendor, lower(trim(l.description)) AS item, l.invoice_id, l.line_no, cast(l.unit_price AS double) AS price FROM invoice_lines l JOIN live i ON l.invoice_id = i.invoice_id"), "prices")
+
+
+def win_price_dev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anomaly.price_deviation(_prices(spark, sf_dir)).withColumn("median", F.round("median", 4))
+
+
+PRICE_SQL = """WITH p AS (SELECT i.vendor_id AS vendor, lower(trim(l.description)) AS item, l.invoice_id, l.line_no, cast(l.unit_price AS double) AS price FROM invoice_lines l JOIN live i ON l.invoice_id = i.invoice_id WHERE l.unit_price <> 0),
+  q AS (SELECT *, count(*) OVER (PARTITION BY vendor, item) AS n FROM p),
+  m AS (SELECT q.invoice_id, q.line_no, q.price, median(o.price) AS med FROM q JOIN q o ON q.vendor = o.vendor AND q.item = o.item AND q.invoice_id <> o.invoice_id WHERE q.n >= 3 GROUP BY ALL)
+  SELECT invoice_id, line_no, price, round(med, 4) AS median FROM m WHERE abs(price - med) / med >= 0.3"""
 
 
 def anomaly_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(invoice_id, kind, score): branches of one shape, united."""
+    """(invoice_id, kind, score): branches of one shape, united; a branch names an invoice once."""
     z = anomaly.loo_robust_z(_amounts(spark, sf_dir), "vendor_id", "amount", "invoice_id").where("z >= 3.5")
     odd = z.select("invoice_id", F.lit("unusual_amount").alias("kind"), F.least(F.lit(95), F.floor(40 + F.round("z", 6) * 8).cast("int")).alias("score"))
-    rest = view(spark, sf_dir, RULES_SQL)
-    return odd.unionByName(rest)
+    dear = anomaly.price_deviation(_prices(spark, sf_dir)).select("invoice_id", F.lit("price_deviation").alias("kind"), F.lit(55).alias("score")).distinct()
+    return odd.unionByName(dear).unionByName(view(spark, sf_dir, RULES_SQL))
 
 
 RULES_SQL = """SELECT DISTINCT invoice_id, 'unusual_gst_rate' AS kind, 60 AS score FROM invoice_lines WHERE gst_rate = 7
   UNION ALL SELECT DISTINCT invoice_id, 'rate_for_code', 50 FROM findings WHERE code = 'HSN_RATE_MISMATCH'
+  UNION ALL SELECT invoice_id, 'abnormal_frequency', 45 FROM (SELECT invoice_id, count(*) OVER (PARTITION BY vendor_id, invoice_date) AS n FROM live WHERE invoice_date IS NOT NULL) f WHERE n >= 3
   UNION ALL SELECT invoice_id, 'duplicate_like', 70 FROM live WHERE possible_duplicate
   UNION ALL SELECT invoice_id, 'round_amount', 25 FROM live WHERE grand_total >= 50000 AND grand_total % 10000 = 0"""
 
 
 def _with_rates(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return view(spark, sf_dir, sql).join(anomaly.odd_rates(view(spark, sf_dir, "SELECT invoice_id, gst_rate FROM invoice_lines")), "invoice_id", "left")
+    rates = anomaly.odd_rates(view(spark, sf_dir, "SELECT invoice_id, gst_rate FROM invoice_lines"))
+    errors = view(spark, sf_dir, "SELECT DISTINCT invoice_id, true AS has_error FROM findings WHERE severity = 'ERROR'")
+    return view(spark, sf_dir, sql).join(rates, "invoice_id", "left").join(errors, "invoice_id", "left").join(view(spark, sf_dir, analytics.QUERIES["win_expand_mad"]), "invoice_id", "left")
 
 
 def ml_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +161,14 @@ def ml_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("invoice_id", *[F.round(f, 6).alias(f) for f in anomaly.FEATURES])
 
 
+FEATURES_SQL = f"""SELECT l.invoice_id, round(ln(1 + cast(nullif(l.grand_total, 0) AS double)), 6) AS log_amount, round(CASE WHEN l.subtotal > 0 THEN cast(l.total_tax AS double) / cast(l.subtotal AS double) END, 6) AS tax_ratio, round(x.deviation, 6) AS deviation,
+  cast(p.prior_30d AS double) AS prior_30d, round(g.log_gap, 6) AS log_gap, cast(nullif(l.n_lines, 0) AS double) AS n_lines, CASE WHEN l.grand_total >= 10000 AND l.grand_total % 1000 = 0 THEN 1e0 ELSE 0e0 END AS round_amount,
+  CASE WHEN dayofweek(l.invoice_date) = 0 THEN 1e0 ELSE 0e0 END AS sunday, round(CASE WHEN b.n >= 5 THEN b.rate END, 6) AS bad_rate, round(r.odd, 6) AS odd_rates
+  FROM live l JOIN ({analytics.QUERIES['win_prior_30d']}) p ON l.invoice_id = p.invoice_id JOIN ({analytics.QUERIES['win_gap_prev'](dialect.DUCKDB)}) g ON l.invoice_id = g.invoice_id JOIN ({analytics.QUERIES['win_expand_mad'](dialect.DUCKDB)}) x ON l.invoice_id = x.invoice_id
+  LEFT JOIN (SELECT invoice_id, avg(CASE WHEN gst_rate IN (0, 0.1, 0.25, 1, 1.5, 3, 5, 6, 7.5, 12, 18, 28, 40) THEN 0e0 ELSE 1e0 END) AS odd FROM invoice_lines GROUP BY invoice_id) r ON l.invoice_id = r.invoice_id
+  JOIN (SELECT invoice_id, count(*) OVER w AS n, avg(CASE WHEN gstr2b_status = 'MISSING_IN_2B' OR invoice_id IN (SELECT invoice_id FROM findings WHERE severity = 'ERROR') THEN 1e0 ELSE 0e0 END) OVER w AS rate FROM live WINDOW w AS ({analytics.FRAME})) b ON l.invoice_id = b.invoice_id"""
+
+
 def ml_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.detect(written(_with_rates(spark, sf_dir, "SELECT invoice_id, vendor_id, invoice_date, created_on, grand_total, subtotal, total_tax, n_lines, gstr2b_status FROM live"), "live"))
 
@@ -143,6 +178,34 @@ def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(forecast.series(rows, "series", "invoice_date", "grand_total"), "series")
 
 
+def ml_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anomaly.signals(written(anomaly.features(_with_rates(spark, sf_dir, "SELECT * FROM live")), "features"))
+
+
+def dup_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.upload_check(_uploads(spark, sf_dir))
+
+
+def dup_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.alternative_check(_uploads(spark, sf_dir))
+
+
+def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(view(spark, sf_dir, "SELECT invoice_id, vendor_gstin, invoice_number, invoice_date, document_hash, po_number, grand_total FROM live"), "uploads")
+
+
+def po_check_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return purchase_orders.check_alternative(written(view(spark, sf_dir, BILLED), "billed"), written(view(spark, sf_dir, PO_LINES), "ordered"))
+
+
+def recon_po_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return purchase_orders.line_view(written(view(spark, sf_dir, BILLED), "billed"), written(view(spark, sf_dir, PO_LINES), "ordered"))
+
+
+def ts_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecast.metrics(_series(spark, sf_dir), "series")
+
+
 def _model(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         got = _series(spark, sf_dir).select("series", F.posexplode(forecast.MODELS[name](F.col("y"), forecast.HORIZON)).alias("step", "value"))
@@ -167,25 +230,25 @@ def tax_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def src_2b_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records of a quarter written as statement files, one a supplier, and parsed back."""
-    rows = view(spark, sf_dir, f"SELECT * FROM records WHERE invoice_date BETWEEN date '{PERIOD[0]}' AND date '{PERIOD[1]}'")
+    """All records written as statement files, one a supplier and period, and parsed back."""
+    rows = view(spark, sf_dir, "SELECT * FROM records WHERE return_period IS NOT NULL")
     money = lambda c: F.col(c).cast("decimal(14,2)")
     item = F.struct(F.lit(1).alias("num"), money("taxable_value").alias("txval"), money("total_tax").alias("igst"))
     bill = F.struct(F.col("invoice_number").alias("inum"), F.date_format("invoice_date", "dd-MM-yyyy").alias("dt"), F.lit("N").alias("rev"), F.when(F.col("itc_available"), "Y").otherwise("N").alias("itcavl"), F.col("itc_reason").alias("rsn"), F.array(item).alias("items"))
-    by = rows.groupBy("supplier_gstin").agg(F.collect_list(bill).alias("inv"))  # a quarter of one supplier
-    doc = F.struct(F.lit("27AAPFU0939F1ZV").alias("gstin"), F.lit("032001").alias("rtnprd"), F.struct(F.array(F.struct(F.col("supplier_gstin").alias("ctin"), F.col("inv").alias("inv"))).alias("b2b")).alias("docdata"))
+    by = rows.groupBy("supplier_gstin", "return_period").agg(F.collect_list(bill).alias("inv"))  # a month of one supplier
+    doc = F.struct(F.lit("27AAPFU0939F1ZV").alias("gstin"), F.concat(F.substring("return_period", 6, 2), F.substring("return_period", 1, 4)).alias("rtnprd"), F.struct(F.array(F.struct(F.col("supplier_gstin").alias("ctin"), F.col("inv").alias("inv"))).alias("b2b")).alias("docdata"))
     path = f"{shared_folder(spark)}/statements-{uuid.uuid4().hex}"
     by.select(doc.alias("data")).write.json(path)
     got = files.statement_lines(spark.read.schema(files.STATEMENT).json(path))
     return got.select("supplier_gstin", "invoice_number", "invoice_date", "taxable_value", "igst", "itc_available", "itc_reason")
 
 
-SRC_SQL = f"SELECT supplier_gstin, invoice_number, invoice_date, cast(taxable_value AS decimal(18,2)) AS taxable_value, cast(coalesce(total_tax, 0) AS decimal(18,2)) AS igst, itc_available, itc_reason FROM records WHERE invoice_date BETWEEN date '{PERIOD[0]}' AND date '{PERIOD[1]}'"
+SRC_SQL = f"SELECT supplier_gstin, invoice_number, invoice_date, cast(taxable_value AS decimal(18,2)) AS taxable_value, cast(coalesce(total_tax, 0) AS decimal(18,2)) AS igst, itc_available, itc_reason FROM records WHERE return_period IS NOT NULL"
 
 
 def snk_replace_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
-    rows = view(spark, sf_dir, "SELECT record_id, return_period, total_tax FROM records WHERE return_period >= '2001-01'")
+    rows = view(spark, sf_dir, "SELECT record_id, return_period, total_tax FROM records")
     files.replace_period(rows, path)
     files.replace_period(rows.where("return_period = '2001-02'").withColumn("total_tax", F.lit(0).cast(rows.schema["total_tax"].dataType)), path)
     return spark.read.parquet(path).select("record_id", F.col("return_period").cast("string").alias("return_period"), "total_tax")
@@ -199,11 +262,11 @@ def snk_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _stream(job: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def _stream(job: Callable[[DataFrame], DataFrame], keys: tuple[str, ...] = ()) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         # a pattern, since a stream's plain path must be a folder
         where = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-        return jobs.run_once(job(jobs.event_stream(spark, f"{sf_dir}/event[s].parquet")), f"{where}/out", f"{where}/checkpoint")
+        return jobs.run_once(job(jobs.event_stream(spark, f"{sf_dir}/event[s].parquet")), f"{where}/out", f"{where}/checkpoint", keys)
 
     return query
 
@@ -215,23 +278,43 @@ def fn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "rec_2b": rec_2b, "rec_2b_missing": rec_2b_missing, "rec_2b_blocks": rec_2b_blocks, "jn_band_dup_pairs": jn_band_dup_pairs, "dup_score": dup_score, "dup_scan": dup_scan, "po_check": po_check, "jn_po_best": jn_po_best,
-    "jn_po_greedy": jn_po_greedy, "win_loo_median": win_loo_median, "anomaly_rules": anomaly_rules, "ml_features": ml_features, "ml_anomaly": ml_anomaly,
+    "rec_2b": rec_2b, "rec_2b_missing": rec_2b_missing, "rec_2b_blocks": rec_2b_blocks, "jn_block_fuzzy": jn_block_fuzzy, "jn_band_dup_pairs": jn_band_dup_pairs, "dup_score": dup_score, "dup_scan": dup_scan, "po_check": po_check, "jn_po_best": jn_po_best,
+    "jn_po_greedy": jn_po_greedy, "win_loo_median": win_loo_median, "win_price_dev": win_price_dev, "anomaly_rules": anomaly_rules, "ml_features": ml_features, "ml_anomaly": ml_anomaly,
     **{f"ts_{n}": _model(m) for n, m in (("naive", "naive"), ("seasonal", "seasonal"), ("ma3", "moving_average"), ("trend", "linear"), ("ses", "ses"), ("holt", "holt"))},
+    "ml_signals": ml_signals, "dup_upload": dup_upload, "dup_alt": dup_alt, "po_check_alt": po_check_alt, "recon_po_view": recon_po_view, "ts_metrics": ts_metrics,
     "ts_select": ts_select, "tax_regime": tax_regime, "src_2b_json": src_2b_json, "snk_replace_partition": snk_replace_partition, "snk_idempotent": snk_idempotent, "fn_similarity": fn_similarity,
-    "st_alert": _stream(lambda e: jobs.alerts(e, "error", "1 hour", "15 minutes", 2)), "st_idempotent": _stream(jobs.once), "st_auth_dedup": _stream(jobs.quiet_repeats),
+    "st_alert": _stream(lambda e: jobs.alerts(e, "error", "1 hour", "15 minutes", 2), ("start", "user_id")), "st_idempotent": _stream(jobs.once), "st_auth_dedup": _stream(jobs.quiet_repeats),
 }
 
+def _regime_sql(regime: str) -> str:
+    slabs, standard, limit, most, marginal = tax.REGIMES[regime]
+    off = f"least({standard}, salary)" + (f" + least({tax.CAPS['sec_80c']}, sec_80c)" if regime == "old" else "")
+    lower, parts = 0, []
+    for upper, rate in slabs:
+        parts.append(f"greatest(0, {'taxable' if upper is None else f'least(taxable, {upper})'} - {lower}) * {rate} / 100e0")
+        lower = upper
+    over = "greatest(0, slab - (taxable - {limit}))".format(limit=limit) if marginal else "0"
+    return f"""SELECT person, '{regime}' AS regime, taxable, relief, slab - relief + round((slab - relief) * {tax.CESS} / 100) AS tax FROM (SELECT *, cast(CASE WHEN taxable <= {limit} THEN least(slab, {most}) ELSE {over} END AS double) AS relief FROM (
+      SELECT *, round({' + '.join(parts)}) AS slab FROM (SELECT person, round(greatest(0, salary - ({off}))) AS taxable FROM (SELECT c_custkey AS person, cast(c_custkey * 7919 % 3000000 AS double) AS salary, cast(c_custkey * 31 % 200000 AS double) AS sec_80c FROM customer) c) t) s) r"""
+
+
 ORACLES: dict[str, dialect.Template] = {
+    "tax_regime": f"{_regime_sql('new')} UNION ALL {_regime_sql('old')}",
+    "ml_features": FEATURES_SQL,
+    "st_alert": "SELECT w AS start, user_id, count(*) AS n FROM (SELECT user_id, unnest([time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE for k in [0, 1, 2, 3]]) AS w FROM events WHERE event_type = 'error') e GROUP BY 1, 2 HAVING count(*) >= 2",
+    "st_idempotent": "SELECT * FROM events",
+    "st_auth_dedup": """WITH RECURSIVE e AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'signup'), kept AS (SELECT user_id, min(ts) AS ts FROM e GROUP BY user_id UNION ALL SELECT e.user_id, min(e.ts) FROM kept k JOIN e ON e.user_id = k.user_id AND e.ts >= k.ts + INTERVAL 10 MINUTE GROUP BY e.user_id)
+      SELECT k.user_id, k.ts, min(e.event_id) AS event_id FROM kept k JOIN e ON k.user_id = e.user_id AND k.ts = e.ts GROUP BY 1, 2""",
     "rec_2b_blocks": _blocks_sql,
     "jn_band_dup_pairs": "SELECT a.invoice_id AS invoice_a, b.invoice_id AS invoice_b FROM live a JOIN live b ON a.vendor_id = b.vendor_id AND a.invoice_id < b.invoice_id WHERE abs(datediff('day', a.invoice_date, b.invoice_date)) <= 180 UNION SELECT a.invoice_id, b.invoice_id FROM live a JOIN live b ON a.document_hash = b.document_hash AND a.invoice_id < b.invoice_id",
     "win_loo_median": LOO_SQL,
-    "anomaly_rules": f"SELECT invoice_id, 'unusual_amount' AS kind, cast(least(95, floor(40 + z * 8)) AS int) AS score FROM ({LOO_SQL}) l WHERE z >= 3.5 UNION ALL {RULES_SQL}",
+    "anomaly_rules": f"SELECT invoice_id, 'unusual_amount' AS kind, cast(least(95, floor(40 + z * 8)) AS int) AS score FROM ({LOO_SQL}) l WHERE z >= 3.5 UNION ALL SELECT DISTINCT invoice_id, 'price_deviation', 55 FROM ({PRICE_SQL}) p UNION ALL {RULES_SQL}",
+    "win_price_dev": PRICE_SQL,
     "ts_naive": f"{LAST_SQL} SELECT series, cast(step AS int) AS step, round(v, 2) AS value FROM k, (VALUES (1), (2), (3)) AS t(step) WHERE k = 1",
     "ts_seasonal": f"{LAST_SQL} SELECT series, cast(13 - k AS int) AS step, round(v, 2) AS value FROM k WHERE k BETWEEN 10 AND 12",
     "ts_ma3": f"{LAST_SQL} SELECT series, cast(step AS int) AS step, round(avg(v), 2) AS value FROM k, (VALUES (1), (2), (3)) AS t(step) WHERE k <= 3 GROUP BY 1, 2",
     "ts_trend": f"WITH {SERIES}, x AS (SELECT series, v, row_number() OVER (PARTITION BY series ORDER BY month) - 1 AS x FROM s), r AS (SELECT series, regr_slope(v, x) AS b, regr_intercept(v, x) AS a, count(*) AS n FROM x GROUP BY 1) SELECT series, cast(step AS int) AS step, round(greatest(0, a + b * (n + step - 1)), 2) AS value FROM r, (VALUES (1), (2), (3)) AS t(step)",
     "src_2b_json": SRC_SQL,
-    "snk_replace_partition": "SELECT record_id, return_period, CASE WHEN return_period = '2001-02' THEN 0 ELSE total_tax END AS total_tax FROM records WHERE return_period >= '2001-01'",
+    "snk_replace_partition": "SELECT record_id, return_period, CASE WHEN return_period = '2001-02' THEN 0 ELSE total_tax END AS total_tax FROM records",
     "snk_idempotent": "SELECT event_id, user_id, event_type FROM events WHERE event_type = 'purchase'",
 }
