@@ -176,3 +176,117 @@ def test_csv_and_json_sinks(spark, tmp_path):
     files.write_ndjson(spark.range(3), str(tmp_path / "n"))
     files.write_csv(spark.range(3), str(tmp_path / "c"))
     assert spark.read.json(str(tmp_path / "n")).count() == spark.read.csv(str(tmp_path / "c"), header=True).count() == 3
+
+
+def test_periods_are_reconciled_each_by_itself(spark):
+    lines = spark.createDataFrame([(0, "p1", G, "A-1", DAY, Decimal(10), Decimal(2)), (1, "p2", G, "A-1", DAY, Decimal(10), Decimal(2)), (2, "p2", G, "B-9", DAY, Decimal(7), Decimal(1))], LINE.replace("gstin", "period string, gstin", 1))
+    books = spark.createDataFrame([(5, p, G, "A/1", DAY, Decimal(10), Decimal(2)) for p in ("p1", "p2")] + [(6, "p1", G, "B9", DAY, Decimal(7), Decimal(1))], BOOK.replace("gstin", "period string, gstin", 1))
+    got = {r.line: (r.book, r.status) for r in matching.reconcile(lines, books).collect()}
+    assert got == {0: (5, "MATCHED"), 1: (5, "MATCHED"), 2: (None, "MISSING_IN_BOOKS")}
+
+
+def test_candidates_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    number = lambda: "INV" + "".join(str(x) for x in rng.integers(0, 3, 4))
+    left = [(i, G if i % 3 else H, number(), DAY, int(rng.integers(1, 4)) * 1000, 10) for i in range(40)]
+    right = [(i, G if i % 2 else H, number(), DAY, int(rng.integers(1, 4)) * 1000, 10) for i in range(40)]
+    got = {(r.line, r.book) for r in matching.candidates(rows(spark, LINE, *left), rows(spark, BOOK, *right)).collect()}
+    norm = lambda x: __import__("re").sub("0+([0-9])", r"\1", x)
+    want = {(a[0], b[0]) for a in left for b in right if a[1] == b[1] and (norm(a[2]) == norm(b[2]) or (a[4] == b[4] and number_similarity(norm(a[2]), norm(b[2])) >= 0.8))}
+    assert got == want and len(want) > 20
+
+
+UPLOAD = "invoice_id long, vendor_gstin string, invoice_number string, invoice_date date, document_hash string, po_number string, grand_total decimal(14,2)"
+
+
+def test_upload_checks(spark):
+    far = date(2026, 5, 20)
+    data = [
+        (1, G, "INV-100", DAY, "a", None, 500), (2, G, "INV-100", far, "a", None, 500), (3, G, "INV-200", DAY, "c", "P1", 900), (4, G, "INV-201", date(2026, 4, 12), "d", None, 900), (5, G, "INV-209", DAY, "e", None, 1),
+        (6, G, "QQ", None, "f", "P1", 900), (7, H, "INV-200", DAY, "g", None, 900), (8, G, "INV-200", far, "h", None, 7), (9, None, "INV-200", DAY, "i", None, 900), (10, G, None, DAY, "j", None, 900),
+    ]
+    df = spark.createDataFrame([(*r[:6], Decimal(r[6])) for r in data], UPLOAD)
+    got = {(r.invoice_id, r.code, r.other) for r in duplicates.upload_check(df).collect()}
+    exact = {(1, "DUPLICATE_EXACT_FILE", 2), (2, "DUPLICATE_EXACT_FILE", 1)}
+    near = lambda a, b: not (a[3] and b[3]) or abs((a[3] - b[3]).days) <= 3
+    want = set()
+    for a in data:
+        for b in data:
+            if a[0] != b[0] and a[0] > 2 and a[1] and a[1] == b[1] and a[2] and b[2] and near(a, b):
+                s = sequence_ratio(a[2], b[2])
+                if s > 0.97 or (s >= 0.8 and abs(a[6] - b[6]) <= 1):
+                    want.add((a[0], "DUPLICATE_LIKELY", b[0]))
+    assert got == exact | want and {(3, "DUPLICATE_LIKELY", 4), (4, "DUPLICATE_LIKELY", 3)} <= got
+    alt = {(r.invoice_id, r.other): (r.code, r.score) for r in duplicates.alternative_check(df).collect()}
+    assert alt[1, 2] == ("D001", 1.0) and alt[3, 8] == ("D002", 0.98) and alt[3, 4][0] == "D003" and alt[3, 6] == ("D003", 0.75) and (3, 7) not in alt and (3, 5) not in alt
+
+
+def test_alternative_order_rules(spark):
+    schema = "invoice_id long, line_no int, po_number string, description string, hsn_sac string, quantity decimal(14,3), unit_price decimal(14,2)"
+    q = lambda i, po, n, p=100, text="steel rods": (i, 1, po, text, "7214", Decimal(n), Decimal(p))
+    lines = spark.createDataFrame([q(1, "P", 10), q(2, "P", 11), q(3, "P", 5, 110), q(5, None, 1), q(6, "NO", 1), (7, 1, "P", "zzz", "0101", Decimal(1), Decimal(1))], schema)
+    po = spark.createDataFrame([("P", 1, "steel rods", "7214", Decimal(10), Decimal(100))], "po_number string, line_no int, description string, hsn_sac string, quantity decimal(14,3), unit_price decimal(14,2)")
+    got = {(r.invoice_id, r.code) for r in purchase_orders.check_alternative(lines, po).collect()}
+    assert got == {(2, "R020"), (3, "R021"), (3, "R030"), (5, "R001"), (6, "R002"), (7, "R010"), (7, "R040")}
+
+
+def test_unusual_amounts_both_ways_and_without_spread(spark):
+    data = [(1, i, 100.0) for i in range(6)] + [(1, 6, 1.0)] + [(2, 10 + i, float(x)) for i, x in enumerate((100, 101, 99, 102, 98, 5))] + [(3, 30 + i, 7.0) for i in range(5)] + [(4, 40, 1.0)]
+    got = {r.i: r.z for r in anomaly.loo_robust_z(spark.createDataFrame(data, "k long, i long, v double"), "k", "v", "i").collect()}
+    sd = np.std([100.0] * 5 + [1.0])
+    assert got[15] > 3.5 and got[0] == 0 and got[6] is None and got[30] is None and 40 not in got
+    assert got[1] == pytest.approx(0 / sd)
+
+
+def test_price_deviation(spark):
+    data = [("v", "tape", 1, 1, 100.0), ("v", "tape", 1, 2, 200.0), ("v", "tape", 2, 1, 100.0), ("v", "tape", 3, 1, 131.0), ("v", "glue", 1, 3, 1.0), ("v", "glue", 2, 2, 9.0), ("w", "tape", 9, 1, 500.0)]
+    got = {(r.invoice_id, r.line_no): r.median for r in anomaly.price_deviation(spark.createDataFrame(data, "vendor string, item string, invoice_id long, line_no int, price double")).collect()}
+    assert got == {(1, 2): 115.5, (3, 1): 100.0}
+
+
+def test_signals(spark):
+    base = [(i, *[float(i % 5)] * len(anomaly.FEATURES)) for i in range(50)]
+    odd = (99, *[100.0 if f == "log_gap" else 2.0 for f in anomaly.FEATURES])
+    df = spark.createDataFrame([*base, odd], "invoice_id long, " + ", ".join(f"{f} double" for f in anomaly.FEATURES))
+    got = [(r.feature, r.direction) for r in anomaly.signals(df).where("invoice_id = 99").collect()]
+    assert got == [("log_gap", "higher")]
+
+
+def test_forecast_metrics(spark):
+    y = [float(x) for x in (10, 12, 11, 13, 12, 14, 13, 15, 14, 16, 15, 20)]
+    got = {r.model: r for r in forecast.metrics(spark.createDataFrame([("a", y), ("short", y[:5])], "k string, y array<double>"), "k").collect()}
+    err = np.array(y[-3:]) - y[-4]
+    assert got["naive"].mae == round(np.abs(err).mean(), 2) and got["naive"].rmse == round(np.sqrt((err**2).mean()), 2)
+    assert got["naive"].mase == round(np.abs(err).mean() / np.abs(np.diff(y[:-3])).mean(), 3)
+
+
+def test_streams_reach_the_end_of_their_data(spark, tmp_path):
+    from taxloom.streaming import jobs
+
+    times = ["10:00:00", "10:05:00", "10:09:59", "10:10:00", "10:15:00", "10:20:01", "23:59:00"]
+    rows_ = [(i, f"2024-01-0{1 + (i > 5)} {t}", 7, "signup", 1.0, "{}") for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows_, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    df.selectExpr("event_id", "cast(ts as timestamp_ntz) as ts", "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/in")
+    stream = jobs.event_stream(spark, f"{tmp_path}/in")
+    kept = jobs.run_once(jobs.quiet_repeats(stream), f"{tmp_path}/out", f"{tmp_path}/c1")
+    assert sorted(r.event_id for r in kept.collect()) == [0, 3, 5, 6]
+    some = jobs.run_once(jobs.alerts(stream, "signup", "1 hour", "1 hour", 1), f"{tmp_path}/out2", f"{tmp_path}/c2", ("start", "user_id"))
+    assert sorted((str(r.start), r.n) for r in some.collect()) == [("2024-01-01 10:00:00", 6), ("2024-01-02 23:00:00", 1)]
+
+
+def test_inbox_takes_each_file_once_and_tries_again(spark, tmp_path):
+    from taxloom.streaming import jobs
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text('{"x":1}\n{"x":2}\n')
+    seen, failures = [], [1]
+
+    def take(df, i):
+        if failures and failures.pop():
+            raise ValueError("not yet")
+        seen.extend(r.x for r in df.collect())
+
+    args = (str(tmp_path / "in"), "x long", str(tmp_path / "checkpoint"), take)
+    assert jobs.inbox(spark, *args) == 1 and sorted(seen) == [1, 2]
+    (tmp_path / "in/b.json").write_text('{"x":3}\n')
+    assert jobs.inbox(spark, *args) == 1 and sorted(seen) == [1, 2, 3] and jobs.inbox(spark, *args) == 0
