@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from taxloom.llm.common import dealt_out, materialize
 
 #: Bounds of the sample that a model is fitted on.
-DOCS_PER_LANG, WORDS_PER_LANG, LANGS = 500, 60_000, 64
+DOCS_PER_LANG, WORDS_PER_LANG, LANGS = 250, 25_000, 64
 #: Words of a training stretch.
 STRETCH = 48
 ROUNDS, RATE, SHRINK = 40, 0.3, 1e-4
 SLOTS = 1 << 17
-CELLS = 1 << 18
-CACHED_WORDS = 300_000
+CELLS = 1 << 17
+CACHED_WORDS = 100_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
