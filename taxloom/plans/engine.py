@@ -161,10 +161,12 @@ def ml_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("invoice_id", *[F.round(f, 6).alias(f) for f in anomaly.FEATURES])
 
 
+#: The gap without the query's own rounding, so that it is rounded once.
+UNROUNDED_GAP = analytics.QUERIES["win_gap_prev"](dialect.DUCKDB).replace("round(ln(", "(ln(").replace("), 9) AS log_gap", ")) AS log_gap")
 FEATURES_SQL = f"""SELECT l.invoice_id, round(ln(1 + cast(nullif(l.grand_total, 0) AS double)), 6) AS log_amount, round(CASE WHEN l.subtotal > 0 THEN cast(l.total_tax AS double) / cast(l.subtotal AS double) END, 6) AS tax_ratio, round(x.deviation, 6) AS deviation,
   cast(p.prior_30d AS double) AS prior_30d, round(g.log_gap, 6) AS log_gap, cast(nullif(l.n_lines, 0) AS double) AS n_lines, CASE WHEN l.grand_total >= 10000 AND l.grand_total % 1000 = 0 THEN 1e0 ELSE 0e0 END AS round_amount,
   CASE WHEN dayofweek(l.invoice_date) = 0 THEN 1e0 ELSE 0e0 END AS sunday, round(CASE WHEN b.n >= 5 THEN b.rate END, 6) AS bad_rate, round(r.odd, 6) AS odd_rates
-  FROM live l JOIN ({analytics.QUERIES['win_prior_30d']}) p ON l.invoice_id = p.invoice_id JOIN ({analytics.QUERIES['win_gap_prev'](dialect.DUCKDB)}) g ON l.invoice_id = g.invoice_id JOIN ({analytics.QUERIES['win_expand_mad'](dialect.DUCKDB)}) x ON l.invoice_id = x.invoice_id
+  FROM live l JOIN ({analytics.QUERIES['win_prior_30d']}) p ON l.invoice_id = p.invoice_id JOIN ({UNROUNDED_GAP}) g ON l.invoice_id = g.invoice_id JOIN ({analytics.QUERIES['win_expand_mad'](dialect.DUCKDB)}) x ON l.invoice_id = x.invoice_id
   LEFT JOIN (SELECT invoice_id, avg(CASE WHEN gst_rate IN (0, 0.1, 0.25, 1, 1.5, 3, 5, 6, 7.5, 12, 18, 28, 40) THEN 0e0 ELSE 1e0 END) AS odd FROM invoice_lines GROUP BY invoice_id) r ON l.invoice_id = r.invoice_id
   JOIN (SELECT invoice_id, count(*) OVER w AS n, avg(CASE WHEN gstr2b_status = 'MISSING_IN_2B' OR invoice_id IN (SELECT invoice_id FROM findings WHERE severity = 'ERROR') THEN 1e0 ELSE 0e0 END) OVER w AS rate FROM live WINDOW w AS ({analytics.FRAME})) b ON l.invoice_id = b.invoice_id"""
 
