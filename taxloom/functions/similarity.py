@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -59,6 +60,17 @@ def sequence_ratio(a: str | None, b: str | None) -> float:
     return SequenceMatcher(None, (a or "").lower().strip(), (b or "").lower().strip()).ratio()
 
 
+def description_similarity(a: str | None, b: str | None) -> float:
+    """Of two descriptions in lower-case letters and digits: 0 if either is empty, else the better of matching blocks and common words, and 0.9 at least where
+    one holds the other."""
+    x, y = (re.sub(r"[^a-z0-9 ]", " ", (t or "").lower()).strip() for t in (a, b))
+    if not x or not y:
+        return 0.0
+    p, q = set(x.split()), set(y.split())
+    words = 0.9 if x in y or y in x else len(p & q) / len(p | q)
+    return max(words, SequenceMatcher(None, x, y).ratio())
+
+
 def _udf(f):
     def pairs(a: pd.Series, b: pd.Series) -> pd.Series:
         seen: dict[tuple, float] = {}
@@ -77,3 +89,4 @@ indel = _udf(lambda a, b: indel_ratio(a or "", b or ""))
 number_similarity_udf = _udf(number_similarity)
 token_set_udf = _udf(token_set)
 sequence_ratio_udf = _udf(sequence_ratio)
+description_similarity_udf = _udf(description_similarity)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FEATURES = ("log_amount", "tax_ratio", "deviation", "prior_30d", "log_gap", "n_lines", "round_amount", "sunday", "bad_rate", "odd_rates")
+#: Scores of an invoice, and the earlier invoices of its vendor from which on its history says something.
+SCORES, LEAST_HISTORY = ("robust_z", "forest_score"), 5
 #: GST rates in per cent; ``odd_rates`` is the share of lines at others.
 STANDARD = (0, 0.1, 0.25, 1, 1.5, 3, 5, 6, 7.5, 12, 18, 28, 40)
 
@@ -73,7 +76,7 @@ def odd_rates(lines: DataFrame) -> DataFrame:
 
 
 def features(invoices: DataFrame) -> DataFrame:
-    """``invoices`` carry their ``odd_rates``, ``has_error`` and ``deviation`` from the vendor's earlier amounts.  One row of ``FEATURES`` per invoice; only strictly earlier invoices of the vendor count.  Null is unknown."""
+    """``invoices`` carry their ``odd_rates``, ``has_error`` and ``deviation`` from the vendor's earlier amounts.  One row of ``FEATURES`` per invoice, and ``history``, how many earlier ones its vendor has; only strictly earlier invoices of the vendor count.  Null is unknown."""
     order = Window.partitionBy("vendor_id").orderBy("on_day", "created_on", "invoice_id")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     days = Window.partitionBy("vendor_id").orderBy(F.datediff("on_day", F.lit("1970-01-01"))).rangeBetween(-30, 0)
@@ -87,7 +90,7 @@ def features(invoices: DataFrame) -> DataFrame:
         F.nullif(F.col("n_lines").cast("double"), F.lit(0.0)).alias("n_lines"), F.when((amount >= 10000) & (amount % 1000 == 0), 1.0).otherwise(0.0).alias("round_amount"),
         F.when(F.dayofweek("invoice_date") == 1, 1.0).otherwise(0.0).alias("sunday"),
         F.when(F.count(one).over(before) >= 5, F.avg(((F.coalesce(F.col("gstr2b_status"), F.lit("")) == "MISSING_IN_2B") | F.coalesce("has_error", F.lit(False))).cast("double")).over(before)).alias("bad_rate"),
-        "odd_rates", "deviation",
+        "odd_rates", "deviation", F.count(one).over(before).alias("history"),
     )
 
 
@@ -164,19 +167,50 @@ def forest_score(rows: DataFrame, forest: list[list[tuple]], psi: int) -> DataFr
     return rows.withColumn("forest_score", F.pandas_udf(score, "double")(*FEATURES))
 
 
-def detect(invoices: DataFrame, sample: int = 20_000) -> DataFrame:
-    """(invoice_id, robust_z, forest_score, priority); the forest is grown on at most about ``sample`` rows by a hash of the id."""
-    rows = features(invoices)
-    c = centres(rows)
+class Model(NamedTuple):
+    """What scoring needs, all of bounded size: centres and scales, the forest, and thousandths of both scores over the rows it was fitted on."""
+
+    centres: dict[str, tuple[float, float]]
+    forest: list[list[tuple]]
+    psi: int
+    thousandths: dict[str, list[float]]
+    trained_on: int
+
+
+def fit(rows: DataFrame, sample: int = 20_000) -> Model | None:
+    """The model of ``rows`` of features (a written table); the forest is grown on at most about ``sample`` of them by a hash of the id.  None without rows."""
+    c, n = centres(rows), rows.count()
     filled = robust_z(rows, c)
-    n = invoices.count()
     some = filled.where(F.pmod(F.xxhash64("invoice_id"), F.lit(1_000_000)) < 1_000_000 * min(1.0, sample / max(n, 1))).select("invoice_id", *FEATURES).orderBy("invoice_id").toPandas()
     if some.empty:
-        return filled.select("invoice_id", "robust_z", F.lit(0.5).alias("forest_score"), F.lit("normal").alias("priority"))
-    scored = forest_score(filled, *grow_forest(some[list(FEATURES)].to_numpy(float)))
-    cuts = scored.agg(F.percentile_approx("forest_score", [0.93, 0.98], 10_000).alias("f"), F.percentile_approx("robust_z", [0.93, 0.98], 10_000).alias("z")).first()
-    over = lambda i: (F.col("forest_score") > cuts["f"][i]) | (F.col("robust_z") > cuts["z"][i])
-    return scored.select("invoice_id", F.round("robust_z", 6).alias("robust_z"), F.round("forest_score", 6).alias("forest_score"), F.when(over(1), "high").when(over(0), "medium").otherwise("normal").alias("priority"))
+        return None
+    forest, psi = grow_forest(some[list(FEATURES)].to_numpy(float))
+    parts = [i / 1000 for i in range(1, 1001)]
+    got = forest_score(filled, forest, psi).agg(*[F.percentile_approx(s, parts, 10_000).alias(s) for s in SCORES]).first()
+    return Model(c, forest, psi, {s: list(got[s]) for s in SCORES}, n)
+
+
+def ensemble(rows: DataFrame, model: Model) -> DataFrame:
+    """``rows`` of features, of a batch or a stream, with both scores, ``rank_pct`` (the higher of their percentiles among the rows of the model, in tenths),
+    ``priority`` and ``sufficiency``, which says whether vendor and model have seen enough."""
+    scored = forest_score(robust_z(rows, model.centres), model.forest, model.psi)
+
+    def rank(*scores: pd.Series) -> pd.Series:
+        ranks = [np.searchsorted(model.thousandths[s], x.to_numpy(float), side="right") for s, x in zip(SCORES, scores, strict=True)]
+        return pd.Series(np.maximum(*ranks) / 10.0)
+
+    enough = F.when((F.col("history") >= LEAST_HISTORY) & F.lit(model.trained_on >= 50), "sufficient").when(F.lit(model.trained_on >= 20), "limited").otherwise("insufficient")
+    ranked = scored.withColumn("rank_pct", F.pandas_udf(rank, "double")(*SCORES))
+    return ranked.withColumn("priority", F.when(F.col("rank_pct") >= 98, "high").when(F.col("rank_pct") >= 93, "medium").otherwise("low")).withColumn("sufficiency", enough)
+
+
+def detect(rows: DataFrame, sample: int = 20_000) -> DataFrame:
+    """(invoice_id, robust_z, forest_score, rank_pct, priority, sufficiency) of ``rows`` of features (a written table), by the model of these rows."""
+    model = fit(rows, sample)
+    if model is None:
+        return rows.sparkSession.createDataFrame([], "invoice_id long, robust_z double, forest_score double, rank_pct double, priority string, sufficiency string")
+    got = ensemble(rows, model)
+    return got.select("invoice_id", *[F.round(s, 6).alias(s) for s in SCORES], "rank_pct", "priority", "sufficiency")
 
 
 def signals(rows: DataFrame, most: int = 5) -> DataFrame:

@@ -172,7 +172,8 @@ FEATURES_SQL = f"""SELECT l.invoice_id, round(ln(1 + cast(nullif(l.grand_total,
 
 
 def ml_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anomaly.detect(written(_with_rates(spark, sf_dir, "SELECT invoice_id, vendor_id, invoice_date, created_on, grand_total, subtotal, total_tax, n_lines, gstr2b_status FROM live"), "live"))
+    rows = _with_rates(spark, sf_dir, "SELECT invoice_id, vendor_id, invoice_date, created_on, grand_total, subtotal, total_tax, n_lines, gstr2b_status FROM live")
+    return anomaly.detect(written(anomaly.features(rows), "features"))
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ from decimal import Decimal
 import numpy as np
 import pytest
 
-from taxloom.functions.similarity import indel_ratio, number_similarity, osa, sequence_ratio, token_set
-from taxloom.operators import anomaly, duplicates, forecast, matching, purchase_orders, tax
+from taxloom.functions.similarity import description_similarity, indel_ratio, number_similarity, osa, sequence_ratio, token_set
+from taxloom.operators import anomaly, duplicates, evaluation, forecast, matching, purchase_orders, tax
+from taxloom.plans import stored
 from taxloom.sources import files
 
 LINE = "line long, gstin string, number string, day date, taxable decimal(14,2), tax decimal(14,2)"
@@ -24,6 +25,7 @@ def test_similarity():
     assert osa("AB", "BA") == 1 and osa("CA", "ABC") == 3 and osa("", "AB") == 2
     assert number_similarity("INV45", "INV45") == 1 and number_similarity("INV1234", "INV1243") >= 0.8 and number_similarity("A1", "ZZ99") < 0.5 and number_similarity("", "A") == 0
     assert indel_ratio("abcd", "abxd") == 0.75 and token_set("b a", "a b c") == 1 and token_set("", "a") == 0 and sequence_ratio(" Ab", "ab") == 1
+    assert description_similarity("Steel bolt M8", "bolt") == 0.9 and description_similarity("a-b", "A B") == 1 and description_similarity("--", "x") == 0 and description_similarity("red pen blue", "blue pen red") == 1
 
 
 def test_nine_outcomes(spark):
@@ -290,3 +292,40 @@ def test_inbox_takes_each_file_once_and_tries_again(spark, tmp_path):
     assert jobs.inbox(spark, *args) == 1 and sorted(seen) == [1, 2]
     (tmp_path / "in/b.json").write_text('{"x":3}\n')
     assert jobs.inbox(spark, *args) == 1 and sorted(seen) == [1, 2, 3] and jobs.inbox(spark, *args) == 0
+
+
+def test_bootstrap_interval(spark):
+    """Near the normal interval of a share; the same at any run; refused, empty and null cases."""
+    docs = spark.range(400).selectExpr("cast(id % 4 <> 0 as int) as hits", "1 as total").union(spark.sql("SELECT null, 1"))
+    got = evaluation.bootstrap(docs, "hits", "total").first()
+    half = 1.96 * (0.75 * 0.25 / 400) ** 0.5
+    assert got.accuracy == 0.75 and abs(got.low - (0.75 - half)) < 0.006 and abs(got.high - (0.75 + half)) < 0.006
+    assert got == evaluation.bootstrap(docs.repartition(3), "hits", "total").first()
+    assert evaluation.bootstrap(docs.limit(0), "hits", "total").first().accuracy is None
+    with pytest.raises(ValueError):
+        evaluation.bootstrap(docs, "hits", "total", most=1)
+
+
+def test_arrivals_score_as_a_batch_does(spark, data):
+    batch = {r.invoice_id: (r.rank_pct, r.priority) for r in stored.ml_ensemble(spark, data).collect()}
+    arrived = stored.st_score_on_arrival(spark, data).collect()
+    assert {r.invoice_id: (r.rank_pct, r.priority) for r in arrived} == batch and len(arrived) == len(batch)
+    first = {}
+    for r in spark.createDataFrame(stored.engine.view(spark, data, "SELECT invoice_id, document_hash FROM live").collect()).orderBy("invoice_id").collect():
+        first.setdefault(r.document_hash, r.invoice_id)
+        batch[r.invoice_id] = None if first[r.document_hash] == r.invoice_id else first[r.document_hash]
+    assert {r.invoice_id: r.duplicate_of for r in arrived} == batch and any(batch.values())
+
+
+def test_ranks_and_fill_against_numpy(spark, data):
+    """Medians fill nulls, and a rank is the share of rows at or below, to a tenth of a per cent."""
+    rows = stored._features(spark, data)
+    raw, filled = (t.orderBy("invoice_id").toPandas() for t in (rows, stored.ml_impute(spark, data)))
+    for f in anomaly.FEATURES:
+        middle = np.sort(raw[f].dropna().to_numpy(float))
+        want = raw[f].fillna(middle[(len(middle) - 1) // 2] if len(middle) else 0.0).to_numpy(float)
+        assert np.allclose(want, filled[f], atol=2e-6), f
+    got = anomaly.ensemble(rows, anomaly.fit(rows)).toPandas()
+    share = np.maximum(*[np.searchsorted(np.sort(got[s]), got[s], side="right") / len(got) * 100 for s in anomaly.SCORES])
+    assert np.abs(share - got["rank_pct"]).max() < 0.11 and set(got["priority"]) == {"high", "medium", "low"}
+    assert (got["sufficiency"] == "sufficient").sum() == (got["history"] >= 5).sum() > 0
