@@ -145,7 +145,7 @@ def _op4_sql() -> str:
     fits = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
     rule = " ".join(f"WHEN {fits(h, p)} THEN '{h + p}'" for h, p, _ in order)
     verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in order)
-    two = ", ".join(f"'{x}'" for x in url_reputation.TWO_LABEL_SUFFIXES)
+    two = ", ".join(f"'{x}'" for x in url_reputation.LONG_SUFFIXES)
     tail = lambda n: f"array_to_string(parts[greatest(len(parts) - {n - 1}, 1):], '.')"
     strength = lambda t: f"""(SELECT CASE WHEN coalesce(sum(m * (1 - m) * (n - 1)), 0) = 0 THEN CAST({url_reputation.DEFAULT_STRENGTH} AS DOUBLE) ELSE
       round(1 / least(greatest((sum(n * pow(CAST(x AS DOUBLE) / n - m, 2)) - sum(m * (1 - m))) / sum(m * (1 - m) * (n - 1)), 1 / (1 + CAST({url_reputation.MOST_STRENGTH} AS DOUBLE))), 1 / (1 + CAST({url_reputation.LEAST_STRENGTH} AS DOUBLE))) - 1, 6) END
@@ -157,10 +157,10 @@ WITH cut AS (
 ), marks AS (
   SELECT doc_id, max(CASE WHEN coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
 ), counted AS (
-  SELECT host, string_split(host, '.') AS parts, count(bad) AS n, coalesce(sum(bad), 0) AS x FROM cut LEFT JOIN marks ON page_id = doc_id GROUP BY host
+  SELECT host, regexp_replace(regexp_replace(host, '(?s)^.*@|:[0-9]*$', '', 'g'), '[.]$', '') AS named, string_split(named, '.') AS parts, count(bad) AS n, coalesce(sum(bad), 0) AS x FROM cut LEFT JOIN marks ON page_id = doc_id GROUP BY host
 ), hosts AS (
-  SELECT host, n, x, CASE WHEN {tail(2)} IN ({two}) THEN {tail(3)} ELSE {tail(2)} END AS domain,
-    CASE WHEN {tail(2)} IN ({two}) THEN {tail(2)} ELSE {tail(1)} END AS suffix FROM counted
+  SELECT host, n, x, CASE WHEN regexp_matches(named, '{url_reputation.NUMERIC}') THEN named WHEN {tail(2)} IN ({two}) THEN {tail(3)} ELSE {tail(2)} END AS domain,
+    CASE WHEN regexp_matches(named, '{url_reputation.NUMERIC}') THEN '{url_reputation.ADDRESSES}' WHEN {tail(2)} IN ({two}) THEN {tail(2)} ELSE {tail(1)} END AS suffix FROM counted
 ), whole AS (SELECT (coalesce(sum(x), 0) + 1) / CAST(coalesce(sum(n), 0) + 2 AS DOUBLE) AS m FROM hosts
 ), s0 AS (SELECT suffix, sum(n) AS n, sum(x) AS x, (SELECT m FROM whole) AS m FROM hosts GROUP BY suffix
 ), s1 AS (SELECT suffix, (x + m * s) / (x + m * s + n - x + (1 - m) * s) AS m FROM s0, (SELECT {strength("s0")} AS s)

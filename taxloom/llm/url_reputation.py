@@ -11,7 +11,9 @@ partial count per task and its pages are joined to one row.
 
 Cases: a null url, or one without ``://``, has an empty host and path and no rule, and takes the prior of all pages; hosts
 without labelled pages take their domain's prior; repeated label rows for a page count once (bad if any is); ``A-Z``
-only is lower-cased; an empty table gives an empty result; rules of equal length fall back to text order.
+only is lower-cased; an empty table gives an empty result; rules of equal length fall back to text order.  A host keeps its user
+part, port and last dot and is judged with them, but they don't count for its domain; a numeric address is a domain of its own, and
+all of them share one suffix.  Urls of any length are read whole.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 from taxloom.llm.common import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Suffixes of two labels; a registered domain has one label more than its suffix.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br")
+#: Suffixes of more than one label, unless the caller gives a longer list; a registered domain has one label more than its suffix.
+LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br")
+NUMERIC = r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*)$"
+ADDRESSES = "*"
 MAX_BAD = 0.25
 Z = 1.645
 LEAST_STRENGTH, MOST_STRENGTH, DEFAULT_STRENGTH = 1.0, 1000.0, 10.0
@@ -37,13 +41,25 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def name_of(host: Column) -> Column:
+    """The host without user part, port and last dot."""
+    return F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@|:[0-9]*$", ""), r"\.$", "")
 
 
-def domain_of(host: Column) -> Column:
-    return F.when(F.substring_index(host, ".", -2).isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+def _labels(name: Column, suffixes: tuple[str, ...], more: int) -> Column:
+    """The last labels of ``name``: those of its longest suffix, and ``more`` before them."""
+    found = F.substring_index(name, ".", -1 - more)
+    for n in sorted({x.count(".") + 1 for x in suffixes}):
+        found = F.when(F.substring_index(name, ".", -n).isin(*[x for x in suffixes if x.count(".") + 1 == n]), F.substring_index(name, ".", -n - more)).otherwise(found)
+    return found
+
+
+def suffix_of(name: Column, suffixes: tuple[str, ...] = LONG_SUFFIXES) -> Column:
+    return F.when(name.rlike(NUMERIC), F.lit(ADDRESSES)).otherwise(_labels(name, suffixes, 0))
+
+
+def domain_of(name: Column, suffixes: tuple[str, ...] = LONG_SUFFIXES) -> Column:
+    return F.when(name.rlike(NUMERIC), name).otherwise(_labels(name, suffixes, 1))
 
 
 def matching_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -73,12 +89,13 @@ def _posterior(level: DataFrame, s: float) -> DataFrame:
     return level.withColumn("mean", a / (a + b)).withColumn("weight", a + b)
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame, max_bad: float = MAX_BAD, z: float = Z) -> DataFrame:
+def reputation(pages: DataFrame, outcomes: DataFrame, max_bad: float = MAX_BAD, z: float = Z, suffixes: tuple[str, ...] = LONG_SUFFIXES) -> DataFrame:
     """(host, n, x, bad_rate, bad_low, blocked) from ``pages`` (page_id, host) and ``outcomes`` (page_id, bad)."""
     marks = outcomes.groupBy("page_id").agg(F.max("bad").alias("bad"))
     seen = pages.join(marks, "page_id", "left")
     hosts = seen.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("x"))
-    hosts = materialize(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "hosts")
+    name = name_of(F.col("host"))
+    hosts = materialize(hosts.withColumn("domain", domain_of(name, suffixes)).withColumn("suffix", suffix_of(name, suffixes)), "hosts")
     whole = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("x"), F.lit(0)).alias("x")).first()
     mean = (whole["x"] + 1) / (whole["n"] + 2)
 
@@ -92,10 +109,10 @@ def reputation(pages: DataFrame, outcomes: DataFrame, max_bad: float = MAX_BAD,
     return level.select("host", "n", "x", F.round("mean", 9).alias("bad_rate"), low.alias("bad_low"), (low > max_bad).alias("blocked"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], max_bad: float = MAX_BAD, z: float = Z) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], max_bad: float = MAX_BAD, z: float = Z, suffixes: tuple[str, ...] = LONG_SUFFIXES) -> DataFrame:
     """(page_id, host, path, rule, verdict, bad_low) for every row of ``pages`` (page_id, url)."""
     parts = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    known = reputation(parts.select("page_id", "host"), outcomes, max_bad, z).select("host", "bad_low", "blocked")
+    known = reputation(parts.select("page_id", "host"), outcomes, max_bad, z, suffixes).select("host", "bad_low", "blocked")
     rule = matching_rule(F.col("host"), F.col("path"), rules)
     judged = parts.join(known, "host", "left").withColumn("_rule", rule)
     own = F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow"))

@@ -137,6 +137,19 @@ def test_urls(spark):
     assert (got[1].host, got[1].path, got[1].rule) == ("", "", None) and (got[3].host, got[3].path, got[3].rule, got[3].verdict) == ("a.example.org", "/es/x", "example.org/es/", "block")
     assert (got[4].host, got[4].path) == ("b.net", "") and got[None].verdict == "block" and got[100].verdict == "block" and got[200].verdict == "allow"
     assert url_reputation.judge_urls(pages.limit(0), labels.limit(0), rules).count() == 0
+    long = spark.createDataFrame([(1, "http://a.b.org/" + "p/" * 200_000 + "?q"), (2, "x://" + "a." * 50_000 + "org")], "page_id long, url string")
+    assert {r.page_id: (len(r.path), r.rule) for r in url_reputation.judge_urls(long, labels, rules).collect()} == {1: (400_001, "org/"), 2: (0, None)}
+
+
+def test_domains_and_suffixes(spark):
+    want = {
+        "w.a.co.uk": ("a.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "a.b.org": ("b.org", "org"), "org": ("org", "org"), "": ("", ""), "me:pw@w.b.org:8080": ("b.org", "org"), "b.org.": ("b.org", "org"),
+        "10.0.0.1": ("10.0.0.1", "*"), "10.0.0.1:80": ("10.0.0.1", "*"), "[::1]:80": ("[::1]", "*"), "1.2.3": ("2.3", "3"), "x.y.city.gov.example": ("y.city.gov.example", "city.gov.example"),
+    }
+    suffixes = (*url_reputation.LONG_SUFFIXES, "city.gov.example", "gov.example")
+    name = url_reputation.name_of(F.col("host"))
+    rows = spark.createDataFrame([(h,) for h in want], "host string").select("host", url_reputation.domain_of(name, suffixes).alias("d"), url_reputation.suffix_of(name, suffixes).alias("s"))
+    assert {r.host: (r.d, r.s) for r in rows.collect()} == want
 
 
 def test_language(spark, odd):
@@ -210,6 +223,13 @@ def test_chat(spark):
     assert got[1].loss == [said] and [tuple(t) for t in got[2].turns] == [("user", "q"), ("assistant", "a")] and [t.text for t in got[3].turns] == ["i", "o"]
     assert [tuple(t) for t in got[4].turns] == [("system", "s"), ("user", "p"), ("assistant", "")] and got[5].formatted == "" and got[6].turns[0].text == "c\n\nq"
     assert got[7].turns is None and got[8].layout is None and got[9].formatted is None
+    assert chat_schema.format_turns(chat_schema.canonical_turns(rows.limit(0))).count() == 0
+    long = said * 100_000
+    more = rows.union(rows).union(spark.createDataFrame([(10, json.dumps({"turns": [{"role": "assistant", "text": long}, {"role": "user", "text": ""}]}))], rows.schema))
+    chats = chat_schema.format_turns(chat_schema.canonical_turns(more)).select("conv_id", "formatted", chat_schema.read_turns(F.col("formatted")).alias("back"), chat_schema.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
+    assert len(chats) == 19 and all(r.formatted == got[r.conv_id].formatted for r in chats if r.conv_id < 10)
+    (whole,) = [r for r in chats if r.conv_id == 10]
+    assert [tuple(t) for t in whole.back] == [("assistant", long), ("user", "")] and whole.loss == [long]
 
 
 def test_decontamination(spark, odd):
