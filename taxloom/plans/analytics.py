@@ -70,6 +70,38 @@ SIMPLE_MATCH = f"""SELECT r.record_id, r.return_period, r.supplier_gstin, r.invo
   CASE WHEN i.invoice_id IS NULL THEN 'MISSING_IN_BOOKS' WHEN NOT {close('r.taxable_value', 'i.subtotal', '1.00')} OR NOT {close('r.total_tax', 'i.total_tax', '1.00')} THEN 'AMOUNT_MISMATCH' WHEN r.invoice_date <> i.invoice_date THEN 'DATE_MISMATCH' ELSE 'MATCHED' END AS match
   FROM records r LEFT JOIN live i ON r.supplier_gstin = i.vendor_gstin_true AND r.invoice_number = i.invoice_number"""
 
+STATUSES = ("APPROVED", "AUTO_APPROVED", "NEEDS_REVIEW", "REJECTED")
+
+
+def _period_kpis(d: Dialect) -> str:
+    """The key figures of each named period, of each month and of all time.  Sums by day come first, so only days are dealt to the periods that hold them;
+    an invoice or record without a date counts for all time only.
+    Named periods without any have zeros."""
+    keys = "array_compact(array({}))" if d.spark else "list_distinct([{}])"
+    named = {name: f"CASE WHEN day BETWEEN {first} AND {last} THEN '{name}' END" for name, (first, last) in PERIODS.items() if not name[0].isdigit()}
+    keys = keys.format(", ".join(["'all'", "substr(cast(day AS string), 1, 7)", *named.values()]))
+    dealt = f"explode({keys})" if d.spark else f"unnest({keys})"
+    books = {"total_purchase_value": "grand_total", "gst_amount": "total_tax"}
+    claims = {"itc_total": "total_itc", "itc_eligible": "eligible_itc", "itc_at_risk": "at_risk_itc + review_itc", "itc_blocked": "blocked_itc"}
+    counts = {"total_invoices": "1 = 1", "missing": "status NOT IN ('REJECTED', 'FAILED') AND gstr2b_status = 'MISSING_IN_2B'"} | {f"n_{x.lower()}": f"status = '{x}'" for x in STATUSES}
+    found = {"records": "1 = 1", "matched": "match IN ('MATCHED', 'FUZZY_MATCHED', 'DATE_MISMATCH')", "unmatched": "match IN ('MISSING_IN_BOOKS', 'AMOUNT_MISMATCH', 'GSTIN_MISMATCH', 'REVIEW_REQUIRED', 'POTENTIAL_DUPLICATE')"}
+    sums = {name: f"CASE WHEN i.status NOT IN ('REJECTED', 'FAILED') THEN {x} END" for name, x in (books | claims).items()}
+    columns = [*sums, *counts, *found]
+    none = {c: f"cast(0 AS {M if c in sums else 'bigint'}) AS {c}" for c in columns}
+    empty = f"SELECT period, cast(NULL AS date) AS day, {', '.join(none.values())} FROM (VALUES {', '.join(f'({chr(39)}{x}{chr(39)})' for x in ('all', *named))}) AS v(period)"
+
+    def days(source: str, own: dict[str, str]) -> str:
+        return f"SELECT invoice_date AS day, {', '.join(f'{own[c]} AS {c}' if c in own else none[c] for c in columns)} FROM {source} GROUP BY invoice_date"
+
+    by_day = days("invoices i LEFT JOIN (SELECT invoice_id AS id, total_itc, eligible_itc, at_risk_itc, review_itc, blocked_itc FROM credit) c ON i.invoice_id = c.id",
+                  {c: f"cast(coalesce(sum({x}), 0) AS {M})" for c, x in sums.items()} | {c: f"count(CASE WHEN {x} THEN 1 END)" for c, x in counts.items()})
+    by_day += " UNION ALL " + days(f"({SIMPLE_MATCH}) m", {c: f"count(CASE WHEN {x} THEN 1 END)" for c, x in found.items()})
+    total = {c: f"cast(sum({c}) AS {M if c in sums else 'bigint'})" for c in columns}
+    out = ", ".join(f"{total[c]} AS {c}" for c in (*sums, "total_invoices", *(f"n_{x.lower()}" for x in STATUSES)))
+    return f"""SELECT period, {out}, {total['matched']} AS gstr2b_matched, {total['unmatched']} + {total['missing']} AS gstr2b_mismatches, {total['missing']} AS invoices_missing_in_2b,
+      (SELECT count(*) FROM records) > 0 AS gstr2b_imported FROM (SELECT {dealt} AS period, a.* FROM ({by_day}) a UNION ALL {empty}) b WHERE period IS NOT NULL GROUP BY period"""
+
+
 def _expanding(d: Dialect) -> str:
     """How far an amount's logarithm is from the median of the vendor's earlier ones, in robust deviations of those from that moving median (0.05 where half of
     them equal it); at least five earlier ones.  No aggregate of one frame gives it, so a row sees its vendor's earlier amounts as an array."""
@@ -138,6 +170,7 @@ QUERIES: dict[str, Template] = {
     "agg_einvoice": "SELECT coalesce(einvoice_status, 'NOT_SCANNED') AS einvoice_status, count(*) AS n FROM invoices GROUP BY coalesce(einvoice_status, 'NOT_SCANNED')",
     "agg_vendor_risk": _vendor_risk,
     "agg_kpis": f"SELECT {KPI}, (SELECT {money('eligible_itc')} FROM credit) AS eligible_itc, (SELECT {money('at_risk_itc + review_itc')} FROM credit) AS at_risk, (SELECT count(*) FROM findings WHERE severity = 'ERROR') AS errors FROM live",
+    "agg_kpis_period": _period_kpis,
     "agg_monthly": f"SELECT month, invoices, spend, gst, eligible FROM (SELECT {MONTH} AS month, count(*) AS invoices, {money('i.grand_total')} AS spend, {money('i.total_tax')} AS gst, {money('c.eligible_itc')} AS eligible, row_number() OVER (ORDER BY {MONTH.replace('invoice_date', 'i.invoice_date')} DESC) AS k FROM live i LEFT JOIN (SELECT invoice_id AS id, eligible_itc FROM credit) c ON i.invoice_id = c.id WHERE i.invoice_date IS NOT NULL GROUP BY {MONTH.replace('invoice_date', 'i.invoice_date')}) m WHERE k <= 12".replace(f"SELECT {MONTH} AS month, count", f"SELECT {MONTH.replace('invoice_date', 'i.invoice_date')} AS month, count"),
     "agg_vendor_profile": lambda d: f"""SELECT i.vendor_id, count(*) AS invoices, {money('i.grand_total')} AS spend, cast(coalesce(sum(f.errors), 0) AS bigint) AS errors, count(CASE WHEN i.gstr2b_status = 'MISSING_IN_2B' THEN 1 END) AS missing, count(CASE WHEN i.einvoice_status = 'MISMATCH' THEN 1 END) AS bad_qr, {money('c.at_risk_itc')} AS at_risk,
       cast(2 * coalesce(sum(f.errors), 0) + 3 * count(CASE WHEN i.gstr2b_status = 'MISSING_IN_2B' THEN 1 END) + 5 * count(CASE WHEN i.einvoice_status = 'MISMATCH' THEN 1 END) + 2 * CASE WHEN sum(c.at_risk_itc) > 0 THEN 1 ELSE 0 END AS bigint) AS attention, min(i.invoice_date) AS first_seen, max(i.invoice_date) AS last_seen, max(q.repeated) AS repeated

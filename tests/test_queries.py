@@ -41,3 +41,15 @@ def test_statement_outcomes_over_all_periods(spark, data):
     lines = QUERIES["src_2b_json"](spark, data).count()
     assert len(rows) == len({r.line for r in rows}) == lines
     assert {r.status for r in rows} >= {"MATCHED", "FUZZY_MATCHED", "DATE_MISMATCH", "AMOUNT_MISMATCH", "MISSING_IN_BOOKS", "POTENTIAL_DUPLICATE"}
+
+
+def test_key_figures_by_period(spark, data):
+    """All time, months and named periods, against figures that other queries find and against months that make up a year."""
+    rows = {r.period: r for r in QUERIES["agg_kpis_period"](spark, data).collect()}
+    whole, live = rows["all"], QUERIES["agg_kpis"](spark, data).first()
+    assert (whole.total_purchase_value, whole.gst_amount, whole.itc_eligible, whole.itc_at_risk) == (live.spend, live.gst, live.eligible_itc, live.at_risk)
+    assert whole.invoices_missing_in_2b == live.missing_in_2b and whole.n_needs_review == live.in_review and whole.total_invoices == live.invoices + whole.n_rejected
+    for column in ("total_invoices", "itc_blocked", "gstr2b_matched", "gstr2b_mismatches"):
+        months = {k: r[column] for k, r in rows.items() if k[0].isdigit()}
+        assert sum(months.values()) <= whole[column]
+        assert rows["this_fy"][column] == sum(x for k, x in months.items() if "2001-04" <= k <= "2002-03") and rows["this_month"][column] == months.get("2001-09", 0) and rows["last_month"][column] == months.get("2001-08", 0)
