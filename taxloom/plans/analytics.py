@@ -70,6 +70,7 @@ SIMPLE_MATCH = f"""SELECT r.record_id, r.return_period, r.supplier_gstin, r.invo
   CASE WHEN i.invoice_id IS NULL THEN 'MISSING_IN_BOOKS' WHEN NOT {close('r.taxable_value', 'i.subtotal', '1.00')} OR NOT {close('r.total_tax', 'i.total_tax', '1.00')} THEN 'AMOUNT_MISMATCH' WHEN r.invoice_date <> i.invoice_date THEN 'DATE_MISMATCH' ELSE 'MATCHED' END AS match
   FROM records r LEFT JOIN live i ON r.supplier_gstin = i.vendor_gstin_true AND r.invoice_number = i.invoice_number"""
 
+MISMATCHES = "('MISSING_IN_BOOKS', 'AMOUNT_MISMATCH', 'GSTIN_MISMATCH', 'REVIEW_REQUIRED', 'POTENTIAL_DUPLICATE')"
 STATUSES = ("APPROVED", "AUTO_APPROVED", "NEEDS_REVIEW", "REJECTED")
 
 
@@ -84,7 +85,7 @@ def _period_kpis(d: Dialect) -> str:
     books = {"total_purchase_value": "grand_total", "gst_amount": "total_tax"}
     claims = {"itc_total": "total_itc", "itc_eligible": "eligible_itc", "itc_at_risk": "at_risk_itc + review_itc", "itc_blocked": "blocked_itc"}
     counts = {"total_invoices": "1 = 1", "missing": "status NOT IN ('REJECTED', 'FAILED') AND gstr2b_status = 'MISSING_IN_2B'"} | {f"n_{x.lower()}": f"status = '{x}'" for x in STATUSES}
-    found = {"records": "1 = 1", "matched": "match IN ('MATCHED', 'FUZZY_MATCHED', 'DATE_MISMATCH')", "unmatched": "match IN ('MISSING_IN_BOOKS', 'AMOUNT_MISMATCH', 'GSTIN_MISMATCH', 'REVIEW_REQUIRED', 'POTENTIAL_DUPLICATE')"}
+    found = {"records": "1 = 1", "matched": "match IN ('MATCHED', 'FUZZY_MATCHED', 'DATE_MISMATCH')", "unmatched": f"match IN {MISMATCHES}"}
     sums = {name: f"CASE WHEN i.status NOT IN ('REJECTED', 'FAILED') THEN {x} END" for name, x in (books | claims).items()}
     columns = [*sums, *counts, *found]
     none = {c: f"cast(0 AS {M if c in sums else 'bigint'}) AS {c}" for c in columns}
@@ -102,6 +103,26 @@ def _period_kpis(d: Dialect) -> str:
       (SELECT count(*) FROM records) > 0 AS gstr2b_imported FROM (SELECT {dealt} AS period, a.* FROM ({by_day}) a UNION ALL {empty}) b WHERE period IS NOT NULL GROUP BY period"""
 
 
+def _report() -> str:
+    """The parts of a report as rows: by rate, by status, mean confidence in per cent, credit, statement lines by outcome, the ten commonest error codes and the
+    eight vendors that most need attention (``n``: their attention points)."""
+    vendors = f"""SELECT name, cast(2 * errors + 3 * (missing + coalesce(m.n, 0)) + 5 * bad_qr + CASE WHEN at_risk > 0 THEN 2 ELSE 0 END AS bigint) AS n, spend FROM (
+      SELECT coalesce(i.vendor_gstin, 'name:' || i.vendor_name) AS name, coalesce(sum(f.errors), 0) AS errors, count(CASE WHEN i.einvoice_status IN ('MISMATCH', 'SIGNATURE_INVALID') THEN 1 END) AS bad_qr,
+        count(CASE WHEN i.status NOT IN ('REJECTED', 'FAILED') AND i.gstr2b_status = 'MISSING_IN_2B' THEN 1 END) AS missing, {money("CASE WHEN i.status NOT IN ('REJECTED', 'FAILED') THEN i.grand_total END")} AS spend,
+        sum(CASE WHEN i.status NOT IN ('REJECTED', 'FAILED') THEN c.at_risk_itc + c.review_itc END) AS at_risk
+      FROM invoices i LEFT JOIN (SELECT invoice_id, count(*) AS errors FROM findings WHERE severity = 'ERROR' GROUP BY invoice_id) f ON i.invoice_id = f.invoice_id
+      LEFT JOIN credit c ON i.invoice_id = c.invoice_id GROUP BY coalesce(i.vendor_gstin, 'name:' || i.vendor_name)) v
+      LEFT JOIN (SELECT supplier_gstin, count(*) AS n FROM ({SIMPLE_MATCH}) s WHERE match IN {MISMATCHES} GROUP BY supplier_gstin) m ON v.name = m.supplier_gstin"""
+    of_credit = " UNION ALL ".join(f"SELECT 'credit', '{name}', count(*), coalesce({money(x)}, 0) FROM credit c JOIN live i ON c.invoice_id = i.invoice_id" for name, x in (("total", "total_itc"), ("eligible", "eligible_itc"), ("at_risk", "at_risk_itc + review_itc"), ("blocked", "blocked_itc")))
+    return f"""SELECT 'rate' AS part, cast(gst_rate AS string) AS name, count(*) AS n, {money('l.taxable_value')} AS amount FROM invoice_lines l JOIN live i ON l.invoice_id = i.invoice_id GROUP BY gst_rate
+      UNION ALL SELECT 'status', status, count(*), {money('grand_total')} FROM invoices GROUP BY status
+      UNION ALL SELECT 'confidence', 'mean', count(confidence), cast(round(100 * avg(confidence), 1) AS {M}) FROM invoices
+      UNION ALL {of_credit}
+      UNION ALL SELECT 'statement', match, count(*), {money('total_tax')} FROM ({SIMPLE_MATCH}) s GROUP BY match
+      UNION ALL SELECT * FROM (SELECT 'error', code, count(*) AS n, cast(NULL AS {M}) FROM findings WHERE severity = 'ERROR' GROUP BY code ORDER BY n DESC, code LIMIT 10) e
+      UNION ALL SELECT * FROM (SELECT 'vendor', name, n, spend FROM ({vendors}) w WHERE n > 0 ORDER BY n DESC, spend DESC, name LIMIT 8) t"""
+
+
 def _expanding(d: Dialect) -> str:
     """How far an amount's logarithm is from the median of the vendor's earlier ones, in robust deviations of those from that moving median (0.05 where half of
     them equal it); at least five earlier ones.  No aggregate of one frame gives it, so a row sees its vendor's earlier amounts as an array."""
@@ -177,7 +198,7 @@ QUERIES: dict[str, Template] = {
       FROM live i LEFT JOIN (SELECT invoice_id, count(*) AS errors FROM findings WHERE severity = 'ERROR' GROUP BY invoice_id) f ON i.invoice_id = f.invoice_id LEFT JOIN credit c ON i.invoice_id = c.invoice_id
       LEFT JOIN (SELECT vendor_id, {d.distinct_text('code')} AS repeated FROM (SELECT i.vendor_id, f.code FROM findings f JOIN live i ON f.invoice_id = i.invoice_id GROUP BY i.vendor_id, f.code HAVING count(*) > 1) z GROUP BY vendor_id) q ON i.vendor_id = q.vendor_id GROUP BY i.vendor_id""",
     "agg_vendor_detail": f"SELECT vendor_id, {MONTH} AS month, count(*) AS invoices, {money('grand_total')} AS spend FROM live WHERE invoice_date IS NOT NULL GROUP BY vendor_id, {MONTH}",
-    "agg_report": f"SELECT 'rate' AS part, cast(gst_rate AS string) AS name, count(*) AS n, {money('l.taxable_value')} AS amount FROM invoice_lines l JOIN live i ON l.invoice_id = i.invoice_id GROUP BY gst_rate UNION ALL SELECT 'status', status, count(*), {money('grand_total')} FROM invoices GROUP BY status UNION ALL SELECT * FROM (SELECT 'error', code, count(*) AS n, cast(NULL AS {M}) FROM findings WHERE severity = 'ERROR' GROUP BY code ORDER BY n DESC, code LIMIT 10) e",
+    "agg_report": _report(),
     "agg_feedback": f"SELECT source AS field, count(*) AS reviewed, count(CASE WHEN quality = 0 THEN 1 END) AS corrected, {share('100 * count(CASE WHEN quality = 1 THEN 1 END)', 'count(*)', 2)} AS accuracy FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY source HAVING count(*) >= 20",
     "agg_2b_metrics": f"SELECT count(CASE WHEN match = 'MATCHED' THEN 1 END) AS matched, count(CASE WHEN match = 'MISSING_IN_BOOKS' THEN 1 END) AS unmatched, count(CASE WHEN match = 'AMOUNT_MISMATCH' THEN 1 END) AS mismatched, {money('CASE WHEN match = ' + chr(39) + 'AMOUNT_MISMATCH' + chr(39) + ' THEN abs(taxable_value - book_taxable) END')} AS taxable_diff, {money('CASE WHEN match = ' + chr(39) + 'AMOUNT_MISMATCH' + chr(39) + ' THEN abs(total_tax - book_tax) END')} AS tax_diff FROM ({SIMPLE_MATCH}) m",
     "agg_action_center": f"SELECT kind, n, amount, round(weight + 10 * log10(1 + cast(amount AS double)), 1) AS priority FROM (SELECT match AS kind, count(*) AS n, {money('abs(coalesce(total_tax - book_tax, total_tax))')} AS amount, CASE match WHEN 'MISSING_IN_BOOKS' THEN 30 WHEN 'AMOUNT_MISMATCH' THEN 25 ELSE 10 END AS weight FROM ({SIMPLE_MATCH}) m WHERE match <> 'MATCHED' GROUP BY match) a",

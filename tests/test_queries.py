@@ -53,3 +53,13 @@ def test_key_figures_by_period(spark, data):
         months = {k: r[column] for k, r in rows.items() if k[0].isdigit()}
         assert sum(months.values()) <= whole[column]
         assert rows["this_fy"][column] == sum(x for k, x in months.items() if "2001-04" <= k <= "2002-03") and rows["this_month"][column] == months.get("2001-09", 0) and rows["last_month"][column] == months.get("2001-08", 0)
+
+
+def test_report_parts(spark, data):
+    """The report's totals are those of the key figures, its vendors those of most attention."""
+    rows = QUERIES["agg_report"](spark, data).collect()
+    (whole,) = [r for r in QUERIES["agg_kpis_period"](spark, data).collect() if r.period == "all"]
+    part = {(r.part, r.name): r for r in rows}
+    assert part["credit", "eligible"].amount == whole.itc_eligible and part["credit", "blocked"].amount == whole.itc_blocked and part["confidence", "mean"].n == whole.total_invoices
+    assert sum(r.n for r in rows if r.part == "statement" and r.name in ("MATCHED", "DATE_MISMATCH")) == whole.gstr2b_matched
+    assert len(part) == len(rows) and sum(r.part == "vendor" for r in rows) == 8 and sum(r.part == "error" for r in rows) <= 10
