@@ -146,7 +146,8 @@ QUERIES: dict[str, Template] = {
     "flt_search": f"""SELECT invoice_id, vendor_name, grand_total FROM invoices i WHERE (instr(lower(vendor_name), '00001') > 0 OR instr(lower(vendor_gstin), '00001') > 0) AND grand_total BETWEEN 1000 AND 900000 AND gstr2b_status = 'IN_2B'
       AND einvoice_status <> 'MISMATCH' AND EXISTS (SELECT 1 FROM findings f WHERE f.invoice_id = i.invoice_id AND f.severity = 'ERROR') AND EXISTS (SELECT 1 FROM invoice_lines l WHERE l.invoice_id = i.invoice_id AND l.gst_rate = 18)
       ORDER BY grand_total DESC, invoice_id LIMIT 200""",
-    "flt_period": "SELECT p.period, p.first_day, p.last_day, count(i.invoice_id) AS invoices FROM (VALUES " + ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in PERIODS.items()) + ") AS p(period, first_day, last_day) LEFT JOIN invoices i ON i.invoice_date BETWEEN p.first_day AND p.last_day GROUP BY p.period, p.first_day, p.last_day",
+    "flt_period": "SELECT p.period, p.first_day, p.last_day, cast(coalesce(sum(i.n), 0) AS bigint) AS invoices FROM (VALUES ('all', cast(NULL AS date), cast(NULL AS date)), " + ", ".join(f"('{k}', {a}, {b})" for k, (a, b) in PERIODS.items())
+    + ") AS p(period, first_day, last_day) LEFT JOIN (SELECT invoice_date, count(*) AS n FROM invoices GROUP BY invoice_date) i ON p.first_day IS NULL OR i.invoice_date BETWEEN p.first_day AND p.last_day GROUP BY p.period, p.first_day, p.last_day",
     "flt_in_period": "SELECT invoice_id, invoice_date FROM invoices WHERE invoice_date BETWEEN date '2000-04-01' AND date '2001-03-31'",
     "flt_live": "SELECT invoice_id, status FROM live",
     "flt_events": "SELECT event_id, user_id, event_type, cast(ts AS date) AS on_day FROM events WHERE event_type = 'error' AND cast(ts AS date) >= date '2024-01-20' ORDER BY event_id DESC LIMIT 100",
