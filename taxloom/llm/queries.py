@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxloom.llm import chat_schema, crf_langid, decontaminate, line_dedup, order_minhash, packing, token_ledger, topk_postings, toxicity, url_reputation
+from taxloom.llm import chat_schema, crf_langid, decontaminate, fill_in_middle, line_dedup, order_minhash, packing, source_divergence, token_ledger, topk_postings, toxicity, url_reputation
 from taxloom.llm.common import load, materialize, normal_text, shared_dir, words_of
 
 #: Rules of op4: host, path, verdict.
@@ -110,8 +110,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(packing_input(load(spark, sf_dir, "documents")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_in_middle.fill_in_middle(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = done.withColumn("restored", fill_in_middle.restored(F.col("output"), F.col("form")))
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_token_ledger, op3_order_minhash, op4_url_reputation, op5_crf_langid, op6_topk_postings, op7_chat_schema, op8_decontaminate, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_token_ledger, op3_order_minhash, op4_url_reputation, op5_crf_langid, op6_topk_postings, op7_chat_schema, op8_decontaminate, op9_toxicity, op10_packing, op11_fill_in_middle, op12_source_divergence)}
 
 
 
@@ -207,5 +217,53 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGI
 """
 
 
+def _op11_sql() -> str:
+    unit = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+    draw = lambda i: f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)"
+    has = " OR ".join(f"contains(t, '{x}')" for x in (fill_in_middle.PREFIX, fill_in_middle.SUFFIX, fill_in_middle.MIDDLE))
+    p, s, m = (f"'{x}'" for x in (fill_in_middle.PREFIX, fill_in_middle.SUFFIX, fill_in_middle.MIDDLE))
+    return f"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{unit}') AS u, sha256('{fill_in_middle.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), drawn AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, {draw(0)} % (len(u) + 1) AS x, {draw(1)} % (len(u) + 1) AS y,
+    CASE WHEN t = '' OR {has} OR {draw(2)} % 100 >= {fill_in_middle.RATE} THEN 'plain' WHEN {draw(3)} % 100 < {fill_in_middle.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM cut
+), parts AS (
+  SELECT *, array_to_string(u[1:least(x, y)], '') AS a, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS b, array_to_string(u[greatest(x, y) + 1:], '') AS c FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(a) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(b) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN {p} || a || {s} || c || {m} || b WHEN 'spm' THEN {s} || c || {p} || a || {m} || b ELSE t END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
+def _op12_sql() -> str:
+    """Every kept term of every pair, as the definition says."""
+    share = lambda n, total: f"(1 + {source_divergence.SCALE}::HUGEINT * ({n} + 1) // {total})"
+    return f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{url_reputation.UPPER}', '{url_reputation.LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+), said AS (SELECT i, lang, source, term, count(*) AS n FROM (SELECT i, lang, source, unnest(words) AS term FROM docs) GROUP BY ALL
+), kept AS (SELECT lang, term, sum(n) AS n FROM said GROUP BY ALL HAVING count(*) >= {source_divergence.LEAST_DOCS}
+), counts AS (SELECT lang, source, term, sum(n) AS n FROM said GROUP BY ALL
+), groups AS (SELECT DISTINCT lang, source FROM docs
+), full_counts AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS lang_n FROM groups g JOIN kept k ON g.lang = k.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), shares AS (
+  SELECT lang, source, term, n, {share("n", "(sum(n) OVER w + count(*) OVER w)::HUGEINT")} AS p,
+    {share("lang_n", "(sum(lang_n) OVER w + count(*) OVER w)::HUGEINT")} AS q FROM full_counts WINDOW w AS (PARTITION BY lang, source)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM found
+QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= {source_divergence.TOP}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op4_url_reputation": _op4_sql(), "op6_topk_postings": OP6_SQL, "op7_chat_schema": _op7_sql()}
+    return {"op1_line_dedup": OP1_SQL, "op4_url_reputation": _op4_sql(), "op6_topk_postings": OP6_SQL, "op7_chat_schema": _op7_sql(), "op11_fill_in_middle": _op11_sql(), "op12_source_divergence": _op12_sql()}
