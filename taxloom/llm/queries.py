@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxloom.llm import chat_schema, crf_langid, decontaminate, fill_in_middle, line_dedup, order_minhash, packing, source_divergence, token_ledger, topk_postings, toxicity, url_reputation
+from taxloom.llm import chat_schema, crf_langid, decontaminate, fill_in_middle, line_dedup, ngram_jaccard, order_minhash, packing, source_divergence, token_ledger, topk_postings, toxicity, url_reputation
 from taxloom.llm.common import load, materialize, normal_text, shared_dir, words_of
 
 #: Rules of op4: host, path, verdict.
@@ -120,8 +120,12 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.source_divergence(load(spark, sf_dir, "documents"))
 
 
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.jaccard_components(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_token_ledger, op3_order_minhash, op4_url_reputation, op5_crf_langid, op6_topk_postings, op7_chat_schema, op8_decontaminate, op9_toxicity, op10_packing, op11_fill_in_middle, op12_source_divergence)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_token_ledger, op3_order_minhash, op4_url_reputation, op5_crf_langid, op6_topk_postings, op7_chat_schema, op8_decontaminate, op9_toxicity, op10_packing, op11_fill_in_middle, op12_source_divergence, op13_ngram_jaccard)}
 
 
 
