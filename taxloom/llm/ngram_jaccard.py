@@ -12,8 +12,8 @@ Bitmaps: each set has ``BITS`` bits, each of them the parity of the keys that ha
 bitmaps differ in no more bits than the sets differ in keys: the count of differing bits bounds the intersection from above, however long the
 texts are.  The bound is a condition of the join within a tile; what passes it is compared exactly, by intersection of the sorted arrays.
 
-Order of work: equal sets collapse to their smallest document first.  Then each set meets the smallest set of its rarest ``HUBS`` tiles, one
-pair a tile, which joins groups of near copies into components without listing their pairs.  Tiles in which several components are left are then taken
+Order of work: equal sets collapse to their smallest document first.  Then each set meets one other, the smallest that leads one of its rarest ``HUBS``
+tiles and may link, which joins groups of near copies into components without listing their pairs.  Tiles in which several components are left are then taken
 whole: bounds of a component in a tile go before its members, so members of one component never meet.  All links between components are found, none
 is capped; what isn't listed are further links within a component, which don't change it.  Hot tiles are plain joins that adaptive execution
 splits.  Texts are read again, thinned by a bit map, for the sets that have a pair to compare, and their arrays are moved for those alone.
@@ -44,8 +44,8 @@ BITS = 512
 LANES = BITS // 64
 #: Width of a size band as a logarithm; a little more than that of the ratio two linked sizes may have.
 BAND = math.log(100 / (PERCENT - 0.1))
-#: Tiles in which a set meets the smallest member first.
-HUBS = 4
+#: Tiles among whose smallest members a set finds the one that it meets first.
+HUBS = 8
 #: Sets whose keys are counted (or a sixteenth of all, if that is more), least count, and keys that are held as frequent; they leave the pairs alone.
 SAMPLE, LEAST_SEEN, HOT_KEYS = 4_000, 3, 1_000_000
 #: Bytes of text that are hashed at once, and components that are broadcast to their copies.
@@ -264,12 +264,13 @@ def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def hub_pairs(found: DataFrame, percent: int, work: Work) -> DataFrame:
-    """(a, b): each set with the smallest leading set of its rarest tiles and of their neighbours below."""
+    """(a, b): each set with the smallest of the sets that lead its rarest tiles or their neighbours below and may link with it."""
     rows = _members(found, F.slice("keys", 1, HUBS), percent).withColumn("c", F.col("doc_id"))
     lead = rows.where("lead").groupBy("k", "band").agg(F.min(F.struct("n", "doc_id", "at", "bits")).alias("h"))
     hubs = work.write(lead.select("k", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("h.doc_id").alias("x"), F.col("h.n").alias("nx"), F.col("h.at").alias("ix"), F.col("h.bits").alias("bx")), "hubs")
     met = _sides(rows)[1].join(hubs, ["k", "band"]).where(_may_link(percent))
-    pairs = work.write(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    one = met.groupBy("y").agg(F.min(F.struct("nx", "x")).alias("h")).select("y", F.col("h.x").alias("x"))
+    pairs = work.write(one.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
     work.drop(hubs)
     return pairs
 
