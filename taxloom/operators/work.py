@@ -1,4 +1,4 @@
-"""Cutting lineage for loops, in the folder that all executors share."""
+"""Cutting lineage for loops, in the folder that all executors share, and deleting what is spent."""
 
 from __future__ import annotations
 
@@ -23,3 +23,31 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Work:
+    """Tables that an operator writes on its way, in one folder of the shared folder; each is deleted once it is spent."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        self._held: list[tuple[DataFrame, str]] = []
+        self._n = 0
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        self._n += 1
+        path = f"{self.path}/{self._n}-{label}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self._held.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete ``tables``; nothing that is read later may come from them."""
+        for _, path in [x for x in self._held if any(x[0] is t for t in tables)]:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self._held = [x for x in self._held if not any(x[0] is t for t in tables)]
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all but ``tables``."""
+        self.drop(*[t for t, _ in self._held if not any(t is k for k in tables)])

@@ -259,7 +259,9 @@ QUERIES: dict[str, Template] = {
     "fn_inr": lambda d: f"SELECT invoice_id, '₹' || CASE WHEN length(w) <= 3 THEN w ELSE {d.replace('reverse(' + d.replace('substr(reverse(w), 4)', '([0-9]{2})', '<1>,') + ')', '^,', '')} || ',' || substr(w, length(w) - 2) END || '.' || f AS amount FROM (SELECT invoice_id, split_part(cast(grand_total AS string), '.', 1) AS w, split_part(cast(grand_total AS string), '.', 2) AS f FROM invoices WHERE grand_total IS NOT NULL) a",
     "fn_mask_ip": lambda d: f"SELECT event_id, {d.replace('ip', '^([0-9]+[.][0-9]+)[.].*$', '<1>.x.x')} AS masked FROM (SELECT event_id, '10.' || cast(user_id % 250 AS string) || '.' || cast(event_id % 250 AS string) || '.7' AS ip FROM events) e",
     "fn_classify_req": "SELECT event_id, CASE WHEN event_type IN ('signup', 'error') THEN 'auth' WHEN event_type IN ('view', 'click') THEN 'access' ELSE 'change' END AS kind, CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS outcome FROM events",
-    "fn_num_factcheck": lambda d: "SELECT doc_id, count(*) AS numbers FROM (SELECT doc_id, " + ("explode(regexp_extract_all(text, '[0-9]+', 0))" if d.spark else "unnest(regexp_extract_all(text, '[0-9]+'))") + " AS n FROM documents) x WHERE length(n) <= 9 AND NOT (cast(n AS bigint) BETWEEN 0 AND 12 OR cast(n AS bigint) BETWEEN 1900 AND 2100) GROUP BY doc_id",
+    "fn_num_factcheck": lambda d: f"""SELECT doc_id, count(*) AS numbers, count(CASE WHEN NOT small AND NOT known THEN 1 END) AS unsupported FROM (SELECT doc_id, n = cast(doc_id AS string) OR n = cast(n_chars AS string) AS known,
+      instr(n, '.') = 0 AND ({d.replace('n', '^0+', '')} IN ('', {', '.join(f"'{i}'" for i in range(1, 13))}) OR (length({d.replace('n', '^0+', '')}) = 4 AND {d.replace('n', '^0+', '')} BETWEEN '1900' AND '2100')) AS small
+      FROM (SELECT doc_id, n_chars, CASE WHEN instr(m, '.') > 0 THEN {d.replace('m', '[.]?0+$', '')} ELSE m END AS n FROM (SELECT doc_id, n_chars, replace(n, ',', '') AS m FROM (SELECT doc_id, n_chars, {"explode(regexp_extract_all(text, '[0-9][0-9,]*([.][0-9]+)?', 0))" if d.spark else "unnest(regexp_extract_all(text, '[0-9][0-9,]*([.][0-9]+)?'))"} AS n FROM documents) x) y) z) w GROUP BY doc_id""",
     "fn_sha256": lambda d: f"SELECT doc_id, {'sha2(text, 256)' if d.spark else 'sha256(text)'} AS digest FROM documents",
     "fn_anonymise": lambda d: f"SELECT doc_id, {d.replace(d.replace('text', '[A-Za-z0-9._+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+', 'user@example.com'), '[0-9]{10}', '9000000000')} AS text FROM documents",
     "fn_deadline_16_4": "SELECT invoice_id, make_date(cast(year(invoice_date) AS int) + CASE WHEN month(invoice_date) >= 4 THEN 1 ELSE 0 END, 11, 30) AS deadline FROM invoices WHERE invoice_date IS NOT NULL",
@@ -280,8 +282,6 @@ QUERIES: dict[str, Template] = {
     "itc_build": "SELECT i.invoice_id, cast(coalesce(l.tax, i.total_tax, 0) AS decimal(14,2)) AS tax FROM invoices i LEFT JOIN (SELECT invoice_id, sum(coalesce(cgst, 0) + coalesce(sgst, 0) + coalesce(igst, 0)) AS tax FROM invoice_lines GROUP BY invoice_id) l ON i.invoice_id = l.invoice_id",
     "what_if": f"SELECT itc_status, {money('eligible_itc')} AS now, {money('cast(eligible_itc * cast(0.80 AS decimal(3,2)) AS decimal(18,2))')} AS scaled, {money('eligible_itc - cast(eligible_itc * cast(0.80 AS decimal(3,2)) AS decimal(18,2))')} AS lost FROM credit GROUP BY itc_status",
     # every invoice against the statements of the months that may hold it: from its own on, 180 days
-    "rec_2b_apply": """SELECT i.invoice_id, CASE WHEN max(r.record_id) IS NOT NULL THEN 'IN_2B' ELSE 'MISSING_IN_2B' END AS new_status FROM live i LEFT JOIN records r ON r.invoice_number = i.invoice_number AND r.supplier_gstin = i.vendor_gstin_true
-      AND r.return_period BETWEEN substr(cast(i.invoice_date AS string), 1, 7) AND substr(cast(i.invoice_date + INTERVAL 180 DAY AS string), 1, 7) WHERE i.invoice_date IS NOT NULL AND (NOT i.possible_duplicate OR i.status = 'APPROVED') GROUP BY i.invoice_id""",
     "recon_compare": "SELECT r.record_id, r.invoice_number = i.invoice_number AS number_ok, r.invoice_date = i.invoice_date AS date_ok, abs(r.taxable_value - i.subtotal) <= 1 AS taxable_ok, abs(r.total_tax - i.total_tax) <= 1 AS tax_ok, r.supplier_gstin = i.vendor_gstin AS gstin_ok FROM records r JOIN invoices i ON r.record_id = i.invoice_id * 2",
     "rule_text": "SELECT DISTINCT code, CASE WHEN code LIKE 'NO_PO%' THEN 'Purchase order reference' WHEN code LIKE 'HSN%' THEN 'Goods or service code' WHEN code LIKE 'LINE%' THEN 'Line arithmetic' WHEN code LIKE 'GRAND%' OR code LIKE 'HEADER%' THEN 'Totals' WHEN code LIKE 'TAX%' OR code LIKE 'CGST%' THEN 'Tax type' WHEN code LIKE '%GSTIN%' THEN 'Tax id' ELSE 'Invoice details' END AS rule FROM findings",
     "investigate": f"SELECT i.invoice_id, CASE WHEN f.errors > 0 THEN 'fail' WHEN f.warnings > 0 THEN 'warn' ELSE 'pass' END AS validation, CASE WHEN i.gstr2b_status IS NULL THEN 'na' WHEN i.gstr2b_status = 'IN_2B' THEN 'pass' ELSE 'fail' END AS statement, CASE i.einvoice_status WHEN 'VERIFIED' THEN 'pass' WHEN 'MISMATCH' THEN 'fail' ELSE 'na' END AS einvoice, c.itc_status FROM invoices i LEFT JOIN (SELECT invoice_id, count(CASE WHEN severity = 'ERROR' THEN 1 END) AS errors, count(CASE WHEN severity = 'WARNING' THEN 1 END) AS warnings FROM findings GROUP BY invoice_id) f ON i.invoice_id = f.invoice_id LEFT JOIN credit c ON i.invoice_id = c.invoice_id",

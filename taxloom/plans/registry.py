@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taxloom.plans import analytics, dialect, engine, rules, stored
+from taxloom.plans import analytics, decisions, dialect, engine, paper, rules, stored
 from taxloom.sources.adapters import VIEWS
 
 
@@ -16,8 +16,8 @@ def _sql_query(template: dialect.Template, spark: SparkSession, sf_dir: str) ->
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(_sql_query, template) for name, template in (analytics.QUERIES | rules.QUERIES).items()} | engine.QUERIES | stored.QUERIES
+    return {name: partial(_sql_query, template) for name, template in (analytics.QUERIES | rules.QUERIES).items()} | engine.QUERIES | stored.QUERIES | paper.QUERIES | decisions.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: dialect.render(template, VIEWS, dialect.DUCKDB) for name, template in (analytics.QUERIES | analytics.ORACLES | rules.QUERIES | rules.ORACLES | engine.ORACLES | stored.ORACLES).items()}
+    return {name: dialect.render(template, VIEWS, dialect.DUCKDB) for name, template in (analytics.QUERIES | analytics.ORACLES | rules.QUERIES | rules.ORACLES | engine.ORACLES | stored.ORACLES | paper.ORACLES | decisions.ORACLES).items()}

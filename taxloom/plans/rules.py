@@ -85,13 +85,6 @@ def _alternative(d: Dialect) -> str:
       FROM invoice_lines l JOIN invoices i ON l.invoice_id = i.invoice_id {hit}) a UNION ALL SELECT invoice_id, cast(NULL AS int), {d.present(header)} FROM invoices"""
 
 
-#: Review events: who did what to which invoice, in order of their ids; the action follows the event's type.
-ACTIONS = """SELECT event_id, ts, user_id AS invoice_id, CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'reject' WHEN 'signup' THEN 'pay' WHEN 'click' THEN 'correct' END AS action, value FROM events WHERE event_type <> 'view'"""
-REVIEWED = f"""SELECT i.invoice_id, CASE WHEN a.decided IS NULL THEN i.status ELSE a.decided END AS status, a.paid_on, coalesce(a.corrections, 0) AS corrections, a.accuracy FROM invoices i JOIN (
-    SELECT invoice_id, max_by(CASE action WHEN 'approve' THEN 'APPROVED' WHEN 'reject' THEN 'REJECTED' END, CASE WHEN action IN ('approve', 'reject') THEN event_id END) AS decided, min(CASE WHEN action = 'pay' THEN cast(ts AS date) END) AS paid_on,
-      count(CASE WHEN action = 'correct' THEN 1 END) AS corrections, round(avg(CASE WHEN action = 'correct' THEN CASE WHEN value < 50 THEN 1e0 ELSE 0e0 END END), 6) AS accuracy FROM ({ACTIONS}) e GROUP BY invoice_id) a ON i.invoice_id = a.invoice_id"""
-
-
 def _risks(d: Dialect) -> str:
     """Every branch's items; of the anomalies only the best of an invoice that no other branch names."""
     item = lambda sev, cat, title, amount, rest: f"SELECT '{sev}' AS severity, '{cat}' AS category, '{title}' AS title, i.invoice_id, cast({amount} AS {M}) AS amount FROM invoices i {rest}"
@@ -139,18 +132,6 @@ def _repaired_gstin(d: Dialect) -> str:
       WHEN 2 THEN substr(vendor_gstin_true, 1, 13) || '2' || substr(vendor_gstin_true, 15, 1) WHEN 3 THEN substr(vendor_gstin_true, 1, 14) || {swap('substr(vendor_gstin_true, 15, 1)')} ELSE substr(vendor_gstin_true, 1, 12) || {swap('substr(vendor_gstin_true, 13, 1)')} || substr(vendor_gstin_true, 14, 2) END AS x FROM invoices) a) b) c"""
 
 
-def _mcnemar(d: Dialect) -> str:
-    """Two labels of the same documents: those that only one calls good, and the exact two-sided probability of so uneven a split.
-
-    The binomial tail is a sum of exponentials of logarithms over 0 .. the smaller count; with more than 100,000 such documents it is null."""
-    upto = "explode(sequence(cast(0 AS bigint), cast(100000 AS bigint)))" if d.spark else "unnest(generate_series(0, 100000))"
-    logs = f"SELECT k, sum(ln(cast(greatest(k, 1) AS double))) OVER (ORDER BY k) AS f FROM (SELECT {upto} AS k) n"
-    return f"""SELECT ours_only, other_only, CASE WHEN ours_only + other_only = 0 THEN 1e0 WHEN ours_only + other_only <= 100000 THEN round(least(1e0, 2 * tail), 9) END AS p_value FROM (
-      SELECT b.ours_only, b.other_only, sum(CASE WHEN t.k <= least(b.ours_only, b.other_only) THEN exp(fn.f - fk.f - fr.f - (b.ours_only + b.other_only) * ln(2e0)) END) AS tail
-      FROM (SELECT count(CASE WHEN quality = 1 AND toxic = 0 THEN 1 END) AS ours_only, count(CASE WHEN quality = 0 AND toxic = 1 THEN 1 END) AS other_only FROM labels) b
-      JOIN (SELECT k FROM ({logs}) z) t ON t.k <= least(b.ours_only, b.other_only) LEFT JOIN ({logs}) fn ON fn.k = b.ours_only + b.other_only LEFT JOIN ({logs}) fk ON fk.k = t.k LEFT JOIN ({logs}) fr ON fr.k = b.ours_only + b.other_only - t.k GROUP BY b.ours_only, b.other_only) x"""
-
-
 SPENT = f"SELECT vendor_id AS person, cast(coalesce(sum(subtotal), 0) AS {M}) AS receipts, cast(vendor_id % 11 AS double) / 10 AS digital FROM live GROUP BY vendor_id"
 TAXED = f"SELECT vendor_id AS person, cast(round(cast(coalesce(sum(total_tax), 0) AS double)) AS bigint) AS liability FROM live GROUP BY vendor_id"
 
@@ -196,9 +177,6 @@ QUERIES: dict[str, Template] = {
     "finding_diff": f"SELECT invoice_id, cast(s_taxable AS {M}) AS expected, cast(subtotal AS {M}) AS actual, cast(subtotal - s_taxable AS {M}) AS difference FROM invoices WHERE invoice_id IN (SELECT invoice_id FROM findings WHERE code = 'HEADER_LINE_SUM_MISMATCH')",
     "set_jaccard": lambda d: f"SELECT p_partkey, round({d.overlap(d.words('p_name'), d.words('other'))}, 9) AS jaccard FROM (SELECT p_partkey, p_name, lead(p_name) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS other FROM part) p WHERE other IS NOT NULL",
     # decisions
-    "review_actions": REVIEWED,
-    "itc_reassess": f"SELECT c.invoice_id, CASE WHEN r.status = 'REJECTED' THEN 'NOT_APPLICABLE' ELSE c.itc_status END AS itc_status, cast(CASE WHEN r.status = 'REJECTED' THEN 0 ELSE c.eligible_itc END AS {M}) AS eligible_itc FROM credit c LEFT JOIN ({REVIEWED}) r ON c.invoice_id = r.invoice_id",
-    "rec_2b_delete": "SELECT invoice_id, CASE WHEN invoice_date BETWEEN date '2001-03-01' AND date '2001-03-31' THEN NULL ELSE gstr2b_status END AS gstr2b_status FROM live WHERE gstr2b_status IS NOT NULL",
     "risk_items": lambda d: f"SELECT severity, category, title, invoice_id, amount FROM ({_risks(d)}) r ORDER BY CASE severity WHEN 'Critical' THEN 0 WHEN 'High' THEN 1 ELSE 2 END, amount DESC NULLS LAST, category, title, invoice_id LIMIT 500",
     "set_union_risk": lambda d: f"SELECT severity, category, count(*) AS n, count(DISTINCT invoice_id) AS invoices, cast(sum(amount) AS {M}) AS amount FROM ({_risks(d)}) r GROUP BY severity, category",
     "vendor_get_or_create": """SELECT n.invoice_id, coalesce(g.vendor_id, v.vendor_id) AS vendor_id, g.vendor_id IS NULL AND v.vendor_id IS NULL AS created FROM (SELECT invoice_id, CASE WHEN invoice_id % 3 <> 0 THEN vendor_gstin END AS gstin, CASE WHEN invoice_id % 7 = 0 THEN 'New ' ELSE ' ' END || upper(vendor_name) AS name FROM invoices) n
@@ -217,7 +195,6 @@ QUERIES: dict[str, Template] = {
     "presumptive": _presumed(),
     "advance_tax": _advance(),
     "deadlines": lambda d: _deadlines() if not d.spark else _deadlines().replace(f"due_day - {TODAY} AS days_left", f"cast(datediff(due_day, {TODAY}) AS bigint) AS days_left"),
-    "agg_mcnemar": _mcnemar,
     "ts_ols": f"""SELECT h AS step, round(greatest(0e0, a + b * x), 2) AS estimate, round(greatest(0e0, a + b * x - width), 2) AS low, round(greatest(0e0, a + b * x) + width, 2) AS high FROM (
       SELECT s.h, m.a, m.b, m.n - 1 + s.h AS x, 128e-2 * sqrt(m.rss / (m.n - 1)) * sqrt(1 + 1 / cast(m.n AS double) + power(m.n - 1 + s.h - m.mx, 2) / m.sxx) AS width FROM (
         SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, count(*) AS n, avg(x) AS mx, regr_sxx(y, x) AS sxx, regr_syy(y, x) - power(regr_sxy(y, x), 2) / regr_sxx(y, x) AS rss

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from taxloom.functions import similarity
+from taxloom.functions import similarity, special
 from taxloom.operators import anomaly, evaluation
 from taxloom.operators.work import shared_folder, written
 from taxloom.plans import dialect, engine
@@ -159,17 +159,29 @@ def agg_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.bootstrap(engine.view(spark, sf_dir, "SELECT quality + 1 - toxic AS hits, 2 AS total FROM labels"), "hits", "total")
 
 
+def agg_mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two labels of the same documents: those that only one calls good, and the exact two-sided probability of so uneven a split, by the incomplete beta function."""
+    rows = engine.view(spark, sf_dir, "SELECT count(CASE WHEN quality = 1 AND toxic = 0 THEN 1 END) AS ours_only, count(CASE WHEN quality = 0 AND toxic = 1 THEN 1 END) AS other_only FROM labels")
+    least, n = F.least("ours_only", "other_only"), F.col("ours_only") + F.col("other_only")
+    return rows.withColumn("p_value", F.when(n == 0, 1.0).otherwise(F.round(F.least(F.lit(1.0), 2 * special.binomial_cdf(least, n, 0.5)), 9)))
+
+
+#: The tail as a sum of logarithms, for DuckDB; the tables compared have few such documents.
+MCNEMAR_SQL = """SELECT ours_only, other_only, CASE WHEN ours_only + other_only = 0 THEN 1e0 ELSE round(least(1e0, 2 * list_sum([exp(lgamma(ours_only + other_only + 1) - lgamma(k + 1) - lgamma(ours_only + other_only - k + 1) - (ours_only + other_only) * ln(2e0)) for k in range(0, least(ours_only, other_only) + 1)])), 9) END AS p_value
+  FROM (SELECT count(CASE WHEN quality = 1 AND toxic = 0 THEN 1 END) AS ours_only, count(CASE WHEN quality = 0 AND toxic = 1 THEN 1 END) AS other_only FROM labels) b"""
+
+
 NUMBER = "'INV' || cast(p_size AS string) || cast(p_partkey AS string)"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "snk_rows": snk_rows, "snk_ndjson": snk_ndjson, "snk_csv": snk_csv, "src_blocked_csv": src_blocked_csv, "src_hsn_csv": src_hsn_csv, "src_bench_json": src_bench_json, "src_inbox": st_inbox, "st_inbox": st_inbox,
     "jn_temporal_prior": jn_temporal_prior, "fn_osa": _similar("distance", similarity.osa_distance, NUMBER), "fn_num_sim": _similar("similarity", similarity.number_similarity_udf, NUMBER),
     "fn_seqmatch": _similar("similarity", similarity.sequence_ratio_udf, "p_name"), "fn_token_set": _similar("similarity", similarity.token_set_udf, "p_name"),
     "fn_desc_sim": _similar("similarity", similarity.description_similarity_udf, "p_name"), "ml_impute": ml_impute, "ml_robust_z": ml_robust_z, "ml_iforest_fit": ml_iforest_fit,
-    "ml_iforest_score": ml_iforest_score, "ml_ensemble": ml_ensemble, "ml_registry": ml_registry, "st_score_on_arrival": st_score_on_arrival, "agg_bootstrap": agg_bootstrap,
+    "ml_iforest_score": ml_iforest_score, "ml_ensemble": ml_ensemble, "ml_registry": ml_registry, "st_score_on_arrival": st_score_on_arrival, "agg_bootstrap": agg_bootstrap, "agg_mcnemar": agg_mcnemar,
 }
 
 ORACLES: dict[str, dialect.Template] = {
-    "snk_rows": FOUND, "snk_ndjson": LISTED, "snk_csv": LISTED, "src_inbox": BOUGHT, "st_inbox": BOUGHT, "jn_temporal_prior": PRIOR_SQL,
+    "snk_rows": FOUND, "snk_ndjson": LISTED, "snk_csv": LISTED, "src_inbox": BOUGHT, "st_inbox": BOUGHT, "jn_temporal_prior": PRIOR_SQL, "agg_mcnemar": MCNEMAR_SQL,
     "src_blocked_csv": "SELECT cast(place AS int) AS place, match, pattern, action, section, category FROM (VALUES " + ", ".join(str((i, *r)) for i, r in enumerate(RESTRICTED, 1)) + ") AS r(place, match, pattern, action, section, category)",
     "src_hsn_csv": "SELECT code, cast(unnest(string_split(rates, '|')) AS decimal(5,2)) AS rate FROM (VALUES " + ", ".join(str(x) for x in HSN_RATES) + ") AS r(code, rates)",
     "src_bench_json": "SELECT lang AS field, count(*) AS n, cast(sum(quality) AS bigint) AS hits FROM documents JOIN labels USING (doc_id) GROUP BY lang",

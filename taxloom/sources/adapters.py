@@ -59,6 +59,10 @@ def normal_number(d: Dialect, x: str) -> str:
     return d.replace(d.replace(f"upper({x})", "[^A-Z0-9]", ""), "0+([0-9])", "<1>")
 
 
+#: Codes of the buyer's own line of business, whose restricted credits may be claimed: a builder.
+OWN_LINE = ("9954",)
+
+
 def restricted_codes() -> str:
     rows = ", ".join(f"({len(p)}, '{p}', '{a}', '{s}', '{c}')" for kind, p, a, s, c in RESTRICTED if kind == "code")
     return f"SELECT * FROM (VALUES {rows}) AS r(width, pattern, action, section, category)"
@@ -147,7 +151,8 @@ FROM (SELECT *, substr(cast(invoice_date AS string), 1, 7) AS date_key FROM invo
 CROSS JOIN (SELECT 0 AS copy UNION ALL SELECT 1) AS c WHERE copy = 0 OR invoice_id % 100 = 9"""
 
 
-def _credit(d: Dialect) -> str:
+def credit_of(d: Dialect, base: str) -> str:
+    """The credit of each invoice of ``base``, which has the columns of ``invoices``."""
     late = f"({TODAY} > payment_due_by AND payment_date IS NULL AND s3 <> 'BLOCKED')"
     lapsed = f"({TODAY} > claim_deadline AND coalesce(gstr2b_status, '') <> 'IN_2B' AND s4 <> 'BLOCKED')"
     hold = "(einvoice_status = 'MISMATCH' AND status <> 'APPROVED' AND s2 <> 'BLOCKED')"
@@ -160,7 +165,7 @@ SELECT invoice_id, vendor_id, vendor_gstin, invoice_date, status, gstr2b_status,
   cast(CASE WHEN {gone} THEN 0 WHEN {lapsed} THEN b2 + e4 + r4 ELSE b2 END AS {D}) AS blocked_itc, cast(CASE WHEN {gone} THEN 0 ELSE v3 END AS {D}) AS review_itc,
   cast(CASE WHEN {gone} OR {lapsed} THEN 0 ELSE r4 END AS {D}) AS at_risk_itc, CASE WHEN NOT {gone} THEN claim_deadline END AS claim_deadline, CASE WHEN NOT {gone} THEN payment_due_by END AS payment_due_by,
   {d.joined([f"CASE WHEN {gone} THEN CASE WHEN status = 'REJECTED' THEN 'I000' WHEN possible_duplicate AND status <> 'APPROVED' THEN 'I002' ELSE 'I001' END END",
-             f"CASE WHEN NOT {gone} AND blocked > 0 THEN 'I010' END", f"CASE WHEN NOT {gone} AND review > 0 THEN 'I011' END", f"CASE WHEN NOT {gone} AND {off} THEN 'I021' END",
+             f"CASE WHEN NOT {gone} AND own_lines > 0 THEN 'I012' END", f"CASE WHEN NOT {gone} AND blocked > 0 THEN 'I010' END", f"CASE WHEN NOT {gone} AND review > 0 THEN 'I011' END", f"CASE WHEN NOT {gone} AND {off} THEN 'I021' END",
              f"CASE WHEN NOT {gone} AND {missing} THEN 'I020' END", f"CASE WHEN NOT {gone} AND gstr2b_status IS NULL THEN 'I022' END", f"CASE WHEN NOT {gone} AND {hold} THEN 'I060' END",
              f"CASE WHEN NOT {gone} AND reverse_charge THEN 'I040' END", f"CASE WHEN NOT {gone} AND {late} THEN 'I030' WHEN NOT {gone} AND payment_date > payment_due_by THEN 'I031' END", f"CASE WHEN NOT {gone} AND {lapsed} THEN 'I050' END"])} AS reasons
 FROM (
@@ -169,11 +174,11 @@ FROM (
       SELECT *, CASE WHEN {off} THEN 'BLOCKED' WHEN {missing} AND s1 <> 'BLOCKED' THEN 'NOT_IN_2B' WHEN gstr2b_status IS NULL AND s1 = 'ELIGIBLE' THEN 'AWAITING_2B' ELSE s1 END AS s2,
         CASE WHEN {off} THEN total ELSE blocked END AS b2, CASE WHEN {off} THEN 0 ELSE review END AS v2, CASE WHEN {off} OR {missing} THEN 0 ELSE total - blocked - review END AS e2,
         CASE WHEN {missing} THEN total - blocked ELSE 0 END AS r2 FROM (
-        SELECT i.*, coalesce(l.line_tax, i.total_tax, 0) AS total, coalesce(l.blocked, 0) AS blocked, coalesce(l.review, 0) AS review,
+        SELECT i.*, coalesce(l.line_tax, i.total_tax, 0) AS total, coalesce(l.blocked, 0) AS blocked, coalesce(l.review, 0) AS review, coalesce(l.own_lines, 0) AS own_lines,
           make_date(cast(year(invoice_date) AS int) + CASE WHEN month(invoice_date) >= 4 THEN 1 ELSE 0 END, 11, 30) AS claim_deadline, cast(invoice_date + INTERVAL 180 DAY AS date) AS payment_due_by,
           CASE WHEN coalesce(l.blocked, 0) = coalesce(l.line_tax, i.total_tax, 0) THEN 'BLOCKED' WHEN coalesce(l.review, 0) > 0 THEN 'NEEDS_REVIEW' WHEN coalesce(l.blocked, 0) > 0 THEN 'PARTIALLY_ELIGIBLE' ELSE 'ELIGIBLE' END AS s1
-        FROM invoices i LEFT JOIN (
-          SELECT invoice_id, cast(sum(tax) AS {D}) AS line_tax, cast(sum(CASE WHEN action = 'BLOCKED' THEN tax ELSE 0 END) AS {D}) AS blocked, cast(sum(CASE WHEN action = 'REVIEW' THEN tax ELSE 0 END) AS {D}) AS review
+        FROM {base} i LEFT JOIN (
+          SELECT invoice_id, cast(sum(tax) AS {D}) AS line_tax, cast(sum(CASE WHEN action = 'BLOCKED' AND NOT own THEN tax ELSE 0 END) AS {D}) AS blocked, cast(sum(CASE WHEN action = 'REVIEW' AND NOT own THEN tax ELSE 0 END) AS {D}) AS review, count(CASE WHEN own AND action IS NOT NULL THEN 1 END) AS own_lines
           FROM restricted_lines WHERE tax > 0 GROUP BY invoice_id) AS l ON i.invoice_id = l.invoice_id) AS a) AS b) AS c) AS e"""
 
 
@@ -210,10 +215,10 @@ VIEWS: dict[str, Template] = {
     "findings": "SELECT invoice_id, line_no, split_part(mark, '|', 1) AS code, split_part(mark, '|', 2) AS severity, 'validation' AS category, split_part(mark, '|', 3) AS field FROM (SELECT * FROM line_marks UNION ALL SELECT * FROM header_marks) AS m",
     "records": _records,
     "restricted_lines": f"""SELECT l.invoice_id, l.line_no, l.hsn_sac, l.description, cast(coalesce(l.cgst, 0) + coalesce(l.sgst, 0) + coalesce(l.igst, 0) AS {D}) AS tax,
-      coalesce(r6.pattern, r5.pattern, r4.pattern, {keyword_case(1)}) AS pattern, coalesce(r6.action, r5.action, r4.action, {keyword_case(2)}) AS action,
+      coalesce({" OR ".join(f"l.hsn_sac LIKE '{x}%'" for x in OWN_LINE)}, false) AS own, coalesce(r6.pattern, r5.pattern, r4.pattern, {keyword_case(1)}) AS pattern, coalesce(r6.action, r5.action, r4.action, {keyword_case(2)}) AS action,
       coalesce(r6.section, r5.section, r4.section, {keyword_case(3)}) AS section, coalesce(r6.category, r5.category, r4.category, {keyword_case(4)}) AS category
       FROM invoice_lines l {" ".join(f"LEFT JOIN restricted_codes r{n} ON r{n}.width = {n} AND substr(l.hsn_sac, 1, {n}) = r{n}.pattern" for n in (6, 5, 4))}""",
-    "credit": _credit,
+    "credit": lambda d: credit_of(d, "invoices"),
     "live": "SELECT * FROM invoices WHERE status NOT IN ('REJECTED', 'FAILED')",
 }
 #: ``date_add`` is a function of days in Spark; DuckDB adds an interval.
