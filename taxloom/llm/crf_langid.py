@@ -6,25 +6,27 @@ Training sequences are the whole texts of labelled documents, cut into stretches
 transitions learn how seldom the language changes.  Prediction runs forward-backward over every word of the whole text: the
 marginals label each word, their mean over the text labels the document, and that mean is its score.
 
-Fitting takes a bounded sample to the driver: of each language whole documents by a hash of the id, at most ``DOCS_PER_LANG`` and
-``WORDS_PER_LANG`` words, of the ``LANGS`` most frequent languages.  Words are found on the executors.  Predicting is one pass in
+Fitting takes a bounded sample to the driver: of the ``LANGS`` most frequent languages the first ``DOCS_PER_LANG`` documents by a hash of the id, and of
+their stretches, whatever the length of a document, those that come first by a hash of their own, ``WORDS_PER_LANG`` words of a language at
+most.  Words are found on the executors.  Predicting is one pass in
 place without a shuffle; texts of an Arrow batch are cut into groups of like length of at most ``CELLS`` words, so
 long documents bound memory too.
 
-Cases: a null text, or one without a letter, is ``und`` with score 0; letters are those of any script, digits and marks part
-words; rows with a null lang or text don't train; with one language learned every other text is in it, with score 1, with none
+Cases: a null text, or one without a letter, is ``und`` with score 0; letters are those of any script (Unicode's categories L), composed where they can
+be; marks belong to the word that they stand in, all else, numbers of any kind too, parts words; rows with a null lang or text don't train; with one language learned every other text is in it, with score 1, with none
 every text is ``und``; repeated rows are predicted each; ties go to the language first in order; an empty table gives no
-rows; the columns of the input are kept.
+rows; the columns of the input are kept, but for those named like a result.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,12 +41,12 @@ SLOTS = 1 << 17
 CELLS = 1 << 17
 CACHED_WORDS = 100_000
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 
 
 def tokens(text: str | None) -> list[str]:
-    """Runs of letters, in lower case."""
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters with their marks, composed and in lower case."""
+    return _WORD.findall(unicodedata.normalize("NFC", text).lower()) if text else []
 
 
 def word_features(word: str) -> list[int]:
@@ -201,8 +203,8 @@ def train(rows: list[tuple[list[str], str]], seed: int = 7) -> Crf:
 
 
 def sample(docs: DataFrame, per_lang: int = DOCS_PER_LANG, words_per_lang: int = WORDS_PER_LANG) -> DataFrame:
-    """(words, lang) of whole documents of each language, by a hash of the id: the first that have ``per_lang`` rows and ``words_per_lang`` words in all at
-    most.  Documents of over a twentieth of those words aren't drawn."""
+    """(words, lang): stretches of the first ``per_lang`` documents of each language by a hash of the id, in an order of their own until they have
+    ``words_per_lang`` words."""
     rows = docs.where("text is not null and lang is not null")
     # broadcast, so that rows are thinned out where they are read and only the sample is shuffled
     counts = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGS), "languages")
@@ -213,8 +215,11 @@ def sample(docs: DataFrame, per_lang: int = DOCS_PER_LANG, words_per_lang: int =
     nth = Window.partitionBy("lang").orderBy("_o", "doc_id", "text")
     first = some.withColumn("_k", F.row_number().over(nth)).where(F.col("_k") <= per_lang)
     split = F.pandas_udf(lambda texts: pd.Series([tokens(t) for t in texts]), "array<string>")
-    found = first.select("_k", "lang", split(F.col("text")).alias("words")).where(F.size("words").between(1, max(1, words_per_lang // 20)))
-    return found.withColumn("_w", F.sum(F.size("words")).over(Window.partitionBy("lang").orderBy("_k"))).where(F.col("_w") <= words_per_lang).select("words", "lang")
+    found = first.select("_k", "lang", split(F.col("text")).alias("_all")).where(F.size("_all") > 0)
+    starts = F.sequence(F.lit(0), F.size("_all") - 1, F.lit(STRETCH))
+    each = found.select("_k", "lang", F.posexplode(F.transform(starts, lambda i: F.slice("_all", i + 1, STRETCH))).alias("_i", "words"))
+    by = Window.partitionBy("lang").orderBy(F.xxhash64("_k", "_i"), "_k", "_i")
+    return each.withColumn("_w", F.sum(F.size("words")).over(by)).where(F.col("_w") <= words_per_lang).select("words", "lang")
 
 
 def fit(docs: DataFrame, per_lang: int = DOCS_PER_LANG, words_per_lang: int = WORDS_PER_LANG) -> Crf:
@@ -228,7 +233,7 @@ def predict(docs: DataFrame, model: Crf, text: str = "text", lang: str = "lang_p
     def guess(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(dict(zip(("lang", "score", "others"), model.predict(texts.tolist()), strict=True)))
 
-    docs = dealt_out(docs)
-    got = F.pandas_udf(guess, "lang string, score double, others int")(F.col(text))
-    kept = [c for c in docs.columns if c not in (lang, score, others, "_crf")]
-    return docs.select(*kept, got.alias("_crf")).select(*kept, F.col("_crf.lang").alias(lang), F.col("_crf.score").alias(score), F.col("_crf.others").alias(others))
+    got = F.pandas_udf(guess, "lang string, score double, others int")(F.col("_text"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {lang.lower(), score.lower(), others.lower()}]
+    done = dealt_out(docs).select(F.struct(*kept).alias("_kept"), F.col(text).alias("_text")).select("_kept", got.alias("_crf"))
+    return done.select("_kept.*", F.col("_crf.lang").alias(lang), F.col("_crf.score").alias(score), F.col("_crf.others").alias(others))

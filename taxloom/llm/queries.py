@@ -43,10 +43,19 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+#: Words of spam in urls, and what junk is strewn with, by which pages are marked: fixed values.
+SPAM = ("adult", "ads", "bets", "casino", "pills", "spam")
+JUNK = "%%%|###|[$][$][$]|[*][*][*]|&amp;&amp;&amp;"
+UNSEEN = "(?s)<script.*?</script>|<style.*?</style>|<[^>]*>"
+
+
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labels as outcomes of the pages of the same number: bad if toxic or of low quality."""
-    bad = (F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)
-    return load(spark, sf_dir, "labels").where("doc_id is not null").select(F.col("doc_id").alias("page_id"), bad.cast("int").alias("bad"))
+    """(page_id, bad): a page is bad if junk follows a tenth of its visible words or more, or its url has a word of spam; pages without html
+    or words have no outcome."""
+    seen = F.regexp_replace("html", UNSEEN, " ")
+    count = lambda p: F.size(F.regexp_extract_all(seen, F.lit(p), F.lit(0)))
+    rows = load(spark, sf_dir, "pages").select("page_id", F.lower("url").rlike(f"(^|[^a-z])({'|'.join(SPAM)})([^a-z]|$)").alias("spam"), count(r"[^\x20\x09-\x0D]+").alias("words"), count(JUNK).alias("junk"))
+    return rows.where("page_id is not null and words > 0").select("page_id", (F.coalesce("spam", F.lit(False)) | (F.col("junk") * 10 >= F.col("words"))).cast("int").alias("bad"))
 
 
 def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,10 +177,13 @@ def _op4_sql() -> str:
 WITH cut AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{url_reputation.UPPER}', '{url_reputation.LOWER}') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), seen AS (SELECT page_id, url, regexp_replace(html, '{UNSEEN}', ' ', 'g') AS t FROM pages
+), words AS (SELECT page_id, url, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS words, len(regexp_extract_all(t, '{JUNK}')) AS junk FROM seen
 ), marks AS (
-  SELECT doc_id, max(CASE WHEN coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+  SELECT page_id AS of_page, max(CASE WHEN {" OR ".join(f"list_contains(string_split_regex(lower(coalesce(url, '')), '[^a-z]+'), '{x}')" for x in SPAM)} OR junk * 10 >= words THEN 1 ELSE 0 END) AS bad
+  FROM words WHERE page_id IS NOT NULL AND words > 0 GROUP BY page_id
 ), counted AS (
-  SELECT host, regexp_replace(regexp_replace(host, '(?s)^.*@|:[0-9]*$', '', 'g'), '[.]$', '') AS named, string_split(named, '.') AS parts, count(bad) AS n, coalesce(sum(bad), 0) AS x FROM cut LEFT JOIN marks ON page_id = doc_id GROUP BY host
+  SELECT host, regexp_replace(regexp_replace(host, '(?s)^.*@|:[0-9]*$', '', 'g'), '[.]$', '') AS named, string_split(named, '.') AS parts, count(bad) AS n, coalesce(sum(bad), 0) AS x FROM cut LEFT JOIN marks ON page_id = of_page GROUP BY host
 ), hosts AS (
   SELECT host, n, x, CASE WHEN regexp_matches(named, '{url_reputation.NUMERIC}') THEN named WHEN {tail(2)} IN ({two}) THEN {tail(3)} ELSE {tail(2)} END AS domain,
     CASE WHEN regexp_matches(named, '{url_reputation.NUMERIC}') THEN '{url_reputation.ADDRESSES}' WHEN {tail(2)} IN ({two}) THEN {tail(2)} ELSE {tail(1)} END AS suffix FROM counted
@@ -181,10 +193,12 @@ WITH cut AS (
 ), d0 AS (SELECT h.suffix, h.domain, sum(h.n) AS n, sum(h.x) AS x, any_value(s1.m) AS m FROM hosts h JOIN s1 ON h.suffix = s1.suffix GROUP BY h.suffix, h.domain
 ), d1 AS (SELECT domain, (x + m * s) / (x + m * s + n - x + (1 - m) * s) AS m FROM d0, (SELECT {strength("d0")} AS s)
 ), h0 AS (SELECT h.host, h.n, h.x, d1.m FROM hosts h JOIN d1 ON h.domain = d1.domain
-), h1 AS (SELECT host, (x + m * s) / (x + m * s + n - x + (1 - m) * s) AS m, x + m * s + n - x + (1 - m) * s AS w FROM h0, (SELECT {strength("h0")} AS s)
-), low AS (SELECT host AS of, round(m - CAST({url_reputation.Z} AS DOUBLE) * sqrt(m * (1 - m) / (w + 1)), 9) AS bad_low FROM h1)
+), h1 AS (SELECT host, x + m * s AS a, n - x + (1 - m) * s AS b FROM h0, (SELECT {strength("h0")} AS s)
+), h2 AS (SELECT *, lgamma(a + b) - lgamma(a) - lgamma(b) AS w, CASE WHEN a >= 1 THEN CAST({url_reputation.MAX_BAD} AS DOUBLE) ELSE pow({url_reputation.MAX_BAD}, a) END AS upto FROM h1
+), low AS (SELECT host AS of, upto / 6000 * list_sum([(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * (CASE
+    WHEN a < 1 THEN exp(w - ln(a) + (b - 1) * ln(1 - pow(upto * i / 2000, 1 / a))) WHEN i = 0 THEN CASE WHEN a = 1 THEN exp(w) ELSE 0 END ELSE exp(w + (a - 1) * ln(upto * i / 2000) + (b - 1) * ln(1 - upto * i / 2000)) END) for i in range(0, 2001)]) AS below FROM h2)
 SELECT page_id, host, path, CASE {rule} END AS rule,
-  CASE {verdict} ELSE CASE WHEN bad_low > {url_reputation.MAX_BAD} THEN 'block' ELSE 'allow' END END AS verdict, bad_low
+  CASE {verdict} ELSE CASE WHEN 1 - below > {url_reputation.CONFIDENCE} THEN 'block' ELSE 'allow' END END AS verdict
 FROM cut LEFT JOIN low ON host = low.of
 """
 

@@ -3,7 +3,9 @@
 Labelled page outcomes (1: bad) are summed per host, registered domain and suffix.  Each level's bad rate is shrunk
 towards its parent's posterior mean by a beta-binomial prior: suffix to all pages, domain to suffix, host to domain.
 A level's prior strength is estimated from the over-dispersion of its own rates about their parents' means (method of
-moments), clamped to [1, 1000].  A host is blocked when the lower bound of its posterior bad rate exceeds ``max_bad``.
+moments), clamped to [1, 1000].  A host is blocked when the lower bound of its posterior bad rate exceeds ``max_bad``: the bound is the beta
+quantile at 1 - ``confidence``, and it exceeds a rate just if the posterior leaves less than that to the rates below, which the incomplete
+beta function says exactly.
 Explicit rules (host, path prefix) come first; the longest that fits wins.
 
 Everything shuffled is a pre-aggregated count per host; the three strengths are single rows.  A hot host costs one
@@ -21,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taxloom.functions.special import beta_cdf
 from taxloom.llm.common import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -28,8 +31,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br")
 NUMERIC = r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*)$"
 ADDRESSES = "*"
-MAX_BAD = 0.25
-Z = 1.645
+MAX_BAD, CONFIDENCE = 0.25, 0.95
 LEAST_STRENGTH, MOST_STRENGTH, DEFAULT_STRENGTH = 1.0, 1000.0, 10.0
 
 
@@ -86,11 +88,11 @@ def _strength(level: DataFrame) -> float:
 
 def _posterior(level: DataFrame, s: float) -> DataFrame:
     a, b = F.col("x") + F.col("m") * s, F.col("n") - F.col("x") + (1 - F.col("m")) * s
-    return level.withColumn("mean", a / (a + b)).withColumn("weight", a + b)
+    return level.withColumn("a", a).withColumn("b", b).withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame, max_bad: float = MAX_BAD, z: float = Z, suffixes: tuple[str, ...] = LONG_SUFFIXES) -> DataFrame:
-    """(host, n, x, bad_rate, bad_low, blocked) from ``pages`` (page_id, host) and ``outcomes`` (page_id, bad)."""
+def reputation(pages: DataFrame, outcomes: DataFrame, max_bad: float = MAX_BAD, confidence: float = CONFIDENCE, suffixes: tuple[str, ...] = LONG_SUFFIXES) -> DataFrame:
+    """(host, n, x, bad_rate, p_over, blocked) from ``pages`` (page_id, host) and ``outcomes`` (page_id, bad)."""
     marks = outcomes.groupBy("page_id").agg(F.max("bad").alias("bad"))
     seen = pages.join(marks, "page_id", "left")
     hosts = seen.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("x"))
@@ -105,15 +107,15 @@ def reputation(pages: DataFrame, outcomes: DataFrame, max_bad: float = MAX_BAD,
     domains = _posterior(domains, _strength(domains)).select("domain", F.col("mean").alias("m"))
     level = hosts.join(domains, "domain")
     level = _posterior(level, _strength(level))
-    low = F.round(F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1)), 9)
-    return level.select("host", "n", "x", F.round("mean", 9).alias("bad_rate"), low.alias("bad_low"), (low > max_bad).alias("blocked"))
+    level = materialize(level.select("host", "n", "x", F.round("mean", 9).alias("bad_rate"), (1 - beta_cdf(max_bad, F.col("a"), F.col("b"))).alias("p_over")), "reputation")
+    return level.withColumn("blocked", F.col("p_over") > confidence)
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], max_bad: float = MAX_BAD, z: float = Z, suffixes: tuple[str, ...] = LONG_SUFFIXES) -> DataFrame:
-    """(page_id, host, path, rule, verdict, bad_low) for every row of ``pages`` (page_id, url)."""
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], max_bad: float = MAX_BAD, confidence: float = CONFIDENCE, suffixes: tuple[str, ...] = LONG_SUFFIXES) -> DataFrame:
+    """(page_id, host, path, rule, verdict) for every row of ``pages`` (page_id, url)."""
     parts = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    known = reputation(parts.select("page_id", "host"), outcomes, max_bad, z, suffixes).select("host", "bad_low", "blocked")
+    known = reputation(parts.select("page_id", "host"), outcomes, max_bad, confidence, suffixes).select("host", "blocked")
     rule = matching_rule(F.col("host"), F.col("path"), rules)
     judged = parts.join(known, "host", "left").withColumn("_rule", rule)
     own = F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow"))
-    return judged.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", own).alias("verdict"), "bad_low")
+    return judged.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", own).alias("verdict"))
