@@ -29,8 +29,20 @@ def pairs(invoices: DataFrame, days: int = BAND) -> DataFrame:
     return near.union(files.where(outside))
 
 
+def between(new: DataFrame, old: DataFrame, days: int = BAND) -> DataFrame:
+    """Pairs (a, b), a's id the smaller, of an invoice of ``new`` and one of ``old``: of a vendor and within days, or of one file."""
+    slot = F.floor(F.datediff(F.col("invoice_date"), F.lit("1970-01-01")) / days)
+    x = new.select(F.struct("*").alias("x"), F.col("vendor_id").alias("v"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("s"))
+    y = old.select(F.struct(*new.columns).alias("y"), F.col("vendor_id").alias("v"), slot.alias("s"))
+    close = F.coalesce((F.col("x.vendor_id") == F.col("y.vendor_id")) & (F.abs(F.datediff("x.invoice_date", "y.invoice_date")) <= days), F.lit(False))
+    near = x.join(y, ["v", "s"]).where(close).select("x", "y")
+    files = new.select(F.struct("*").alias("x"), F.col("document_hash").alias("h")).join(old.select(F.struct(*new.columns).alias("y"), F.col("document_hash").alias("h")), "h").where(~close).select("x", "y")
+    first = F.col("x.invoice_id") < F.col("y.invoice_id")
+    return near.union(files).where("x.invoice_id <> y.invoice_id").select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"))
+
+
 def score(found: DataFrame) -> DataFrame:
-    """(invoice_a, invoice_b, score, tier) of pairs that reach a tier."""
+    """(invoice_a, invoice_b, score, tier) of every pair; the tier is null where none is reached."""
     na, nb = normal_number(F.col("a.invoice_number")), normal_number(F.col("b.invoice_number"))
     digits = lambda n: F.regexp_replace(F.regexp_replace(n, "[^0-9]", ""), "^0+", "")
     amount = lambda d: F.when(d.isNull(), 0.5).when(d <= 0.005, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - d * 10))

@@ -135,6 +135,10 @@ def _expanding(d: Dialect) -> str:
     return f"""SELECT invoice_id, CASE WHEN n >= 5 THEN round((x - med) / (14826e-4 * CASE WHEN mad > 0 THEN mad ELSE 5e-2 END), 9) END AS deviation FROM (SELECT *, {median('near')} AS mad FROM (SELECT *, {near} AS near FROM (SELECT invoice_id, x, seen, {'size(seen)' if d.spark else 'coalesce(len(seen), 0)'} AS n, {median('seen')} AS med FROM ({lists}) a) b) c) e"""
 
 
+#: Alerts: name, seconds, least events, which events, by whom.  All users stand for one masked address; thresholds are fixed values.
+ALERT_RULES = (("failures", 900, 5, "event_type = 'error'", "0"), ("views", 3600, 200, "event_type = 'view'", "0"), ("deletions", 3600, 5, "event_type = 'purchase'", "0"))
+
+
 QUERIES: dict[str, Template] = {
     # sources and filters
     "src_table": "SELECT invoice_id, vendor_id, invoice_number, invoice_date, status, grand_total FROM invoices",
@@ -209,7 +213,7 @@ QUERIES: dict[str, Template] = {
     "agg_review_list": lambda d: f"SELECT i.invoice_id, i.confidence, {d.distinct_text('f.code')} AS codes FROM invoices i LEFT JOIN findings f ON i.invoice_id = f.invoice_id AND f.severity = 'ERROR' WHERE i.status = 'NEEDS_REVIEW' GROUP BY i.invoice_id, i.confidence",
     "agg_brief": "SELECT severity, count(*) AS n, count(DISTINCT invoice_id) AS invoices FROM findings GROUP BY severity",
     "agg_events": "SELECT event_type AS action, CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS outcome, count(*) AS n FROM events WHERE cast(ts AS date) >= date '2024-01-29' GROUP BY event_type",
-    "agg_alerts": lambda d: " UNION ALL ".join(f"SELECT '{k}' AS rule, x.* FROM ({per_event(d, s, n, t, a)}) x" for k, s, n, t, a in (("failures", 900, 2, "event_type = 'error'", "user_id"), ("views", 3600, 3, "event_type = 'view'", "user_id"), ("purchases", 3600, 2, "event_type = 'purchase'", "user_id"))),
+    "agg_alerts": lambda d: " UNION ALL ".join(f"SELECT '{k}' AS rule, x.* FROM ({per_event(d, s, n, t, a)}) x" for k, s, n, t, a in ALERT_RULES),
     "agg_score": f"SELECT {share('100 * sum(w * passed)', 'sum(w)', 3)} AS score FROM (SELECT 3 AS w, CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS passed FROM invoices UNION ALL SELECT 2, CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM findings UNION ALL SELECT 5, 1) c",
     "agg_snapshot": f"SELECT {money('CASE WHEN ' + MONTH + ' = ' + chr(39) + '2001-07' + chr(39) + ' THEN grand_total END')} AS month_spend, {money('grand_total')} AS total_spend, {money('CASE WHEN payment_date IS NULL THEN grand_total END')} AS owed, count(CASE WHEN payment_date IS NULL AND invoice_date < date '2001-03-05' THEN 1 END) AS overdue FROM live",
     "agg_deduction": f"SELECT c_mktsegment AS category, {money('grand_total')} AS amount FROM live JOIN customer ON vendor_id = c_custkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY c_mktsegment",
@@ -284,8 +288,7 @@ QUERIES: dict[str, Template] = {
     # every invoice against the statements of the months that may hold it: from its own on, 180 days
     "recon_compare": "SELECT r.record_id, r.invoice_number = i.invoice_number AS number_ok, r.invoice_date = i.invoice_date AS date_ok, abs(r.taxable_value - i.subtotal) <= 1 AS taxable_ok, abs(r.total_tax - i.total_tax) <= 1 AS tax_ok, r.supplier_gstin = i.vendor_gstin AS gstin_ok FROM records r JOIN invoices i ON r.record_id = i.invoice_id * 2",
     "rule_text": "SELECT DISTINCT code, CASE WHEN code LIKE 'NO_PO%' THEN 'Purchase order reference' WHEN code LIKE 'HSN%' THEN 'Goods or service code' WHEN code LIKE 'LINE%' THEN 'Line arithmetic' WHEN code LIKE 'GRAND%' OR code LIKE 'HEADER%' THEN 'Totals' WHEN code LIKE 'TAX%' OR code LIKE 'CGST%' THEN 'Tax type' WHEN code LIKE '%GSTIN%' THEN 'Tax id' ELSE 'Invoice details' END AS rule FROM findings",
-    "investigate": f"SELECT i.invoice_id, CASE WHEN f.errors > 0 THEN 'fail' WHEN f.warnings > 0 THEN 'warn' ELSE 'pass' END AS validation, CASE WHEN i.gstr2b_status IS NULL THEN 'na' WHEN i.gstr2b_status = 'IN_2B' THEN 'pass' ELSE 'fail' END AS statement, CASE i.einvoice_status WHEN 'VERIFIED' THEN 'pass' WHEN 'MISMATCH' THEN 'fail' ELSE 'na' END AS einvoice, c.itc_status FROM invoices i LEFT JOIN (SELECT invoice_id, count(CASE WHEN severity = 'ERROR' THEN 1 END) AS errors, count(CASE WHEN severity = 'WARNING' THEN 1 END) AS warnings FROM findings GROUP BY invoice_id) f ON i.invoice_id = f.invoice_id LEFT JOIN credit c ON i.invoice_id = c.invoice_id",
-    "ts_monthly": f"SELECT month, cast(coalesce(sum(grand_total), 0) AS decimal(18,2)) AS spend, count(invoice_id) AS invoices FROM (SELECT DISTINCT {MONTH} AS month FROM invoices WHERE invoice_date IS NOT NULL) m LEFT JOIN (SELECT *, {MONTH} AS of FROM live) i ON m.month = i.of GROUP BY month",
+    "ts_monthly": lambda d: f"SELECT m.month, cast(coalesce(sum(grand_total), 0) AS decimal(18,2)) AS spend, count(invoice_id) AS invoices FROM (SELECT substr(cast(m AS string), 1, 7) AS month FROM (SELECT {'explode(sequence(lo, hi, INTERVAL 1 MONTH))' if d.spark else 'unnest(generate_series(lo, hi, INTERVAL 1 MONTH))'} AS m FROM (SELECT date_trunc('month', min(invoice_date)) AS lo, date_trunc('month', max(invoice_date)) AS hi FROM invoices) b) c) m LEFT JOIN (SELECT *, {MONTH} AS of FROM live) i ON m.month = i.of GROUP BY m.month",
     "ts_linear": f"SELECT round(regr_slope(y, x), 4) AS slope, round(regr_intercept(y, x), 2) AS intercept, count(*) AS months FROM (SELECT cast(row_number() OVER (ORDER BY month) - 1 AS double) AS x, y FROM (SELECT {MONTH} AS month, cast(cast(sum(grand_total) AS decimal(18,2)) AS double) AS y FROM live WHERE invoice_date IS NOT NULL GROUP BY {MONTH}) m) s",
     "gst_threshold": "SELECT vendor_id, turnover, turnover > 4000000 AS must_register FROM (SELECT vendor_id, cast(sum(subtotal) AS decimal(18,2)) AS turnover FROM live GROUP BY vendor_id) t",
     "sales_invoice": lambda d: "SELECT invoice_id, line_no, cgst_due, cast(tax - cgst_due AS decimal(18,2)) AS sgst_due FROM (SELECT *, cast(round(cast(tax * cast(0.5 AS decimal(2,1)) AS decimal(18,3)), 2) AS decimal(18,2)) AS cgst_due FROM (SELECT invoice_id, line_no, cast(round(cast(taxable_value * gst_rate * cast(0.01 AS decimal(3,2)) AS decimal(18,4)), 2) AS decimal(18,2)) AS tax FROM invoice_lines) a) b",

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxloom.operators import imports, review
+from taxloom.operators import casefile, imports, review
 from taxloom.operators.work import shared_folder, written
 from taxloom.plans import dialect, engine
 from taxloom.sources.adapters import VIEWS, credit_of
@@ -90,6 +90,36 @@ def itc_reassess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return before.join(credit, "invoice_id")
 
 
+#: What a vendor needs attention for: errors in its invoices and invoices that statements don't have.
+ATTENTION = "SELECT i.vendor_id, count(*) AS attention FROM invoices i JOIN (SELECT invoice_id FROM findings WHERE severity = 'ERROR' UNION ALL SELECT invoice_id FROM invoices WHERE gstr2b_status = 'MISSING_IN_2B') x ON i.invoice_id = x.invoice_id GROUP BY i.vendor_id"
+HEADER = f"""SELECT i.invoice_id, i.status, i.n_lines, i.confidence, i.vendor_gstin, i.invoice_number, i.invoice_date, i.grand_total, i.einvoice_status, i.gstr2b_status, c.itc_status, coalesce(a.attention, 0) AS attention
+  FROM invoices i LEFT JOIN credit c ON i.invoice_id = c.invoice_id LEFT JOIN ({ATTENTION}) a ON i.vendor_id = a.vendor_id"""
+
+
+def _case_files(spark: SparkSession, sf_dir: str, orders: bool) -> DataFrame:
+    read, one = lambda sql: engine.view(spark, sf_dir, sql), F.lit(None)
+    children = [
+        casefile.entries(read("SELECT * FROM findings"), "finding", F.lpad(F.coalesce(F.col("line_no").cast("string"), F.lit("0")), 6, "0"), F.col("code"), F.col("severity"), F.col("field")),
+        casefile.entries(read("SELECT invoice_id FROM invoices WHERE possible_duplicate"), "duplicate", one, F.lit("DUPLICATE_LIKELY"), F.lit("ERROR")),
+        casefile.entries(engine.anomaly_rules(spark, sf_dir) if orders else read(engine.RULES_SQL), "risk", one, F.col("kind"), F.col("score")),
+        casefile.entries(read(ACTIONS), "action", F.date_format("acted_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.col("action"), F.col("actor")),
+    ]
+    if orders:
+        children.append(casefile.entries(engine.po_check(spark, sf_dir), "order", F.lpad(F.col("line_no").cast("string"), 6, "0"), F.col("status"), F.col("code")))
+    return casefile.gathered(read(HEADER), *children)
+
+
+def workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An invoice's row with what belongs to it: findings by line, risks, whether it may be a duplicate, and what was done, in order."""
+    files = _case_files(spark, sf_dir, orders=False)
+    names = lambda kind: F.array_join(F.transform(kind, lambda e: e["name"]), " ")
+    return files.select("invoice_id", "status", "gstr2b_status", "itc_status", names("finding").alias("findings"), F.size(F.filter("finding", lambda e: e["level"] == "ERROR")).alias("errors"), names("risk").alias("risks"), (F.size("duplicate") > 0).alias("may_be_duplicate"), names("action").alias("actions"))
+
+
+def investigate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return casefile.investigated(_case_files(spark, sf_dir, orders=True))
+
+
 #: Uploads of files: errors fail, purchases get through, a signup is the user's wish to try at once.
 UPLOADS = {"error": retry.FAILED, "purchase": retry.PASSED, "signup": retry.NOW}
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -109,7 +139,7 @@ def st_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (rec_2b_apply, rec_2b_delete, review_actions, review_feedback, itc_reassess, st_retry)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (rec_2b_apply, rec_2b_delete, review_actions, review_feedback, itc_reassess, workspace, investigate, st_retry)}
 
 
 # The same said by windows instead of folds, for DuckDB.
@@ -152,7 +182,13 @@ def _retry_sql() -> str:
       UNION ALL SELECT file, next_try, 'due', attempts, next_try FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY nth DESC) AS k FROM s) z, last WHERE k = 1 AND waiting AND next_try <= mark"""
 
 
+_WORKSPACE = f"""SELECT h.invoice_id, h.status, h.gstr2b_status, h.itc_status, coalesce(f.findings, '') AS findings, cast(coalesce(f.errors, 0) AS int) AS errors, coalesce(r.risks, '') AS risks, i.possible_duplicate AS may_be_duplicate, coalesce(a.actions, '') AS actions
+  FROM ({HEADER}) h JOIN invoices i ON i.invoice_id = h.invoice_id LEFT JOIN (SELECT invoice_id, string_agg(code, ' ' ORDER BY coalesce(line_no, 0), code) AS findings, count(*) FILTER (severity = 'ERROR') AS errors FROM findings GROUP BY 1) f ON f.invoice_id = h.invoice_id
+  LEFT JOIN (SELECT invoice_id, string_agg(kind, ' ' ORDER BY kind) AS risks FROM ({engine.RULES_SQL}) x GROUP BY 1) r ON r.invoice_id = h.invoice_id LEFT JOIN (SELECT invoice_id, string_agg(action, ' ' ORDER BY acted_at, action) AS actions FROM ({ACTIONS}) x GROUP BY 1) a ON a.invoice_id = h.invoice_id"""
+
+
 ORACLES: dict[str, dialect.Template] = {
+    "workspace": _WORKSPACE,
     "review_actions": f"WITH {_APPLIED} {_REVIEWED}",
     "review_feedback": _FEEDBACK,
     "itc_reassess": _reassess_sql,

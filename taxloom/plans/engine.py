@@ -232,21 +232,43 @@ def tax_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tax.regime_tax(people, "new").unionByName(tax.regime_tax(people, "old")).select("person", "regime", "taxable", "relief", "tax")
 
 
-def src_2b_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All records written as statement files, one a supplier and period, and parsed back."""
-    rows = view(spark, sf_dir, "SELECT * FROM records WHERE return_period IS NOT NULL")
+SRC_SQL = "SELECT supplier_gstin, invoice_number, invoice_date, cast(taxable_value AS decimal(18,2)) AS taxable_value, cast(coalesce(total_tax, 0) AS decimal(18,2)) AS igst, itc_available, itc_reason FROM records WHERE return_period IS NOT NULL AND (ascii(substr(supplier_gstin, 11, 1)) + cast(substr(return_period, 6, 2) AS int)) % 13 > 2"
+REFUSED_SQL = """WITH s AS (SELECT DISTINCT supplier_gstin, return_period, (ascii(substr(supplier_gstin, 11, 1)) + cast(substr(return_period, 6, 2) AS int)) % 13 AS kind FROM records WHERE return_period IS NOT NULL)
+  SELECT CASE kind WHEN 0 THEN 'not a JSON object' WHEN 1 THEN 'no return period' ELSE 'no b2b section' END AS reason, count(*) AS n FROM s WHERE kind < 3 GROUP BY kind UNION ALL SELECT 'section cdnr', 2 * count(*) FROM s WHERE kind = 3 HAVING count(*) > 0"""
+
+
+#: Which statements are spoilt, of thirteen kinds: cut off, without a period, without the section that is read.  Every kind below four has a section more.
+SPOILT = "(ascii(substr(supplier_gstin, 11, 1)) + cast(substr(return_period, 6, 2) AS int)) % 13"
+
+
+def _statement_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records written as statements, one of a supplier and period in a line, some of them spoilt, and read as texts with what is wrong with them."""
+    rows = view(spark, sf_dir, f"SELECT *, {SPOILT} AS kind FROM records WHERE return_period IS NOT NULL")
     money = lambda c: F.col(c).cast("decimal(14,2)")
     item = F.struct(F.lit(1).alias("num"), money("taxable_value").alias("txval"), money("total_tax").alias("igst"))
     bill = F.struct(F.col("invoice_number").alias("inum"), F.date_format("invoice_date", "dd-MM-yyyy").alias("dt"), F.lit("N").alias("rev"), F.when(F.col("itc_available"), "Y").otherwise("N").alias("itcavl"), F.col("itc_reason").alias("rsn"), F.array(item).alias("items"))
-    by = rows.groupBy("supplier_gstin", "return_period").agg(F.collect_list(bill).alias("inv"))  # a month of one supplier
-    doc = F.struct(F.lit("27AAPFU0939F1ZV").alias("gstin"), F.concat(F.substring("return_period", 6, 2), F.substring("return_period", 1, 4)).alias("rtnprd"), F.struct(F.array(F.struct(F.col("supplier_gstin").alias("ctin"), F.col("inv").alias("inv"))).alias("b2b")).alias("docdata"))
+    by = rows.groupBy("supplier_gstin", "return_period", "kind").agg(F.collect_list(bill).alias("inv"))  # a month of one supplier
+    b2b = F.when(F.col("kind") != 2, F.array(F.struct(F.col("supplier_gstin").alias("ctin"), F.col("inv").alias("inv"))))
+    notes = F.when(F.col("kind") < 4, F.array(F.lit("a"), F.lit("b")))
+    period = F.when(F.col("kind") != 1, F.concat(F.substring("return_period", 6, 2), F.substring("return_period", 1, 4))).otherwise("soon")
+    doc = F.struct(F.lit("27AAPFU0939F1ZV").alias("gstin"), period.alias("rtnprd"), F.struct(b2b.alias("b2b"), notes.alias("cdnr")).alias("docdata"))
+    said = F.to_json(F.struct(doc.alias("data")))
     path = f"{shared_folder(spark)}/statements-{uuid.uuid4().hex}"
-    by.select(doc.alias("data")).write.json(path)
-    got = files.statement_lines(spark.read.schema(files.STATEMENT).json(path))
+    by.select(F.when(F.col("kind") == 0, F.left(said, F.length(said) - 9)).otherwise(said).alias("value")).write.text(path)
+    return files.judged(spark.read.text(path).withColumn("file", F.input_file_name()))
+
+
+def src_2b_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the statements that are some."""
+    got = files.good_lines(_statement_texts(spark, sf_dir))
     return got.select("supplier_gstin", "invoice_number", "invoice_date", "taxable_value", "igst", "itc_available", "itc_reason")
 
 
-SRC_SQL = f"SELECT supplier_gstin, invoice_number, invoice_date, cast(taxable_value AS decimal(18,2)) AS taxable_value, cast(coalesce(total_tax, 0) AS decimal(18,2)) AS igst, itc_available, itc_reason FROM records WHERE return_period IS NOT NULL"
+def src_2b_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is set aside: statements by what is wrong with them, and entries of sections that aren't read."""
+    known = _statement_texts(spark, sf_dir)
+    wrong = files.refused(known).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return wrong.unionByName(files.skipped_sections(known).groupBy(F.concat(F.lit("section "), "section").alias("reason")).agg(F.sum("entries").alias("n")))
 
 
 def snk_replace_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,7 +307,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "jn_po_greedy": jn_po_greedy, "win_loo_median": win_loo_median, "win_price_dev": win_price_dev, "anomaly_rules": anomaly_rules, "ml_features": ml_features, "ml_anomaly": ml_anomaly,
     **{f"ts_{n}": _model(m) for n, m in (("naive", "naive"), ("seasonal", "seasonal"), ("ma3", "moving_average"), ("trend", "linear"), ("ses", "ses"), ("holt", "holt"))},
     "ml_signals": ml_signals, "dup_upload": dup_upload, "dup_alt": dup_alt, "po_check_alt": po_check_alt, "recon_po_view": recon_po_view, "ts_metrics": ts_metrics,
-    "ts_select": ts_select, "tax_regime": tax_regime, "src_2b_json": src_2b_json, "snk_replace_partition": snk_replace_partition, "snk_idempotent": snk_idempotent, "fn_similarity": fn_similarity,
+    "ts_select": ts_select, "tax_regime": tax_regime, "src_2b_json": src_2b_json, "src_2b_refused": src_2b_refused, "snk_replace_partition": snk_replace_partition, "snk_idempotent": snk_idempotent, "fn_similarity": fn_similarity,
     "st_alert": _stream(lambda e: jobs.alerts(e, "error", "1 hour", "15 minutes", 2), ("start", "user_id")), "st_idempotent": _stream(jobs.once), "st_auth_dedup": _stream(jobs.quiet_repeats),
 }
 
@@ -318,6 +340,7 @@ ORACLES: dict[str, dialect.Template] = {
     "ts_ma3": f"{LAST_SQL} SELECT series, cast(step AS int) AS step, round(avg(v), 2) AS value FROM k, (VALUES (1), (2), (3)) AS t(step) WHERE k <= 3 GROUP BY 1, 2",
     "ts_trend": f"WITH {SERIES}, x AS (SELECT series, v, row_number() OVER (PARTITION BY series ORDER BY month) - 1 AS x FROM s), r AS (SELECT series, regr_slope(v, x) AS b, regr_intercept(v, x) AS a, count(*) AS n FROM x GROUP BY 1) SELECT series, cast(step AS int) AS step, round(greatest(0, a + b * (n + step - 1)), 2) AS value FROM r, (VALUES (1), (2), (3)) AS t(step)",
     "src_2b_json": SRC_SQL,
+    "src_2b_refused": REFUSED_SQL,
     "snk_replace_partition": "SELECT record_id, return_period, CASE WHEN return_period = '2001-02' THEN 0 ELSE total_tax END AS total_tax FROM records",
     "snk_idempotent": "SELECT event_id, user_id, event_type FROM events WHERE event_type = 'purchase'",
 }

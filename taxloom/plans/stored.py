@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taxloom.functions import similarity, special
-from taxloom.operators import anomaly, evaluation
+from taxloom.operators import anomaly, arrivals, evaluation, registry
 from taxloom.operators.work import shared_folder, written
 from taxloom.plans import dialect, engine
 from taxloom.sources import files
@@ -129,30 +128,44 @@ def ml_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ml_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions of the model's centres: of the invoices up to a day, then of all; the newest version is the active one."""
-    path, rows = _folder(spark, "models"), _features(spark, sf_dir)
+    """Two versions of the model, of the invoices up to a day and of all: the second is active, and each is loaded from its tables and scores all invoices."""
+    store, rows = registry.ModelStore(spark, _folder(spark, "models")), _features(spark, sf_dir)
     early = rows.join(engine.view(spark, sf_dir, "SELECT invoice_id FROM live WHERE invoice_date < date '1998-01-01'"), "invoice_id", "left_semi")
-    for version, known in enumerate((early, rows), 1):
-        entry = [("anomaly", version, known.count(), json.dumps(anomaly.centres(known)))]
-        spark.createDataFrame(entry, "name string, version int, trained_on long, centres string").write.mode("append").parquet(path)
-    active = Window.partitionBy("name")
-    return spark.read.parquet(path).withColumn("is_active", F.col("version") == F.max("version").over(active))
+    scored = None
+    for known in (early, rows):
+        model = anomaly.fit(written(known, "known"))
+        if model is not None:
+            store.activate(store.save(model))
+            by = anomaly.ensemble(rows, store.load()).groupBy(F.lit(store.active()).alias("version")).agg(F.count(F.lit(1)).alias("scored"), F.count(F.when(F.col("priority") == "high", 1)).alias("high"))
+            scored = by if scored is None else scored.union(by)
+    kept = store.manifest()
+    return kept.join(scored, "version") if scored is not None else kept.withColumn("scored", F.lit(0).cast("long")).withColumn("high", F.lit(0).cast("long"))
 
 
 def st_score_on_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Invoices arrive as files and leave with their scores, by a model fitted before, and the first earlier invoice with the same document."""
+    """Invoices arrive in several batches, are scored by the active model, and meet the earlier ones of their vendor and days or file by an index of blocks:
+    of each invoice its rank, and how many others it may be a duplicate of, with the highest score."""
     known = _features(spark, sf_dir)
+    store, where = registry.ModelStore(spark, _folder(spark, "models")), _folder(spark, "arrivals")
     model = anomaly.fit(known)
     if model is None:
-        return spark.createDataFrame([], "invoice_id long, rank_pct double, priority string, duplicate_of long")
-    documents = written(engine.view(spark, sf_dir, "SELECT invoice_id, document_hash FROM live"), "documents")
-    first = documents.where("document_hash is not null").groupBy("document_hash").agg(F.min("invoice_id").alias("first_id"))
-    where = _folder(spark, "arrivals")
-    known.join(documents, "invoice_id").write.parquet(f"{where}/in")
-    arriving = spark.readStream.schema(spark.read.parquet(f"{where}/in").schema).parquet(f"{where}/in")
-    seen = anomaly.ensemble(arriving, model).join(written(first, "first"), "document_hash", "left")
-    said = seen.select("invoice_id", "rank_pct", "priority", F.when(F.col("first_id") < F.col("invoice_id"), F.col("first_id")).alias("duplicate_of"))
-    return jobs.run_once(said, f"{where}/out", f"{where}/checkpoint")
+        return spark.createDataFrame([], "invoice_id long, rank_pct double, priority string, candidates long, best double")
+    store.activate(store.save(model))
+    bills = engine.invoices_with_text(spark, sf_dir)
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in bills.schema]
+    index = arrivals.BlockIndex(spark, f"{where}/index", ", ".join(columns))
+    known.drop("vendor_id").join(bills, "invoice_id").repartition(3, "invoice_id").write.parquet(f"{where}/in")
+
+    def take(batch: DataFrame, i: int) -> None:
+        anomaly.ensemble(batch, store.load()).select("invoice_id", "rank_pct", "priority").write.mode("overwrite").parquet(f"{where}/scores/batch={i}")
+        index.arrive(batch.select(*bills.columns), i)
+
+    stream = spark.readStream.schema(spark.read.parquet(f"{where}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
+    stream.writeStream.option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).foreachBatch(take).start().awaitTermination()
+    found = index.pairs()
+    ends = found.select(F.col("invoice_a").alias("invoice_id"), "score").union(found.select("invoice_b", "score")).groupBy("invoice_id").agg(F.count(F.lit(1)).alias("candidates"), F.max("score").alias("best"))
+    scores = spark.read.schema("invoice_id long, rank_pct double, priority string").parquet(f"{where}/scores/batch=*")
+    return scores.join(ends, "invoice_id", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
 
 
 def agg_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,11 @@ def statement_lines(raw: DataFrame) -> DataFrame:
     top = raw.select(pick("gstin").alias("gstin"), pick("rtnprd").alias("period"), pick("docdata").alias("d"))
     valid = F.coalesce(F.col("period").rlike("^[0-9]{6}$"), F.lit(False)) & F.col("d.b2b").isNotNull()
     top = top.withColumn("b2b", F.when(valid, F.col("d.b2b")).otherwise(F.raise_error(F.lit("not a statement: period or b2b section missing"))))
+    return _bills(top)
+
+
+def _bills(top: DataFrame) -> DataFrame:
+    """The invoices of (gstin, period, b2b, and what else comes first)."""
     bills = top.select("gstin", "period", F.explode("b2b").alias("s")).select("gstin", "period", F.col("s.ctin").alias("supplier_gstin"), F.col("s.trdnm").alias("supplier_name"), F.explode("s.inv").alias("i"))
     total = lambda f: F.aggregate(F.coalesce("i.items", F.array().cast(f"array<{ITEM}>")), F.lit(0).cast("decimal(18,2)"), lambda a, x: (a + F.coalesce(x[f], F.lit(0).cast(MONEY))).cast("decimal(18,2)"))
     return bills.select(
@@ -34,6 +39,37 @@ def read_statements(spark: SparkSession, path: str) -> DataFrame:
     return statement_lines(spark.read.schema(STATEMENT).json(path, multiLine=True))
 
 
+SUPPLIERS = f"array<struct<ctin:string,trdnm:string,supfildt:string,inv:array<{BILL}>>>"
+
+
+def judged(raw: DataFrame) -> DataFrame:
+    """(file, value, reason, period, docdata): why each text of ``raw`` (file, value) isn't a statement, null if it is one.  No text ends the read of the others."""
+    body = F.coalesce(F.get_json_object("value", "$.data"), F.col("value"))
+    parts = raw.select("file", "value", F.get_json_object(body, "$.rtnprd").alias("period"), F.get_json_object(body, "$.docdata").alias("docdata"))
+    reason = (
+        F.when(F.json_object_keys("value").isNull(), "not a JSON object").when(~F.coalesce(F.trim("period").rlike("^[0-9]{6}$"), F.lit(False)), "no return period")
+        .when(~F.coalesce(F.array_contains(F.json_object_keys("docdata"), "b2b"), F.lit(False)), "no b2b section")
+    )
+    return parts.withColumn("reason", reason)
+
+
+def refused(known: DataFrame) -> DataFrame:
+    """(file, reason) of ``judged`` texts that are no statements: they are set aside, for somebody to look at."""
+    return known.where("reason is not null").select("file", "reason")
+
+
+def skipped_sections(known: DataFrame) -> DataFrame:
+    """(file, section, entries): the lists of statements that aren't read, and how long they are."""
+    each = known.where("reason is null").select("file", "docdata", F.explode(F.json_object_keys("docdata")).alias("section")).where("section <> 'b2b'")
+    return each.select("file", "section", F.expr("json_array_length(get_json_object(docdata, concat('$.', section)))").alias("entries")).where("entries is not null")
+
+
+def good_lines(known: DataFrame) -> DataFrame:
+    """Lines of ``judged`` texts that are statements, as ``statement_lines`` gives them."""
+    good = known.where("reason is null").select(F.lit(None).cast("string").alias("gstin"), F.trim("period").alias("period"), F.from_json(F.get_json_object("docdata", "$.b2b"), SUPPLIERS).alias("b2b"))
+    return _bills(good)
+
+
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """A restricted-credit CSV with a column ``place`` of the order in the file, patterns in lower and actions in upper case."""
     rows = spark.read.csv(path, header=True)
@@ -53,10 +89,11 @@ def replace_period(records: DataFrame, path: str) -> None:
 
 
 def append_new(rows: DataFrame, path: str, key: str) -> None:
-    """Append the rows whose key the table doesn't hold; of repeats within the batch one stays."""
+    """Append the rows whose key the table doesn't hold; of repeats within the batch the first in the order of their other values stays."""
     spark = rows.sparkSession
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fresh = rows.dropDuplicates([key])
+    rest = [c for c in rows.columns if c != key]
+    fresh = rows.groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(key, "_r.*").select(*rows.columns) if rest else rows.distinct()
     if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
         fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti").select(rows.columns)
     fresh.write.mode("append").parquet(path)
