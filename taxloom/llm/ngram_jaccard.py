@@ -13,7 +13,7 @@ bitmaps differ in no more bits than the sets differ in keys: the count of differ
 texts are.  The bound is a condition of the join within a tile; what passes it is compared exactly, by intersection of the sorted arrays.
 
 Order of work: equal sets collapse to their smallest document first.  Then each set meets one other, the first document that leads one of its rarest
-``HUBS`` tiles and may link, and components that this makes do the same up to ``ROUNDS`` times, so groups of near copies become
+``HUBS`` tiles and may link (components that this makes could do the same again, ``ROUNDS`` says how often), so groups of near copies become
 components without listing their pairs.  Tiles in which several components are left are then taken whole: bounds of a component in a
 tile go before its members, so members of one component never meet.  Of the pairs of two components the most alike by their bitmaps is compared first, and
 more, eight times as many each time, while the two stay apart.  So every pair that could join two components is compared or no longer needed; none is
@@ -47,7 +47,7 @@ LANES = BITS // 64
 #: Width of a size band as a logarithm; a little more than that of the ratio two linked sizes may have.
 BAND = math.log(100 / (PERCENT - 0.1))
 #: Tiles among whose first members a set finds the one that it meets first, and how often components do so.
-HUBS, ROUNDS = 8, 3
+HUBS, ROUNDS = 8, 1
 #: Sets whose keys are counted (or a sixteenth of all, if that is more), least count, and keys that are held as frequent; they leave the pairs alone.
 SAMPLE, LEAST_SEEN, HOT_KEYS = 4_000, 3, 1_000_000
 #: Bytes of text that are hashed at once, and components that are broadcast to their copies.
