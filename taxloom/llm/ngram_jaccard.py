@@ -13,12 +13,13 @@ bitmaps differ in no more bits than the sets differ in keys: the count of differ
 texts are.  The bound is a condition of the join within a tile; what passes it is compared exactly, by intersection of the sorted arrays.
 
 Order of work: equal sets collapse to their smallest document first.  Then each set meets one other, the first document that leads one of its rarest
-``HUBS`` tiles and may link (components that this makes could do the same again, ``ROUNDS`` says how often), so groups of near copies become
-components without listing their pairs.  Tiles in which several components are left are then taken whole: bounds of a component in a
-tile go before its members, so members of one component never meet.  Of the pairs of two components the most alike by their bitmaps is compared first, and
-more, eight times as many each time, while the two stay apart.  So every pair that could join two components is compared or no longer needed; none is
-capped.  What isn't listed are further links within a component, which don't change it.  Hot tiles are plain joins that adaptive execution
-splits.  Texts are read again, thinned by a bit map, for the sets that have a pair to compare, and their arrays are moved for those alone.
+``HUBS`` tiles and may link, which joins many near copies into components without listing their pairs.  Tiles in which several components are
+left are then taken whole: bounds of a component in a tile go before its members, so members of one component never meet.  Of the pairs that
+are left each component picks the one that is most alike by the bitmaps, which is compared; ``PICKS`` times, each time halving
+the components of a group at least where picks hold, and then all pairs that still are between two components are compared.  So every pair that
+could join two components is compared or no longer needed; none is capped.  What isn't listed are further links within a component, which don't change it.
+Hot tiles are plain joins that adaptive execution splits.  Texts are read again, thinned by a bit map, for the sets that have a pair
+to compare, and their arrays are moved for those alone.
 
 The order of the keys comes from a sample (``SAMPLE`` sets or a sixteenth of them, at most ``HOT_KEYS`` keys): it decides about work, and no pair.
 
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -46,8 +47,8 @@ BITS = 512
 LANES = BITS // 64
 #: Width of a size band as a logarithm; a little more than that of the ratio two linked sizes may have.
 BAND = math.log(100 / (PERCENT - 0.1))
-#: Tiles among whose first members a set finds the one that it meets first, and how often components do so.
-HUBS, ROUNDS = 8, 1
+#: Tiles among whose first members a set finds the one that it meets first, and how often each component picks one pair.
+HUBS, PICKS = 8, 4
 #: Sets whose keys are counted (or a sixteenth of all, if that is more), least count, and keys that are held as frequent; they leave the pairs alone.
 SAMPLE, LEAST_SEEN, HOT_KEYS = 4_000, 3, 1_000_000
 #: Bytes of text that are hashed at once, and components that are broadcast to their copies.
@@ -269,12 +270,10 @@ def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return x, rows.select("k", "band", *[F.col(a).alias(b) for a, b in (("doc_id", "y"), ("n", "ny"), ("at", "iy"), ("bits", "by"), ("c", "cy"))])
 
 
-def _parted(found: DataFrame, roots: DataFrame | None, keys: Column, percent: int, work: Work) -> DataFrame:
-    """The members, with their component ``c``, of the tiles of ``keys`` in which there are several components."""
-    labelled = found.withColumn("c", F.col("doc_id"))
-    if roots is not None:
-        labelled = found.join(roots.select(F.col("id").alias("doc_id"), F.col("root").alias("c")), "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
-    labelled = work.write(labelled.withColumn("keys", keys), "labelled")
+def _parted(found: DataFrame, roots: DataFrame, percent: int, work: Work) -> DataFrame:
+    """The members, with their component ``c``, of the tiles in which there are several components."""
+    labels = roots.select(F.col("id").alias("doc_id"), F.col("root").alias("c"))
+    labelled = work.write(found.join(labels, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id")), "labelled")
     each = labelled.select("c", F.explode("keys.k").alias("k"))
     parted = work.write(each.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k"), "parted")
     rows = work.write(thinned(_members(labelled, F.col("keys"), percent), "k", parted).join(parted, "k"), "members")
@@ -282,24 +281,23 @@ def _parted(found: DataFrame, roots: DataFrame | None, keys: Column, percent: in
     return rows
 
 
-def hub_pairs(found: DataFrame, roots: DataFrame | None, percent: int, work: Work) -> DataFrame:
-    """(a, b): of each component the member that may link with the first document of other components that leads one of its rarest tiles, and that document;
-    of several the first, and the most alike by the bitmaps."""
-    rows = _parted(found, roots, F.slice("keys", 1, HUBS), percent, work)
+def hub_pairs(found: DataFrame, percent: int, work: Work) -> DataFrame:
+    """(a, b): each set with one that it may link with of the first documents that lead one of its rarest tiles; of several the first."""
+    rows = _members(found.withColumn("c", F.col("doc_id")), F.slice("keys", 1, HUBS), percent)
     around = F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band")
-    lead = rows.where("lead").select("k", around, "c", "doc_id", "n", "at", "bits").groupBy("k", "band").agg(F.min(F.struct("c", "doc_id", "n", "at", "bits")).alias("h"))
-    hubs = work.write(lead.select("k", "band", F.col("h.doc_id").alias("x"), F.col("h.n").alias("nx"), F.col("h.at").alias("ix"), F.col("h.bits").alias("bx"), F.col("h.c").alias("cx")), "hubs")
-    met = _sides(rows)[1].join(hubs, ["k", "band"]).where((F.col("cx") != F.col("cy")) & _may_link(percent, ordered=False))
-    one = met.select("cy", F.struct("cx", _apart().alias("apart"), "x", "y").alias("h")).groupBy("cy").agg(F.min("h").alias("h"))
-    pairs = work.write(one.select(F.least("h.x", "h.y").alias("a"), F.greatest("h.x", "h.y").alias("b")).distinct(), "pairs")
-    work.drop(rows, hubs)
+    lead = rows.where("lead").select("k", around, "doc_id", "n", "at", "bits").groupBy("k", "band").agg(F.min(F.struct("doc_id", "n", "at", "bits")).alias("h"))
+    hubs = work.write(lead.select("k", "band", F.col("h.doc_id").alias("x"), F.col("h.n").alias("nx"), F.col("h.at").alias("ix"), F.col("h.bits").alias("bx")), "hubs")
+    met = _sides(rows)[1].join(hubs, ["k", "band"]).where((F.col("x") != F.col("y")) & _may_link(percent, ordered=False))
+    one = met.groupBy("y").agg(F.min("x").alias("x"))
+    pairs = work.write(one.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    work.drop(hubs)
     return pairs
 
 
 def tile_pairs(found: DataFrame, roots: DataFrame, percent: int, work: Work) -> DataFrame:
     """(a, b, share): all pairs of different components whose tiles, sizes, places and bitmaps allow a link, and the share of their keys by which their bitmaps
     differ at least."""
-    rows = _parted(found, roots, F.col("keys"), percent, work)
+    rows = _parted(found, roots, percent, work)
     x, y = _sides(rows)
     # bounds that hold for all of a component's members come first, so members of one component never meet
     parts = work.write(y.groupBy("k", "band", "cy").agg(F.max("ny").alias("most"), F.min("ny").alias("fewest"), F.max(F.col("ny") - F.col("iy")).alias("left")), "parts")
@@ -341,25 +339,23 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     rows = docs.where("doc_id is not null").select("doc_id", "text")
     members, sets = distinct_sets(rows, width, percent, work)
     found = tiles(sets, percent, work)
-    roots = tried = None
-    for _ in range(ROUNDS):
-        pairs = hub_pairs(found, roots, percent, work)
-        tried = pairs if tried is None else tried.union(pairs)
-        edges = linked(pairs, rows, sets, width, percent, work)
-        if roots is not None and edges.isEmpty():
-            break
-        roots = components(edges, work) if roots is None else joined_components(roots, edges, work)
-    rest, most = work.write(tile_pairs(found, roots, percent, work).join(tried.distinct(), ["a", "b"], "left_anti"), "rest"), 1
-    while True:
+    first = hub_pairs(found, percent, work)
+    roots = components(linked(first, rows, sets, width, percent, work), work)
+    rest = work.write(tile_pairs(found, roots, percent, work).join(first, ["a", "b"], "left_anti"), "rest")
+    for k in range(PICKS + 1):
         end = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))  # noqa: E731, B023
         named = rest.select("a", "b", "share").join(end("a"), "a", "left").join(end("b"), "b", "left").withColumn("ra", F.coalesce("ra", "a")).withColumn("rb", F.coalesce("rb", "b"))
-        two = Window.partitionBy(F.least("ra", "rb"), F.greatest("ra", "rb")).orderBy("share", "a", "b")
-        apart = work.write(named.where("ra <> rb").withColumn("nth", F.row_number().over(two)), "apart")
+        apart = work.write(named.where("ra <> rb"), "apart")
         if apart.isEmpty():
             break
-        edges = linked(apart.where(F.col("nth") <= most).select("a", "b"), rows, sets, width, percent, work)
+        picked = apart.select("a", "b")
+        if k < PICKS:
+            both = apart.select(F.col("ra").alias("c"), "share", "a", "b").union(apart.select("rb", "share", "a", "b"))
+            picked = work.write(both.groupBy("c").agg(F.min(F.struct("share", "a", "b")).alias("h")).select("h.a", "h.b").distinct(), "picked")
+        edges = linked(picked, rows, sets, width, percent, work)
         work.drop(rest)
-        rest, most = apart.where(F.col("nth") > most), 8 * most
+        rest = work.write(apart.join(picked, ["a", "b"], "left_anti"), "rest")
+        work.drop(apart)
         if not edges.isEmpty():
             roots = joined_components(roots, edges, work)
     classes = work.write(roots.select(F.col("id").alias("rep"), F.col("root").alias("component_id")), "classes")
