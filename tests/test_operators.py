@@ -1,5 +1,6 @@
 """Literal cases of the operators that SQL can't check."""
 
+from collections import defaultdict
 from datetime import date
 from decimal import Decimal
 
@@ -7,8 +8,8 @@ import numpy as np
 import pytest
 
 from taxloom.functions.similarity import description_similarity, indel_ratio, number_similarity, osa, sequence_ratio, token_set
-from taxloom.operators import anomaly, duplicates, evaluation, forecast, matching, purchase_orders, tax
-from taxloom.plans import stored
+from taxloom.operators import anomaly, arrivals, duplicates, evaluation, forecast, matching, purchase_orders, registry, tax
+from taxloom.plans import decisions, stored
 from taxloom.sources import files
 
 LINE = "line long, gstin string, number string, day date, taxable decimal(14,2), tax decimal(14,2)"
@@ -310,11 +311,78 @@ def test_arrivals_score_as_a_batch_does(spark, data):
     batch = {r.invoice_id: (r.rank_pct, r.priority) for r in stored.ml_ensemble(spark, data).collect()}
     arrived = stored.st_score_on_arrival(spark, data).collect()
     assert {r.invoice_id: (r.rank_pct, r.priority) for r in arrived} == batch and len(arrived) == len(batch)
-    first = {}
-    for r in spark.createDataFrame(stored.engine.view(spark, data, "SELECT invoice_id, document_hash FROM live").collect()).orderBy("invoice_id").collect():
-        first.setdefault(r.document_hash, r.invoice_id)
-        batch[r.invoice_id] = None if first[r.document_hash] == r.invoice_id else first[r.document_hash]
-    assert {r.invoice_id: r.duplicate_of for r in arrived} == batch and any(batch.values())
+    # several batches meet by the index what one scan of all pairs finds
+    ends = {}
+    for r in stored.engine.dup_scan(spark, data).collect():
+        for i in (r.invoice_a, r.invoice_b):
+            n, best = ends.get(i, (0, 0.0))
+            ends[i] = (n + 1, max(best, r.score))
+    assert {r.invoice_id: (r.candidates, r.best) for r in arrived if r.candidates} == ends and len(ends) > 20
+
+
+def test_block_index_takes_a_batch_again(spark, data, tmp_path):
+    """A batch that is run twice, as after a crash, leaves the pairs as they were; bills without a date meet by their file only."""
+    bills = stored.engine.invoices_with_text(spark, data).where("invoice_id < 300")
+    index = arrivals.BlockIndex(spark, f"file://{tmp_path}/index", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bills.schema), buckets=4)
+    parts = [bills.where(f"invoice_id % 3 = {k}") for k in range(3)]
+    for i, k in enumerate((0, 1, 1, 2, 0)):
+        index.arrive(parts[k], (0, 1, 1, 2, 0)[i])
+    got = {(r.invoice_a, r.invoice_b, r.score, r.tier) for r in index.pairs().collect()}
+    want = {(r.invoice_a, r.invoice_b, r.score, r.tier) for r in duplicates.score(duplicates.pairs(bills)).where("tier is not null").collect()}
+    assert got == want and want
+
+
+def test_model_store_serves_the_active_version(spark, data, tmp_path):
+    rows = stored._features(spark, data)
+    store = registry.ModelStore(spark, f"file://{tmp_path}/models")
+    assert store.load() is None and store.active() is None and store.manifest().count() == 0
+    first, second = anomaly.fit(rows), anomaly.fit(rows.where("invoice_id % 2 = 0"))
+    assert (store.save(first), store.save(second)) == (1, 2) and store.active() is None
+    store.activate(2)
+    assert store.load().trained_on == second.trained_on
+    store.activate(1)  # and back
+    scores = lambda m: anomaly.ensemble(rows, m).orderBy("invoice_id").select("robust_z", "forest_score", "rank_pct").collect()
+    assert scores(store.load()) == scores(first) and [r.version for r in store.manifest().where("is_active").collect()] == [1]
+    with pytest.raises(ValueError):
+        store.activate(7)
+    # a version whose manifest was never written doesn't exist
+    spark.range(1).write.parquet(f"file://{tmp_path}/models/versions/000003/nodes")
+    assert store.versions() == [1, 2]
+
+
+def test_statements_that_are_none_are_set_aside(spark):
+    good = '{"data": {"gstin": "x", "rtnprd": "082026", "docdata": {"b2b": [{"ctin": "27A", "inv": [{"inum": "I1", "dt": "05-08-2026", "itcavl": "N", "items": [{"txval": 10.5, "igst": 1}, {"txval": 2}]}, {"inum": "I2"}]}], "cdnr": [{}, {}], "note": "text"}}}'
+    texts = {"good": good, "bare": good[9:-1], "cut": good[:-20], "list": "[1]", "empty": "", "period": '{"rtnprd": "2026", "docdata": {"b2b": []}}', "section": '{"rtnprd": "082026", "docdata": {"cdnr": []}}', "nothing": '{"rtnprd": "082026", "docdata": {"b2b": []}}'}
+    known = files.judged(spark.createDataFrame(list(texts.items()), "file string, value string"))
+    assert {r.file: r.reason for r in files.refused(known).collect()} == {"cut": "not a JSON object", "list": "not a JSON object", "empty": "not a JSON object", "period": "no return period", "section": "no b2b section"}
+    assert {tuple(r) for r in files.skipped_sections(known).collect()} == {("good", "cdnr", 2), ("bare", "cdnr", 2)}
+    lines = sorted((r.invoice_number, float(r.taxable_value), r.itc_available, r.period) for r in files.good_lines(known).collect())
+    assert lines == [("I1", 12.5, False, "082026")] * 2 + [("I2", 0.0, True, "082026")] * 2
+
+
+def test_stages_of_an_investigation(spark, data):
+    """Each stage against its rule over the rows that it comes from, for every invoice."""
+    orders, risky, errors = defaultdict(set), set(), defaultdict(set)
+    for r in stored.engine.po_check(spark, data).collect():
+        orders[r.invoice_id].add(r.status)
+    for r in stored.engine.anomaly_rules(spark, data).collect():
+        risky.add(r.invoice_id)
+    for r in stored.engine.view(spark, data, "SELECT invoice_id, severity FROM findings").collect():
+        errors[r.invoice_id].add(r.severity)
+    bills = {r.invoice_id: r for r in stored.engine.view(spark, data, decisions.HEADER).collect()}
+    twins = {r.invoice_id for r in stored.engine.view(spark, data, "SELECT invoice_id FROM invoices WHERE possible_duplicate").collect()}
+    rows = decisions.investigate(spark, data).collect()
+    assert len(rows) == len(bills)
+    for r in rows:
+        i = bills[r.invoice_id]
+        missing = sum(not x for x in (i.vendor_gstin, i.invoice_number, i.invoice_date, i.grand_total))
+        assert r.extraction == ("fail" if missing > 1 else "warn" if missing or i.confidence < 0.7 else "pass")
+        assert r.validation == ("fail" if "ERROR" in errors[r.invoice_id] else "warn" if errors[r.invoice_id] else "pass") and r.document == ("pass" if i.n_lines else "warn")
+        assert r.purchase_order == ("na" if orders[r.invoice_id] <= {"NO_PO"} else "fail" if orders[r.invoice_id] - {"MATCHED", "NO_PO"} else "pass")
+        assert r.duplicate_check == ("fail" if r.invoice_id in twins else "pass") and r.anomaly == ("warn" if r.invoice_id in risky else "pass")
+        assert r.statement == {"IN_2B": "pass", "MISSING_IN_2B": "fail"}.get(i.gstr2b_status, "na") and r.einvoice == {"VERIFIED": "pass", "UNVERIFIED": "pass", "MISMATCH": "fail"}.get(i.einvoice_status, "na")
+        parts = [v for k, v in r.asDict().items() if k not in ("invoice_id", "verdict")]
+        assert len(parts) == 10 and r.verdict == ("fail" if "fail" in parts else "warn" if "warn" in parts else "pass")
 
 
 def test_ranks_and_fill_against_numpy(spark, data):
