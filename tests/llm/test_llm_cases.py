@@ -157,8 +157,12 @@ def test_language(spark, odd):
     # equal evidence for both: ties go to the first language
     even = crf_langid.Crf(["aa", "bb"], np.zeros((crf_langid.SLOTS, 2), np.float32), np.zeros((2, 2)))
     assert even.predict(["one two", None]) == (["aa", "und"], [0.5, 0.0], [0, 0])
-    # whole documents in hash order, within the bounds of rows and words
+    # stretches of the first documents in hash order, within the bounds of rows and words
     assert crf_langid.sample(rows, per_lang=9).count() == 18 and crf_langid.sample(rows, words_per_lang=8 * 20).groupBy("lang").count().where("count <> 20").count() == 0
+    # a text of any length may train: of a long one some stretches, and never more words than the bound
+    mixed = rows.union(spark.createDataFrame([(1000, LONG.replace("x", "") + " " + " ".join(f"long{chr(97 + i % 26)}" for i in range(20_000)), "en")], rows.schema))
+    drawn = crf_langid.sample(mixed, words_per_lang=3_000).where("lang = 'en'").collect()
+    assert sum(len(r.words) for r in drawn) <= 3_000 and any(w.startswith("long") for r in drawn for w in r.words) and max(len(r.words) for r in drawn) <= crf_langid.STRETCH
     model = crf_langid.fit(rows)
     got = {r.doc_id: (r.lang_pred, r.score) for r in crf_langid.predict(clash(odd, "lang_pred", "score"), model).collect()}
     assert got[2] == ("und", 0.0) and got[3] == ("und", 0.0) and got[7] == ("und", 0.0) and got[9][0] == "en" and got[10][0] == "de"
@@ -169,6 +173,17 @@ def test_language(spark, odd):
     assert (one.lang_pred, one.score) == ("en", 1.0) and crf_langid.predict(odd.limit(0), model).count() == 0
 
 
+def test_words_are_letters_with_their_marks(spark):
+    """Numbers of any kind are no letters; marks don't part words; composed and decomposed texts are alike; the caller's columns stay."""
+    assert crf_langid.tokens("½ ²³ Ⅷ ① 12 _ - \u0301") == [] and crf_langid.tokens(None) == []
+    assert crf_langid.tokens("हिन्दी nai\u0308ve naïve x\u0301y İstanbul A1b") == ["हिन्दी", "naïve", "naïve", "x\u0301y", "i\u0307stanbul", "a", "b"]
+    rows = spark.createDataFrame([(i, EN if i % 2 else DE, "en" if i % 2 else "de") for i in range(20)], "doc_id long, text string, lang string")
+    model = crf_langid.fit(rows)
+    odd = spark.createDataFrame([(1, "½ ²³ Ⅷ", 5, 6, 7), (2, EN, 5, 6, 7)], "doc_id long, text string, _crf int, _kept int, _text int")
+    got = {r.doc_id: r for r in crf_langid.predict(odd, model).collect()}
+    assert (got[1].lang_pred, got[1].score) == ("und", 0.0) and got[2].lang_pred == "en" and (got[2]._crf, got[2]._kept, got[2]._text) == (5, 6, 7)
+
+
 def test_forward_backward_equals_enumeration():
     from itertools import product
 

@@ -73,6 +73,20 @@ def test_language_of_held_out_documents(spark, docs, data):
     assert np.mean([r.lang_pred == docs[r.doc_id][1] for r in held]) >= 0.97
 
 
+def test_the_method_blocks_and_allows_hosts_without_rules(spark, data):
+    """Verdicts of pages without a rule come from their hosts' posteriors: hosts of spam with enough pages are blocked, hosts of some junk are not."""
+    data = str(Path(data).parent / "sf0.01")
+    rows = [r for r in q.op4_url_reputation(spark, data).collect() if r.rule is None]
+    verdicts = defaultdict(set)
+    for r in rows:
+        verdicts[r.host].add(r.verdict)
+    assert all(len(v) == 1 for v in verdicts.values()) and {"allow", "block"} == {r.verdict for r in rows}
+    blocked = {h for h, v in verdicts.items() if v == {"block"}}
+    assert all(set(re.split("[^a-z]", h)) & set(q.SPAM) for h in blocked) and len(blocked) < len(verdicts) / 4
+    junk = {r.page_id for r in q.page_outcomes(spark, data).where("bad = 1").collect()}
+    assert any(r.verdict == "allow" and r.page_id in junk for r in rows)
+
+
 def test_toxicity_ranks_held_out_documents(spark, duck, data):
     data = str(Path(data).parent / "sf0.01")  # the smallest tables hold two toxic documents out
     rows = {r.doc_id: r for r in q.op9_toxicity(spark, data).collect()}
@@ -120,4 +134,4 @@ def test_packing_holds_its_constraints(spark, docs, data):
 def test_registered(spark, data):
     import __spark_entry__ as e
 
-    assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in e.queries()} and "pipeline" in e.queries()
+    assert {f"op{n}" for n in range(1, 14)} <= {k.split("_")[0] for k in e.queries()} and "pipeline" in e.queries()
