@@ -9,8 +9,8 @@ marginals label each word, their mean over the text labels the document, and tha
 Fitting takes a bounded sample to the driver: of the ``LANGS`` most frequent languages the first ``DOCS_PER_LANG`` documents by a hash of the id, and of
 their stretches, whatever the length of a document, those that come first by a hash of their own, ``WORDS_PER_LANG`` words of a language at
 most.  Words are found on the executors.  Predicting is one pass in
-place without a shuffle; texts of an Arrow batch are cut into groups of like length of at most ``CELLS`` words, so
-long documents bound memory too.
+place without a shuffle; texts of an Arrow batch become words one by one, ``SLICE`` words at a time, which are cut into groups of like length
+of at most ``CELLS`` words, so neither large batches nor long documents take memory.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; letters are those of any script (Unicode's categories L), composed where they can
 be; marks belong to the word that they stand in, all else, numbers of any kind too, parts words; rows with a null lang or text don't train; with one language learned every other text is in it, with score 1, with none
@@ -22,10 +22,12 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,8 +40,9 @@ DOCS_PER_LANG, WORDS_PER_LANG, LANGS = 250, 25_000, 64
 STRETCH = 48
 ROUNDS, RATE, SHRINK = 40, 0.3, 1e-4
 SLOTS = 1 << 17
-CELLS = 1 << 17
-CACHED_WORDS = 100_000
+#: Words of a group of texts of like length, and of the texts among which groups are formed.
+CELLS, SLICE = 1 << 17, 1 << 20
+CACHED_WORDS = 200_000
 UNKNOWN = "und"
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 
@@ -117,10 +120,19 @@ class Crf:
         return got
 
     def marginals(self, texts: Iterable[list[str]]) -> Iterator[tuple[int, np.ndarray]]:
-        """(text, (word, label) marginals) for each text with words.  Words become numbers text by text, so a batch's words aren't held."""
-        if len(self._index) > CACHED_WORDS:
-            self._index.clear()
-        places = [np.array(self.ids(w), np.int32) for w in texts]
+        """(text, (word, label) marginals) for each text with words.  Texts are taken until they have ``SLICE`` words, and their words become numbers text by
+        text, so neither a batch's words nor their numbers are held."""
+        first, words, places = 0, 0, []
+        for text in texts:
+            places.append(np.array(self.ids(text), np.int32))
+            words += len(places[-1])
+            if words >= SLICE:
+                yield from self._marginals(places, first)
+                first, words, places = first + len(places), 0, []
+        yield from self._marginals(places, first)
+
+    def _marginals(self, places: list[np.ndarray], first: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The marginals of texts given by their words' places; ``first`` is the first text's number."""
         order = sorted((i for i in range(len(places)) if len(places[i])), key=lambda i: -len(places[i]))
         at = 0
         while at < len(order):
@@ -133,10 +145,12 @@ class Crf:
                 scores[: lengths[j], j] = self._table[places[i]]
             m, _ = forward_backward(scores, lengths, self.moves.astype(np.float32))
             for j, i in enumerate(group):
-                yield i, m[: lengths[j], j]
+                yield first + i, m[: lengths[j], j]
+        if len(self._index) > CACHED_WORDS:  # the words that came first are the more frequent ones
+            self._index = dict(islice(self._index.items(), CACHED_WORDS // 2))
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[int]]:
-        """Of each text its language, the score of that, and how many of its words are labelled with another."""
+    def predict(self, texts: Collection[str | None]) -> tuple[list[str], list[float], list[int]]:
+        """Of each text its language, the score of that, and how many of its words are labelled with another; texts are iterated over once."""
         langs, scores, others = [UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts)
         if self.langs:
             for i, m in self.marginals(map(tokens, texts)):
@@ -227,13 +241,30 @@ def fit(docs: DataFrame, per_lang: int = DOCS_PER_LANG, words_per_lang: int = WO
     return train(sorted((r["words"], r["lang"]) for r in sample(docs, per_lang, words_per_lang).collect()))
 
 
+class _Texts(Collection):
+    """The texts of an Arrow array, of which one at a time becomes a string."""
+
+    def __init__(self, texts: pa.Array):
+        self._texts = texts
+
+    def __len__(self) -> int:
+        return len(self._texts)
+
+    def __iter__(self) -> Iterator[str | None]:
+        return (text.as_py() for text in self._texts)
+
+    def __contains__(self, text: object) -> bool:
+        return any(text == t for t in self)
+
+
 def predict(docs: DataFrame, model: Crf, text: str = "text", lang: str = "lang_pred", score: str = "score", others: str = "n_other") -> DataFrame:
     """``docs`` with the predicted language, its score and the number of words in other languages in columns of those names."""
 
-    def guess(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip(("lang", "score", "others"), model.predict(texts.tolist()), strict=True)))
+    def guess(texts: pa.Array) -> pa.Array:
+        langs, scores, others = model.predict(_Texts(texts))
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(others, pa.int32())], ["lang", "score", "others"])
 
-    got = F.pandas_udf(guess, "lang string, score double, others int")(F.col("_text"))
+    got = F.arrow_udf(guess, "lang string, score double, others int")(F.col("_text"))
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {lang.lower(), score.lower(), others.lower()}]
     done = dealt_out(docs).select(F.struct(*kept).alias("_kept"), F.col(text).alias("_text")).select("_kept", got.alias("_crf"))
     return done.select("_kept.*", F.col("_crf.lang").alias(lang), F.col("_crf.score").alias(score), F.col("_crf.others").alias(others))

@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ _RNG = np.random.default_rng(SEED)
 _ODD = _RNG.integers(0, 2**63, SKETCHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, SKETCHES, np.uint64)
 #: Permuted k-mers that are held at once while sketching.
-CELLS = 1 << 20
+CELLS = 1 << 17
 #: Texts of which k-mers are counted, k-mers held as frequent, and first k-mers in one batch; they bound memory and leave the pairs alone.
 HOT_SAMPLE, HOT_KMERS, PREFIX_ROWS = 4_000, 200_000, 200_000
 #: Linked texts whose classes are broadcast to their copies at most: 24 bytes each.
@@ -97,14 +98,17 @@ def sketches(kmers: np.ndarray, take: int) -> np.ndarray:
     return out
 
 
-def _sketch_all(words: pd.Series) -> pd.Series:
-    out = []
+def _sketch_all(words: pa.Array) -> pa.Array:
+    """The sketches of an Arrow array of word hashes, which are read where they lie."""
+    flat, ends = words.values.to_numpy(), words.offsets.to_numpy()
+    out, sizes = [], [0]
     with np.errstate(over="ignore"):
-        for w in words:
-            k = labelled_kmers(np.asarray(w))
-            keys = [] if not len(k) else [sketches(k, TAKE)] * (len(k) >= SIMILARITY * SHORT) + [sketches(k, TAKE_SHORT)] * (len(k) <= SHORT)
-            out.append(np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64))
-    return pd.Series(out)
+        for start, end in zip(ends[:-1], ends[1:], strict=True):
+            k = labelled_kmers(flat[start:end])
+            out += [] if not len(k) else [sketches(k, TAKE)] * (len(k) >= SIMILARITY * SHORT) + [sketches(k, TAKE_SHORT)] * (len(k) <= SHORT)
+            sizes.append(SKETCHES * len(out))
+    keys = np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(keys))
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
@@ -263,7 +267,7 @@ def distinct_texts(rows: DataFrame, work: Work) -> tuple[DataFrame, DataFrame]:
     """(doc_id, k1, k2, rep) of each document, judged by one text, and (doc_id, k1, k2, keys) of each different text: its smallest
     document and its sketches.  Sketches are shuffled once, by the text's key, with map-side minima, so copies collapse where they are read."""
     normal = normal_text(F.col("text"))
-    sketch = F.pandas_udf(_sketch_all, "array<long>")
+    sketch = F.arrow_udf(_sketch_all, "array<long>")
     full = F.coalesce(F.length(normal), F.lit(0)) > 0
     known = work.write(dealt_out(rows).select("doc_id", F.xxhash64(normal).alias("k1"), F.xxhash64(F.lit(7), normal).alias("k2"), full.alias("full"), sketch(word_hashes(F.col("text"))).alias("keys")), "sketches")
     ids = work.write(known.groupBy("doc_id").agg(F.max(F.struct("k1", "k2", "full")).alias("t")).select("doc_id", "t.*"), "ids")
