@@ -19,7 +19,7 @@ are left each component picks the one that is most alike by the bitmaps, which i
 the components of a group at least where picks hold, and then all pairs that still are between two components are compared.  So every pair that
 could join two components is compared or no longer needed; none is capped.  What isn't listed are further links within a component, which don't change it.
 Hot tiles are plain joins that adaptive execution splits.  Texts are read again, thinned by a bit map, for the sets that have a pair
-to compare, and their arrays are moved for those alone.
+to compare, and moved for those alone, as zipped text: a set's keys are random words of eight bytes, several times as much.
 
 The order of the keys comes from a sample (``SAMPLE`` sets or a sixteenth of them, at most ``HOT_KEYS`` keys): it decides about work, and no pair.
 
@@ -31,13 +31,14 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import BinaryType, LongType
 
 from taxloom.llm.common import Work, dealt_out, small, thinned
 from taxloom.llm.order_minhash import components
@@ -186,24 +187,40 @@ def _sketch(hot: np.ndarray, seen: np.ndarray, width: int, percent: int):
     return F.arrow_udf(sketch, SKETCH)
 
 
-@F.arrow_udf(LongType())
-def shared(a: pa.Array, b: pa.Array) -> pa.Array:
-    """The size of the intersection of two sorted arrays of distinct keys."""
-    out = np.zeros(len(a), np.int64)
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        x, y = (np.asarray(z.values).view(np.uint64) for z in (x, y))
-        if len(x) and len(y):
-            out[i] = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
-    return pa.array(out)
+@F.arrow_udf(BinaryType())
+def zipped(texts: pa.Array) -> pa.Array:
+    """The texts, compressed one by one; null as an empty text."""
+    return pa.array([zlib.compress(x.as_buffer(), 1) for x in texts.fill_null(b"")], pa.binary())
 
 
-def frequent_keys(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+def shared(width: int):
+    """A column function: the size of the intersection of the sets of two zipped texts."""
+
+    def keys(z: bytes) -> np.ndarray:
+        data = np.frombuffer(zlib.decompress(z), np.uint8)
+        return next(sets_of(data, np.array([len(data)]), width))
+
+    def common(a: pa.Array, b: pa.Array) -> pa.Array:
+        out, held = np.zeros(len(a), np.int64), [(b"", None), (b"", None)]
+        for i, pair in enumerate(zip(a, b, strict=True)):
+            for side, z in enumerate(z.as_py() for z in pair):
+                if z != held[side][0]:  # rows come by one side's id, so its set mostly serves again
+                    held[side] = z, keys(z)
+            out[i] = len(np.intersect1d(held[0][1], held[1][1], assume_unique=True))
+        return pa.array(out)
+
+    return F.arrow_udf(common, LongType())
+
+
+def frequent_keys(rows: DataFrame, width: int, work: Work) -> tuple[np.ndarray, np.ndarray]:
     """The keys that a sample of documents has most often, sorted, and how often."""
     n = rows.count()
     rate = min(1.0, max(SAMPLE / max(n, 1), 1 / 16))
     some = dealt_out(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * rate))
     each = some.select(F.explode(set_keys(width)(F.col("text").cast("binary"))).alias("k"))
-    often = each.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_SEEN).orderBy(F.desc("n"), "k").limit(HOT_KEYS).toPandas()
+    counted = work.write(each.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_SEEN), "counted")  # so that its shuffle files go
+    often = counted.orderBy(F.desc("n"), "k").limit(HOT_KEYS).toPandas()
+    work.drop(counted)
     keys = often["k"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(keys)
     return keys[by], often["n"].to_numpy(np.int64)[by]
@@ -212,7 +229,7 @@ def frequent_keys(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 def distinct_sets(rows: DataFrame, width: int, percent: int, work: Work) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, rep) of each document and (doc_id, t, n, bits, first) of each different set, named by its smallest document; ``t`` is the key of
     that document's text."""
-    sketch = _sketch(*frequent_keys(rows, width), width, percent)
+    sketch = _sketch(*frequent_keys(rows, width, work), width, percent)
     known = dealt_out(rows).select("doc_id", text_key().alias("t"), sketch(F.col("text").cast("binary")).alias("s"))
     known = work.write(known.select("doc_id", "t", "s.*"), "sets")
     ids = work.write(known.groupBy("doc_id").agg(F.max(F.struct("k1", "k2", "n", "t")).alias("s")).select("doc_id", "s.*"), "ids")
@@ -310,16 +327,17 @@ def tile_pairs(found: DataFrame, roots: DataFrame, percent: int, work: Work) ->
     return pairs
 
 
-def linked(pairs: DataFrame, rows: DataFrame, sets: DataFrame, width: int, percent: int, work: Work) -> DataFrame:
-    """(a, b) of the ``pairs`` of ``sets`` that link, by the whole texts of ``rows`` (doc_id, text)."""
+def linked(pairs: DataFrame, rows: DataFrame, known: DataFrame, width: int, percent: int, work: Work) -> DataFrame:
+    """(a, b) of the ``pairs`` of sets ``known`` (doc_id, t, n) that link, by the whole texts of ``rows`` (doc_id, text)."""
     asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    wanted = work.write(asked.join(sets.select("doc_id", "t", "n"), "doc_id"), "wanted")
-    texts = thinned(rows, "doc_id", wanted).withColumn("t", text_key()).join(wanted, ["doc_id", "t"]).dropDuplicates(["doc_id"])
-    arrays = work.write(texts.select("doc_id", "n", set_keys(width)(F.col("text").cast("binary")).alias("keys")), "arrays")
-    side = lambda c: arrays.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("keys").alias(f"k{c}"))
-    common = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", shared("ka", "kb").alias("common"))
+    wanted = work.write(asked.join(known, "doc_id"), "wanted")
+    found = thinned(rows, "doc_id", wanted).select("doc_id", text_key().alias("t"), zipped(F.col("text").cast("binary")).alias("z"))
+    # an id is wanted with one t: duplicates of both are those of the id, and lie where the join has put them
+    texts = work.write(found.join(wanted, ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).select("doc_id", "n", "z"), "texts")
+    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("z").alias(f"z{c}"))
+    common = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", shared(width)("za", "zb").alias("common"))
     edges = work.write(common.where((100 + percent) * F.col("common") >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), "edges")
-    work.drop(wanted, arrays)
+    work.drop(wanted, texts)
     return edges
 
 
@@ -339,8 +357,10 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     rows = docs.where("doc_id is not null").select("doc_id", "text")
     members, sets = distinct_sets(rows, width, percent, work)
     found = tiles(sets, percent, work)
+    known = work.write(sets.select("doc_id", "t", "n"), "known")
+    work.drop(sets)  # the wide table: bitmaps and first keys
     first = hub_pairs(found, percent, work)
-    roots = components(linked(first, rows, sets, width, percent, work), work)
+    roots = components(linked(first, rows, known, width, percent, work), work)
     rest = work.write(tile_pairs(found, roots, percent, work).join(first, ["a", "b"], "left_anti"), "rest")
     for k in range(PICKS + 1):
         end = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))  # noqa: E731, B023
@@ -352,7 +372,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         if k < PICKS:
             both = apart.select(F.col("ra").alias("c"), "share", "a", "b").union(apart.select("rb", "share", "a", "b"))
             picked = work.write(both.groupBy("c").agg(F.min(F.struct("share", "a", "b")).alias("h")).select("h.a", "h.b").distinct(), "picked")
-        edges = linked(picked, rows, sets, width, percent, work)
+        edges = linked(picked, rows, known, width, percent, work)
         work.drop(rest)
         rest = work.write(apart.join(picked, ["a", "b"], "left_anti"), "rest")
         work.drop(apart)

@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from taxloom.llm import fill_in_middle, ngram_jaccard, source_divergence
 from taxloom.llm import queries as q
+from taxloom.llm.common import Work
 
 DOCS = "doc_id long, text string, lang string, source string"
 UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
@@ -211,3 +214,43 @@ def test_bitmaps_bound_the_intersection():
             b = np.unique(np.r_[a[: int(share * len(a))], rng.integers(0, 2**63, n // 3 + 1, np.uint64)])
             apart = int(np.bitwise_count(ngram_jaccard.bits(a).view(np.uint64) ^ ngram_jaccard.bits(b).view(np.uint64)).sum())
             assert len(np.intersect1d(a, b)) <= (len(a) + len(b) - apart) // 2
+
+
+def test_join_holds_less_on_disk_than_its_texts(spark, monkeypatch):
+    """Long near copies: the tables that the join holds after each write are less than 0.6 of the texts, and what was shuffled to count keys is gone when the sets are written."""
+    rng = np.random.default_rng(8)
+    docs = {}
+    for i in range(40):
+        t = [f"w{x}" for x in rng.integers(0, 5_000, 2_000)]
+        for j in range(5):
+            docs[5 * i + j] = " ".join([*t[: 300 * j], "odd", *t[300 * j :]])
+    size = sum(map(len, docs.values()))
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffled = lambda: {p: p.stat().st_size for d in dirs for p in Path(d).rglob("shuffle_*") if p.exists()}
+    earlier, held, left = set(shuffled()), {}, []
+    write = Work.write
+
+    def watched(work, df, label):
+        out = write(work, df, label)
+        held[len(held), label] = sum(p.stat().st_size for p in Path(work.path.removeprefix("file:")).rglob("*.parquet"))
+        if label == "sets":
+            for _ in range(25):  # files go a moment after the query
+                left[:] = [n for p, n in shuffled().items() if p not in earlier]
+                if sum(left) < size / 100:
+                    break
+                time.sleep(0.2)
+        return out
+
+    monkeypatch.setattr(Work, "write", watched)
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame([(i, t, "en", "s") for i, t in docs.items()], DOCS)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 5 for i in docs}
+    assert sum(left) < size / 100, (left, size)
+    assert max(held.values()) < 0.6 * size, (held, size)
+
+
+def test_intersections_of_zipped_texts(spark):
+    texts = ["a b c d e f", "A b c d e g", "a b", "a\tB", "", None, "x " * 5_000, "é ü a b c d e f"]
+    rows = [(i, j, x, y) for i, x in enumerate(texts) for j, y in enumerate(texts)]
+    zips = spark.createDataFrame(rows, "i int, j int, x string, y string").select("i", "j", *[ngram_jaccard.zipped(F.col(c).cast("binary")).alias(c) for c in "xy"])
+    for r in zips.select("i", "j", ngram_jaccard.shared(4)("x", "y").alias("n")).collect():
+        assert r.n == len(plain_set(texts[r.i]) & plain_set(texts[r.j])), r
