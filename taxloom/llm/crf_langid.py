@@ -228,10 +228,9 @@ def sample(docs: DataFrame, per_lang: int = DOCS_PER_LANG, words_per_lang: int =
     # only texts of a language's first ``per_lang`` documents become words
     nth = Window.partitionBy("lang").orderBy("_o", "doc_id", "text")
     first = some.withColumn("_k", F.row_number().over(nth)).where(F.col("_k") <= per_lang)
-    split = F.pandas_udf(lambda texts: pd.Series([tokens(t) for t in texts]), "array<string>")
-    found = first.select("_k", "lang", split(F.col("text")).alias("_all")).where(F.size("_all") > 0)
-    starts = F.sequence(F.lit(0), F.size("_all") - 1, F.lit(STRETCH))
-    each = found.select("_k", "lang", F.posexplode(F.transform(starts, lambda i: F.slice("_all", i + 1, STRETCH))).alias("_i", "words"))
+    # no filter on what the function returns: it would run twice, in two Python workers a task, and idle workers keep their memory
+    split = F.pandas_udf(lambda texts: pd.Series([_stretches(tokens(t)) for t in texts]), "array<array<string>>")
+    each = first.select("_k", "lang", F.posexplode(split(F.col("text"))).alias("_i", "words"))
     by = Window.partitionBy("lang").orderBy(F.xxhash64("_k", "_i"), "_k", "_i")
     return each.withColumn("_w", F.sum(F.size("words")).over(by)).where(F.col("_w") <= words_per_lang).select("words", "lang")
 
@@ -262,6 +261,7 @@ def predict(docs: DataFrame, model: Crf, text: str = "text", lang: str = "lang_p
 
     def guess(texts: pa.Array) -> pa.Array:
         langs, scores, others = model.predict(_Texts(texts))
+        pa.default_memory_pool().release_unused()  # of earlier batches, which an idle worker would hold
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(others, pa.int32())], ["lang", "score", "others"])
 
     got = F.arrow_udf(guess, "lang string, score double, others int")(F.col("_text"))
