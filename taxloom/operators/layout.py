@@ -1,12 +1,19 @@
 """Geometry of words on pages: lines, segments of lines, cells of tables, glued tokens, labels of fields.
 
-Words are rows (page, word, text, x0, y0, x1, y1), the box in page units with y downwards.  A page is gathered into one array, as large as the page;
-pages are spread by their id, and what follows keeps that partitioning, so windows over lines don't shuffle again.
+Words are rows (page, word, text, x0, y0, x1, y1), the box in page units with y downwards.  A page is gathered into one array, as large as the page, and
+is read as a whole: the pages of an Arrow batch are sorted, parted and joined as flat arrays, some hundred pages at a time, so nothing is done word by word but
+the moving centre of lines, and no line is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word belongs to a line if its centre is within this part of the page's median height from the mean centre of the line so far.
@@ -15,75 +22,223 @@ LINE_SHARE = 0.6
 SEGMENT_GAP, CELL_GAP = 3.0, 0.7
 #: Boxes of exported words are in thousandths of the page.
 SCALE = 1000
+#: Pages that are read at a time: a bound of memory only.
+AT_ONCE = 512
+BOX = ("x0", "y0", "x1", "y1")
 
 
-def middle(values: Column) -> Column:
-    """The median of an array of numbers."""
-    both = lambda s: (F.get(s, ((F.size(s) - 1) / 2).cast("int")) + F.get(s, (F.size(s) / 2).cast("int"))) / 2
-    return F.get(F.transform(F.array(F.array_sort(values)), both), 0)  # sorted once
+@dataclass
+class Words:
+    """Words of some pages as flat arrays: ``of`` is a word's page, a place in ``page``."""
 
+    page: pa.Array
+    of: np.ndarray
+    word: np.ndarray
+    text: pa.Array
+    x0: np.ndarray
+    y0: np.ndarray
+    x1: np.ndarray
+    y1: np.ndarray
 
-def _starts(centres: Column, reach: Column) -> Column:
-    """The lines of ascending ``centres`` as (start, size): one ends where a centre is further than ``reach`` from the mean of the open line.
+    def take(self, at: np.ndarray) -> Words:
+        return Words(self.page, self.of[at], self.word[at], self.text.take(pa.array(at)), *[getattr(self, c)[at] for c in BOX])
 
-    The mean moves with each word, so this is a fold and not a comparison with the word before."""
-    first = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(0).alias("i"))
 
-    def step(s: Column, y: Column) -> Column:
-        new = (s["n"] > 0) & (F.abs(y - s["sum"] / s["n"]) > reach)
-        return F.struct(
-            F.when(new, F.concat(s["starts"], F.array(s["i"]))).otherwise(s["starts"]).alias("starts"), F.when(new, y).otherwise(s["sum"] + y).alias("sum"),
-            F.when(new, 1).otherwise(s["n"] + 1).alias("n"), (s["i"] + 1).alias("i"),
-        )
+def _unpacked(batch: pa.RecordBatch) -> Words:
+    """The words of gathered pages; a box without a value is not a number."""
+    ws = batch.column("ws")
+    flat = ws.flatten()
+    word, text, *box = flat.flatten()
+    sizes = np.diff(ws.offsets.to_numpy())
+    return Words(batch.column("page"), np.repeat(np.arange(len(ws)), sizes), word.fill_null(-(2**63)).to_numpy(), text, *[b.to_numpy(zero_copy_only=False).astype(float) for b in box])
 
-    return F.aggregate(centres, first, step, lambda s: F.transform(s["starts"], lambda a, i: F.struct(a.alias("start"), (F.coalesce(F.get(s["starts"], i + 1), s["i"]) - a).alias("size"))))
 
+@dataclass
+class Pages:
+    """Pages as rows that ``words`` makes some pages' words of."""
 
-def page_lines(words: DataFrame, share: float = LINE_SHARE, gap: float = SEGMENT_GAP) -> DataFrame:
-    """(page, line, place, segment, word, text, x0, y0, x1, y1): words in lines from the top, in a line from the left, and the segments that wide gaps part.
+    rows: DataFrame
+    words: Callable[[pa.RecordBatch], Words] = _unpacked
 
-    Words of one centre keep their order; blank words are left out; a page of one word is one line."""
-    seen = words.where(F.trim("text") != "")
-    box = F.struct(((F.col("y0") + F.col("y1")) / 2).alias("yc"), "word", "text", "x0", "y0", "x1", "y1")
-    pages = seen.groupBy("page").agg(F.array_sort(F.collect_list(box)).alias("ws"))
-    lines = pages.select("page", "ws", F.posexplode(_starts(F.transform("ws", lambda w: w["yc"]), share * middle(F.transform("ws", lambda w: w["y1"] - w["y0"])))).alias("line", "of"))
-    lines = lines.select("page", "line", F.slice("ws", F.col("of.start") + 1, F.col("of.size")).alias("ws"))
-    across = F.array_sort(F.transform("ws", lambda w, i: F.struct(w["x0"].alias("x0"), i.alias("i"), w.alias("w"))))
-    placed = lines.select("page", "line", middle(F.transform("ws", lambda w: w["y1"] - w["y0"])).alias("h"), F.posexplode(across).alias("place", "w")).select("page", "line", "h", "place", "w.w.*")
-    by = Window.partitionBy("page", "line").orderBy("place")
-    wide = F.coalesce(F.col("x0") - F.lag("x1").over(by) > gap * F.when(F.col("h") == 0, 1.0).otherwise(F.col("h")), F.lit(False))
-    parted = placed.withColumn("wide", wide.cast("int"))
-    return parted.withColumn("segment", F.sum("wide").over(by).cast("int")).select("page", "line", "place", "segment", "word", "text", "x0", "y0", "x1", "y1", "h")
+    def read(self, reader: Callable[[Words], pa.Table], schema: str) -> DataFrame:
+        """What ``reader`` finds on the pages: the page and the columns of ``schema``."""
+        words = self.words
+
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, AT_ONCE):
+                    yield from reader(words(batch.slice(at, AT_ONCE))).to_batches()
+
+        return self.rows.mapInArrow(some, f"page {self.rows.schema['page'].dataType.simpleString()}, {schema}")
+
+
+def pages(words: DataFrame | Pages) -> Pages:
+    """Rows of words, gathered by page; pages are left as they are."""
+    return words if isinstance(words, Pages) else Pages(words.groupBy("page").agg(F.collect_list(F.struct(F.col("word").cast("long").alias("word"), "text", *[F.col(c).cast("double").alias(c) for c in BOX])).alias("ws")))
+
+
+def bounds(group: np.ndarray, n: int) -> np.ndarray:
+    """Where each of ``n`` groups begins in ascending ``group``, and where the last ends."""
+    return np.searchsorted(group, np.arange(n + 1)).astype(np.int32)
+
+
+def joined(texts: pa.Array, at: np.ndarray, by: str = " ") -> pa.Array:
+    """Neighbouring ``texts`` as one, by the bounds ``at``; nulls are left out."""
+    if texts.null_count:
+        there = texts.is_valid().to_numpy(zero_copy_only=False)
+        at, texts = np.concatenate([[0], np.cumsum(there)]).astype(np.int32)[at], texts.drop_null()
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), texts), by)
 
 
-def near_lines(words: DataFrame, reach: float = 4.0) -> DataFrame:
-    """(page, line, place, text): words in lines, each word within ``reach`` of the centre of the word before it."""
-    seen = words.select("page", "word", "text", "x0", ((F.col("y0") + F.col("y1")) / 2).alias("yc"))
-    down = Window.partitionBy("page").orderBy("yc", "word")
-    cut = seen.withColumn("new", F.coalesce(F.col("yc") - F.lag("yc").over(down) > reach, F.lit(False)).cast("int"))
-    lined = cut.withColumn("line", F.sum("new").over(down).cast("int"))
-    return lined.select("page", "line", (F.row_number().over(Window.partitionBy("page", "line").orderBy("x0", "yc", "word")) - 1).alias("place"), "text")
+def lists(values: pa.Array, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
 
 
-def line_texts(lines: DataFrame) -> DataFrame:
-    """(page, line, said) of words in lines."""
-    said = F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda w: w["text"])
-    return lines.groupBy("page", "line").agg(F.array_join(said, " ").alias("said"))
+def _key(x: np.ndarray) -> np.ndarray:
+    """For sorting: what isn't there comes first."""
+    return np.where(np.isnan(x), -np.inf, x)
 
 
-def nearest(centres: Column, x: Column) -> Column:
-    """The name of the (centre, name) nearest to ``x``; of equally near ones the first."""
-    return F.array_min(F.transform(centres, lambda c, i: F.struct(F.abs(c["centre"] - x).alias("far"), i.alias("i"), c["name"].alias("name"))))["name"]
+def _down(w: Words, centre: np.ndarray | None = None) -> np.ndarray:
+    """The order of words within their pages by centre, if there is one, and number; of words of one number by text and box."""
+    keys = [w.word, w.of] if centre is None else [w.word, _key(centre), w.of]
+    order = np.lexsort(keys)
+    sorted_ = [k[order] for k in keys]
+    if len(order) > 1 and np.logical_and.reduce([k[1:] == k[:-1] for k in sorted_]).any():
+        rank = pc.rank(w.text, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+        order = np.lexsort([*[_key(getattr(w, c)) for c in reversed(BOX)], rank, *keys])
+    return order
 
 
-def head_cells(head: DataFrame, name: Column, gap: float = CELL_GAP) -> DataFrame:
-    """(page, centres): cells of a table's head, words nearer than ``gap`` heights being one, as (centre, name); ``name`` is a column of the cell's ``said``."""
-    by = Window.partitionBy("page").orderBy("place")
-    new = F.coalesce(F.col("x0") - F.lag("x1").over(by) >= gap * F.col("h"), F.lit(False)).cast("int")
-    cells = head.withColumn("new", new).withColumn("cell", F.sum("new").over(by))
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda w: w["text"]), " ")
-    merged = cells.groupBy("page", "cell").agg(said.alias("said"), ((F.min_by("x0", "place") + F.max_by("x1", "place")) / 2).alias("centre")).withColumn("name", name)
-    return merged.groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "centre", "name"))), lambda c: F.struct(c["centre"].alias("centre"), c["name"].alias("name"))).alias("centres"))
+def _middles(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """The median of each of ``n`` groups, none of which is empty."""
+    v, at = values[np.lexsort((values, group))], bounds(np.sort(group), n)
+    size = np.diff(at)
+    return (v[at[:-1] + (size - 1) // 2] + v[at[:-1] + size // 2]) / 2
+
+
+def _moving(centres: list[float], pages_: list[int], reach: list[float]) -> np.ndarray:
+    """Whether a line begins at each of the ascending ``centres`` of a page: where one is further than ``reach`` from the mean of the open line.
+
+    The mean moves with each word, so this is a fold and not a comparison with the word before."""
+    starts = np.zeros(len(centres), bool)
+    page, total, n, far = -1, 0.0, 0, 0.0
+    for i, (y, p) in enumerate(zip(centres, pages_, strict=True)):
+        if p != page:
+            page, total, n, far = p, y, 1, reach[p]
+            starts[i] = True
+        elif abs(y - total / n) > far:
+            total, n = y, 1
+            starts[i] = True
+        else:
+            total += y
+            n += 1
+    return starts
+
+
+@dataclass
+class Lines:
+    """``words`` in lines from the top and in a line from the left; ``line`` counts through all pages, ``height`` is a line's median height and ``of`` its page,
+    ``first`` the first line of each page and, at the end, how many there are."""
+
+    words: Words
+    line: np.ndarray
+    height: np.ndarray
+    of: np.ndarray
+    first: np.ndarray
+
+    def texts(self) -> pa.Array:
+        return joined(self.words.text, bounds(self.line, len(self.of)))
+
+    def number(self) -> np.ndarray:
+        """Of each line in its page."""
+        return np.arange(len(self.of)) - self.first[self.of]
+
+
+def lines_of(w: Words, share: float = LINE_SHARE) -> Lines:
+    """The lines of pages by a moving centre; blank words are left out."""
+    seen = pc.fill_null(pc.not_equal(pc.utf8_trim(w.text, " "), ""), False).to_numpy(zero_copy_only=False)
+    w = w if seen.all() else w.take(np.flatnonzero(seen))
+    centre = (w.y0 + w.y1) / 2
+    order = _down(w, centre)
+    w, centre = w.take(order), centre[order]
+    there, place = np.unique(w.of, return_inverse=True)  # pages that have words
+    reach = share * _middles(w.y1 - w.y0, place, len(there))
+    line = np.cumsum(_moving(centre.tolist(), place.tolist(), reach.tolist())) - 1
+    n = int(line[-1]) + 1 if len(line) else 0
+    of = w.of[bounds(line, n)[:-1]]
+    across = np.lexsort((_key(w.x0), line))  # stable: words of one place keep their order
+    return Lines(w.take(across), line, _middles(w.y1 - w.y0, line, n), of, bounds(of, len(w.page)))
+
+
+def page_lines(words: DataFrame | Pages, share: float = LINE_SHARE, gap: float = SEGMENT_GAP) -> DataFrame:
+    """(page, line, place, segment, word, text, x0, y0, x1, y1, h): words in lines from the top, in a line from the left, and the segments that wide gaps part.
+
+    Words of one centre keep their order; blank words are left out; a page of one word is one line."""
+
+    def placed(w: Words) -> pa.Table:
+        found = lines_of(w, share)
+        w, line = found.words, found.line
+        at = bounds(line, len(found.of))
+        h = found.height[line]
+        inside = np.concatenate([[False], line[1:] == line[:-1]])[: len(line)]
+        wide = inside & (w.x0 - np.concatenate([[0.0], w.x1[:-1]])[: len(line)] > gap * np.where(h == 0, 1.0, h))
+        total = np.cumsum(wide)
+        numbers = [found.number()[line], np.arange(len(line)) - at[line], total - total[at[line]]]
+        return pa.table([w.page.take(pa.array(w.of)), *[pa.array(x.astype(np.int32)) for x in numbers], w.word, w.text, w.x0, w.y0, w.x1, w.y1, h], names=["page", "line", "place", "segment", "word", "text", *BOX, "h"])
+
+    return pages(words).read(placed, "line int, place int, segment int, word long, text string, x0 double, y0 double, x1 double, y1 double, h double")
+
+
+def near_lines(w: Words, reach: float = 4.0) -> tuple[pa.Array, np.ndarray]:
+    """The texts of lines, each word within ``reach`` of the centre of the word before it, and where each page's lines begin."""
+    centre = (w.y0 + w.y1) / 2
+    order = _down(w, centre)
+    w, centre = w.take(order), centre[order]
+    new = np.concatenate([[True], (w.of[1:] != w.of[:-1]) | (centre[1:] - centre[:-1] > reach)])[: len(order)]
+    line = np.cumsum(new) - 1
+    n = int(line[-1]) + 1 if len(line) else 0
+    of = w.of[bounds(line, n)[:-1]]
+    across = np.lexsort((w.word, _key(centre), _key(w.x0), line))
+    return joined(w.text.take(pa.array(across)), bounds(line, n)), bounds(of, len(w.page))
+
+
+def in_order(words: DataFrame | Pages) -> DataFrame:
+    """(page, ws): the words of each page by their number."""
+
+    def sorted_(w: Words) -> pa.Table:
+        w = w.take(_down(w))
+        ws = pa.StructArray.from_arrays([pa.array(w.word), w.text, *[pa.array(getattr(w, c)) for c in BOX]], names=["word", "text", *BOX])
+        return pa.table([w.page, lists(ws, bounds(w.of, len(w.page)))], names=["page", "ws"])
+
+    return pages(words).read(sorted_, "ws array<struct<word:long,text:string,x0:double,y0:double,x1:double,y1:double>>")
+
+
+def head_cells(head: Lines, at: np.ndarray, gap: float = CELL_GAP) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(page, centre, text) of the cells of tables' heads, the lines ``at``: words nearer than ``gap`` heights are one cell."""
+    w, line = head.words, head.line
+    mine = np.flatnonzero(np.isin(line, at))
+    x0, x1, on = w.x0[mine], w.x1[mine], line[mine]
+    new = np.concatenate([[True], (on[1:] != on[:-1]) | (x0[1:] - x1[:-1] >= gap * head.height[on[1:]])])[: len(mine)]
+    cell = np.cumsum(new) - 1
+    n = int(cell[-1]) + 1 if len(cell) else 0
+    ends = bounds(cell, n)
+    return head.of[on[ends[:-1]]], (x0[ends[:-1]] + x1[ends[1:] - 1]) / 2, joined(w.text.take(pa.array(mine)), ends)
+
+
+def nearest(x: np.ndarray, of: np.ndarray, page: np.ndarray, centre: np.ndarray, n: int) -> np.ndarray:
+    """For each ``x`` on the page ``of`` the nearest of the centres of ascending ``page``, of equally near ones the first; -1 where there is none."""
+    at = bounds(page, n)
+    found, best = np.full(len(x), -1), np.full(len(x), np.inf)
+    open_ = np.arange(len(x))
+    k = 0
+    while len(open_ := open_[at[of[open_]] + k < at[of[open_] + 1]]):
+        c = at[of[open_]] + k
+        far = np.abs(centre[c] - x[open_])
+        less = (far < best[open_]) | (found[open_] < 0)
+        found[open_[less]], best[open_[less]] = c[less], far[less]
+        k += 1
+    return found
 
 
 #: Tokens that readers glue together: a label and its value, a currency and its amount; fixed patterns.
@@ -116,24 +271,31 @@ def split_tokens(words: DataFrame) -> DataFrame:
     return each.select("page", "word", "part", "p.text", "p.x0", "y0", "p.x1", "y1")
 
 
+def _labelled(words: list, fields: list[tuple[str, str | None]]) -> list[str]:
+    labels, n = ["O"] * len(words), len(words)
+    runs = [(name, text.split(" ")) for name, text in fields if text]
+    for name, run in sorted(runs, key=lambda f: -len(f[1])):  # stable: then in the order of the fields
+        k, at = len(run), -1
+        while (at := words.index(run[0], at + 1) if run[0] in words[at + 1 :] else n) <= n - k:
+            if words[at : at + k] == run and labels[at : at + k] == ["O"] * k:
+                labels[at : at + k] = [f"B-{name}", *[f"I-{name}"] * (k - 1)]
+                break
+    return labels
+
+
 def field_labels(words: Column, fields: dict[str, Column]) -> Column:
     """A label for each of the array ``words``: B- or I- and the field whose value stands there, else O.
 
     A value is a run of words; runs are sought for the values of more words first, then in the order of ``fields``, each at its first place of which no
     word is taken yet.  Values that aren't found label nothing."""
-    todo = F.array_sort(F.array(*[F.struct((-F.size(F.split(F.coalesce(v, F.lit("")), " "))).alias("less"), F.lit(i).alias("i"), F.lit(k).alias("name"), F.split(v, " ").alias("run")) for i, (k, v) in enumerate(fields.items())]))
-    n = F.size(words)
-
-    def place(labels: Column, f: Column) -> Column:
-        k = F.size(f["run"])
-        free = lambda at: (F.slice(words, at + 1, k) == f["run"]) & F.forall(F.slice(labels, at + 1, k), lambda x: x == "O")
-        # the first word is compared before the run, and the place is found once and not for every word that is labelled
-        places = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), n - k)), lambda at: (F.get(words, at) == f["run"][0]) & free(at))
-        label = lambda at: F.concat(F.slice(labels, F.lit(1), at), F.transform(f["run"], lambda w, i: F.concat(F.when(i == 0, F.lit("B-")).otherwise(F.lit("I-")), f["name"])), F.slice(labels, at + k + 1, n))
-        done = F.get(F.transform(F.slice(places, 1, 1), label), 0)
-        return F.when(f["run"].isNull() | (f["run"] == F.array(F.lit(""))) | (k > n), labels).otherwise(F.coalesce(done, labels))
-
-    return F.aggregate(todo, F.transform(words, lambda w: F.lit("O")), place)
+    names = list(fields)
+
+    @F.arrow_udf("array<string>")
+    def labels(ws: pa.Array, *values: pa.Array) -> pa.Array:
+        rows = zip(*[v.to_pylist() for v in values], strict=True) if values else ([] for _ in range(len(ws)))
+        return pa.array([None if w is None else _labelled(w, list(zip(names, row, strict=True))) for w, row in zip(ws.to_pylist(), rows, strict=True)], pa.list_(pa.string()))
+
+    return labels(words, *fields.values())
 
 
 def labelled_values(words: Column, labels: Column, name: str) -> Column:

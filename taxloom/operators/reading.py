@@ -1,22 +1,30 @@
 """Reading invoices off pages by rules: a reader of lines, a reader of columns, and the choice between them by self-consistency.
 
-Both give one row a page: header fields, and ``items`` as an array in the order of the page.  Every rule is a column over one line's text or one
-word's place; the first line that has a field wins, which is a minimum by line and not a loop.
+Both give one row a page: header fields, and ``items`` as an array in the order of the page.  Words become lines, and cells of tables, where the page is
+read (``layout``); every rule of a field is a column over the array of a page's lines, of which the first that has a field wins.  A page isn't shuffled again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Context, Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxloom.operators import layout
-from taxloom.operators.work import written
 
 MONEY_TYPE = "decimal(18,2)"
 HEADER = "vendor_gstin string, buyer_gstin string, invoice_number string, invoice_date date, subtotal decimal(18,2), total_cgst decimal(18,2), total_sgst decimal(18,2), total_igst decimal(18,2), grand_total decimal(18,2)"
 FIELDS = tuple(x.split()[0] for x in HEADER.split(", "))
 ITEM = "array<struct<line_no:int,description:string,hsn_sac:string,quantity:decimal(18,3),unit_price:decimal(18,2),taxable_value:decimal(18,2),gst_rate:decimal(18,2),line_total:decimal(18,2)>>"
 NUMBERS = ("quantity", "unit_price", "taxable_value", "gst_rate", "line_total")
+ITEM_FIELDS = ("description", "hsn_sac", *NUMBERS)
+WIDE = Context(prec=200_000, Emax=999_999, Emin=-999_999)
 
 # Patterns of the two readers: fixed values.
 MONEY = r"[-+]?\d+(?:,\d{2,3})*(?:\.\d{1,2})?"
@@ -47,91 +55,152 @@ def _date(text: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(_found(text, p), F.lit(f)).cast("date") for p, f in DATES])
 
 
-def _first(value: Column, line: str = "line") -> Column:
-    """A page's first value by line."""
-    return F.min_by(value, F.when(value.isNotNull(), F.col(line)))
+def _first(lines: Column, value: Callable[[Column], Column]) -> Column:
+    """The first value that one of ``lines`` has."""
+    return F.get(F.filter(F.transform(lines, value), lambda v: v.isNotNull()), 0)
 
 
-def _last(value: Column, line: str = "line") -> Column:
-    return F.max_by(value, F.when(value.isNotNull(), F.col(line)))
+def _last(lines: Column, value: Callable[[Column], Column]) -> Column:
+    return F.get(F.reverse(F.filter(F.transform(lines, value), lambda v: v.isNotNull())), 0)
 
 
 def _complete(pages: DataFrame) -> DataFrame:
     return pages.select("page", *[F.col(x.split()[0]).cast(x.split()[1]).alias(x.split()[0]) for x in HEADER.split(", ")], F.coalesce(F.col("items").cast(ITEM), F.array().cast(ITEM)).alias("items"))
 
 
-def read_lines(words: DataFrame) -> DataFrame:
+def _line_texts(w: layout.Words) -> pa.Table:
+    return pa.table([w.page, layout.lists(*layout.near_lines(w))], names=["page", "lines"])
+
+
+def read_lines(words: DataFrame | layout.Pages) -> DataFrame:
     """The reader of lines: labels and values in one line's text, items as lines of one shape."""
-    said = F.col("said")
-    texts = layout.line_texts(layout.near_lines(words))
-    amount = lambda labels: F.coalesce(*[_money(_found(said, rf"(?i){x}\s*[:\-]?\s*(?:Rs\.?|₹|INR)?\s*({MONEY})")) for x in labels])
-    ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line", F.regexp_extract_all(said, F.lit(TAX_ID), F.lit(0)).alias("ids")))), lambda x: x["ids"]))
-    head = texts.groupBy("page").agg(
-        ids.alias("ids"), _first(F.trim(_found(said, NUMBER))).alias("invoice_number"), _first(_date(said)).alias("invoice_date"), *[_first(amount(labels)).alias(f) for f, labels in AMOUNTS.items()]
-    )
+    texts = layout.pages(words).read(_line_texts, "lines array<string>").where(F.size("lines") > 0)
+    amount = lambda labels: lambda said: F.coalesce(*[_money(_found(said, rf"(?i){x}\s*[:\-]?\s*(?:Rs\.?|₹|INR)?\s*({MONEY})")) for x in labels])
+    # what a label or a date can't be without is sought first
+    texts = texts.withColumns({"sums": F.filter("lines", lambda said: said.rlike("(?i)taxable|total|gst|payable")), "days": F.filter("lines", lambda said: said.rlike(r"\d[-/]")), "rows": F.filter(F.transform("lines", lambda said: F.trim(said)), lambda row: row.rlike(ROW))})
+    ids = F.flatten(F.transform("lines", lambda said: F.regexp_extract_all(said, F.lit(TAX_ID), F.lit(0))))
+    # a row's parts by one match, the description last, since it may hold anything
+    parts = F.transform("rows", lambda row: F.split(F.regexp_replace(row, ROW, "\u0001".join(f"${i}" for i in (1, 3, 4, 5, 6, 7, 8, 2))), "\u0001", 8))
+    head = texts.select("page", ids.alias("ids"), parts.alias("parts"), _first(F.col("lines"), lambda said: F.trim(_found(said, NUMBER))).alias("invoice_number"), _first(F.col("days"), _date).alias("invoice_date"), *[_first(F.col("sums"), amount(labels)).alias(f) for f, labels in AMOUNTS.items()])
     head = head.withColumn("vendor_gstin", F.get("ids", 0)).withColumn("buyer_gstin", F.get("ids", 1))
-    row = F.trim(said)
-    part = lambda i: _found(row, ROW, i)
-    rows = texts.where(row.rlike(ROW)).withColumn("nth", F.row_number().over(Window.partitionBy("page").orderBy("line")))
-    values = F.struct(
-        "line", F.coalesce(part(1).cast("int"), F.col("nth")).alias("line_no"), F.trim(part(2)).alias("description"), part(3).alias("hsn_sac"), _money(part(4), "decimal(18,3)").alias("quantity"), _money(part(5)).alias("unit_price"),
-        _money(part(6)).alias("taxable_value"), _money(part(7)).alias("gst_rate"), _money(part(8)).alias("line_total"),
-    )
-    items = rows.groupBy("page").agg(F.transform(F.array_sort(F.collect_list(values)), lambda x: x.dropFields("line")).alias("items"))
-    return _complete(head.join(items, "page", "left"))
-
-
-def _is_head(said: Column) -> Column:
-    hits = sum((said.rlike(f"(?i){p}").cast("int") for p in HEAD_WORDS), F.lit(0))
-    return (hits >= 3) & said.rlike("(?i)hsn|sac|qty|quantity")
-
-
-def _canonical(said: Column) -> Column:
-    return F.coalesce(*[F.when(said.rlike(f"(?i){p}"), F.lit(name)) for p, name in COLUMNS], F.lit("_other"))
-
-
-def _items_of(placed: DataFrame, bounds: DataFrame) -> DataFrame:
-    """(page, items): words between a table's head and its end, each in the column whose head's centre is nearest; a line with two numbers begins an item,
-    and a line that only has a description continues the one before."""
-    head = placed.join(bounds, "page").where("line = start")
-    centres = layout.head_cells(head, _canonical(F.col("said")))
-    body = placed.join(bounds, "page").where("line > start and line < end and not is_head").join(centres, "page")
-    named = body.withColumn("name", layout.nearest(F.col("centres"), (F.col("x0") + F.col("x1")) / 2))
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "place", "text"))), lambda w: w["text"]), " ")
-    cells = named.groupBy("page", "line", "name").agg(said.alias("said"))
-    number = F.col("name").isin(*NUMBERS) & _money(F.col("said"), "decimal(18,3)").isNotNull()
-    lines = cells.groupBy("page", "line").agg(F.sum(number.cast("int")).alias("numbers"), F.max((F.col("name") == "description").cast("int")).alias("described"))
-    nth = F.sum((F.col("numbers") >= 2).cast("int")).over(Window.partitionBy("page").orderBy("line"))
-    kept = lines.withColumn("item", nth).where("item > 0 and (numbers >= 2 or (numbers = 0 and described = 1))").select("page", "line", "item", F.col("numbers").alias("n"))
-    words = named.join(kept, ["page", "line"]).where("n >= 2 or name = 'description'")
-    text = words.groupBy("page", "item", "name").agg(said.alias("said")).groupBy("page", "item").agg(F.map_from_entries(F.collect_list(F.struct("name", "said"))).alias("of"))
-    of = lambda name: F.try_element_at("of", F.lit(name))
-    values = F.struct(F.col("item").cast("int").alias("line_no"), of("description").alias("description"), F.nullif(F.regexp_replace(of("hsn_sac"), r"\D", ""), F.lit("")).alias("hsn_sac"), _money(of("quantity"), "decimal(18,3)").alias("quantity"), *[_money(of(c)).alias(c) for c in NUMBERS[1:]])
-    return text.groupBy("page").agg(F.array_sort(F.collect_list(values)).alias("items"))
-
-
-def read_columns(words: DataFrame) -> DataFrame:
+
+    def item(p: Column, nth: Column) -> Column:
+        part = lambda i: F.nullif(F.get(p, i), F.lit(""))
+        return F.struct(
+            F.coalesce(part(0).cast("int"), nth + 1).alias("line_no"), F.trim(part(7)).alias("description"), part(1).alias("hsn_sac"), _money(part(2), "decimal(18,3)").alias("quantity"), _money(part(3)).alias("unit_price"),
+            _money(part(4)).alias("taxable_value"), _money(part(5)).alias("gst_rate"), _money(part(6)).alias("line_total"),
+        )
+
+    return _complete(head.withColumn("items", F.transform("parts", item)))
+
+
+def _matches(texts: pa.Array, pattern: str) -> np.ndarray:
+    """Whether ``pattern``, in letters of any case, is in each text; of what Arrow's search finds, the few that Java's reading of the pattern has too."""
+    found = pc.match_substring_regex(texts, f"(?i){pattern}").to_numpy(zero_copy_only=False)
+    exact = re.compile(pattern, re.IGNORECASE | re.ASCII)
+    odd = found & ~pc.string_is_ascii(texts).to_numpy(zero_copy_only=False)
+    found[odd] = [bool(exact.search(t)) for t in texts.filter(pa.array(odd)).to_pylist()]
+    return found
+
+
+def _is_head(texts: pa.Array) -> np.ndarray:
+    head = _matches(texts, "hsn|sac|qty|quantity")
+    few = texts.filter(pa.array(head))
+    head[head] = sum((_matches(few, p).astype(int) for p in HEAD_WORDS), np.zeros(len(few), int)) >= 3
+    return head
+
+
+def _canonical(said: str) -> str:
+    return next((name for p, name in COLUMNS if re.search(p, said, re.IGNORECASE | re.ASCII)), "_other")
+
+
+def _is_number(said: pa.Array) -> np.ndarray:
+    """Whether a text is an amount that decimal(18,3) holds."""
+    bare = pc.replace_substring_regex(said, r"[,₹%\s\x0B]|Rs\.|INR", "")
+    plain = pc.match_substring_regex(bare, r"^[+-]?(\d{1,15}(\.\d{0,3})?|\.\d{1,3})$").to_numpy(zero_copy_only=False)
+    other = np.flatnonzero(~plain & pc.match_substring_regex(bare, r"\pN").to_numpy(zero_copy_only=False))
+    if len(other):
+        fits = lambda x: bool(re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,5})?", x := x.strip())) and abs(Decimal(x)).quantize(Decimal("0.001"), ROUND_HALF_UP, WIDE) < 10**15
+        plain[other] = [fits(x) for x in bare.take(pa.array(other)).to_pylist()]
+    return plain
+
+
+def _columns(w: layout.Words) -> pa.Table:
+    """The lines of pages, the line that is a table's head and the one where the table ends, and what the table's items say.
+
+    Words between are each in the column whose head's centre is nearest; a line with two numbers begins an item, and a line that only has a description
+    continues the one before."""
+    found, n = layout.lines_of(w), len(w.page)
+    texts, of, first = found.texts(), found.of, found.first
+    head, number = _is_head(texts), found.number()
+    start = np.full(n, -1)
+    start[of[head][::-1]] = number[head][::-1]  # the first stays
+    size = np.diff(first)
+    end = size.copy()
+    stop = _matches(texts, STOP.removeprefix("(?i)")) & (start[of] >= 0) & (number > start[of])
+    end[of[stop][::-1]] = number[stop][::-1]
+    # each word of a table and its column
+    tables = np.flatnonzero(start >= 0)
+    cell_page, centre, said = layout.head_cells(found, first[tables] + start[tables])
+    known = said.dictionary_encode()
+    names = np.array([ITEM_FIELDS.index(c) if (c := _canonical(t)) in ITEM_FIELDS else len(ITEM_FIELDS) for t in known.dictionary.to_pylist()], int)[known.indices.to_numpy()] if len(said) else np.zeros(0, int)
+    inside = (start[of] >= 0) & (number > start[of]) & (number < end[of]) & ~head
+    body = np.flatnonzero(inside[found.line])
+    line, words = found.line[body], found.words
+    near = layout.nearest((words.x0[body] + words.x1[body]) / 2, of[line], cell_page, centre, n)
+    name = names[near]
+    order = np.lexsort((name, line))  # stable: words stay in place
+    body, line, name = body[order], line[order], name[order]
+    key = line * (len(ITEM_FIELDS) + 1) + name
+    cells, cell = np.unique(key, return_inverse=True)
+    cell_line, cell_name = cells // (len(ITEM_FIELDS) + 1), cells % (len(ITEM_FIELDS) + 1)
+    texts_of = words.text.take(pa.array(body))
+    number_of = np.isin(cell_name, [ITEM_FIELDS.index(c) for c in NUMBERS])
+    number_of[number_of] = _is_number(layout.joined(texts_of, layout.bounds(cell, len(cells))).filter(pa.array(number_of)))
+    # lines that begin an item, and those that go on with one
+    numbers = np.bincount(cell_line, number_of, len(of)).astype(int)
+    described = np.bincount(cell_line, cell_name == ITEM_FIELDS.index("description"), len(of)) > 0
+    begun = np.cumsum(numbers >= 2)
+    item = begun - np.concatenate([[0], begun])[first[of]]
+    kept = (item > 0) & ((numbers >= 2) | ((numbers == 0) & described))
+    use = kept[line] & (name < len(ITEM_FIELDS)) & ((numbers[line] >= 2) | (name == ITEM_FIELDS.index("description")))
+    line, name, texts_of = line[use], name[use], texts_of.filter(pa.array(use))
+    whole = begun[line] - 1  # items through all pages
+    order = np.lexsort((line, name, whole))
+    keys, part = np.unique(whole[order] * len(ITEM_FIELDS) + name[order], return_inverse=True)
+    said = layout.joined(texts_of.take(pa.array(order)), layout.bounds(part, len(keys)))
+    count = int(begun[-1]) if len(begun) else 0
+    place = np.full((count, len(ITEM_FIELDS)), -1)
+    place.reshape(-1)[keys] = np.arange(len(keys))
+    there = np.flatnonzero((place >= 0).any(axis=1))
+    opens = np.flatnonzero(numbers >= 2)  # the line of each item
+    columns = [said.take(pa.array(at, mask=at < 0)) for at in place[there].T]
+    items = pa.StructArray.from_arrays([pa.array(item[opens][there].astype(np.int32)), *columns], names=["line_no", *ITEM_FIELDS])
+    found_items = layout.lists(items, layout.bounds(of[opens][there], n))
+    some = pa.table([w.page, layout.lists(texts, first), pa.array(start.astype(np.int32), mask=start < 0), pa.array(end.astype(np.int32)), found_items], names=["page", "lines", "start", "end", "found"])
+    return some.filter(pa.array(size > 0))
+
+
+def read_columns(words: DataFrame | layout.Pages) -> DataFrame:
     """The reader of columns: the header above the table by sections, items by the table's columns, totals below it by the last amount of a line."""
-    placed = written(layout.page_lines(words), "placed")
-    texts = layout.line_texts(placed).withColumn("is_head", _is_head(F.col("said")))
-    by = Window.partitionBy("page").orderBy("line")
-    texts = texts.withColumn("start", F.min(F.when(F.col("is_head"), F.col("line"))).over(Window.partitionBy("page"))).withColumn("bought", F.max(F.col("said").rlike(BUYER)).over(by))
-    after = F.when(F.col("said").rlike(STOP) & (F.col("line") > F.col("start")), F.col("line"))
-    texts = texts.withColumn("end", F.coalesce(F.min(after).over(Window.partitionBy("page")), F.max("line").over(Window.partitionBy("page")) + 1))
-    texts = written(texts, "texts")
-    said, header = F.col("said"), F.col("start").isNull() | (F.col("line") < F.col("start"))
-    summary = F.col("start").isNull() | (F.col("line") >= F.col("end"))
-    tax_id = F.when(header, F.coalesce(_found(F.replace(F.upper(said), F.lit(" "), F.lit("")), TAX_ID_ANY), _found(F.upper(said), TAX_ID_ANY)))
-    amounts = F.regexp_extract_all(said, F.lit(ANY_AMOUNT), F.lit(0))
-    total = lambda p: F.when(summary & said.rlike(p) & ~said.rlike(r"(?i)in\s+words") & (F.size(amounts) > 0), _money(F.element_at(amounts, -1)))
-    day = F.when(header, _date(_found(said, r"(?i)\b(?:invoice\s*)?date\s*[:\-]?\s*(\S+)")))
-    head = texts.groupBy("page").agg(
-        _first(F.when(~F.col("bought"), tax_id)).alias("vendor_gstin"), _first(F.when(F.col("bought"), tax_id)).alias("buyer_gstin"), _first(F.when(header, _found(said, NUMBER_AFTER_LABEL))).alias("invoice_number"),
-        _first(day).alias("invoice_date"), *[_last(total(p)).alias(f) for f, p in TOTALS.items()], F.min("start").alias("start"), F.min("end").alias("end"),
-    )
-    lines = placed.join(texts.select("page", "line", "is_head"), ["page", "line"])
-    items = _items_of(lines, head.where("start is not null").select("page", "start", "end"))
-    return _complete(head.join(items, "page", "left"))
+    texts = layout.pages(words).read(_columns, f"lines array<string>, start int, end int, found array<struct<line_no:int,{','.join(f'{c}:string' for c in ITEM_FIELDS)}>>")
+    header = F.slice("lines", F.lit(1), F.coalesce("start", F.size("lines")))
+    summary = F.slice("lines", F.when(F.col("start").isNull(), 1).otherwise(F.col("end") + 1), F.size("lines"))
+    totals = "|".join(p.removeprefix("(?i)") for p in TOTALS.values())
+    texts = texts.select("page", "found", header.alias("header"), F.filter(summary, lambda said: said.rlike(f"(?i){totals}") & ~said.rlike(r"(?i)in\s+words")).alias("sums"))
+    bought = F.filter(F.transform("header", lambda said, i: F.when(said.rlike(BUYER), i)), lambda i: i.isNotNull())
+    texts = texts.withColumn("bought", F.coalesce(F.get(bought, 0), F.size("header")))
+    upper = lambda said: F.upper(said)
+    tax_id = lambda said: F.coalesce(_found(F.replace(upper(said), F.lit(" "), F.lit("")), TAX_ID_ANY), _found(upper(said), TAX_ID_ANY))
+    amounts = lambda said: F.regexp_extract_all(said, F.lit(ANY_AMOUNT), F.lit(0))
+    total = lambda p: lambda said: F.when(said.rlike(p), _money(F.get(F.reverse(amounts(said)), 0)))
+    day = lambda said: _date(_found(said, r"(?i)\b(?:invoice\s*)?date\s*[:\-]?\s*(\S+)"))
+    head, lines = F.col("header"), F.col("sums")
+    items = F.transform("found", lambda x: F.struct(x["line_no"].alias("line_no"), x["description"].alias("description"), F.nullif(F.regexp_replace(x["hsn_sac"], r"\D", ""), F.lit("")).alias("hsn_sac"), _money(x["quantity"], "decimal(18,3)").alias("quantity"), *[_money(x[c]).alias(c) for c in NUMBERS[1:]]))
+    return _complete(texts.select(
+        "page", _first(F.slice(head, F.lit(1), F.col("bought")), tax_id).alias("vendor_gstin"), _first(F.slice(head, F.col("bought") + 1, F.size(head)), tax_id).alias("buyer_gstin"), _first(head, lambda said: _found(said, NUMBER_AFTER_LABEL)).alias("invoice_number"),
+        _first(head, day).alias("invoice_date"), *[_last(lines, total(p)).alias(f) for f, p in TOTALS.items()], items.alias("items"),
+    ))
 
 
 #: Fields that each count for one point, the tolerance of sums, and the score of a reading in which all agrees.
