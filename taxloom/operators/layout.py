@@ -60,16 +60,20 @@ class Pages:
     rows: DataFrame
     words: Callable[[pa.RecordBatch], Words] = _unpacked
 
-    def read(self, reader: Callable[[Words], pa.Table], schema: str) -> DataFrame:
-        """What ``reader`` finds on the pages: the page and the columns of ``schema``."""
-        words = self.words
+    def read(self, reader: Callable[[Words], pa.Table], schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
+        """What ``reader`` finds on the pages: the page and the columns of ``schema``; beside them those of ``rows`` to ``keep``, if it gives each page one row."""
+        words, kinds = self.words, "".join(f", {c} {self.rows.schema[c].dataType.simpleString()}" for c in keep)
 
         def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, AT_ONCE):
-                    yield from reader(words(batch.slice(at, AT_ONCE))).to_batches()
+                    part = batch.slice(at, AT_ONCE)
+                    found = reader(words(part))
+                    for c in keep:
+                        found = found.append_column(c, part.column(c))
+                    yield from found.to_batches()
 
-        return self.rows.mapInArrow(some, f"page {self.rows.schema['page'].dataType.simpleString()}, {schema}")
+        return self.rows.mapInArrow(some, f"page {self.rows.schema['page'].dataType.simpleString()}, {schema}{kinds}")
 
 
 def pages(words: DataFrame | Pages) -> Pages:
@@ -203,15 +207,15 @@ def near_lines(w: Words, reach: float = 4.0) -> tuple[pa.Array, np.ndarray]:
     return joined(w.text.take(pa.array(across)), bounds(line, n)), bounds(of, len(w.page))
 
 
-def in_order(words: DataFrame | Pages) -> DataFrame:
-    """(page, ws): the words of each page by their number."""
+def in_order(words: DataFrame | Pages, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(page, ws) and columns of the pages to ``keep``: the words of each page by their number."""
 
     def sorted_(w: Words) -> pa.Table:
         w = w.take(_down(w))
         ws = pa.StructArray.from_arrays([pa.array(w.word), w.text, *[pa.array(getattr(w, c)) for c in BOX]], names=["word", "text", *BOX])
         return pa.table([w.page, lists(ws, bounds(w.of, len(w.page)))], names=["page", "ws"])
 
-    return pages(words).read(sorted_, "ws array<struct<word:long,text:string,x0:double,y0:double,x1:double,y1:double>>")
+    return pages(words).read(sorted_, "ws array<struct<word:long,text:string,x0:double,y0:double,x1:double,y1:double>>", keep)
 
 
 def head_cells(head: Lines, at: np.ndarray, gap: float = CELL_GAP) -> tuple[np.ndarray, np.ndarray, pa.Array]:
