@@ -70,6 +70,8 @@ class StatementLog:
 
     def _cleared(self, periods: DataFrame, books: DataFrame) -> DataFrame:
         """The invoices that imports of ``periods`` linked, and those missing in the statement of the period that they are dated in."""
+        if not self.commits():
+            return books.select("book").limit(0)
         state = self.state()
         lines = self.records().join(periods, "period", "left_semi").select(F.col("line").alias("record"))
         linked = state.join(lines, "record", "left_semi").select("book")
@@ -121,22 +123,26 @@ class StatementLog:
 
     def _in_order(self, lines: DataFrame, books: DataFrame, work: Work) -> tuple[DataFrame, DataFrame]:
         """(line, book, status, score, period) as if the periods had come one by one, and the (book, period) that were taken before."""
+        lines, books = matching.keyed(lines), matching.keyed(books)
+        # pairs are met and scored once; each time those of invoices that are taken are left out
+        met = work.write(matching.scored(lines, books), "met")
         taken = work.write(books.select("book", "period").limit(0), "taken")
         while True:
-            found = matching.reconcile(lines, books.join(taken, ["book", "period"], "left_anti"))
+            found = matching.reconcile(lines, books.join(taken, ["book", "period"], "left_anti"), met=met.join(taken, ["book", "period"], "left_anti"))
             results = work.write(found.join(lines.select("line", "period"), "line"), "results")
             first = results.where("book is not null and status <> 'GSTIN_MISMATCH'").groupBy("book").agg(F.min("period").alias("first"))
             now = work.write(books.select("book", "period").join(first, "book").where("period > first").select("book", "period"), "taken")
             relevant = now.join(taken, ["book", "period"], "left_anti").union(taken.join(now, ["book", "period"], "left_anti"))
             # a change matters only where the invoice has a line of its tax id and number or amounts, or of its number
-            if relevant.isEmpty() or self._met(lines, books.join(relevant, ["book", "period"], "left_semi")).isEmpty():
+            if relevant.isEmpty() or not self._matters(lines, books, met, work.write(relevant, "relevant")):
                 return results, now
             work.drop(results, taken)
             taken = now
 
     @staticmethod
-    def _met(lines: DataFrame, books: DataFrame) -> DataFrame:
-        """Pairs of lines and books that reconciliation would look at."""
-        near = matching.blocks(lines, books).select("line", "book")
-        number = lambda t: t.withColumn("_n", matching.normal_number(F.col("number"))).where("_n <> ''")
-        return near.union(number(lines).select("line", "period", "_n").join(number(books).select("book", "period", "_n"), ["period", "_n"]).select("line", "book"))
+    def _matters(lines: DataFrame, books: DataFrame, met: DataFrame, relevant: DataFrame) -> bool:
+        """Whether there are lines that reconciliation would look at for the ``relevant`` (book, period)."""
+        if not met.join(relevant, ["book", "period"], "left_semi").isEmpty():
+            return True
+        number = lambda t: t.where("_n <> ''").select("period", "_n")
+        return not number(books.join(relevant, ["book", "period"], "left_semi")).join(number(lines), ["period", "_n"], "left_semi").isEmpty()

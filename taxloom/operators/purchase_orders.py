@@ -32,8 +32,8 @@ def best_lines(lines: DataFrame, po_lines: DataFrame) -> DataFrame:
     return lines.join(taken, ["invoice_id", "line_no"], "left")
 
 
-def check(lines: DataFrame, po_lines: DataFrame) -> DataFrame:
-    """(invoice_id, line_no, po_line_no, status, code) per invoice line."""
+def _checked(lines: DataFrame, po_lines: DataFrame) -> DataFrame:
+    """``best_lines`` with the status and code of each line."""
     orders = po_lines.select("po_number").distinct().withColumn("known", F.lit(True))
     rows = best_lines(lines, po_lines).join(orders, "po_number", "left")
     enough = F.col("po_quantity") >= F.col("quantity") - F.lit(EPSILON).cast("decimal(5,4)")
@@ -45,7 +45,12 @@ def check(lines: DataFrame, po_lines: DataFrame) -> DataFrame:
     lost = F.col("po_line_no").isNull()
     status = F.when(none, "NO_PO").when(gone, "PO_NOT_FOUND").when(lost, "MISMATCH").when(enough & price_ok, F.when(full, "MATCHED").otherwise("PARTIAL")).otherwise("MISMATCH")
     code = F.when(none, "NO_PO_REFERENCE").when(gone, "PO_NOT_FOUND").when(lost, "PO_LINE_NOT_FOUND").when(~enough, "PO_QUANTITY_EXCEEDS").when(~price_ok, "PO_PRICE_MISMATCH").when(~full, "PO_PARTIAL_QUANTITY")
-    return rows.select("invoice_id", "line_no", "po_line_no", status.alias("status"), code.alias("code"))
+    return rows.withColumns({"status": status, "code": code})
+
+
+def check(lines: DataFrame, po_lines: DataFrame) -> DataFrame:
+    """(invoice_id, line_no, po_line_no, status, code) per invoice line."""
+    return _checked(lines, po_lines).select("invoice_id", "line_no", "po_line_no", "status", "code")
 
 
 def greedy(lines: DataFrame, po_lines: DataFrame) -> DataFrame:
@@ -79,7 +84,6 @@ def check_alternative(lines: DataFrame, po_lines: DataFrame) -> DataFrame:
 
 def line_view(lines: DataFrame, po_lines: DataFrame) -> DataFrame:
     """(invoice_id, line_no, po_line_no, status, qty_invoice, qty_po, price_invoice, price_po, variance): each line beside the order line it matches."""
-    status = check(lines, po_lines).select("invoice_id", "line_no", "status")
-    rows = best_lines(lines, po_lines).join(status, ["invoice_id", "line_no"])
+    rows = _checked(lines, po_lines)
     variance = F.col("quantity") * F.col("unit_price") - F.col("po_quantity") * F.col("po_unit_price")
     return rows.select("invoice_id", "line_no", "po_line_no", "status", F.col("quantity").alias("qty_invoice"), F.col("po_quantity").alias("qty_po"), F.col("unit_price").alias("price_invoice"), F.col("po_unit_price").alias("price_po"), variance.cast("decimal(18,2)").alias("variance"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxloom.operators import casefile, imports, review
+from taxloom.operators import casefile, imports, matching, review
 from taxloom.operators.work import shared_folder, written
 from taxloom.plans import dialect, engine
 from taxloom.sources.adapters import VIEWS, credit_of
@@ -23,7 +23,7 @@ def eligible_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = engine.view(spark, sf_dir, "SELECT invoice_id AS book, vendor_gstin_true AS gstin, invoice_number AS number, invoice_date AS day, subtotal AS taxable, total_tax AS tax FROM live WHERE invoice_date IS NOT NULL AND (status = 'APPROVED' OR NOT possible_duplicate)")
     month = lambda d: F.trunc(d, "month")
     months = F.sequence(month(F.col("day")), month(F.date_add("day", engine.LOOKBACK)), F.expr("interval 1 month"))
-    return written(rows.withColumn("period", F.explode(F.transform(months, lambda m: F.date_format(m, "yyyy-MM")))), "books")
+    return written(matching.keyed(rows).withColumn("period", F.explode(F.transform(months, lambda m: F.date_format(m, "yyyy-MM")))), "books")
 
 
 def _log(spark: SparkSession) -> imports.StatementLog:

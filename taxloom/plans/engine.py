@@ -26,7 +26,7 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 def statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of all return periods."""
-    return written(view(spark, sf_dir, "SELECT record_id AS line, return_period AS period, supplier_gstin AS gstin, invoice_number AS number, invoice_date AS day, taxable_value AS taxable, total_tax AS tax FROM records WHERE return_period IS NOT NULL"), "statement")
+    return written(matching.keyed(view(spark, sf_dir, "SELECT record_id AS line, return_period AS period, supplier_gstin AS gstin, invoice_number AS number, invoice_date AS day, taxable_value AS taxable, total_tax AS tax FROM records WHERE return_period IS NOT NULL")), "statement")
 
 
 def register(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def register(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, f"SELECT invoice_id AS book, {cols.format('invoice_number')} UNION ALL SELECT -invoice_id AS book, {cols.format(chr(39) + 'INV/0' + chr(39) + ' || substr(invoice_number, 5, 8)')} AND invoice_id % 100 = 31")
     month = lambda d: F.trunc(d, "month")
     months = F.sequence(month(F.col("day")), month(F.date_add("day", LOOKBACK)), F.expr("interval 1 month"))
-    return written(rows.withColumn("period", F.explode(F.transform(months, lambda m: F.date_format(m, "yyyy-MM")))), "register")
+    return written(matching.keyed(rows).withColumn("period", F.explode(F.transform(months, lambda m: F.date_format(m, "yyyy-MM")))), "register")
 
 
 def rec_2b(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def rec_2b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rec_2b_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, books = statement(spark, sf_dir), register(spark, sf_dir)
-    return matching.missing_by_period(books, lines, written(matching.reconcile(lines, books), "reconciled"))
+    return matching.missing_by_period(books, lines, matching.reconcile(lines, books))
 
 
 def rec_2b_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
