@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxloom.functions.similarity import sequence_ratio_udf
@@ -22,14 +22,15 @@ def best_lines(lines: DataFrame, po_lines: DataFrame) -> DataFrame:
 
     A single PO line of the same code wins; else the best description of those of the same code, or of all if there are none, at least 0.5.
     """
-    same = F.coalesce(F.col("hsn_sac") == F.col("po_hsn_sac"), F.lit(False))
-    row = Window.partitionBy("invoice_id", "line_no")
-    found = _pairs(lines, po_lines).withColumn("same", same).withColumn("n_same", F.sum(same.cast("int")).over(row))
-    open_ = found.where((F.col("n_same") == 0) | F.col("same"))
-    scored = open_.withColumn("text", F.when(F.col("n_same") == 1, 1.0).otherwise(sequence_ratio_udf("description", "po_description")))
-    best = scored.where((F.col("n_same") == 1) | (F.col("text") >= LEAST_TEXT)).withColumn("_k", F.row_number().over(row.orderBy(F.desc("text"), "po_line_no"))).where("_k = 1")
-    taken = best.select("invoice_id", "line_no", "po_line_no", "po_quantity", "po_unit_price")
-    return lines.join(taken, ["invoice_id", "line_no"], "left")
+    line, found = ["invoice_id", "line_no"], F.struct("po_line_no", "po_quantity", "po_unit_price")
+    # pairs aren't shuffled: those of one code are counted, and only lines of which none or several have it are compared by text
+    coded = _pairs(lines, po_lines).where("hsn_sac = po_hsn_sac").groupBy(*line).agg(F.count(F.lit(1)).alias("n_same"), F.min(found).alias("one"))
+    known = lines.join(coded, line, "left")
+    open_ = _pairs(known.where("n_same is null or n_same > 1").drop("one"), po_lines).where("n_same is null or hsn_sac = po_hsn_sac")
+    compared = open_.withColumn("text", sequence_ratio_udf("description", "po_description")).where(F.col("text") >= LEAST_TEXT)
+    best = compared.groupBy(*line).agg(F.max(F.struct("text", -F.col("po_line_no"), found.alias("of"))).alias("best")).select(*line, F.col("best.of").alias("likest"))
+    taken = F.when(F.col("n_same") == 1, F.col("one")).otherwise(F.col("likest"))
+    return known.join(best, line, "left").select(*lines.columns, taken.alias("of")).select(*lines.columns, "of.*")
 
 
 def _checked(lines: DataFrame, po_lines: DataFrame) -> DataFrame:

@@ -94,11 +94,11 @@ BILLED = "SELECT l.invoice_id, l.line_no, CASE WHEN l.invoice_id % 17 <> 0 THEN
 
 
 def po_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return purchase_orders.check(written(view(spark, sf_dir, BILLED), "billed"), written(view(spark, sf_dir, PO_LINES), "ordered"))
+    return purchase_orders.check(view(spark, sf_dir, BILLED), view(spark, sf_dir, PO_LINES))
 
 
 def jn_po_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = purchase_orders.best_lines(written(view(spark, sf_dir, BILLED), "billed"), written(view(spark, sf_dir, PO_LINES), "ordered"))
+    rows = purchase_orders.best_lines(view(spark, sf_dir, BILLED), view(spark, sf_dir, PO_LINES))
     return rows.select("invoice_id", "line_no", "po_line_no")
 
 
@@ -202,7 +202,7 @@ def po_check_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recon_po_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return purchase_orders.line_view(written(view(spark, sf_dir, BILLED), "billed"), written(view(spark, sf_dir, PO_LINES), "ordered"))
+    return purchase_orders.line_view(view(spark, sf_dir, BILLED), view(spark, sf_dir, PO_LINES))
 
 
 def ts_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
