@@ -43,19 +43,25 @@ def keyed(t: DataFrame) -> DataFrame:
     """``t`` with what rows meet by, unless it is there: tax id, normalised number and band of the amount.  Found before a book is repeated for its periods, a key is
     found once."""
     if "_n" in t.columns:
-        return _with_period(t)
+        return t if "periods" in t.columns else _with_period(t)
     return _with_period(t.select("*", F.upper("gstin").alias("_g"), normal_number(F.col("number")).alias("_n"), band(F.col("taxable")).alias("_k")))
 
 
 def _blocks(lines: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs with the same normalised number, and those of other numbers with agreeing amounts."""
+    """Pairs with the same normalised number, and those of other numbers with agreeing amounts.
+
+    Books may come once each, keyed and with an array ``periods`` in place of a row for each: then rows aren't moved once for each period."""
+    ranged = "periods" in books.columns
+    by = ["g"] if ranged else ["period", "g"]
     left = keyed(lines).select("line", "period", F.col("_g").alias("g"), F.col("_n").alias("n"), "taxable", "tax", "day", F.col("_k").alias("k"))
-    right = keyed(books).select("book", "period", F.col("_g").alias("g"), F.col("_n").alias("bn"), F.col("taxable").alias("b_taxable"), F.col("tax").alias("b_tax"), F.col("day").alias("b_day"), F.col("_k").alias("k"))
+    right = keyed(books).select("book", "periods" if ranged else "period", F.col("_g").alias("g"), F.col("_n").alias("bn"), F.col("taxable").alias("b_taxable"), F.col("tax").alias("b_tax"), F.col("day").alias("b_day"), F.col("_k").alias("k"))
     agree = close(F.col("taxable"), F.col("b_taxable")) & close(F.col("tax"), F.col("b_tax"))
     cols = ["line", "book", "period", "g", "n", "bn", "taxable", "tax", "day", "b_taxable", "b_tax", "b_day"]
-    same = left.where("n <> ''").join(right.drop("k").withColumn("n", F.col("bn")), ["period", "g", "n"])
+    same = left.where("n <> ''").join(right.drop("k").withColumn("n", F.col("bn")), [*by, "n"])
     wide = left.withColumn("k", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.col("k") + i)))
-    near = wide.join(right, ["period", "g", "k"]).where(agree & (F.col("n") != F.col("bn")))
+    near = wide.join(right, [*by, "k"]).where(agree & (F.col("n") != F.col("bn")))
+    if ranged:
+        same, near = (t.where(F.array_contains("periods", F.col("period"))) for t in (same, near))
     return same.select(cols).withColumn("agree", agree), near.select(cols).withColumn("agree", agree)
 
 
@@ -124,8 +130,8 @@ def reconcile(lines: DataFrame, books: DataFrame, fuzzy: float = FUZZY, met: Dat
     matched = work.write(joined.select("line", "book", status.alias("status"), "score", "period"), "matched")
     # what is left may match a register row under another tax id
     left = lines.join(matched, "line", "left_anti").join(held, "line", "left_anti").select("line", "period", F.col("_g").alias("g"), "_n", "taxable", "tax", "day")
-    right = books.join(matched, ["book", "period"], "left_anti").where("gstin is not null").select("book", "period", F.col("_g").alias("bg"), "_n", F.col("taxable").alias("b_taxable"), F.col("tax").alias("b_tax"), F.col("day").alias("b_day"))
-    other = left.join(right, ["period", "_n"]).where((F.col("g") != F.col("bg")) & close(F.col("taxable"), F.col("b_taxable")) & close(F.col("tax"), F.col("b_tax")) & F.coalesce(F.col("day") == F.col("b_day"), F.lit(True)))
+    right = books.where("gstin is not null").select("book", "period", F.col("_g").alias("bg"), "_n", F.col("taxable").alias("b_taxable"), F.col("tax").alias("b_tax"), F.col("day").alias("b_day"))
+    other = left.join(right, ["period", "_n"]).where((F.col("g") != F.col("bg")) & close(F.col("taxable"), F.col("b_taxable")) & close(F.col("tax"), F.col("b_tax")) & F.coalesce(F.col("day") == F.col("b_day"), F.lit(True))).join(matched.select("book", "period"), ["book", "period"], "left_anti")
     work.drop(found)
     crossed = _assigned(other.select("line", "book", "period", F.lit(1.0).alias("score")), work)
     known = matched.drop("period").union(crossed.select("line", "book", F.lit("GSTIN_MISMATCH"), "score")).union(held.select("line", F.lit(None).cast("long"), "status", "score"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from taxloom.functions import similarity
 from taxloom.operators import anomaly, duplicates, forecast, matching, purchase_orders, tax
-from taxloom.operators.work import shared_folder, written
+from taxloom.operators.work import Work, shared_folder, written
 from taxloom.plans import analytics, dialect
 from taxloom.sources import files
 from taxloom.sources.adapters import VIEWS, close, normal_number
@@ -29,22 +29,39 @@ def statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(matching.keyed(view(spark, sf_dir, "SELECT record_id AS line, return_period AS period, supplier_gstin AS gstin, invoice_number AS number, invoice_date AS day, taxable_value AS taxable, total_tax AS tax FROM records WHERE return_period IS NOT NULL")), "statement")
 
 
-def register(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live invoices, each in the periods whose statement may hold it; every hundredth also under a number with one more zero, which makes its line ambiguous."""
+def ranged_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live invoices, each with the periods whose statement may hold it; every hundredth also under a number with one more zero, which makes its line ambiguous."""
     cols = "vendor_gstin_true AS gstin, {} AS number, invoice_date AS day, subtotal AS taxable, total_tax AS tax FROM live WHERE invoice_date IS NOT NULL"
     rows = view(spark, sf_dir, f"SELECT invoice_id AS book, {cols.format('invoice_number')} UNION ALL SELECT -invoice_id AS book, {cols.format(chr(39) + 'INV/0' + chr(39) + ' || substr(invoice_number, 5, 8)')} AND invoice_id % 100 = 31")
     month = lambda d: F.trunc(d, "month")
     months = F.sequence(month(F.col("day")), month(F.date_add("day", LOOKBACK)), F.expr("interval 1 month"))
-    return written(matching.keyed(rows).withColumn("period", F.explode(F.transform(months, lambda m: F.date_format(m, "yyyy-MM")))), "register")
+    return written(matching.keyed(rows).withColumn("periods", F.transform(months, lambda m: F.date_format(m, "yyyy-MM"))).drop("period"), "register")
+
+
+def _each_period(books: DataFrame) -> DataFrame:
+    return books.withColumn("period", F.explode("periods")).drop("periods")
+
+
+def register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ranged_register`` with a row for each period."""
+    return _each_period(ranged_register(spark, sf_dir))
+
+
+def _reconciled(lines: DataFrame, books: DataFrame) -> DataFrame:
+    """``lines`` reconciled with ranged ``books``, which are repeated for their periods only where they are read."""
+    work = Work(lines.sparkSession, "met")
+    found = matching.reconcile(lines, _each_period(books), met=work.write(matching.candidates(lines, books), "met"))
+    work.keep()
+    return found
 
 
 def rec_2b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.reconcile(statement(spark, sf_dir), register(spark, sf_dir)).withColumn("score", F.round("score", 4))
+    return _reconciled(statement(spark, sf_dir), ranged_register(spark, sf_dir)).withColumn("score", F.round("score", 4))
 
 
 def rec_2b_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines, books = statement(spark, sf_dir), register(spark, sf_dir)
-    return matching.missing_by_period(books, lines, matching.reconcile(lines, books))
+    lines, books = statement(spark, sf_dir), ranged_register(spark, sf_dir)
+    return matching.missing_by_period(_each_period(books), lines, _reconciled(lines, books))
 
 
 def rec_2b_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
